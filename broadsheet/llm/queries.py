@@ -7,16 +7,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, packing, toxicity, warc
+from . import ctw, exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, toxicity, warc
 from .common import shared_dir, table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), out)
     return warc.read_warc(spark, out)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
@@ -25,6 +37,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -77,13 +93,73 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, more - before)))::BIGINT AS taken FROM placed
 """
 
+def _license_sql() -> str:
+    names = ", ".join(f"('{n}', {licenses.bigrams(t)!r})" for n, t in licenses.TEMPLATES.items())
+    s = licenses.THRESHOLD
+    return rf"""
+WITH templates(name, grams) AS (VALUES {names}),
+clean AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS text FROM documents),
+segments AS (
+  SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)) || string_split_regex(text, '\n ?(?:\n ?)+') || [text])) AS seg FROM clean
+), worded AS (
+  SELECT doc_id, list_filter(string_split_regex(seg, '[ \n]'), lambda w: w <> '') AS w FROM segments
+), gramed AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM worded WHERE len(w) > 1
+), found AS (
+  SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(a, grams)) / (len(a) + len(grams)) AS dice
+  FROM gramed JOIN templates ON len(a) >= len(grams) * {s / (2 - s)} AND len(a) <= len(grams) * {(2 - s) / s}
+), best AS (
+  SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses
+  FROM found WHERE dice >= {s} GROUP BY doc_id
+)
+SELECT d.doc_id, license, coalesce(dice, 0) AS dice, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id
+"""
+
+
+OP7_SQL = r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), numbered AS (
+  SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS text FROM split
+), lines AS (
+  SELECT doc_id, line, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM numbered
+), full_lines AS (
+  SELECT doc_id, line, (doc_id, line) AS place, w FROM lines WHERE len(w) > 0
+), kinds AS (
+  SELECT w, min(place) AS first FROM full_lines GROUP BY w
+), spread AS (
+  SELECT first, w, unnest(range(1, len(w) + 1)) AS i FROM kinds WHERE len(w) >= 8
+), cut AS (
+  SELECT first, i, w[:i - 1] || w[i + 1:] AS v FROM spread
+), replaced AS (
+  SELECT first, min(first) OVER (PARTITION BY i, v) AS earlier FROM cut
+), shorter AS (
+  SELECT k.first AS a, c.first AS b FROM cut c JOIN kinds k ON k.w = c.v WHERE len(k.w) >= 8
+), alike AS (
+  SELECT first, min(earlier) AS earlier FROM (
+    SELECT first, earlier FROM replaced WHERE earlier < first
+    UNION ALL SELECT greatest(a, b), least(a, b) FROM shorter) GROUP BY first
+), gone AS (
+  SELECT l.doc_id, l.line, l.place = k.first AS near FROM full_lines l JOIN kinds k USING (w) LEFT JOIN alike a ON a.first = k.first
+  WHERE l.place > k.first OR a.first IS NOT NULL
+), per_doc AS (
+  SELECT doc_id, count(*) FILTER (NOT near) AS exact, count(*) FILTER (near) AS near, list_sort(list(line::INT)) AS dropped FROM gone GROUP BY doc_id
+)
+SELECT s.doc_id, len(ls)::BIGINT AS n_lines, coalesce(exact, 0) AS exact, coalesce(near, 0) AS near, coalesce(dropped, []) AS dropped
+FROM split s LEFT JOIN per_doc p ON s.doc_id = p.doc_id
+"""
+
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_warc": op2_warc,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_ctw": op4_ctw,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+ORACLES = {"op1_licenses": _license_sql(), "op7_line_dedup": OP7_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}

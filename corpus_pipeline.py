@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import exact_dedup, mixing, packing, toxicity
+from broadsheet.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from broadsheet.llm.common import shared_dir, table
 
 
@@ -25,6 +25,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles (similarity 0.8 or more) the one with the smallest id stays."""
+    return near_dedup.deduplicate(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; a document taken twice is there twice."""
     return mixing.mix(docs)
@@ -38,6 +43,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_windows),
 ]
