@@ -116,7 +116,7 @@ def best_image(candidates: Column) -> Column:
 
 def srcset_candidates(value: Column) -> Column:
     """(``url``, ``width``) of each entry of a ``srcset``; ``2x`` counts as 2000 wide."""
-    parts = F.filter(F.transform(F.split(value, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(value, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def one(p: Column) -> Column:
         w, x = F.regexp_extract(p, r"\s(\d+)w(?:\s|$)", 1), F.regexp_extract(p, r"\s([\d.]+)x(?:\s|$)", 1)

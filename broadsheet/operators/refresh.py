@@ -71,8 +71,8 @@ def reconcile(items: DataFrame, cached: DataFrame, at: Column) -> DataFrame:
         if name == "fetched_at":
             out.append(at.alias(name))
             continue
-        new = fresh.get(name, F.col(f"i.{name}") if name in from_item else F.lit(None))
-        out.append(F.when(keep, kept.get(name, F.col(f"c.{name}"))).otherwise(new).cast(field.dataType).alias(name))
+        new = fresh.get(name, F.col(f"i.{name}") if name in from_item else F.lit(None).cast(field.dataType))
+        out.append(F.when(keep, kept.get(name, F.col(f"c.{name}"))).otherwise(new).alias(name))
     return both.select(*out, (~keep).alias("rebuilt"))
 
 

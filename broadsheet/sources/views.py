@@ -61,7 +61,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One per document, with a paragraph a line."""
     text = F.coalesce("text", F.lit(""))
     d = table(spark, sf_dir, "documents").where("source IS NOT NULL").withColumn("text", text)
-    summary = F.left(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(200))
+    summary = F.trim(F.left(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(200)))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     body = F.transform(lines, lambda x: block(kind=F.lit("p"), text=x))
     old = F.col("doc_id") % 3 == 0
@@ -213,9 +213,9 @@ VIEW_SQL = {
       FROM (SELECT DISTINCT source AS id, substr(source, 4)::BIGINT AS n FROM documents WHERE source IS NOT NULL)""",
     "articles": rf"""SELECT source || '~' || doc_id AS id, source AS source_id, doc_id, left(split_part(t, chr(10), 1), 60) AS title,
       CASE WHEN doc_id % 11 > 0 THEN 'https://' || source || '.example/' || doc_id END AS link, CASE WHEN doc_id % 5 > 0 THEN 'Author ' || (doc_id % 7) END AS author,
-      {_NOW} - to_minutes(doc_id * 2) AS published_at, {_NOW} - to_minutes(doc_id % 50) AS fetched_at, left(trim(regexp_replace(t, '\s+', ' ', 'g'), ' '), 200) AS summary,
+      {_NOW} - to_minutes(doc_id * 2) AS published_at, {_NOW} - to_minutes(doc_id % 50) AS fetched_at, trim(left(trim(regexp_replace(t, '\s+', ' ', 'g'), ' '), 200), ' ') AS summary,
       list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> '') AS paragraphs,
-      greatest(1, floor(len(regexp_extract_all(t, '\S+')) / 225.0::DOUBLE + 0.5))::INT AS minutes, CASE WHEN left(trim(regexp_replace(t, '\s+', ' ', 'g'), ' '), 200) = '' THEN 'brief' ELSE 'compact' END AS layout,
+      greatest(1, floor(len(regexp_extract_all(t, '\S+')) / 225.0::DOUBLE + 0.5))::INT AS minutes, CASE WHEN trim(left(trim(regexp_replace(t, '\s+', ' ', 'g'), ' '), 200), ' ') = '' THEN 'brief' ELSE 'compact' END AS layout,
       CASE WHEN doc_id % 4 = 0 THEN 'summary' ELSE 'full' END AS content_state, CASE doc_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' ELSE 'idle' END AS extraction_state,
       CASE WHEN doc_id % 3 = 0 THEN {_NOW} - to_minutes(doc_id % 900) END AS content_fetched_at, CASE WHEN doc_id % 3 < 2 THEN {_NOW} - to_minutes(doc_id % 900) END AS content_checked_at,
       CASE WHEN doc_id % 7 > 0 THEN 12 ELSE 11 END AS extractor_version
@@ -230,7 +230,7 @@ VIEW_SQL = {
     "topics": f"""SELECT user_id, slug AS id, slug, label FROM (SELECT DISTINCT user_id FROM sources) JOIN (VALUES {", ".join(f"({i}, '{t[0]}', '{t[1]}')" for i, t in enumerate(fixed.TOPICS))}) t(i, slug, label) ON i <> user_id""",
     "scroll_events": """SELECT user_id, 'src' || (k % 20) || '~' || k AS item_id, ts, (event_id % 1000)::DOUBLE AS scroll_top, (800 + k * 10)::DOUBLE AS scroll_height, 800.0::DOUBLE AS client_height
       FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)""",
-    "call_log": "SELECT user_id::VARCHAR AS client, epoch_ms(epoch_ms(ts) // 5000) AS ts, epoch_ms(ts) // 5000 AS ms, event_id AS seq FROM events",
+    "call_log": "SELECT user_id::VARCHAR AS client, epoch_ms(epoch_us(ts) // 1000 // 5000) AS ts, epoch_us(ts) // 1000 // 5000 AS ms, event_id AS seq FROM events",
 }
 _NEEDS = {"reading": ["reading_changes"], "topics": ["sources"]}
 
