@@ -21,7 +21,12 @@ def strip(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
 def half_up(c: Column) -> Column:
@@ -31,6 +36,10 @@ def half_up(c: Column) -> Column:
 
 def fnv(c: Column) -> Column:
     """FNV-1a of the text's UTF-16 units as the absolute value of a signed 32-bit number."""
+    return let(c, _fnv)
+
+
+def _fnv(c: Column) -> Column:
     units = F.flatten(
         F.transform(
             F.transform(F.split(c, ""), F.ascii),
@@ -39,7 +48,7 @@ def fnv(c: Column) -> Column:
     )
     step = lambda h, u: (h.bitwiseXOR(u.cast("long")) * _FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF))
     h = F.aggregate(units, F.lit(_FNV_START).cast("long"), step)
-    return F.when(c == "", F.lit(_FNV_START).cast("long")).otherwise(F.when(h >= 2**31, F.lit(2**32) - h).otherwise(h))
+    return F.when(c == "", F.lit(_FNV_START).cast("long")).otherwise(let(h, lambda h: F.when(h >= 2**31, F.lit(2**32) - h).otherwise(h)))
 
 
 def base36(c: Column) -> Column:
@@ -52,7 +61,10 @@ def fnv36(c: Column) -> Column:
 
 def monogram(name: Column) -> Column:
     """Two letters that stand for a name."""
-    words = F.filter(F.split(F.regexp_replace(name, r"[^\p{L}\p{N} ]", " "), " +"), lambda w: w != "")
+    return let(F.filter(F.split(F.regexp_replace(name, r"[^\p{L}\p{N} ]", " "), " +"), lambda w: w != ""), _initials)
+
+
+def _initials(words: Column) -> Column:
     two = F.concat(F.substring(F.get(words, F.lit(0)), 1, 1), F.substring(F.get(words, F.lit(1)), 1, 1))
     return F.when(F.size(words) == 0, "··").when(F.size(words) == 1, F.upper(F.substring(F.get(words, F.lit(0)), 1, 2))).otherwise(F.upper(two))
 
@@ -86,12 +98,15 @@ def scrub_boilerplate(c: Column) -> Column:
 
 def shorten(c: Column, limit: int = 260) -> Column:
     """At most ``limit`` characters, back to the last sentence end if that lies past the middle."""
-    cut = F.substring(c, 1, limit)
+    return let(c, lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(let(F.substring(t, 1, limit), lambda cut: _to_stop(cut, limit)), F.lit("…"))))
+
+
+def _to_stop(cut: Column, limit: int) -> Column:
     # an occurrence's place from the end of the reversed text
     last = lambda mark: F.when(F.instr(cut, mark) > 0, F.length(cut) - F.length(mark if isinstance(mark, Column) else F.lit(mark)) - F.instr(F.reverse(cut), mark[::-1]) + 1).otherwise(-1)
     stop = F.greatest(*[last(mark) for mark in (". ", "! ", "? ", "。", "！", "？")])
     kept = F.when(stop > limit * 0.5, F.substring(cut, F.lit(1), (stop + 1).cast("int"))).otherwise(cut)
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(strip(kept), F.lit("…")))
+    return strip(kept)
 
 
 def html_to_summary(c: Column, limit: int = 260, decode=decode_named) -> Column:

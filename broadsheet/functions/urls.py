@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import strip
+from .text import let, strip
 
 
 def normalize_feed_url(raw: Column) -> Column:
@@ -28,7 +28,10 @@ def is_safe_http(url: Column) -> Column:
 
 def resolve_common(raw: Column, base: Column) -> Column:
     """``raw`` against ``base`` for the usual forms; ``functions.html.resolve_url`` covers all."""
-    t = strip(raw)
+    return let(strip(raw), lambda t: _resolved(t, base))
+
+
+def _resolved(t: Column, base: Column) -> Column:
     origin = F.regexp_extract(base, "(?i)^(https?://[^/?#]+)", 1)
     folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "(?i)^(https?://[^/]+(?:/.*)?/)[^/]*$", "$1")
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))

@@ -13,6 +13,7 @@ from ..operators import refresh as rf
 from ..operators import state as st
 from ..operators import stories as so
 from ..sources import feeds as fd
+from ..sources.shared import stored
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -37,15 +38,15 @@ def subscribe(items: DataFrame, articles: DataFrame, at: Column) -> DataFrame:
 def feed_refresh(documents: DataFrame, sources: DataFrame, articles: DataFrame, reading: DataFrame, at: Column, stale_only: bool = False) -> DataFrame:
     """The article table after the feeds in ``documents`` were read.
 
-    Only sources of which something changed are written anew; the two joins on
-    (source, id) share their exchange of the incoming rows.
+    Only sources of which something changed are written anew; what was parsed is
+    written once and read by the joins that compare and replace.
     """
     due = (rf.sources_stale(sources, at) if stale_only else st.live(sources)).select(F.col("url").alias("feed_url"), F.col("id").alias("source_id")).distinct()
     parsed = fd.parse(documents.join(due, "feed_url", "left_semi"))
     items = fd.items(parsed).join(due, "feed_url").drop("feed_url")
     items = st.item_cap(items, fixed.SOURCE_ITEMS).drop("pos", "identity")
     cached = articles.join(due, "source_id", "left_semi")
-    fresh = rf.reconcile(items, cached, at)
+    fresh = stored(rf.reconcile(items, cached, at))  # parsed once: three joins read it
     changed = rf.feed_changed(cached, fresh).where("changed").select("source_id")
     keep = reading.where("saved OR later").select(F.col("item_id").alias("id"))
     incoming = fresh.drop("rebuilt").join(changed, "source_id", "left_semi")
@@ -73,6 +74,7 @@ def page_update(articles: DataFrame, pages: DataFrame, at: Column) -> DataFrame:
     Only pages that a due article links to are parsed.
     """
     due = articles.where(rf.article_refresh_due(at)).select(F.col("link").alias("url")).distinct()
+    # each page is parsed once
     read = pg.extract(pages.select("url", "html").join(due, "url", "left_semi"))
     fields = {"outcome": F.when(F.col("error").isNull(), "ok").otherwise("failed"), "etag": F.lit(None).cast("string"), "last_modified": F.lit(None).cast("string")}
     outcomes = read.withColumns(fields).withColumnRenamed("url", "link").dropDuplicates(["link"])

@@ -65,6 +65,11 @@ def _or(*texts: Column) -> Column:
     return F.coalesce(*[tx.blank_to_null(t) for t in texts], F.lit(""))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator, so that its columns are computed once and not again wherever they are named."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")
+
+
 def feed_kind(body: Column) -> Column:
     """The dialect by its root element."""
     root = F.regexp_extract(F.regexp_replace(body, r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>", ""), r"<\s*([A-Za-z:]+)", 1)
@@ -73,10 +78,13 @@ def feed_kind(body: Column) -> Column:
 
 def parse(documents: DataFrame) -> DataFrame:
     """One row per feed: ``feed_url``, ``kind``, ``title``, ``site_url``, ``description``, ``channel_author``, raw ``items`` (40 at most) or an ``error``."""
+    # parsing costs far more than its bytes tell, so documents are spread whatever their size
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    documents = documents.repartition(parts, "feed_url")
     d = documents.withColumn("error", F.when(F.octet_length("body") > fixed.MAX_BYTES, "too large").when(~urls.looks_like_feed(F.col("body"), F.col("content_type")), "not a feed"))
     d = d.withColumn("kind", F.when(F.col("error").isNull(), feed_kind(F.col("body"))))
     parsed = {k: F.when(F.col("kind") == k, F.from_xml("body", s, _OPTIONS)) for k, s in SCHEMAS.items()}
-    d = d.select("feed_url", "error", "kind", *[c.alias(k) for k, c in parsed.items()])
+    d = _once(d.select("feed_url", "error", "kind", *[c.alias(k) for k, c in parsed.items()]))
     head = lambda n: F.when(F.col("kind") == "atom", F.col(f"atom.{n}")).when(F.col("kind") == "rdf", F.col(f"rdf.channel.{n}")).otherwise(F.col(f"rss.channel.{n}"))
     items = F.when(F.col("kind") == "atom", F.col("atom.entry")).when(F.col("kind") == "rdf", F.col("rdf.item")).otherwise(F.col("rss.channel.item"))
     site = F.coalesce(best_link(head("link"), F.col("feed_url")), "feed_url")
@@ -90,13 +98,17 @@ def parse(documents: DataFrame) -> DataFrame:
 
 def items(parsed: DataFrame) -> DataFrame:
     """The item table of the feeds that ``parse`` read, with bodies as blocks and shared openings stripped."""
-    p = parsed.where("error IS NULL").select("feed_url", "site_url", "channel_author", F.posexplode("items").alias("pos", "x"))
+    p = _once(parsed.where("error IS NULL").select("feed_url", "site_url", "channel_author", "items"))
+    p = p.select("feed_url", "site_url", "channel_author", F.posexplode("items").alias("pos", "x"))
+    p = p.withColumn("given", F.struct(*[first_text(F.col(f"x.{n}")).alias(n.strip("`")) for n in _TEXTS]))
+    p = _once(p)
     x = lambda n: F.col(f"x.{n}")
-    rich = _or(first_text(x("`content:encoded`")), first_text(x("content")))
-    plain = _or(first_text(x("description")), first_text(x("summary")))
-    link = F.coalesce(best_link(x("link"), F.col("site_url")), urls.resolve_common(first_text(x("guid")), F.col("site_url")))
-    author = _or(first_text(x("`dc:creator`")), first_text(x("`itunes:author`")), first_text(x("author")), first_text(x("`atom:author`")), _first(x("author"), "name"), F.col("channel_author"))
-    dates = [tx.parse_date(first_text(x(n))) for n in ("pubDate", "published", "updated", "`dc:date`", "date")]
+    g = lambda n: F.col(f"given.{n}")
+    rich = _or(g("`content:encoded`"), g("content"))
+    plain = _or(g("description"), g("summary"))
+    link = F.coalesce(best_link(x("link"), F.col("site_url")), urls.resolve_common(g("guid"), F.col("site_url")))
+    author = _or(g("`dc:creator`"), g("`itunes:author`"), g("author"), g("`atom:author`"), _first(x("author"), "name"), F.col("channel_author"))
+    dates = [tx.parse_date(g(n)) for n in ("pubDate", "published", "updated", "`dc:date`", "date")]
     pictures = F.transform(F.filter(x("enclosure"), lambda e: F.coalesce(e["_type"].startswith("image/"), F.lit(False)) | F.coalesce(e["_url"].rlike(fixed.IMAGE_FILE), F.lit(False))), lambda e: e["_url"])
     declared = F.concat(F.array(_first(x("`media:content`"), "_url"), _first(x("`media:thumbnail`"), "_url"), _first(x("`itunes:image`"), "_href"), _first(x("image"), "_href")), F.coalesce(pictures, F.array().cast("array<string>")))
     declared = F.get(F.filter(F.transform(declared, lambda u: urls.resolve_common(u, F.col("site_url"))), lambda u: u.isNotNull()), F.lit(0))
@@ -105,7 +117,7 @@ def items(parsed: DataFrame) -> DataFrame:
         "feed_url",
         "pos",
         "site_url",
-        F.left(tx.html_to_text(first_text(x("title"))), F.lit(300)).alias("title"),
+        F.left(tx.html_to_text(g("title")), F.lit(300)).alias("title"),
         link.alias("link"),
         F.left(tx.html_to_text(author), F.lit(120)).alias("author"),
         F.coalesce(*dates).alias("published_at"),
@@ -114,8 +126,9 @@ def items(parsed: DataFrame) -> DataFrame:
         tx.html_to_summary(_or(plain, rich)).alias("dek"),
         declared.alias("declared"),
         tx.blank_to_null(caption).alias("image_caption"),
-        _or(first_text(x("guid")), first_text(x("id")), F.coalesce(tx.strip(x("`_rdf:about`")), F.lit(""))).alias("publisher_id"),
-    ).where("title <> '' OR html <> ''")
+        _or(g("guid"), g("id"), F.coalesce(tx.strip(x("`_rdf:about`")), F.lit(""))).alias("publisher_id"),
+    )
+    p = _once(p).where("title <> '' OR html <> ''")
     p = p.withColumn("b", hx.html_blocks(F.col("html"), F.col("site_url"))).withColumn("plain", tx.html_to_text(F.col("html")))
     body = F.col("b.blocks")
     state = bl.content_state(F.col("rich"), tx.read_more_cue(F.col("html")), body, F.col("dek"), F.col("b.truncated"))
@@ -151,7 +164,10 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def opening_of(lowest: Column, highest: Column, n: Column) -> Column:
     """What all texts between the lowest and the highest begin with, back to a sentence end; empty if short."""
-    prefix = common_prefix(lowest, highest)
+    return tx.let(common_prefix(lowest, highest), lambda prefix: _opening(prefix, n))
+
+
+def _opening(prefix: Column, n: Column) -> Column:
     ends = F.regexp_extract(prefix, r"(?s)^(.*(?:[。！？；]|[.!?;](?= )))", 1)
     cut = F.when(ends != "", ends).otherwise(prefix)
     return F.when((n >= 3) & (F.length(tx.strip(cut)) >= fixed.OPENING_LEAST), cut).otherwise("")

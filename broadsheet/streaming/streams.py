@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,12 +15,12 @@ from ..functions import text as tx
 from ..operators import state as st
 from ..plans import workloads as wl
 from ..sources import views as vw
+from ..sources.shared import shared_dir
 
 
 def _shared(spark: SparkSession) -> str:
     """A new folder under the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root or 'file://' + tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
