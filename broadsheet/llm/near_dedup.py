@@ -1,10 +1,10 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its word shingles.  Equal sets count once.  A set is
-embedded as ``T`` minwise values.  In each of several independent trees a node
-chooses one of the ``T`` coordinates at random (from its own path) and its
-documents branch by their minwise value there; a pair of similarity s stays
-together with probability s at each branching.  Nodes of at most ``NODE_ROWS``
+embedded as minwise values.  In each of several independent trees a node
+chooses one of the coordinates (the root one of its tree's own, another node at
+random from its path) and its documents branch by their minwise value there; a
+pair of similarity s stays together with probability s at each branching.  Nodes of at most ``NODE_ROWS``
 documents are leaves, whose pairs are compared exhaustively on sketches of the
 minwise values; larger ones branch on, down to ``MOST_DEPTH``, below which they
 are cut into blocks and every pair of blocks is a leaf.  Nodes of one document
@@ -40,9 +40,9 @@ from .common import broadcast_if_small, checkpoint, whole_groups
 from .components import components
 from .hashing import LOWER, buffers, hash_words, mix64, shingles, slices
 
-#: Minwise values of a set.
-T = 128
-NODE_ROWS = 256
+#: Minwise values of a set: whole ones to branch by, and low bytes to compare.
+PATHS, T = 40, 128
+NODE_ROWS = 4096
 MIN_DEPTH = 2
 MOST_DEPTH = 8
 RECALL = 0.9999999
@@ -69,7 +69,7 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 def trees_for(threshold: float, recall: float = RECALL) -> int:
     together = threshold**MIN_DEPTH
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+    return min(PATHS - 8, max(1, math.ceil(math.log(1 - recall) / math.log(1 - together))))
 
 
 def least_likeness(threshold: float) -> float:
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                         batch.column("id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([x.tobytes() if x is not None else None for x in low], pa.binary()),
+                        pa.array([x[:PATHS].tobytes() if x is not None else None for x in low], pa.binary()),
                         pa.array([x.astype(np.uint8).tobytes() if x is not None else None for x in low], pa.binary()),
                     ],
                     names=["id", "n", "digest", "low", "sketch"],
@@ -125,21 +125,20 @@ def _branch(rows: DataFrame, depth: int, trees: int) -> DataFrame:
     """(``node``, ``rep``): the children of the nodes in ``rows``; at depth 0 each document in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                if not batch.num_rows:
-                    continue
-                low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint32).reshape(-1, T)
-                rep = np.array(batch.column("rep").to_pylist(), np.int64)
-                if depth:
-                    node = np.array(batch.column("node").to_pylist(), np.int64).view(np.uint64)[:, None]
-                else:
-                    node = np.broadcast_to(mix64(np.arange(1, trees + 1, dtype=np.uint64)), (len(rep), trees))
-                choice = (mix64(node + np.uint64(2 * depth + 1)) % np.uint64(T)).astype(np.int64)
-                value = np.take_along_axis(low, choice, axis=1).astype(np.uint64)
-                child = mix64(mix64(node * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth)) + value)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64).ravel()), pa.array(np.repeat(rep, child.shape[1]))], names=["node", "rep"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint32).reshape(-1, PATHS)
+            rep = batch.column("rep").to_numpy()
+            if depth:
+                node = batch.column("node").to_numpy().view(np.uint64)[:, None]
+                choice = (mix64(node + np.uint64(2 * depth + 1)) % np.uint64(PATHS - trees)).astype(np.int64) + trees
+            else:
+                node = np.broadcast_to(mix64(np.arange(1, trees + 1, dtype=np.uint64)), (len(rep), trees))
+                choice = np.broadcast_to(np.arange(trees), node.shape)
+            value = np.take_along_axis(low, choice, axis=1).astype(np.uint64)
+            child = mix64(mix64(node * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth)) + value)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64).ravel()), pa.array(np.repeat(rep, child.shape[1]))], names=["node", "rep"])
 
     return rows.mapInArrow(run, "node long, rep long")
 
@@ -156,7 +155,7 @@ def _leaves(reps: DataFrame, trees: int) -> DataFrame:
         large = rows.where(F.col("size") > NODE_ROWS)
         if large.isEmpty():
             break
-        rows = large.join(reps.select("rep", "low"), "rep").select("node", "rep", "low")
+        rows = reps.select("rep", "low").join(broadcast_if_small(large.select("node", "rep")), "rep").select("node", "rep", "low")
     else:
         done.append(_blocks(large, "node", "rep", NODE_ROWS // 2))
     out = done[0]
@@ -188,23 +187,27 @@ def _compare_sketches(threshold: float):
             rep = t.column("rep").to_numpy()
             n = t.column("n").to_numpy()
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, T)
-            forest = Forest(len(rep))
+            tree = np.arange(len(rep))  # of a row: the first row it is connected to
+            edges: list[tuple[int, int]] = []
             step = 1
             rows = np.arange(len(rep) - 1)
             while len(rows):
                 rows = rows[rows + step < len(rep)]
                 rows = rows[node[rows] == node[rows + step]]
                 a, b = rows, rows + step
-                fit = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+                fit = (tree[a] != tree[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]))
                 a, b = a[fit], b[fit]
-                for i in range(0, len(a), 8192):
-                    x, y = a[i : i + 8192], b[i : i + 8192]
+                for i in range(0, len(a), 4096):
+                    x, y = a[i : i + 4096], b[i : i + 4096]
                     near = np.count_nonzero(sketch[x] == sketch[y], axis=1) >= least
                     for p, q in zip(x[near].tolist(), y[near].tolist()):
-                        forest.join(p, q)
+                        u, v = tree[p], tree[q]
+                        if u != v:
+                            tree[tree == max(u, v)] = min(u, v)
+                            edges.append((p, q))
                 step += 1
-            if forest.edges:
-                e = np.array(forest.edges)
+            if edges:
+                e = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[e[:, 0]]), pa.array(rep[e[:, 1]])], names=["a", "b"])
 
     return run
@@ -280,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     dealt = _blocks(groups.join(sizes, "group"), "group", "rep", BLOCK_ROWS)
     texts = slim.join(broadcast_if_small(groups.select("rep")), F.col("id") == F.col("rep"), "left_semi")
-    full = _full_sets(texts, words).dropDuplicates(["id"])
+    full = _full_sets(texts, words)
     dealt = dealt.join(full, F.col("rep") == F.col("id")).select("node", "rep", "found")
     links = dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_confirm(percent), "a long, b long")
     found = components(links).withColumnRenamed("node", "rep")
