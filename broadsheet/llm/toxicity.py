@@ -34,10 +34,10 @@ from .hashing import LOWER, buffers, mix64, slices, word_bounds
 MAX_TRAIN = 20_000
 MIN_DOCS = 4
 MAX_FEATURES = 8_192
-CUT = 0.5
+CUT = 0.3
 STEMS = (4, 5, 6)
 #: A feature is kept if its log odds by label lie this far from the rest.
-LEAST_ODDS = 1.0
+LEAST_ODDS = 3.0
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 256)]] = True
@@ -105,7 +105,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.theta[None, :] - score[:, None], -500, 500)))
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, n_features: int, grade: np.ndarray, penalty: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: np.ndarray, columns: np.ndarray, n_features: int, grade: np.ndarray, penalty: float = 0.1, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by penalised maximum likelihood (Adam on all rows).
 
     ``rows`` and ``columns`` name the features that are there.  Thresholds
