@@ -8,9 +8,11 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from broadsheet.llm import ctw, queries, toxicity
+from broadsheet.llm import ctw, packing, queries, toxicity
 
 from .cases import ROWS, empty, table
+from .test_corpus import levels
+from .test_sets import WORD, brute_components
 
 
 def toxic_rows(n=600, seed=6):
@@ -171,15 +173,36 @@ def test_every_query_runs(spark):
         assert query(spark, "/root/testdata/sf0.001").columns, name
 
 
-def test_pipeline_stages_keep_the_columns(spark):
+def test_pipeline_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    n = docs.count()
+    before = docs.collect()
+    columns = docs.columns
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf).cache()
-        assert out.columns == docs.columns, name
+        docs = stage(spark, docs, sf).cache()
+        after = docs.collect()
+        assert docs.columns == columns, name
+        ids = {r.doc_id for r in after}
+        if name == "toxicity":
+            model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+            assert ids == {r.doc_id for r in toxicity.score(spark.createDataFrame(before, docs.schema), model).collect() if not r.toxic}
+        elif name == "exact_dedup":
+            best: dict = {}
+            for r in before:
+                best[r.text or ""] = max(best.get(r.text or "", -1), r.doc_id)
+            assert ids == set(best.values()) and len(after) == len(ids)
+        elif name == "near_dedup":
+            found = brute_components([(r.doc_id, r.text) for r in before], 5, 80)
+            assert ids == {i for i, (_, c) in found.items() if i == c}
+        else:
+            size = lambda rs: {s: sum(len(WORD.findall(r.text or "")) for r in rs if r.source == s) for s in {r.source for r in before}}
+            have, want = size(after), levels(size(before))
+            assert all(have[s] == int(want[s] + 1e-6) for s in want)
         if name != "mixing":
-            assert 0.5 * n < out.count() <= n, name
-            n = out.count()
-        docs = out
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).agg({"length": "sum"}).first()[0] > 0
+            kept = {r.doc_id: r for r in before}
+            assert all(kept[r.doc_id] == r for r in after)
+        before = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    encode = packing.tokenizer().encode_ordinary
+    assert sum(r.length for r in packed) == sum(len(encode(r.text or "")) + 1 for r in before)
