@@ -311,13 +311,30 @@ def _each(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(c) for c in names))
 
 
+def _by_context(strings: np.ndarray, depth: int, most: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Places of the strings, some contexts of two bytes at a time: their trees are apart from depth 2 down."""
+    context = (strings >> 8) & (0xFFFF if depth > 1 else (1 << (8 * depth)) - 1)
+    order = np.argsort(context, kind="stable")
+    first = np.flatnonzero(np.diff(context[order], prepend=-1))
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(first, first[i] + most)))
+        yield order[first[i] : first[j] if j < len(first) else None]
+        i = j
+
+
 def _tops(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _each(batches, "keys", "counts"):
-            levels, _, _ = tree_levels(_unpack_sorted(keys.as_buffer()), np.frombuffer(counts.as_buffer(), np.int64), depth, 2)
-            x = levels[-1]
-            key, at = np.unique(x.key & 0xFFFF, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.bincount(at, v)) for v in (x.n0, x.n1, x.log_pw))], names=["key", "n0", "n1", "children"])
+            key, n = _unpack_sorted(keys.as_buffer()), np.frombuffer(counts.as_buffer(), np.int64)
+            for at in _by_context(key, depth):
+                yield from tops(key[at], n[at])
+
+    def tops(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        levels, _, _ = tree_levels(key, n, depth, 2)
+        x = levels[-1]
+        key, at = np.unique(x.key & 0xFFFF, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.bincount(at, v)) for v in (x.n0, x.n1, x.log_pw))], names=["key", "n0", "n1", "children"])
 
     return run
 
@@ -327,7 +344,10 @@ def _code_lengths(depth: int, top: dict[int, np.ndarray]):
         for bucket, kind, keys, counts in _each(batches, "bucket", "kind", "keys", "counts"):
             n = np.frombuffer(counts.as_buffer(), np.int64)
             if kind.as_py() == _STRINGS:
-                n = log2_of_strings(_unpack_sorted(keys.as_buffer()), n, depth, top).astype(np.float32)
+                key, bits = _unpack_sorted(keys.as_buffer()), np.empty(len(n), np.float32)
+                for at in _by_context(key, depth):
+                    bits[at] = log2_of_strings(key[at], n[at], depth, top)
+                n = bits
             yield _batch(_BLOCK, (bucket.as_py(), kind.as_py(), -1, keys.as_py(), n.tobytes()))
 
     return run
@@ -400,7 +420,8 @@ def _score_chunks(depth: int, n: int, v: int):
         words: dict[bytes, float] = {}
         lookup = None
         for whole in batches:
-            for batch in slices(whole, "text"):
+            # small slices: the arrays of a slice take some fifty times its bytes
+            for batch in slices(whole, "text", 1 << 20):
                 chunk_of, kind_of = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
                 turns = np.flatnonzero((np.diff(chunk_of) != 0) | (np.diff(kind_of) != 0)) + 1
                 for i, j in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
@@ -413,6 +434,7 @@ def _score_chunks(depth: int, n: int, v: int):
                             key, value = np.concatenate(keys), np.concatenate(values)
                             order = np.argsort(key)
                             lookup, keys, values = (key[order], value[order]), [], []
+                            del key, value, order
                         yield scored(part, *lookup, words)
                         continue
                     for asked, value in _each([part], "keys", "value"):
