@@ -70,7 +70,7 @@ def strings_of(data: list[bytes], depth: int = DEPTH) -> np.ndarray:
     out = np.zeros(len(raw), np.int64)
     for back in range(depth, -1, -1):
         before = np.full(len(raw), END_BYTE, np.uint8)
-        before[back:] = raw[: len(raw) - back]
+        before[back:] = raw[: max(0, len(raw) - back)]
         before[place < back] = END_BYTE
         out = (out << 8) | before
     return out

@@ -168,6 +168,19 @@ def test_ctw_edge_cases(spark):
     assert ctw.score(empty(spark), depth=2).count() == 0
 
 
+def test_ctw_of_one_short_text(spark):
+    for text in ("", "a", "ab", "abc", "same", "abcde", "abcdef"):
+        raw = ctw.normal_bytes(text)[1]
+        padded = b"\n" * ctw.DEPTH + raw
+        assert ctw.strings_of([raw]).tolist() == [int.from_bytes(padded[i : i + ctw.DEPTH + 1]) for i in range(len(raw))]
+    fold = lambda i: zlib.crc32(str(i).encode()) % ctw.FOLDS == ctw.HELD_OUT
+    held, trained = next(i for i in range(50) if fold(i)), next(i for i in range(50) if not fold(i))
+    for data in ([(trained, "same")], [(held, "same")], [(trained, "some longer text of several words"), (held, "abc")]):
+        got = ctw.score(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        assert sorted(r.doc_id for r in got) == sorted(i for i, _ in data)
+        assert all(r.held_out == fold(r.doc_id) and r.score < 0 for r in got)
+
+
 def test_every_query_runs(spark):
     for name, query in queries.QUERIES.items():
         assert query(spark, "/root/testdata/sf0.001").columns, name
