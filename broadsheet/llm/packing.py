@@ -11,7 +11,8 @@ that nothing needs padding.  No shuffle is needed: windows never span tasks.
 Ids are those of the ``byte_bpe_50k.json`` vocabulary of the ``tokenizers``
 library, without added special tokens; the ranks of the same vocabulary are
 run by ``tiktoken``, which is about four times as fast and yields the same ids
-(``tests/llm/test_packing.py`` compares them).
+(``tests/llm/test_corpus.py`` compares them).  The vocabulary's own special
+token is one id wherever a text holds it, as in ``tokenizers``.
 
 Defined results: a null or empty text is its end id alone.  Repeated rows are
 packed each.  An empty table gives an empty result.
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 WINDOW = 1024
 END_ID = 0
 MAX_OPEN = 4096
+#: The added token of the vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -44,7 +47,12 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken"):
 
     with open(public_tokenizers.path(name), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+
+def encode(text: str) -> list[int]:
+    """The ids of a text, as the vocabulary's own tokenizer has them."""
+    return tokenizer().encode(text, allowed_special="all")
 
 
 def choose_level(count: np.ndarray, size: int, window: int) -> int:
@@ -146,7 +154,6 @@ class Packer:
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], window: int, max_open: int) -> Iterator[pa.RecordBatch]:
-    encode = tokenizer().encode_ordinary
     base = TaskContext.get().partitionId() << 33
     rows: list[list] = [[] for _ in range(7)]
     made = 0

@@ -76,6 +76,24 @@ def test_tokenizers_agree():
     assert [packing.tokenizer().encode_ordinary(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_tokens_are_encoded_as_the_tokenizer_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    random.seed(8)
+    parts = ["<|endoftext|>", "<|endoftext|", "<|", "|>", " ", "  ", "\n", "it's", "word", "12", "é", "漢", "😀", "!", "\t"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>"] + ["".join(random.choices(parts, k=random.randrange(1, 12))) for _ in range(500)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(df, window=1 << 16).where("length = doc_tokens").collect()}
+    assert len(got) > 450 and {0, 1} <= set(got)
+    for i, found in got.items():
+        ids = np.asarray([*want[i], packing.END_ID], dtype="<u4")
+        assert found == (len(ids), zlib.crc32(ids.tobytes()))
+    assert [packing.encode(x) for x in texts] == want
+
+
 def test_level_is_the_best_one():
     random.seed(1)
     for _ in range(300):
