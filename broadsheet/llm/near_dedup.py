@@ -9,7 +9,7 @@ documents are leaves, whose pairs are compared exhaustively on sketches of the
 minwise values; larger ones branch on, down to ``MOST_DEPTH``, below which they
 are cut into blocks and every pair of blocks is a leaf.  Nodes of one document
 go.  The number of trees follows from the target recall at the threshold for a
-pair that branches ``MIN_DEPTH`` times.
+pair that branches ``MOST_DEPTH`` times (``missed``), so it holds for every pair.
 
 A leaf passes on a spanning forest of the pairs whose sketches come near
 the threshold, not the pairs themselves.  What is connected in all the forests
@@ -41,10 +41,9 @@ from .components import components
 from .hashing import LOWER, buffers, hash_words, mix64, shingles, slices
 
 #: Minwise values of a set: whole ones to branch by, and low bytes to compare.
-PATHS, T = 40, 128
+PATHS, T = 64, 128
 NODE_ROWS = 4096
-MIN_DEPTH = 2
-MOST_DEPTH = 8
+MOST_DEPTH = 2
 RECALL = 0.9999999
 #: Documents of a large group whose full sets meet in one task, at most twice as many.
 BLOCK_ROWS = 384
@@ -67,9 +66,21 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return low
 
 
+def missed(share: float, trees: int) -> float:
+    """Probability that a pair of this similarity meets in no leaf.
+
+    Roots have coordinates of their own; the others are shared by all trees, so
+    the mean goes over the number of them in which the pair agrees.
+    """
+    rest = PATHS - trees
+    agree = [math.comb(rest, k) * share**k * (1 - share) ** (rest - k) for k in range(rest + 1)]
+    return sum(p * (1 - share * (k / rest) ** (MOST_DEPTH - 1)) ** trees for k, p in enumerate(agree))
+
+
 def trees_for(threshold: float, recall: float = RECALL) -> int:
-    together = threshold**MIN_DEPTH
-    return min(PATHS - 8, max(1, math.ceil(math.log(1 - recall) / math.log(1 - together))))
+    """The least number of trees that reaches the recall, else that which comes nearest."""
+    most = range(1, PATHS - 7)
+    return next((n for n in most if missed(threshold, n) <= 1 - recall), min(most, key=lambda n: missed(threshold, n)))
 
 
 def least_likeness(threshold: float) -> float:

@@ -5,6 +5,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from broadsheet.llm import exact_dedup, line_dedup, near_dedup
 from broadsheet.llm.components import components
 
@@ -113,6 +115,49 @@ def test_near_duplicates_in_deep_trees_and_many_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(data, 3, 85).items()}
 
 
+def family(pairs, seed=11):
+    """Texts on one template, unlike each other, each with one linked copy."""
+    random.seed(seed)
+    template = [f"t{i}" for i in range(42)]
+    data = []
+    for k in range(pairs):
+        one = list(template)
+        for j, at in enumerate(random.sample(range(42), 2)):
+            one[at] = f"x{k}y{j}"
+        other = list(one)
+        other[random.randrange(42)] = f"z{k}"
+        data += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other))]
+    return data
+
+
+def test_near_duplicates_of_a_family_that_stays_together(spark, monkeypatch):
+    data = family(800)
+    want = {i: c for i, (_, c) in brute_components(data, 3, 85).items()}
+    assert sum(i != c for i, c in want.items()) > 600
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 64)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, words=3, percent=85).collect()}
+    missing = sum(got[i] != want[i] for i in want)
+    assert missing == 0, f"{missing} of {sum(i != c for i, c in want.items())} missed"
+
+
+def test_trees_reach_the_recall_at_the_greatest_depth():
+    """Pairs at the threshold, by trees drawn as ``_branch`` draws them: misses are as rare as stated."""
+    for share in (0.8, 0.85):
+        trees, depth = near_dedup.trees_for(share), near_dedup.MOST_DEPTH
+        rng = np.random.default_rng(5)
+        pairs = 200_000
+        agree = rng.random((pairs, near_dedup.PATHS)) < share
+        met = np.zeros(pairs, bool)
+        for t in range(trees):
+            path = agree[:, t].copy()
+            for _ in range(1, depth):
+                path &= agree[np.arange(pairs), rng.integers(trees, near_dedup.PATHS, pairs)]
+            met |= path
+        assert (~met).sum() <= 2, f"{(~met).sum()} of {pairs} missed"
+        assert near_dedup.missed(share, trees) <= 1e-7
+
+
 def test_near_duplicates_edge_cases(spark):
     got = near_dedup.near_duplicates(table(spark), words=3, percent=85)
     ids = rows(got, "doc_id", "n_shingles", "component_id", "kept")
