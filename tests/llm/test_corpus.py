@@ -215,3 +215,18 @@ def test_licenses(spark):
     assert got[2].dice == 1 and 0.9 < got[3].dice < 1 and got[4].dice == 0
     assert got[5].licenses == "Apache-2.0-notice,CC-BY-NC-4.0-notice"
     assert licenses.scan(table(spark)).count() == len(ROWS) and licenses.scan(empty(spark)).count() == 0
+
+
+def test_licenses_of_several_paragraphs_inside_documents(spark):
+    names = ["MIT", "ISC", "GPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause"]
+    prose = "\n\n".join(" ".join(f"word{i}of{k}" for i in range(60)) for k in range(8))
+    data = []
+    for i, name in enumerate(names):
+        words = licenses.TEMPLATES[name].split()
+        cut = len(words) // 3
+        text = "\n\n".join(" ".join(words[a : a + cut]) for a in range(0, len(words), cut))
+        data.append((i, f"{prose}\n\n{text}\n \n{prose}"))
+    data.append((len(names), prose))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(data))] == [*names, None]
+    assert all(got[i].dice > 0.99 for i in range(len(names)))
