@@ -13,10 +13,13 @@ so a new decision's probability is the nested mixture of the estimates at all
 depths, each node trusted by its share ``Pe / (Pe + prod Pw(children))``.  The sum
 over the bytes of a text is its code length.
 
-Counts are those of (``DEPTH`` + 1)-byte strings over all training texts.  A
-string with its model is a row of a table that is never broadcast: documents are
-dealt to chunks, and each chunk gets the rows of the strings that it has.
-Depths 0 and 1, at most 257 x 255 nodes, are the only part that goes to every task.
+Counts are those of (``DEPTH`` + 1)-byte strings over all training texts.  They
+and their models lie in buckets and are never broadcast: documents are dealt to
+chunks, and each chunk gets the values of the strings that it has.  A bucket holds
+the strings of some contexts of three bytes; one of two bytes is spread over
+``SPREAD`` buckets, so that a very common one isn't one task's.  The nodes of
+depth 2 are therefore summed over buckets and sent back to those that need them;
+depths 0 and 1, at most 257 x 255 nodes, are the only part that goes to every task.
 
 Beside it stands a unigram model of whole words (the base), gathered likewise.
 
@@ -34,19 +37,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import checkpoint, stored
 from .hashing import mix64, slices
 
 DEPTH = 6
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 32 << 20
-#: Bytes of text for each bucket of strings, about; at most as many buckets as contexts of two bytes.
-BUCKET_BYTES = 16 << 20
-MOST_BUCKETS = 1 << 14
+CHUNK_BYTES = 8 << 20
+#: Bytes of text for each bucket of strings, about; there are some 2 ** 20 places to deal to buckets.
+BUCKET_BYTES = 32 << 20
+MOST_BUCKETS = 1 << 16
+SPREAD = 16
+#: Contexts of more bytes than this lie whole in one bucket.
+SPLIT = 3
+#: Bytes of text whose strings are in memory at once, and documents, whose numbers take 8 bits.
+PIECE_BYTES, PIECE_DOCS = 1 << 20, 256
 #: Stands for the end of a text among the words; no word holds white space.
 END_WORD = " "
 END_BYTE = 0x0A
@@ -59,21 +68,37 @@ def normal_bytes(text: str | None) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words) + b"\n"
 
 
-def strings_of(data: list[bytes], depth: int = DEPTH) -> np.ndarray:
-    """For each byte of each text the number made of it and the ``depth`` bytes before it.
+def byte_strings(data: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For the bytes of some texts, ``PIECE_BYTES`` at a time: the number made of a byte and the
+    ``depth`` bytes before it, and which text it is of.
 
     What lies before a text counts as end bytes.
     """
-    raw = np.frombuffer(b"".join(data), np.uint8)
-    size = np.array([len(x) for x in data])
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
-    out = np.zeros(len(raw), np.int64)
-    for back in range(depth, -1, -1):
-        before = np.full(len(raw), END_BYTE, np.uint8)
-        before[back:] = raw[: max(0, len(raw) - back)]
-        before[place < back] = END_BYTE
-        out = (out << 8) | before
-    return out
+    size = np.array([len(x) for x in data], np.int64)
+    gap = bytes([END_BYTE]) * depth
+    joined = bytes([END_BYTE]) * 8 + gap.join(data)
+    begin = 8 + np.cumsum(size + depth) - size - depth
+    for a in range(8, len(joined), PIECE_BYTES):
+        b = min(a + PIECE_BYTES, len(joined))
+        # the 8 bytes that end at each place, the oldest first
+        window = np.ndarray((b - a,), ">u8", joined, a - 7, (1,)).astype(np.int64) & ((1 << (8 * (depth + 1))) - 1)
+        first, last = int(np.searchsorted(begin, a, "right")) - 1, int(np.searchsorted(begin, b))
+        starts, ends = np.maximum(begin[first:last], a) - a, np.minimum(begin[first:last] + size[first:last], b) - a
+        some = ends > starts
+        turn = np.zeros(b - a + 1, np.int8)
+        turn[starts[some]] += 1
+        turn[ends[some]] -= 1
+        yield window[np.cumsum(turn[:-1], dtype=np.int8).astype(bool)], np.repeat(np.arange(first, last), np.maximum(ends - starts, 0))
+
+
+def strings_of(data: list[bytes], depth: int = DEPTH) -> np.ndarray:
+    """All of ``byte_strings``."""
+    return np.concatenate([x for x, _ in byte_strings(data, depth)])
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -134,12 +159,13 @@ def tree_levels(strings: np.ndarray, counts: np.ndarray, depth: int, lowest: int
     return levels, links, at
 
 
-def log2_of_strings(strings: np.ndarray, counts: np.ndarray, depth: int, top: dict[int, np.ndarray]) -> np.ndarray:
+def log2_of_strings(strings: np.ndarray, counts: np.ndarray, depth: int, top: dict[int, np.ndarray], second: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
     """log2 probability of each string's last byte after the bytes before it.
 
-    ``top`` has, for depths 0 and 1, arrays [context, bits so far, (trust, P(1))].
+    ``top`` has, for depths 0 and 1, arrays [context, bits so far, (trust, P(1))];
+    ``second``, for trees deeper than 2, sorted keys, trusts and P(1) of depth 2.
     """
-    lowest = min(2, depth)
+    lowest = min(SPLIT, depth)
     levels, links, at = tree_levels(strings, counts, depth, lowest)
     one = levels[0].one.copy()  # the mixture from the deepest level up, for each deepest node
     node = np.arange(len(one))
@@ -147,18 +173,27 @@ def log2_of_strings(strings: np.ndarray, counts: np.ndarray, depth: int, top: di
         node = link[node]
         one = level.trust[node] * level.one[node] + (1 - level.trust[node]) * one
     key = levels[0].key
+    if depth >= SPLIT:
+        keys, trusts, ones = second
+        place = np.searchsorted(keys, key & 0xFFFFFF)
+        one = trusts[place] * ones[place] + (1 - trusts[place]) * one
     for d in (1, 0):
-        if d < lowest:
-            trust, p = np.moveaxis(top[d][(key >> 8) & (255 if d else 0), key & 255], -1, 0)
-            one = trust * p + (1 - trust) * one
+        trust, p = np.moveaxis(top[d][(key >> 8) & (255 if d else 0), key & 255], -1, 0)
+        one = trust * p + (1 - trust) * one
     bits = np.stack([((strings & 255) >> (7 - j)) & 1 for j in range(8)], axis=1)
     p = one[at]
     return np.log2(np.where(bits == 1, p, 1 - p)).sum(axis=1)
 
 
-def top_levels(nodes) -> dict[int, np.ndarray]:
-    """Depths 0 and 1 from the summed nodes of depth 2 (key of depth 1, n0, n1, sum of log Pw)."""
-    level = Level(nodes["key"].to_numpy(np.int64), nodes["n0"].to_numpy(float), nodes["n1"].to_numpy(float), nodes["children"].to_numpy(float))
+def _level(nodes: pa.Table | pa.RecordBatch) -> Level:
+    """Nodes (``key``, ``n0``, ``n1``, sum ``children`` of log Pw) as a level."""
+    key, n0, n1, children = (nodes.column(c).to_numpy() for c in ("key", "n0", "n1", "children"))
+    return Level(key.astype(np.int64), n0.astype(float), n1.astype(float), children.astype(float))
+
+
+def top_levels(nodes: pa.Table) -> dict[int, np.ndarray]:
+    """Depths 0 and 1 from the summed nodes of depth 1."""
+    level = _level(nodes)
     root, _ = parents(level, 0)
     out = {}
     for d, x in ((1, level), (0, root)):
@@ -181,13 +216,33 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
     return rows, chunks, buckets
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers of a kind, compressed: bytes of equal weight stand together."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(data: pa.Scalar, kind: type = np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+
+
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted numbers as differences, whose many zero bytes compress well."""
-    return np.diff(keys, prepend=np.int64(0)).tobytes()
+    """Sorted numbers as differences."""
+    return _pack(np.diff(keys, prepend=np.int64(0)))
+
+
+def _unpack_sorted(data: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpack(data))
 
 
-def _unpack_sorted(data) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.int64))
+def _pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def _unpack_words(data: pa.Scalar) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data.as_buffer()).split(b"\n")
 
 
 def _batch(schema: str, *rows: tuple) -> pa.RecordBatch:
@@ -197,7 +252,7 @@ def _batch(schema: str, *rows: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], names=list(names))
 
 
-_STRINGS, _WORDS, _TEXTS = 0, 1, 2
+_NODES, _STRINGS, _WORDS, _TEXTS = 0, 1, 2, 3
 _BLOCK = "bucket int, kind int, chunk int, keys binary, counts binary"
 
 
@@ -222,12 +277,14 @@ class _Gatherer:
                     self.words.setdefault(w, 0)
             else:
                 self.words.update(tokens)
-        coded = pa.array(strings_of(data, self.depth)).dictionary_encode()
-        key = coded.dictionary.to_numpy()
-        self.parts.append((key, np.zeros(len(key), np.int64) if held else np.bincount(coded.indices.to_numpy(), minlength=len(key))))
-        self.waiting += len(key)
-        if self.waiting > 4_000_000:
-            self.merge()
+        for strings, _ in byte_strings(data, self.depth):
+            strings.sort()
+            first = _firsts(strings)
+            n = np.zeros(len(first), np.int64) if held else np.diff(first, append=len(strings))
+            self.parts.append((strings[first], n))
+            self.waiting += len(first)
+            if self.waiting > 2_000_000:
+                self.merge()
 
     def merge(self) -> None:
         self.parts = [_sum_by_key(*(np.concatenate(x) for x in zip(*self.parts)))]
@@ -235,29 +292,35 @@ class _Gatherer:
 
     def blocks(self, chunk: int, buckets: int) -> Iterator[pa.RecordBatch]:
         self.merge()
-        key, n = self.parts[0]
+        key, n = self.parts.pop()
         bucket = _bucket_of(key, buckets)
         order = np.argsort(bucket, kind="stable")
         begins = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(begins)).tolist():
             at = order[begins[b] : begins[b + 1]]
-            yield _batch(_BLOCK, (b, _STRINGS, chunk, _pack_sorted(key[at]), n[at].tobytes()))
+            yield _batch(_BLOCK, (b, _STRINGS, chunk, _pack_sorted(key[at]), _pack(n[at])))
         dealt: dict[int, list[bytes]] = {}
         for w in self.words:
             dealt.setdefault(zlib.crc32(w) % buckets, []).append(w)
         for b, words in dealt.items():
             words.sort()
-            yield _batch(_BLOCK, (b, _WORDS, chunk, b"\n".join(words), np.array([self.words[w] for w in words], np.int64).tobytes()))
+            yield _batch(_BLOCK, (b, _WORDS, chunk, _pack_words(words), _pack(np.array([self.words[w] for w in words], np.int64))))
+
+
+def _deal(context: np.ndarray, third: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a context of two bytes with the byte before it."""
+    place = context.astype(np.uint64) * np.uint64(SPREAD) + (mix64(third.astype(np.uint64) + np.uint64(1)) & np.uint64(SPREAD - 1))
+    return (mix64(place + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _bucket_of(strings: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(((strings >> 8) & 0xFFFF).astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+    return _deal((strings >> 8) & 0xFFFF, (strings >> 24) & 0xFF, buckets)
 
 
 def _sum_by_key(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    first = _firsts(key)
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
@@ -265,7 +328,7 @@ def _gather(depth: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gatherers: dict[int, _Gatherer] = {}
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", PIECE_BYTES):
                 chunk_of = batch.column("chunk").to_numpy()
                 held = batch.column("held_out").to_numpy(zero_copy_only=False)
                 for chunk in np.unique(chunk_of).tolist():
@@ -273,7 +336,8 @@ def _gather(depth: int, buckets: int):
                         texts = batch.column("text").filter(pa.array((chunk_of == chunk) & (held == value))).to_pylist()
                         if texts:
                             gatherers.setdefault(chunk, _Gatherer(depth)).add(value, texts)
-        for chunk, gatherer in gatherers.items():
+        while gatherers:
+            chunk, gatherer = gatherers.popitem()
             yield from gatherer.blocks(chunk, buckets)
 
     return run
@@ -286,24 +350,23 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     strings: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     words: dict[int, dict[bytes, int]] = {}
-    for batch in batches:
-        for bucket, kind, keys, counts in zip(*(batch.column(c) for c in ("bucket", "kind", "keys", "counts"))):
-            b, n = bucket.as_py(), np.frombuffer(counts.as_buffer(), np.int64)
-            if kind.as_py() == _STRINGS:
-                parts = strings.setdefault(b, [])
-                parts.append((_unpack_sorted(keys.as_buffer()), n))
-                # merged when the new ones outweigh what was merged before
-                if sum(len(p[0]) for p in parts[1:]) > max(1_000_000, len(parts[0][0])):
-                    parts[:] = [_sum_by_key(*(np.concatenate(x) for x in zip(*parts)))]
-            else:
-                total = words.setdefault(b, {})
-                for w, c in zip(keys.as_py().split(b"\n"), n.tolist()):
-                    total[w] = total.get(w, 0) + c
+    for bucket, kind, keys, counts in _each(batches, "bucket", "kind", "keys", "counts"):
+        b, n = bucket.as_py(), _unpack(counts)
+        if kind.as_py() == _STRINGS:
+            parts = strings.setdefault(b, [])
+            parts.append((_unpack_sorted(keys), n))
+            # merged when the new ones outweigh what was merged before
+            if sum(len(p[0]) for p in parts[1:]) > max(1_000_000, len(parts[0][0])):
+                parts[:] = [_sum_by_key(*(np.concatenate(x) for x in zip(*parts)))]
+        else:
+            total = words.setdefault(b, {})
+            for w, c in zip(_unpack_words(keys), n.tolist()):
+                total[w] = total.get(w, 0) + c
     for b, parts in strings.items():
         key, n = _sum_by_key(*(np.concatenate(x) for x in zip(*parts)))
-        yield _batch(_BLOCK, (b, _STRINGS, -1, _pack_sorted(key), n.tobytes()))
+        yield _batch(_BLOCK, (b, _STRINGS, -1, _pack_sorted(key), _pack(n)))
     for b, total in words.items():
-        yield _batch(_BLOCK, (b, _WORDS, -1, b"\n".join(total), np.array(list(total.values()), np.int64).tobytes()))
+        yield _batch(_BLOCK, (b, _WORDS, -1, _pack_words(list(total)), _pack(np.array(list(total.values()), np.int64))))
 
 
 def _each(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
@@ -312,10 +375,10 @@ def _each(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
 
 
 def _by_context(strings: np.ndarray, depth: int, most: int = 1 << 16) -> Iterator[np.ndarray]:
-    """Places of the strings, some contexts of two bytes at a time: their trees are apart from depth 2 down."""
-    context = (strings >> 8) & (0xFFFF if depth > 1 else (1 << (8 * depth)) - 1)
+    """Places of the strings, some contexts of ``SPLIT`` bytes at a time: their trees are apart from that depth down."""
+    context = (strings >> 8) & ((1 << (8 * min(SPLIT, depth))) - 1)
     order = np.argsort(context, kind="stable")
-    first = np.flatnonzero(np.diff(context[order], prepend=-1))
+    first = _firsts(context[order])
     i = 0
     while i < len(first):
         j = max(i + 1, int(np.searchsorted(first, first[i] + most)))
@@ -323,32 +386,47 @@ def _by_context(strings: np.ndarray, depth: int, most: int = 1 << 16) -> Iterato
         i = j
 
 
-def _tops(depth: int):
+_NODE = "key long, n0 double, n1 double, children double"
+
+
+def _above(level: Level, depth: int) -> pa.RecordBatch:
+    """What a level's nodes give to their parents, of ``depth``."""
+    key, at = np.unique(level.key & ((1 << (8 * (depth + 1))) - 1), return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.bincount(at, v, minlength=len(key))) for v in (level.n0, level.n1, level.log_pw))], names=["key", "n0", "n1", "children"])
+
+
+def _lowest_nodes(depth: int):
+    lowest = min(SPLIT, depth)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _each(batches, "keys", "counts"):
-            key, n = _unpack_sorted(keys.as_buffer()), np.frombuffer(counts.as_buffer(), np.int64)
+            key, n = _unpack_sorted(keys), _unpack(counts)
             for at in _by_context(key, depth):
-                yield from tops(key[at], n[at])
-
-    def tops(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        levels, _, _ = tree_levels(key, n, depth, 2)
-        x = levels[-1]
-        key, at = np.unique(x.key & 0xFFFF, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.bincount(at, v)) for v in (x.n0, x.n1, x.log_pw))], names=["key", "n0", "n1", "children"])
+                levels, _, _ = tree_levels(key[at], n[at], depth, lowest)
+                yield _above(levels[-1], lowest - 1)
 
     return run
 
 
-def _code_lengths(depth: int, top: dict[int, np.ndarray]):
+def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _above(_level(batch), 1)
+
+
+def _second_nodes(buckets: int):
+    """Models of depth 2 as blocks for the buckets that hold their contexts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, kind, keys, counts in _each(batches, "bucket", "kind", "keys", "counts"):
-            n = np.frombuffer(counts.as_buffer(), np.int64)
-            if kind.as_py() == _STRINGS:
-                key, bits = _unpack_sorted(keys.as_buffer()), np.empty(len(n), np.float32)
-                for at in _by_context(key, depth):
-                    bits[at] = log2_of_strings(key[at], n[at], depth, top)
-                n = bits
-            yield _batch(_BLOCK, (bucket.as_py(), kind.as_py(), -1, keys.as_py(), n.tobytes()))
+        for batch in batches:
+            x = _level(batch)
+            # every third byte that leads to a bucket of its own
+            thirds = [np.flatnonzero((mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(SPREAD - 1)) == s)[:1] for s in range(SPREAD)]
+            to = [_deal(x.key >> 8, np.full(len(x.key), t[0]), buckets) for t in thirds if len(t)]
+            pairs = np.unique(np.stack([np.concatenate(to), np.tile(np.arange(len(x.key)), len(to))]), axis=1)
+            first = _firsts(pairs[0])
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), pairs.shape[1]]):
+                at = pairs[1, i:j]
+                yield _batch(_BLOCK, (int(pairs[0, i]), _NODES, -1, _pack(x.key[at]), _pack(np.concatenate([x.trust[at], x.one[at]]))))
 
     return run
 
@@ -356,43 +434,68 @@ def _code_lengths(depth: int, top: dict[int, np.ndarray]):
 _ANSWER = "chunk int, kind int, keys binary, value binary"
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(depth: int, top: dict[int, np.ndarray]):
     """For each block of a chunk the values of its strings (code lengths) or words (counts).
 
-    Of a bucket and kind the model comes first, as chunk -1.
+    Of a bucket the nodes of depth 2 come first; of a kind the sums, as chunk -1.
     """
-    keys = values = None
-    table: dict[bytes, int] = {}
-    for kind, chunk, asked, n in _each(batches, "kind", "chunk", "keys", "counts"):
-        kind, chunk = kind.as_py(), chunk.as_py()
-        if kind == _STRINGS:
-            mine = _unpack_sorted(asked.as_buffer())
-            if chunk < 0:
-                keys, values = mine, np.frombuffer(n.as_buffer(), np.float32)
-            else:
-                yield _batch(_ANSWER, (chunk, kind, asked.as_py(), values[np.searchsorted(keys, mine)].tobytes()))
-        else:
-            mine = asked.as_py().split(b"\n")
-            if chunk < 0:
-                table = dict(zip(mine, np.frombuffer(n.as_buffer(), np.int64).tolist()))
+
+    def model(key: np.ndarray, n: np.ndarray, nodes: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        second = tuple(np.concatenate(x) for x in zip(*nodes)) if nodes else None
+        if second:
+            order = np.argsort(second[0])
+            second = tuple(x[order] for x in second)
+        bits = np.empty(len(n), np.float32)
+        for at in _by_context(key, depth):
+            bits[at] = log2_of_strings(key[at], n[at], depth, top, second)
+        return bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = keys = values = None
+        nodes: list[tuple[np.ndarray, ...]] = []
+        table: dict[bytes, int] = {}
+        for b, kind, chunk, asked, n in _each(batches, "bucket", "kind", "chunk", "keys", "counts"):
+            b, kind, chunk = b.as_py(), kind.as_py(), chunk.as_py()
+            if b != bucket:
+                bucket, nodes, keys, values, table = b, [], None, None, {}
+            if kind == _NODES:
+                nodes.append((_unpack(asked), *np.split(_unpack(n, np.float64), 2)))
+            elif kind == _STRINGS:
+                mine = _unpack_sorted(asked)
+                if chunk < 0:
+                    keys, values = mine, model(mine, _unpack(n), nodes)
+                else:
+                    yield _batch(_ANSWER, (chunk, kind, asked.as_py(), _pack(values[np.searchsorted(keys, mine)])))
             else:
-                yield _batch(_ANSWER, (chunk, kind, asked.as_py(), np.array([table[w] for w in mine], np.int64).tobytes()))
+                mine = _unpack_words(asked)
+                if chunk < 0:
+                    table = dict(zip(mine, _unpack(n).tolist()))
+                else:
+                    yield _batch(_ANSWER, (chunk, kind, asked.as_py(), _pack(np.array([table[w] for w in mine], np.int64))))
+
+    return run
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: the base's counts and score, ``score`` (log10) and ``bits_per_byte``."""
+    if not 2 <= depth <= DEPTH:
+        raise ValueError(f"depth must be 2 to {DEPTH}")
     rows, chunks, buckets = _dealt(docs, id_col, text_col)
     blocks = stored(rows.repartitionById(chunks, "chunk").mapInArrow(_gather(depth, buckets), _BLOCK))
     sums = stored(blocks.repartitionById(buckets, "bucket").mapInArrow(_sum_blocks, _BLOCK))
 
-    nodes = sums.where(F.col("kind") == _STRINGS).mapInArrow(_tops(depth), "key long, n0 double, n1 double, children double")
-    nodes = nodes.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "children")])
-    top = top_levels(nodes.toPandas())  # 256 x 255 rows at most
+    total = [F.sum(c).alias(c) for c in ("n0", "n1", "children")]
+    nodes = sums.where(F.col("kind") == _STRINGS).mapInArrow(_lowest_nodes(depth), _NODE).groupBy("key").agg(*total)
+    model = sums.unionByName(blocks)
+    if depth >= SPLIT:
+        second = checkpoint(nodes)
+        nodes = second.mapInArrow(_first_nodes, _NODE).groupBy("key").agg(*total)
+        model = model.unionByName(second.mapInArrow(_second_nodes(buckets), _BLOCK))
+    top = top_levels(nodes.toArrow())  # 256 x 255 rows at most
     train = sums.where(F.col("kind") == _WORDS).mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
-    model = sums.mapInArrow(_code_lengths(depth, top), _BLOCK)
-    asked = model.unionByName(blocks).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
-    answers = asked.mapInArrow(_answer, _ANSWER)
+    asked = model.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
+    answers = asked.mapInArrow(_answer(depth, top), _ANSWER)
 
     none = lambda kind: F.lit(None).cast(kind)
     texts = rows.select("chunk", F.lit(_TEXTS).alias("kind"), none("binary").alias("keys"), none("binary").alias("value"), "doc_id", "held_out", "text")
@@ -403,7 +506,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (counts,) in _each(batches, "counts"):
-        n = np.frombuffer(counts.as_buffer(), np.int64)
+        n = _unpack(counts)
         yield _batch("n long, v long", (int(n.sum()), int(np.count_nonzero(n))))
 
 
@@ -420,8 +523,7 @@ def _score_chunks(depth: int, n: int, v: int):
         words: dict[bytes, float] = {}
         lookup = None
         for whole in batches:
-            # small slices: the arrays of a slice take some fifty times its bytes
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", PIECE_BYTES):
                 chunk_of, kind_of = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
                 turns = np.flatnonzero((np.diff(chunk_of) != 0) | (np.diff(kind_of) != 0)) + 1
                 for i, j in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
@@ -435,16 +537,17 @@ def _score_chunks(depth: int, n: int, v: int):
                             order = np.argsort(key)
                             lookup, keys, values = (key[order], value[order]), [], []
                             del key, value, order
-                        yield scored(part, *lookup, words)
+                        for at in range(0, part.num_rows, PIECE_DOCS):
+                            yield scored(part.slice(at, PIECE_DOCS), *lookup, words)
                         continue
                     for asked, value in _each([part], "keys", "value"):
                         if kind == _STRINGS:
-                            keys.append(_unpack_sorted(asked.as_buffer()))
-                            values.append(np.frombuffer(value.as_buffer(), np.float32))
+                            keys.append(_unpack_sorted(asked))
+                            values.append(_unpack(value, np.float32))
                         else:
-                            c = np.frombuffer(value.as_buffer(), np.int64)
+                            c = _unpack(value)
                             logs = np.log10(c + 0.5) - bottom
-                            words.update((w, x) for w, x, known in zip(asked.as_py().split(b"\n"), logs.tolist(), (c > 0).tolist()) if known)
+                            words.update((w, x) for w, x, known in zip(_unpack_words(asked), logs.tolist(), (c > 0).tolist()) if known)
 
     def scored(batch: pa.RecordBatch, key: np.ndarray, value: np.ndarray, words: dict[bytes, float]) -> pa.RecordBatch:
         data, tokens, known, base = [], [], [], []
@@ -457,9 +560,15 @@ def _score_chunks(depth: int, n: int, v: int):
             known.append(len(got))
             base.append(math.fsum(got) + (len(found) - len(got)) * unknown)
         size = np.array([len(x) for x in data])
-        coded = pa.array(strings_of(data, depth)).dictionary_encode()
-        bits = value[np.searchsorted(key, coded.dictionary.to_numpy())].astype(float)[coded.indices.to_numpy()]
-        total = np.add.reduceat(bits, np.cumsum(size) - size)
+        total = np.zeros(len(data))
+        for strings, doc in byte_strings(data, depth):
+            # sorted with their documents' numbers, so that each string is looked up once, in order
+            both = (strings.view(np.uint64) << np.uint64(8)) | doc.astype(np.uint64)
+            both.sort()
+            strings = (both >> np.uint64(8)).view(np.int64)
+            first = _firsts(strings)
+            bits = np.repeat(value[np.searchsorted(key, strings[first])].astype(float), np.diff(first, append=len(strings)))
+            total += np.bincount((both & np.uint64(255)).astype(np.int64), bits, minlength=len(data))
         columns = [batch.column("doc_id"), batch.column("held_out"), *(pa.array(x, pa.int64()) for x in (tokens, known, [n] * len(data))), pa.array(base, pa.float64()), pa.array(total * to_log10), pa.array(-total / size)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from broadsheet.llm import ctw, packing, queries, toxicity
@@ -130,7 +131,8 @@ def test_ctw_matches_explicit_trees_and_the_base_its_formula(spark, monkeypatch)
     normal = {i: ctw.normal_bytes(t) for i, t in data}
     words = Counter(w for i, (ws, _) in normal.items() if not held[i] for w in [*ws, b" "])
     n, v = sum(words.values()), len(words)
-    for depth, chunk in ((2, 1 << 20), (3, 200)):
+    for depth, chunk, piece in ((2, 1 << 20, 1 << 20), (3, 200, 90), (6, 400, 31)):
+        monkeypatch.setattr(ctw, "PIECE_BYTES", piece)
         monkeypatch.setattr(ctw, "CHUNK_BYTES", chunk)
         monkeypatch.setattr(ctw, "BUCKET_BYTES", 500)
         tree = Tree(depth, [raw for i, (_, raw) in normal.items() if not held[i]])
@@ -151,9 +153,8 @@ def test_ctw_probabilities_sum_to_one():
     levels, _, _ = ctw.tree_levels(key, n, 2, 2)
     x = levels[-1]
     nodes = {"key": x.key & 0xFFFF, "n0": x.n0, "n1": x.n1, "children": x.log_pw}
-    import pandas as pd
-
-    top = ctw.top_levels(pd.DataFrame(nodes).groupby("key", as_index=False).sum())
+    names = list(nodes)[1:]
+    top = ctw.top_levels(pa.table(nodes).group_by("key").aggregate([(c, "sum") for c in names]).rename_columns(["key", *names]))
     context = np.int64((ord("a") << 16) | (ord("b") << 8))
     every = context | np.arange(256)
     counts = np.zeros(256, np.int64)
