@@ -122,25 +122,28 @@ WITH split AS (
 ), numbered AS (
   SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS text FROM split
 ), lines AS (
-  SELECT doc_id, line, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM numbered
+  SELECT doc_id, line, (doc_id, line) AS place, array_to_string(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'), ' ') AS t FROM numbered
 ), full_lines AS (
-  SELECT doc_id, line, (doc_id, line) AS place, w FROM lines WHERE len(w) > 0
+  SELECT * FROM lines WHERE t <> ''
+), firsts AS (
+  SELECT t, min(place) AS first FROM full_lines GROUP BY t
 ), kinds AS (
-  SELECT w, min(place) AS first FROM full_lines GROUP BY w
+  SELECT first, t, len(string_split(t, ' ')) >= 8 AS by_word, CASE WHEN len(string_split(t, ' ')) >= 8 THEN string_split(t, ' ') ELSE string_split(t, '') END AS u
+  FROM firsts WHERE len(string_split(t, ' ')) >= 8 OR length(t) >= 16
 ), spread AS (
-  SELECT first, w, unnest(range(1, len(w) + 1)) AS i FROM kinds WHERE len(w) >= 8
+  SELECT *, unnest(range(1, len(u) + 1)) AS i FROM kinds
 ), cut AS (
-  SELECT first, i, w[:i - 1] || w[i + 1:] AS v FROM spread
+  SELECT first, by_word, i, u[:i - 1] || u[i + 1:] AS v FROM spread
 ), replaced AS (
-  SELECT first, min(first) OVER (PARTITION BY i, v) AS earlier FROM cut
+  SELECT first, min(first) OVER (PARTITION BY by_word, i, v) AS earlier FROM cut
 ), shorter AS (
-  SELECT k.first AS a, c.first AS b FROM cut c JOIN kinds k ON k.w = c.v WHERE len(k.w) >= 8
+  SELECT k.first AS a, c.first AS b FROM cut c JOIN kinds k ON k.u = c.v AND k.by_word = c.by_word
 ), alike AS (
   SELECT first, min(earlier) AS earlier FROM (
     SELECT first, earlier FROM replaced WHERE earlier < first
     UNION ALL SELECT greatest(a, b), least(a, b) FROM shorter) GROUP BY first
 ), gone AS (
-  SELECT l.doc_id, l.line, l.place = k.first AS near FROM full_lines l JOIN kinds k USING (w) LEFT JOIN alike a ON a.first = k.first
+  SELECT l.doc_id, l.line, l.place = k.first AS near FROM full_lines l JOIN firsts k USING (t) LEFT JOIN alike a ON a.first = k.first
   WHERE l.place > k.first OR a.first IS NOT NULL
 ), per_doc AS (
   SELECT doc_id, count(*) FILTER (NOT near) AS exact, count(*) FILTER (near) AS near, list_sort(list(line::INT)) AS dropped FROM gone GROUP BY doc_id

@@ -27,7 +27,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def table(spark):
     """The rows, with columns whose names operators might use themselves."""
     df = spark.createDataFrame(ROWS, SCHEMA)
-    for name in ("key", "size", "taken", "kept", "digest", "id", "node", "rep", "part", "words", "row", "n"):
+    for name in ("key", "size", "taken", "kept", "digest", "id", "node", "rep", "part", "words", "row", "n", "t1", "line", "lines", "normal", "__id", "__digest", "__lost", "__gone", "__row", "chunk", "payload", "label", "found"):
         df = df.withColumn(name, F.lit("x"))
     return df
 

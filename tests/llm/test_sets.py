@@ -171,52 +171,89 @@ def test_near_duplicates_edge_cases(spark):
     assert {r.doc_id for r in out.collect()} == {1, 3, 4, 5, 6, 8, 9, 11, None}
 
 
-def brute_lines(data, min_words=8):
-    lines = []
-    for i, text in data:
-        for k, line in enumerate((text or "").split("\n")):
-            w = tuple(WORD.findall(line.lower()))
-            if w:
-                lines.append(((i, k), w))
-    lines.sort(key=lambda x: (x[0][0] is not None, x[0]))
+def brute_lines(spark, data, min_words=8, min_chars=16):
+    """(id, text, line) of the lines that go."""
+    lines = {((i, k), " ".join(WORD.findall(line.lower())), text) for i, text in data for k, line in enumerate((text or "").split("\n"))}
+    lines = [x for x in lines if x[1]]
+    normals = spark.createDataFrame([(t,) for t in {x[1] for x in lines}], "t string")
+    tie = {r[0]: r[1] % 10**9 for r in normals.selectExpr("t", "xxhash64(t)").collect()}
+    lines.sort(key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1], tie[x[1]]))
 
     def alike(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < min_words or abs(len(a) - len(b)) > 1:
+        long = [len(x.split(" ")) >= min_words for x in (a, b)]
+        if long[0] != long[1] or (not long[0] and min(len(a), len(b)) < min_chars):
             return False
+        a, b = sorted((a.split(" "), b.split(" ")) if long[0] else (a, b), key=len)
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) == 1
-        a, b = sorted((a, b), key=len)
-        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
-    return {p for n, (p, w) in enumerate(lines) if any(alike(w, v) and q < p for q, v in lines[:n])}
+    return {(p[0], text, p[1]) for n, (p, w, text) in enumerate(lines) if any(alike(w, v) and (q, tie[v]) != (p, tie[w]) for q, v, _ in lines[:n])}
 
 
-def test_line_dedup_matches_brute_force(spark):
-    random.seed(3)
-    base = [[f"w{random.randrange(30)}" for _ in range(n)] for n in (3, 8, 8, 9, 10, 16, 40) for _ in range(4)]
+def noisy_lines(seed=3, ids=lambda i: i):
+    random.seed(seed)
+    base = [[f"w{random.randrange(30)}" for _ in range(n)] for n in (3, 6, 7, 8, 8, 9, 10, 16, 40) for _ in range(4)] + [["漢字かな交じりの長い一行がここにあります"], ["short"]]
     data = []
-    for i in range(60):
+    for i in range(70):
         text = []
         for _ in range(3):
             w = list(random.choice(base))
-            for _ in range(random.choice([0, 1, 1, 2])):
+            for _ in range(random.choice([0, 1, 1, 2]) if len(w) > 1 else 1):
                 k, how = random.randrange(len(w)), random.random()
-                w[k : k + 1] = [["z"], [], ["z", w[k]]][int(how * 3)]
-            text.append(" ".join(w))
-        data.append((i, "\n".join(text)))
+                if random.random() < 0.4 and w[k]:  # one character
+                    at = random.randrange(len(w[k]))
+                    w[k] = w[k][:at] + ["z", "", "z" + w[k][at]][int(how * 3)] + w[k][at + 1 :]
+                else:
+                    w[k : k + 1] = [["z"], [], ["z", w[k]]][int(how * 3)]
+            text.append(random.choice([" ", "  ", "\t"]).join(w).title())
+        data.append((ids(i), "\n".join(text)))
+    return data
+
+
+def test_line_dedup_matches_brute_force(spark):
+    data = noisy_lines()
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = line_dedup.repeated_lines(df).collect()
-    assert {(r.doc_id, r.line) for r in got} == brute_lines(data)
+    want = brute_lines(spark, data)
+    assert {(r.doc_id, r.line) for r in got} == {(i, k) for i, _, k in want}
     assert all((r.first_doc_id, r.first_line) < (r.doc_id, r.line) for r in got)
+    assert {r.edits for r in got} == {0, 1}
+    by_doc = {r.doc_id: r.dropped for r in line_dedup.summary(df).collect()}
+    assert {(i, k) for i, d in by_doc.items() for k in d} == {(i, k) for i, _, k in want}
+
+
+def test_line_dedup_of_repeated_and_null_ids_at_any_partitioning(spark):
+    data = noisy_lines(4, ids=lambda i: None if i % 5 == 0 else i // 4)
+    data += [data[3], (0, "p0 p1 p2 p3 p4 p5 p6 p7 p8 p9 p10 p11 tail"), (1, "p0 p1 p2 p3 p4 p5 p6 p7 p8 p9 p10 p11"), (1, "r0 r1 r2 r3 r4 r5 r6 r7 r8 r9 r10 r11")]
+    want: dict = {}
+    for i, text, k in brute_lines(spark, data):
+        want.setdefault((i, text), []).append(k)
+    for parts in (1, 2, 3):
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
+        cleaned = line_dedup.clean(df.selectExpr("doc_id", "text", "text AS was")).collect()
+        assert len(cleaned) == len(data)
+        for r in cleaned:
+            gone = want.get((r.doc_id, r.was), [])
+            assert r.text == "\n".join(line for k, line in enumerate(r.was.split("\n")) if k not in gone)
+
+
+def test_line_dedup_of_one_very_long_line(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    data = [(1, " ".join(words)), (2, " ".join(words[:9_000] + ["other"] + words[9_001:])), (3, " ".join(words[:12_000] + words[12_001:])), (4, " ".join(words[::-1]))]
+    got = line_dedup.repeated_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_doc_id, r.edits) for r in sorted(got)] == [(2, 1, 1), (3, 1, 1)]
 
 
 def test_line_dedup_edge_cases(spark):
     got = {(r.doc_id, r.n_lines): (r.exact, r.near, r.dropped) for r in line_dedup.summary(table(spark)).collect()}
     assert got[(2, 1)] == (1, 0, [0]) and got[(1, 1)] == (0, 0, []) and got[(3, 1)] == (0, 0, [])
-    assert got[(7, 1)] == (0, 1 * 2, [0])  # both of the repeated rows, one word longer than the first
+    assert got[(7, 1)] == (0, 1, [0])  # both of the repeated rows, one word longer than the first
     assert line_dedup.summary(empty(spark)).count() == 0
-    out = line_dedup.clean(table(spark))
-    assert out.columns == table(spark).columns
+    df = table(spark)
+    out = line_dedup.clean(df)
+    assert out.columns == df.columns
     assert {r.doc_id: r.text for r in out.collect()}[13] == ""
+    assert line_dedup.clean(empty(spark)).count() == 0
