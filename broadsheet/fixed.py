@@ -88,6 +88,7 @@ CJK = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af]"
 POST_TRAILER = rf"(?is){WS}*The post\b.{{0,200}}?appeared first on\b.{{0,160}}?\.?{WS}*$"
 MORE_TRAILER = rf"(?i){WS}*(Read more|Continue reading|Read the full (?:post|article|story)|View comments){WS}*[»→….]*{WS}*$"
 ELLIPSIS_TRAILER = rf"{WS}*\[…\]{WS}*$"
+REFERENCE = r"^(#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
 READ_MORE_CUE = "(?i)(read more|continue reading|read the full|full (?:article|story)|阅读全文|阅读原文|全文)"
 JUNK_IMAGE_TAG = "(?i)avatar|author|profile|logo|icon|emoji|sprite|pixel|spacer|tracking|share|social|badge|gravatar"
 JUNK_IMAGE_URL = (

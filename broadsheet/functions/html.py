@@ -466,18 +466,6 @@ def html_blocks(html: Column, base: Column, budget: tuple[int, int] = fixed.FEED
     return _helper(lambda h, b: dict(zip(("blocks", "truncated"), blocks_of(h, b, budget))), f"STRUCT<blocks: {schemas.BODY}, truncated: BOOLEAN>", html, base)
 
 
-def decode_entities(text: Column) -> Column:
-    return _helper(lambda t: decode(t) if t and "&" in t else t, "STRING", text)
-
-
-def resolve_url(raw: Column, base: Column) -> Column:
-    return _helper(resolve, "STRING", raw, base)
-
-
-def decode_email(code: Column) -> Column:
-    return _helper(email_of, "STRING", code)
-
-
 class _Region(HTMLParser):
     """Start and end of the part of a page that holds the article."""
 

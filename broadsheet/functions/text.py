@@ -69,18 +69,36 @@ def _initials(words: Column) -> Column:
     return F.when(F.size(words) == 0, "··").when(F.size(words) == 1, F.upper(F.substring(F.get(words, F.lit(0)), 1, 2))).otherwise(F.upper(two))
 
 
-def decode_named(c: Column) -> Column:
-    """Named references only; right where no decoded text spells another reference.
+def decode_entities(c: Column) -> Column:
+    """Known named references and numeric ones, in one pass; others stay.
 
-    ``functions.html.decode_entities`` covers numeric ones and overlaps.
+    A text is cut at its ampersands, so what a reference yields is never read as one.
     """
-    for name, value in fixed.ENTITIES.items():
-        if name != "amp":
-            c = F.replace(c, F.lit(f"&{name};"), F.lit(value))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "&"), lambda part, i: F.when(i == 0, part).otherwise(_referred(part))), "")).otherwise(c)
 
 
-def html_to_text(c: Column, decode=decode_named) -> Column:
+def _referred(part: Column) -> Column:
+    name = F.regexp_extract(part, fixed.REFERENCE, 1)
+    given = let(name, lambda n: F.when(n.startswith("#"), _numbered(n)).otherwise(F.coalesce(_named(n), _named(F.lower(n)))))
+    rest = F.substring(part, F.length(name) + 2, F.length(part))
+    return F.coalesce(F.concat(F.nullif(given, F.lit("")), rest), F.concat(F.lit("&"), part))
+
+
+def _named(name: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in fixed.ENTITIES.items() for x in pair])
+    return F.try_element_at(table, name)
+
+
+def _numbered(name: Column) -> Column:
+    """The character of ``#123`` or ``#x1F``; null if there is none."""
+    hexes = F.regexp_extract(name, "^#[xX]0*([0-9a-fA-F]{1,6})$", 1)
+    digits = F.regexp_extract(name, "^#0*([0-9]{1,7})(?![0-9])", 1)
+    code = F.when(hexes != "", F.conv(hexes, 16, 10)).when(digits != "", digits).cast("long")
+    known = code.isNotNull() & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def html_to_text(c: Column, decode=decode_entities) -> Column:
     """Plain text of markup: block ends are blank lines, ``br`` is a line end."""
     c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
     c = F.regexp_replace(c, r"(?i)</(p|div|section|article|li|h[1-6]|blockquote|tr)\s*>", "\n\n")
@@ -109,7 +127,7 @@ def _to_stop(cut: Column, limit: int) -> Column:
     return strip(kept)
 
 
-def html_to_summary(c: Column, limit: int = 260, decode=decode_named) -> Column:
+def html_to_summary(c: Column, limit: int = 260, decode=decode_entities) -> Column:
     return shorten(scrub_boilerplate(html_to_text(c, decode)), limit)
 
 

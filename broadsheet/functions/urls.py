@@ -27,10 +27,26 @@ def is_safe_http(url: Column) -> Column:
 
 
 def resolve_common(raw: Column, base: Column) -> Column:
-    """``raw`` against ``base`` for the usual forms; ``functions.html.resolve_url`` covers all."""
+    """``raw`` against ``base`` as an absolute http(s) address, or null."""
     return let(strip(raw), lambda t: _resolved(t, base))
 
 
+def _plain_path(url: Column) -> Column:
+    """The address with the ``.`` and ``..`` of its path taken."""
+    parts = F.regexp_extract(url, "(?s)^(https?://[^/?#]*)(/[^?#]*)?(.*)$", 2)
+
+    def walk(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.array_append(done, part))
+
+    segments = F.split(F.substring(parts, F.lit(2), F.length(parts)), "/")
+    taken = F.aggregate(segments, F.array().cast("array<string>"), walk)
+    folder = F.element_at(segments, -1).isin(".", "..") & (F.size(taken) > 0)
+    path = F.concat(F.lit("/"), F.array_join(taken, "/"), F.when(folder, "/").otherwise(""))
+    head, tail = (F.regexp_extract(url, "(?s)^(https?://[^/?#]*)(/[^?#]*)?(.*)$", i) for i in (1, 3))
+    return F.when(parts.rlike(r"/\.\.?(/|$)"), F.concat(head, path, tail)).otherwise(url)
+
+
 def _resolved(t: Column, base: Column) -> Column:
     origin = F.regexp_extract(base, "(?i)^(https?://[^/?#]+)", 1)
     folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "(?i)^(https?://[^/]+(?:/.*)?/)[^/]*$", "$1")
@@ -41,11 +57,22 @@ def _resolved(t: Column, base: Column) -> Column:
         .when(t.rlike("(?i)^https?://"), t)
         .when(t.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
         .when(origin == "", None)
-        .when(t.startswith("/"), F.concat(origin, t))
-        .otherwise(F.concat(folder, t))
+        .when(t.startswith("/"), _plain_path(F.concat(origin, t)))
+        .when(t.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), t))
+        .when(t.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), t))
+        .otherwise(_plain_path(F.concat(folder, t)))
     )
 
 
+def decode_email(code: Column) -> Column:
+    """An address whose bytes are hidden by XOR with the first; null if it is none."""
+    digits = F.regexp_replace(strip(code), "^#", "")
+    byte = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    plain = lambda i: F.decode(F.unhex(F.lpad(F.hex(byte(i).bitwiseXOR(byte(F.lit(0))).cast("long")), 8, "0")), "UTF-32")
+    address = F.array_join(F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int") - 1), plain), "")
+    return F.when(digits.rlike("^([0-9a-fA-F]{2}){2,}$"), F.when(F.contains(address, F.lit("@")), address))
+
+
 def is_public_target(url: Column) -> Column:
     """Whether the URL's host isn't a name or address of a private network."""
     host = F.lower(F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^\[|\]$", ""))

@@ -131,18 +131,21 @@ def call_pacing(calls: DataFrame) -> DataFrame:
     c = calls.select("client", "seq", F.unix_millis("ts").alias("ms"))
     c = c.withColumn("slot", F.floor(F.col("ms") / span)).withColumn("own", F.lit(True))
     c = c.unionByName(c.withColumn("slot", F.col("slot") + 1).withColumn("own", F.lit(False)))
-    w = Window.partitionBy("client", "slot").orderBy("ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    trail = F.filter(F.collect_list("ms").over(w), lambda x: F.col("ms") - x < span)
-    gap = F.greatest(F.lit(0), F.lit(fixed.CALL_GAP_MS) - (F.col("ms") - F.max("ms").over(w)))
-    full = F.when(F.size("trail") >= fixed.CALLS_PER_MINUTE, F.array_min("trail") + span - F.col("ms"))
-    c = c.withColumn("trail", trail).withColumn("gap", gap).where("own")
-    return c.select("client", "seq", F.timestamp_millis("ms").alias("ts"), F.size("trail").cast("long").alias("recent"), F.greatest(F.coalesce("gap", F.lit(0)), F.coalesce(full, F.lit(0))).cast("long").alias("delay_ms"))
-
-
-def topics_restore(topics: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Default topics whose slug a reader doesn't have among the live ones."""
-    users = topics.select("user_id").distinct()
-    want = users.join(F.broadcast(defaults))
+    minute = Window.partitionBy("client", "slot").orderBy("ms").rangeBetween(-(span - 1), 0)
+    # of the calls of one millisecond those with a larger seq aren't earlier
+    tied = F.row_number().over(Window.partitionBy("client", "slot", "ms").orderBy(F.desc("seq")))
+    before = F.lag("ms").over(Window.partitionBy("client", "slot").orderBy("ms", "seq"))
+    c = c.select("client", "seq", "ms", "own", (F.count(F.lit(1)).over(minute) - tied).alias("recent"), F.min("ms").over(minute).alias("oldest"), before.alias("before"))
+    gap = F.greatest(F.lit(0), F.lit(fixed.CALL_GAP_MS) - (F.col("ms") - F.col("before")))
+    full = F.when(F.col("recent") >= fixed.CALLS_PER_MINUTE, F.col("oldest") + span - F.col("ms"))
+    delay = F.greatest(F.coalesce(gap, F.lit(0)), F.coalesce(full, F.lit(0))).cast("long")
+    return c.where("own").select("client", "seq", F.timestamp_millis("ms").alias("ts"), F.col("recent").cast("long").alias("recent"), delay.alias("delay_ms"))
+
+
+def topics_restore(topics: DataFrame, defaults: list[tuple[str, str, str]] = fixed.TOPICS) -> DataFrame:
+    """Default topics (slug, label, description) whose slug a reader doesn't have among the live ones."""
+    given = F.array(*[F.struct(F.lit(slug).alias("slug"), F.lit(label).alias("label")) for slug, label, _ in defaults])
+    want = topics.select("user_id").distinct().select("user_id", F.inline(given))
     return want.join(topics.where("deleted_at IS NULL").select("user_id", "slug"), ["user_id", "slug"], "left_anti")
 
 

@@ -14,7 +14,7 @@ from ..functions import text as tx
 def page_meta(html: Column, name: str) -> Column:
     """A ``meta`` element's content, by property or name."""
     tag = F.regexp_extract(html, rf"(?i)<meta\b[^>]*(?:property|name)=[\"']{name}[\"'][^>]*>", 0)
-    return tx.blank_to_null(tx.decode_named(F.regexp_extract(tag, r"(?i)\bcontent=[\"']([^\"']*)[\"']", 1)))
+    return tx.blank_to_null(tx.decode_entities(F.regexp_extract(tag, r"(?i)\bcontent=[\"']([^\"']*)[\"']", 1)))
 
 
 def within_size(body: Column, most: int = fixed.MAX_BYTES) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import blocks, urls
 from ..functions.text import blank_to_null, clean_title, strip
+from ..sources.shared import stored
 
 
 def _age_ms(ts: Column, as_of: Column) -> Column:
@@ -87,12 +88,12 @@ def feed_changed(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """
     names = [c for c in cached.columns if c not in ("id", "source_id", "fetched_at")]
     digest = lambda cols: F.xxhash64(*[F.to_json(F.struct(F.col(c).alias("v"))) for c in cols])
-    both = lambda t, p: t.select("source_id", "id", digest(names).alias(f"{p}_all"), digest([c for c in names if c not in _NOT_REBUILT]).alias(f"{p}_some"), *(["rebuilt"] if p == "b" else []))
-    a = both(cached, "a")
-    b = both(fresh, "b")
-    a = a.join(fresh.select("source_id").distinct(), "source_id", "left_semi")
+    rest, some = [c for c in names if c in _NOT_REBUILT], [c for c in names if c not in _NOT_REBUILT]
+    both = lambda t, p: t.select("source_id", "id", digest(rest).alias(f"{p}_rest"), digest(some).alias(f"{p}_some"), *(["rebuilt"] if p == "b" else []))
+    b = stored(both(fresh, "b"))  # read for its sources and for its digests
+    a = both(cached, "a").join(b.select("source_id").distinct(), "source_id", "left_semi")
     j = a.join(b, ["source_id", "id"], "full_outer")
-    differs = F.col("a_all").isNull() | F.col("b_all").isNull() | F.when(F.col("rebuilt"), F.col("a_some") != F.col("b_some")).otherwise(F.col("a_all") != F.col("b_all"))
+    differs = F.col("a_some").isNull() | F.col("b_some").isNull() | (F.col("a_some") != F.col("b_some")) | (~F.col("rebuilt") & (F.col("a_rest") != F.col("b_rest")))
     return j.groupBy("source_id").agg(F.bool_or(differs).alias("changed"))
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as tx
 from ..functions.blocks import repaired_content_state
+from .state import live
+
+
+#: Feeds that stand in for those of a reader without any.
+MOST_FALLBACKS = 1_000
 
 
 def minutes_ago(ts: Column, as_of: Column) -> Column:
@@ -15,8 +20,8 @@ def minutes_ago(ts: Column, as_of: Column) -> Column:
 
 
 def shape_feeds(sources: DataFrame) -> DataFrame:
-    """The feeds a reader sees."""
-    return sources.select("user_id", F.col("id").alias("feed_id"), F.col("title").alias("name"), "folder", "host", tx.monogram(F.col("title")).alias("mark"), F.col("url").alias("feed_url"), "site_url", F.lit(True).alias("subscribed"))
+    """The feeds a reader sees: those that weren't removed."""
+    return live(sources).select("user_id", F.col("id").alias("feed_id"), F.col("title").alias("name"), "folder", "host", tx.monogram(F.col("title")).alias("mark"), F.col("url").alias("feed_url"), "site_url", F.lit(True).alias("subscribed"))
 
 
 def shape_stories(articles: DataFrame, as_of: Column, with_body: bool = True) -> DataFrame:
@@ -146,7 +151,7 @@ def stream_order(stories: DataFrame) -> DataFrame:
 
 def sources_order(sources: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("added_at"), "id"))
-    return sources.withColumn("rank", rank)
+    return live(sources).withColumn("rank", rank)
 
 
 def sweep_order(stories: DataFrame, opened: DataFrame) -> DataFrame:
@@ -173,6 +178,13 @@ def folders_in_use(feeds: DataFrame) -> DataFrame:
 
 
 def feed_union(feeds: DataFrame, fallback: DataFrame, users: DataFrame) -> DataFrame:
-    """Readers' feeds, or the fallback ones for a reader without any."""
+    """Readers' feeds, or the fallback ones (a short list, ``MOST_FALLBACKS`` at most) for a reader without any."""
     bare = users.select("user_id").distinct().join(feeds.select("user_id").distinct(), "user_id", "left_anti")
-    return feeds.unionByName(bare.join(F.broadcast(fallback)).select(*feeds.columns))
+    rows = fallback.limit(MOST_FALLBACKS + 1).collect()
+    if len(rows) > MOST_FALLBACKS:
+        raise ValueError(f"more than {MOST_FALLBACKS} fallback feeds")
+    rest = [c for c in feeds.columns if c != "user_id"]
+    if not rows:
+        return feeds
+    given = F.array(*[F.struct(*[F.lit(r[c]).cast(feeds.schema[c].dataType).alias(c) for c in rest]) for r in rows])
+    return feeds.unionByName(bare.select("user_id", F.inline(given)).select(*feeds.columns))

@@ -40,9 +40,10 @@ def query(name: str, sql: str | None = None):
 W = vw.with_views
 NOW = f"TIMESTAMP '{vw.AS_OF}'"
 _MIN = f"greatest(1, floor((epoch_ms({NOW}) - epoch_ms(a.published_at)) / 60000.0::DOUBLE + 0.5))::BIGINT"
+_FNV = "CASE WHEN {0} = '' THEN 2166136261 ELSE list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) END"
 #: Readers' stories: articles of each reader's feeds.
 _STORIES = f"""stories AS (SELECT s.user_id, a.id, a.title, a.source_id AS feed_id, a.summary AS dek, a.author AS byline, a.link, {_MIN} AS minutes_ago, a.minutes, s.title AS feed_name, s.folder, s.site_url, s.host
-  FROM articles a JOIN sources s ON a.source_id = s.id)"""
+  FROM articles a JOIN sources s ON a.source_id = s.id AND s.deleted_at IS NULL)"""
 
 
 def S(body: str, *views: str) -> str:
@@ -71,14 +72,14 @@ UNION ALL SELECT user_id, 'feed', feed_id, count(*) FILTER (NOT is_read) FROM r
 UNION ALL SELECT u.user_id, 'folder', f.name, count(r.id) FILTER (NOT r.is_read) FROM (SELECT DISTINCT user_id FROM r) u CROSS JOIN (VALUES {", ".join(f"('{x}')" for x in fixed.FOLDERS)}) f(name)
   LEFT JOIN r ON r.user_id = u.user_id AND r.folder = f.name GROUP BY u.user_id, f.name""", "reading"))(lambda s, d: so.edition_counts(_stories(s, d), _reading(s, d)))
 
-query("store_load", W("SELECT 'sources' AS store, count(*) AS n FROM sources WHERE deleted_at IS NULL UNION ALL SELECT 'classifications', count(*) FROM classifications WHERE deleted_at IS NULL UNION ALL SELECT 'articles', count(*) FROM articles UNION ALL SELECT 'reading', count(*) FROM reading", "sources", "articles", "classifications", "reading"))(
-    lambda s, d: wl.store_counts({"sources": vw.sources(s, d), "classifications": vw.classifications(s, d), "articles": vw.articles(s, d).drop("body"), "reading": _reading(s, d)})
+query("store_load", W("SELECT 'sources' AS store, count(*) AS n FROM sources WHERE deleted_at IS NULL UNION ALL SELECT 'classifications', count(*) FROM classifications WHERE deleted_at IS NULL UNION ALL SELECT 'articles', count(*) FROM articles UNION ALL SELECT 'reading', count(*) FROM reading UNION ALL SELECT 'topics', count(*) FROM topics", "sources", "articles", "classifications", "reading", "topics"))(
+    lambda s, d: wl.store_counts({"sources": vw.sources(s, d), "classifications": vw.classifications(s, d), "articles": vw.articles(s, d).drop("body"), "reading": _reading(s, d), "topics": vw.topics(s, d)})
 )
 query("articles_of_source", W("SELECT id, title FROM articles WHERE source_id = 'src3'", "articles"))(lambda s, d: vw.articles(s, d).where("source_id = 'src3'").select("id", "title"))
 query("story_shape", W(f"SELECT a.id, {_MIN} AS minutes_ago, strftime(a.published_at, '%-d %B %Y') AS published_label, CASE WHEN content_state = 'summary' THEN 'summary' WHEN summary <> '' AND trim(regexp_replace(list_aggregate(paragraphs, 'string_agg', ' '), '\\s+', ' ', 'g'), ' ') = summary THEN 'summary' ELSE 'full' END AS content_state FROM articles a", "articles"))(
     lambda s, d: so.shape_stories(vw.articles(s, d), vw.now()).select("id", "minutes_ago", "published_label", "content_state")
 )
-query("feed_shape", W("SELECT id AS feed_id, title AS name, 'S' || left(split_part(title, ' ', 2), 1) AS mark, folder FROM sources", "sources"))(lambda s, d: so.shape_feeds(vw.sources(s, d)).select("feed_id", "name", "mark", "folder"))
+query("feed_shape", W("SELECT id AS feed_id, title AS name, 'S' || left(split_part(title, ' ', 2), 1) AS mark, folder FROM sources WHERE deleted_at IS NULL", "sources"))(lambda s, d: so.shape_feeds(vw.sources(s, d)).select("feed_id", "name", "mark", "folder"))
 query("stories", S("SELECT s.user_id, s.id, coalesce(c.topic_ids, []) AS topics, c.status AS classification_status FROM stories s LEFT JOIN classifications c ON c.user_id = s.user_id AND c.item_id = s.id AND c.deleted_at IS NULL", "classifications"))(
     lambda s, d: so.classified(_stories(s, d), vw.classifications(s, d)).select("user_id", "id", "topics", "classification_status")
 )
@@ -105,15 +106,15 @@ query("today_totals", S("SELECT user_id, count(*) AS stories, sum(minutes)::BIGI
 query("column_stats", S("SELECT user_id, count(*) AS stories, sum(minutes)::BIGINT AS minutes, count(DISTINCT feed_id) AS sources FROM stories GROUP BY user_id"))(lambda s, d: so.column_stats(_stories(s, d)))
 query("original_url", S("SELECT user_id, id, coalesce(link, site_url) AS original_url FROM stories"))(lambda s, d: so.original_url(_stories(s, d)).select("user_id", "id", "original_url"))
 query("stream_order", S("SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY minutes_ago, id)::INT AS rank FROM stories"))(lambda s, d: so.stream_order(_stories(s, d)).select("user_id", "id", "rank"))
-query("sources_order", W("SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY added_at DESC, id)::INT AS rank FROM sources", "sources"))(lambda s, d: so.sources_order(vw.sources(s, d)).select("user_id", "id", "rank"))
+query("sources_order", W("SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY added_at DESC, id)::INT AS rank FROM sources WHERE deleted_at IS NULL", "sources"))(lambda s, d: so.sources_order(vw.sources(s, d)).select("user_id", "id", "rank"))
 query("sweep_order", S("SELECT s.user_id, s.id, row_number() OVER (PARTITION BY s.user_id ORDER BY CASE WHEN s.id = o.item_id THEN 0 ELSE 1 END, minutes_ago, s.id)::INT AS rank FROM stories s LEFT JOIN (SELECT user_id, max(id) AS item_id FROM stories GROUP BY user_id) o ON o.user_id = s.user_id"))(
     lambda s, d: so.sweep_order(_stories(s, d), _stories(s, d).groupBy("user_id").agg(F.max("id").alias("item_id"))).select("user_id", "id", "rank")
 )
 query("up_next", S("""SELECT user_id, id, first_value(seen IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY minutes_ago, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id,
  last_value(seen IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY minutes_ago, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_id
  FROM (SELECT s.*, CASE WHEN r.item_id IS NULL THEN s.id END AS seen FROM stories s LEFT JOIN reading r ON r.user_id = s.user_id AND r.item_id = s.id AND r.read)""", "reading"))(lambda s, d: so.up_next(_stories(s, d), _reading(s, d)))
-query("folders_in_use", W("SELECT DISTINCT user_id, folder FROM sources WHERE folder IS NOT NULL", "sources"))(lambda s, d: so.folders_in_use(vw.sources(s, d)))
-query("feed_union", W("SELECT user_id, id AS feed_id FROM sources UNION ALL SELECT u.user_id, f.id FROM (SELECT DISTINCT user_id FROM reading_changes WHERE user_id NOT IN (SELECT user_id FROM sources)) u CROSS JOIN (SELECT id FROM sources WHERE user_id = 0) f", "sources", "reading_changes"))(
+query("folders_in_use", W("SELECT DISTINCT user_id, folder FROM sources WHERE folder IS NOT NULL AND deleted_at IS NULL", "sources"))(lambda s, d: so.folders_in_use(so.shape_feeds(vw.sources(s, d))))
+query("feed_union", W("SELECT user_id, id AS feed_id FROM sources WHERE deleted_at IS NULL UNION ALL SELECT u.user_id, f.id FROM (SELECT DISTINCT user_id FROM reading_changes WHERE user_id NOT IN (SELECT user_id FROM sources WHERE deleted_at IS NULL)) u CROSS JOIN (SELECT id FROM sources WHERE user_id = 0 AND deleted_at IS NULL) f", "sources", "reading_changes"))(
     lambda s, d: so.feed_union(so.shape_feeds(vw.sources(s, d)).select("user_id", "feed_id"), so.shape_feeds(vw.sources(s, d)).where("user_id = 0").select("feed_id"), vw.reading_changes(s, d))
 )
 
@@ -132,11 +133,11 @@ _HALF = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
 query("changeset_merge", W(f"SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.item_id, a.item_id) AS item_id, CASE WHEN a.item_id IS NULL OR b.updated_at >= a.updated_at THEN b.seq ELSE a.seq END AS seq FROM {_HALF.format(0)} a FULL JOIN {_HALF.format(1)} b ON a.user_id = b.user_id AND a.item_id = b.item_id", "reading_changes"))(
     lambda s, d: st.merge(_half(s, d, False), _half(s, d, True), ["user_id", "item_id"], "last").select("user_id", "item_id", "seq")
 )
-query("changes_since", W(f"SELECT 'sources' AS store, user_id || '/' || id AS key, updated_at, deleted_at IS NOT NULL AS deleted FROM sources WHERE updated_at > {NOW} - INTERVAL 100 MINUTE UNION ALL SELECT 'reading', user_id || '/' || item_id, updated_at, false FROM reading WHERE updated_at > {NOW} - INTERVAL 3000 MINUTE AND updated_at > {NOW} - INTERVAL 100 MINUTE UNION ALL SELECT 'classifications', user_id || '/' || item_id, updated_at, deleted_at IS NOT NULL FROM classifications WHERE updated_at > {NOW} - INTERVAL 100 MINUTE", "sources", "reading", "classifications"))(
+query("changes_since", W(f"SELECT 'sources' AS store, user_id || '/' || id AS key, updated_at, deleted_at IS NOT NULL AS deleted FROM sources WHERE updated_at > {NOW} - INTERVAL 100 MINUTE UNION ALL SELECT 'reading', user_id || '/' || item_id, updated_at, false FROM reading WHERE updated_at > {NOW} - INTERVAL 3000 MINUTE AND updated_at > {NOW} - INTERVAL 100 MINUTE UNION ALL SELECT 'classifications', user_id || '/' || item_id, updated_at, deleted_at IS NOT NULL FROM classifications WHERE updated_at > {NOW} - INTERVAL 100 MINUTE UNION ALL SELECT 'topics', user_id || '/' || id, {NOW}, false FROM topics", "sources", "reading", "classifications", "topics"))(
     lambda s, d: st.changes_since(
-        {"sources": vw.sources(s, d), "reading": _reading(s, d), "classifications": vw.classifications(s, d)},
+        {"sources": vw.sources(s, d), "reading": _reading(s, d), "classifications": vw.classifications(s, d), "topics": vw.topics(s, d)},
         vw.minutes_before(vw.now(), F.lit(100)),
-        {"sources": ["user_id", "id"], "reading": ["user_id", "item_id"], "classifications": ["user_id", "item_id"]},
+        {"sources": ["user_id", "id"], "reading": ["user_id", "item_id"], "classifications": ["user_id", "item_id"], "topics": ["user_id", "id"]},
     ).drop("row")
 )
 query("store_upsert", W(f"SELECT user_id, item_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY fresh DESC, seq DESC) AS rn FROM (SELECT *, 0 AS fresh FROM {_HALF.format(0)} UNION ALL SELECT *, 1 FROM reading_changes WHERE seq % 2 = 1)) WHERE rn = 1", "reading_changes"))(
@@ -220,21 +221,47 @@ query("folder_suggest", W("SELECT id, coalesce(folder, CASE WHEN substr(id, 4)::
 
 # --------------------------------------------------------------------- feeds
 
-query("feed_parse", W("SELECT url AS feed_url, CASE substr(id, 4)::INT % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' ELSE 'rdf' END AS kind, title, site_url, (SELECT count(*) FROM articles a WHERE a.source_id = s.id)::INT AS n_all FROM sources s", "sources", "articles").replace("(SELECT count(*) FROM articles a WHERE a.source_id = s.id)::INT AS n_all", "least(40, (SELECT count(*) FROM articles a WHERE a.source_id = s.id))::INT AS n_items"))(
-    lambda s, d: fd.parse(vw.feed_documents(s, d)).select("feed_url", "kind", "title", "site_url", F.size("items").alias("n_items"))
-)
-query("feed_meta", W("SELECT url AS feed_url, title, site_url, CASE WHEN substr(id, 4)::INT % 3 = 2 THEN '' ELSE 'About it' END AS description, CASE WHEN substr(id, 4)::INT % 3 = 1 THEN 'Desk' ELSE '' END AS channel_author FROM sources", "sources"))(lambda s, d: fd.parse(vw.feed_documents(s, d)).select("feed_url", "title", "site_url", "description", "channel_author"))
-query("feed_kind", W("SELECT url AS feed_url, CASE substr(id, 4)::INT % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' ELSE 'rdf' END AS kind FROM sources", "sources"))(lambda s, d: vw.feed_documents(s, d).select("feed_url", fd.feed_kind(F.col("body")).alias("kind")))
-query("feed_sniff", "SELECT page_id, false AS is_feed FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.looks_like_feed(F.col("html"), F.lit("text/html")).alias("is_feed")))
-_ITEMS40 = W("SELECT 'https://' || source_id || '.example/feed.xml' AS feed_url, 'https://' || source_id || '.example/' || doc_id AS link FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS rn FROM articles) WHERE rn <= 40", "articles")
-query("feed_items", _ITEMS40)(lambda s, d: fd.items(fd.parse(vw.feed_documents(s, d))).select("feed_url", "link"))
-query("item_valid")(lambda s, d: fd.items(fd.parse(vw.feed_documents(s, d))).groupBy("feed_url").agg(F.count(F.lit(1)).alias("n"), F.sum("minutes").alias("minutes")))
-query("feed_preview", W("SELECT 'https://' || source_id || '.example/feed.xml' AS feed_url, 'https://' || source_id || '.example/' || doc_id AS link, rn::INT AS rank, least(40, n) AS n_items FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source_id) AS n FROM articles) WHERE rn <= 5", "articles"))(
-    lambda s, d: fd.preview(fd.items(fd.parse(vw.feed_documents(s, d)))).select("feed_url", "link", "rank", "n_items")
-)
-query("shared_opening")(lambda s, d: fd.shared_openings(vw.articles(s, d).select("source_id", F.concat(F.lit("This is the letter that comes every week, to all of our readers. "), "summary").alias("summary")), "source_id"))
-query("feed_discover", "SELECT url, 1 AS rank, '' AS href, '' AS title FROM pages WHERE false")(lambda s, d: fd.discover(vw.table(s, d, "pages")))
-query("best_link")(lambda s, d: fd.parse(vw.feed_documents(s, d)).select("feed_url", F.posexplode("items").alias("pos", "x"), "site_url").select("feed_url", "pos", fd.best_link(F.col("x.link"), F.col("site_url")).alias("link")))
+#: Feeds of each source and their entries; the 40 first of a feed count.
+_FEEDS = W("", "sources", "articles").rstrip() + """,
+feeds AS (SELECT s.id AS source_id, s.title AS feed_title, s.site_url, substr(s.id, 4)::INT % 3 AS kind, a.doc_id // 800 AS part, s.site_url || 'feed-' || (a.doc_id // 800) || '.xml' AS feed_url, least(40, count(*))::INT AS n_items FROM sources s JOIN articles a ON a.source_id = s.id GROUP BY ALL),
+entries AS (SELECT *, site_url || doc_id AS url FROM (SELECT f.feed_url, f.site_url, f.kind, f.n_items, d.doc_id, d.text, row_number() OVER (PARTITION BY f.feed_url ORDER BY d.doc_id) AS rn FROM feeds f JOIN documents d ON d.source = f.source_id AND d.doc_id // 800 = f.part) WHERE rn <= 40)
+"""
+_KIND = "CASE kind WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' ELSE 'rdf' END"
+query("feed_parse", _FEEDS + f"SELECT feed_url, {_KIND} AS kind, feed_title AS title, site_url, n_items FROM feeds")(lambda s, d: fd.parse(vw.feed_documents(s, d)).select("feed_url", "kind", "title", "site_url", F.size("items").alias("n_items")))
+query("feed_meta", _FEEDS + "SELECT feed_url, feed_title AS title, site_url, CASE WHEN kind = 2 THEN '' ELSE 'About it' END AS description, CASE WHEN kind = 1 THEN 'Desk' ELSE '' END AS channel_author FROM feeds")(lambda s, d: fd.parse(vw.feed_documents(s, d)).select("feed_url", "title", "site_url", "description", "channel_author"))
+query("feed_kind", _FEEDS + f"SELECT feed_url, {_KIND} AS kind FROM feeds")(lambda s, d: vw.feed_documents(s, d).select("feed_url", fd.feed_kind(F.col("body")).alias("kind")))
+_TYPES = ["text/html", "application/xml", "application/json", "text/plain"]
+query("feed_sniff", rf"""SELECT page_id, CASE WHEN regexp_matches(head, '^\s*\{{') THEN contains(kind, 'json') ELSE contains(kind, 'xml') OR regexp_matches(head, '(?i)^\s*<\?xml') OR regexp_matches(head, '(?i)<(rss|feed|rdf:RDF)\b') END AS is_feed
+ FROM (SELECT page_id, left(CASE page_id % 3 WHEN 0 THEN '<?xml version="1.0"?>' WHEN 1 THEN '{{"x":1}}' ELSE '' END || html, 900) AS head, {_TYPES}[1 + page_id // 3 % 4] AS kind FROM pages)""")(
+    lambda s, d: vw.table(s, d, "pages").select("page_id", urls.looks_like_feed(F.concat(F.when(F.col("page_id") % 3 == 0, '<?xml version="1.0"?>').when(F.col("page_id") % 3 == 1, '{"x":1}').otherwise(""), "html"), F.get(F.array(*map(F.lit, _TYPES)), (F.floor(F.col("page_id") / 3) % 4).cast("int"))).alias("is_feed"))
+)
+query("feed_items", _FEEDS + """, named AS (SELECT *, CASE kind WHEN 1 THEN 'urn:' || doc_id WHEN 0 THEN doc_id::VARCHAR ELSE url END AS k FROM entries), hashed AS (SELECT *, """ + _FNV.format("k") + """ AS h FROM named)
+SELECT feed_url, url AS link, (rn - 1)::INT AS pos, lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS id, CASE kind WHEN 0 THEN 'A ' || (doc_id % 7) WHEN 1 THEN 'Desk' END AS author, TIMESTAMP '2024-01-01' AS published_at, NULL::VARCHAR AS image, false AS has_cover FROM hashed""")(
+    lambda s, d: fd.items(fd.parse(vw.feed_documents(s, d))).select("feed_url", "link", "pos", "id", "author", "published_at", "image", "has_cover")
+)
+query("item_valid", _FEEDS + "SELECT feed_url, n_items::BIGINT AS n FROM feeds")(lambda s, d: fd.items(fd.parse(vw.feed_documents(s, d))).groupBy("feed_url").agg(F.count(F.lit(1)).alias("n")))
+query("feed_preview", _FEEDS + "SELECT feed_url, url AS link, rn::INT AS rank, n_items::BIGINT AS n_items FROM entries WHERE rn <= 5")(lambda s, d: fd.preview(fd.items(fd.parse(vw.feed_documents(s, d)))).select("feed_url", "link", "rank", "n_items"))
+_PITCH = "This is the letter that comes every week, to all of our readers. "
+query("shared_opening", W(f"""SELECT source_id, CASE WHEN n >= 3 AND length(trim(cut, ' ')) >= 60 THEN cut ELSE '' END AS opening FROM (
+ SELECT source_id, n, CASE WHEN ends <> '' THEN ends ELSE prefix END AS cut FROM (SELECT *, regexp_extract(prefix, '(?s)^(.*[.!?;]) ', 1) AS ends FROM (
+ SELECT source_id, n, left(low, len(list_filter(range(1, least(length(low), length(high)) + 1), lambda i: left(low, i) = left(high, i)))) AS prefix FROM (
+ SELECT source_id, min(t) AS low, max(t) AS high, count(*) AS n FROM (SELECT source_id, '{_PITCH}' || summary AS t FROM articles) GROUP BY source_id))))""", "articles"))(
+    lambda s, d: fd.shared_openings(vw.articles(s, d).select("source_id", F.concat(F.lit(_PITCH), "summary").alias("summary")), "source_id")
+)
+
+
+def _linked(pages: DataFrame) -> DataFrame:
+    """The pages with links to two feeds, one of them twice, and to a style sheet."""
+    k, i = (F.col("page_id") % 3).cast("string"), F.col("page_id").cast("string")
+    feed = F.concat(F.lit('<link rel="alternate" type="application/rss+xml" href="/feed-'), k, F.lit('" title="T'), i, F.lit('">'))
+    other = F.lit("<link type='application/atom+xml' href='../x/./atom.xml'><link rel=\"stylesheet\" type=\"text/css\" href=\"/x.css\">")
+    return pages.withColumn("html", F.concat(feed, other, feed, "html"))
+
+
+query("feed_discover", r"""SELECT url, 1 AS rank, origin || '/feed-' || (page_id % 3) AS href, 'T' || page_id AS title FROM (SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages)
+ UNION ALL SELECT url, 2, origin || coalesce('/' || nullif(array_to_string(folders[:len(folders) - 1], '/'), ''), '') || '/x/atom.xml', '' FROM (
+ SELECT *, list_filter(string_split(regexp_extract(substr(url, length(origin) + 1), '^/(.*/)?[^/]*$', 1), '/'), lambda x: x <> '') AS folders FROM (SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages))""")(lambda s, d: fd.discover(_linked(vw.table(s, d, "pages"))))
+query("best_link", _FEEDS + "SELECT feed_url, (rn - 1)::INT AS pos, url AS link FROM entries")(lambda s, d: fd.parse(vw.feed_documents(s, d)).select("feed_url", F.posexplode("items").alias("pos", "x"), "site_url").select("feed_url", "pos", fd.best_link(F.col("x.link"), F.col("site_url")).alias("link")))
 query("size_cap", "SELECT page_id, strlen(html) <= 20000 AS fits FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", pg.within_size(F.col("html"), 20_000).alias("fits")))
 
 # --------------------------------------------------------------------- pages
@@ -274,7 +301,7 @@ query("classification_backlog", S("SELECT s.user_id, count(*) AS pending FROM st
 
 def _user_articles(spark, d) -> DataFrame:
     a = vw.articles(spark, d).select("id", "source_id", "title", "summary")
-    return a.join(vw.sources(spark, d).select("user_id", F.col("id").alias("source_id")), "source_id").select("user_id", "id", "title", "summary")
+    return a.join(so.shape_feeds(vw.sources(spark, d)).select("user_id", F.col("feed_id").alias("source_id")), "source_id").select("user_id", "id", "title", "summary")
 
 
 _SLUGS = "[" + ", ".join(f"'{t[0]}'" for t in fixed.TOPICS[:11]) + "]"
@@ -307,7 +334,7 @@ query("classification_correct", W("SELECT user_id, item_id, CASE WHEN doc_id % 2
     lambda s, d: cl.correct(vw.classifications(s, d).select("user_id", "item_id", F.array(F.lit("ai")).alias("topic_ids"), (_doc("item_id") % 2 == 0).alias("reject")), vw.articles(s, d), vw.now()).select("user_id", "item_id", "status", "primary_topic_id")
 )
 query("topics_restore", W(f"SELECT u.user_id, t.slug FROM (SELECT DISTINCT user_id FROM topics) u CROSS JOIN (VALUES {', '.join(f'({chr(39)}{t[0]}{chr(39)})' for t in fixed.TOPICS)}) t(slug) WHERE NOT EXISTS (SELECT 1 FROM topics x WHERE x.user_id = u.user_id AND x.slug = t.slug)", "topics"))(
-    lambda s, d: cl.topics_restore(vw.topics(s, d), vw.topics(s, d).select("slug", "label").distinct()).select("user_id", "slug")
+    lambda s, d: cl.topics_restore(vw.topics(s, d)).select("user_id", "slug")
 )
 query("topic_edit", W("SELECT user_id, id, CASE WHEN slug = 'ai' THEN 'Machines' ELSE label END AS label FROM topics", "topics"))(
     lambda s, d: cl.topic_edit(vw.topics(s, d), vw.topics(s, d).select("user_id", "id", F.when(F.col("slug") == "ai", "Machines").otherwise(" ").alias("label"), F.lit("").alias("description"), F.lit(False).alias("clear")), vw.now()).select("user_id", "id", "label")
@@ -325,31 +352,46 @@ def _offered():
 
 
 query("decision_request")(lambda s, d: vw.articles(s, d).select("id", F.sha2(cl.request(F.col("title"), cl.classify_input(F.col("summary"), F.col("body")), _offered()), 256).alias("request_sha256")))
-query("classify_input", W("SELECT id, left(summary, 600) AS input FROM articles WHERE summary <> ''", "articles"))(lambda s, d: vw.articles(s, d).where("summary <> ''").select("id", cl.classify_input(F.col("summary"), F.col("body")).alias("input")))
+query("classify_input", W("SELECT id, left(CASE WHEN summary <> '' THEN summary ELSE trim(regexp_replace(coalesce(list_aggregate(paragraphs, 'string_agg', ' '), ''), '\\s+', ' ', 'g'), ' ') END, 600) AS input FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", cl.classify_input(F.col("summary"), F.col("body")).alias("input")))
 query("decision_input_valid", W("SELECT id, CASE WHEN trim(regexp_replace(title, '\\s+', ' ', 'g'), ' ') = '' THEN 'title missing' END AS error FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", cl.input_error(F.col("title"), F.col("summary"), _offered()).alias("error")))
 
 # ------------------------------------------------------------------- scalars
 
-_FNV = "CASE WHEN {0} = '' THEN 2166136261 ELSE list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) END"
 query("fnv36", f"SELECT page_id, lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS id FROM (SELECT page_id, {_FNV.format('url')} AS h FROM pages)")(lambda s, d: vw.table(s, d, "pages").select("page_id", tx.fnv36(F.col("url")).alias("id")))
 _NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g'), ' '))"
 query("fingerprint", W(f"SELECT id, lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS fingerprint FROM (SELECT id, {_FNV.format('k')} AS h FROM (SELECT id, {_NORM.format('title')} || chr(0) || {_NORM.format('summary')} AS k FROM articles))", "articles"))(
     lambda s, d: vw.articles(s, d).select("id", tx.fingerprint(F.col("title"), F.col("summary")).alias("fingerprint"))
 )
 query("monogram", r"""SELECT doc_id, CASE WHEN len(w) = 0 THEN '··' WHEN len(w) = 1 THEN upper(left(w[1], 2)) ELSE upper(left(w[1], 1) || left(w[2], 1)) END AS mark
- FROM (SELECT doc_id, list_filter(string_split(regexp_replace(left(coalesce(text, ''), 40), '[^\p{L}\p{N} ]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)""")(lambda s, d: vw.table(s, d, "documents").select("doc_id", tx.monogram(F.left(F.coalesce("text", F.lit("")), F.lit(40))).alias("mark")))
+ FROM (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N} ]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)""")(lambda s, d: vw.table(s, d, "documents").select("doc_id", tx.monogram(F.coalesce("text", F.lit(""))).alias("mark")))
 _TEXT = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'),
  '(?i)</(p|div|section|article|li|h[1-6]|blockquote|tr)\s*>', chr(10) || chr(10), 'g'), '(?i)<br\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))"""
 query("html_to_text", f"SELECT page_id, {_TEXT} AS text FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text")))
-query("html_to_summary")(lambda s, d: vw.table(s, d, "pages").select("page_id", tx.html_to_summary(F.col("html")).alias("summary")))
-query("decode_entities")(lambda s, d: vw.table(s, d, "pages").select("page_id", F.length(hx.decode_entities(F.col("html"))).alias("length")))
-query("scrub_boilerplate", W(r"SELECT id, summary AS scrubbed FROM articles WHERE NOT regexp_matches(summary, '(?i)(post|more|reading|comments|…)')", "articles"))(
-    lambda s, d: vw.articles(s, d).where(~F.col("summary").rlike("(?i)(post|more|reading|comments|…)")).select("id", tx.scrub_boilerplate(F.concat("summary", F.lit(" Read more »"))).alias("scrubbed"))
+_SPACE = fixed.WS.replace("'", "''")
+
+
+def _scrubbed(x: str) -> str:
+    for pattern in (fixed.POST_TRAILER, fixed.MORE_TRAILER, fixed.ELLIPSIS_TRAILER):
+        x = f"regexp_replace({x}, '{pattern}', ' ')"
+    return f"trim(regexp_replace({x}, '{_SPACE}+', ' ', 'g'), ' ')"
+
+
+query("html_to_summary", rf"""SELECT page_id, CASE WHEN length(t) <= 260 THEN t ELSE trim(CASE WHEN stop > 130 THEN left(cut, stop + 1) ELSE cut END, ' ') || '…' END AS summary FROM (
+ SELECT *, left(t, 260) AS cut, length(regexp_extract(left(t, 260), '(?s)^(.*)(?:[.!?] |[。！？])', 1)) AS stop FROM (SELECT page_id, {_scrubbed(_TEXT)} AS t FROM pages))""")(lambda s, d: vw.table(s, d, "pages").select("page_id", tx.html_to_summary(F.col("html")).alias("summary")))
+_DECODED = "replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+query("decode_entities", f"SELECT page_id, {_DECODED} || ' it’s B & ' || chr((960 + page_id % 1000)::INT) || ' &nope; &#xD800; &#99999999; &amp é' AS text FROM pages")(
+    lambda s, d: vw.table(s, d, "pages").select("page_id", tx.decode_entities(F.concat("html", F.lit(" it&#8217;s &#x42; &AMP; &#"), (960 + F.col("page_id") % 1000).cast("string"), F.lit("; &nope; &#xD800; &#99999999; &amp &#xE9;"))).alias("text"))
 )
-query("read_more_cue", W(r"SELECT id, doc_id % 2 = 0 OR regexp_matches(right(summary, 140), '(?i)(read more|continue reading|read the full|full (?:article|story))') AS cue FROM articles WHERE length(summary) > 150", "articles"))(
-    lambda s, d: vw.articles(s, d).where("length(summary) > 150").select("id", tx.read_more_cue(F.concat("summary", F.when(_doc() % 2 == 0, " Continue reading").otherwise(" xxxxxxxxxxxxxxxxxxx"))).alias("cue"))
+query("scrub_boilerplate", W(f"SELECT id, {_scrubbed("summary || ' Read more »'")} AS scrubbed FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", tx.scrub_boilerplate(F.concat("summary", F.lit(" Read more »"))).alias("scrubbed")))
+_CUED = "summary || CASE WHEN doc_id % 2 = 0 THEN ' Continue reading' ELSE ' xxxxxxxxxxxxxxxxxxx' END"
+query("read_more_cue", W(f"SELECT id, regexp_matches(right({_TEXT.replace('html', _CUED, 1)}, 160), '{fixed.READ_MORE_CUE}') AS cue FROM articles", "articles"))(
+    lambda s, d: vw.articles(s, d).select("id", tx.read_more_cue(F.concat("summary", F.when(_doc() % 2 == 0, " Continue reading").otherwise(" xxxxxxxxxxxxxxxxxxx"))).alias("cue"))
 )
-query("resolve_url", "SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/feed' AS href FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", hx.resolve_url(F.lit("/feed"), F.col("url")).alias("href")))
+query("resolve_url", r"""SELECT page_id, raw, CASE WHEN regexp_matches(raw, '^https?://') THEN raw WHEN starts_with(raw, '//') THEN 'https:' || raw WHEN starts_with(raw, '/') THEN origin || raw WHEN regexp_matches(raw, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL ELSE folder || raw END AS href FROM (
+ SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)) || ['mailto:a@b.example', '//c.example/d', 'e/f']) AS raw, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
+ CASE WHEN regexp_matches(url, '^https?://[^/]+/') THEN regexp_extract(url, '^(https?://.*/)[^/]*$', 1) ELSE url || '/' END AS folder FROM pages)""")(
+    lambda s, d: vw.table(s, d, "pages").select("page_id", "url", F.explode(F.concat(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))), F.array(*map(F.lit, ("mailto:a@b.example", "//c.example/d", "e/f"))))).alias("raw")).select("page_id", "raw", urls.resolve_common(F.col("raw"), F.col("url")).alias("href"))
+)
 query("feed_url_normalize", "SELECT page_id, url AS normal FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.normalize_feed_url(F.concat(F.lit("  "), "url", F.lit("\n"))).alias("normal")))
 query("host_of", "SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/:]+)', 1), '^www\\.', '') AS host FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.host_of(F.col("url")).alias("host")))
 query("url_safe_http", "SELECT page_id, page_id % 2 = 0 AS safe FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.is_safe_http(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("javascript:"), "url"))).alias("safe")))
@@ -359,25 +401,31 @@ query("url_public_target", "SELECT page_id, page_id % 4 = 0 OR page_id % 4 = 1 A
 query("image_junk", "SELECT page_id, page_id % 3 = 0 OR page_id % 300 + 10 <= 200 AS junk FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.is_junk_image_url(F.when(F.col("page_id") % 3 == 0, "https://x.example/logo.png").otherwise(F.concat(F.lit("https://x.example/fit/"), (F.col("page_id") % 300 + 10).cast("string"), F.lit("x400/a.jpg")))).alias("junk")))
 query("image_identity", "SELECT page_id, lower(regexp_replace(split_part(url, '?', 1), '[/#]+$', '')) AS identity FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.image_identity(F.concat(F.lit("https://proxy.example/r?u="), "url")).alias("identity")))
 query("distinct_links", r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a\b[^>]*href="([^"]*)"', 1)))::INT AS n FROM pages""")(lambda s, d: vw.table(s, d, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a\b[^>]*href="([^"]*)"'), F.lit(1)))).alias("n")))
-query("clean_title", W("SELECT id, title AS cleaned FROM (SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g'), ' ') AS title FROM articles) WHERE title <> '' AND NOT regexp_matches(title, '^[-–—|·:]|[-–—|·:]$')", "articles"))(
-    lambda s, d: vw.articles(s, d).withColumn("t", tx.collapse(F.col("title"))).where("t <> ''").where(~F.col("t").rlike("^[-–—|·:]|[-–—|·:]$")).select("id", tx.clean_title(F.concat("t", F.lit(" | Daily Post")), F.lit("daily post")).alias("cleaned"))
+query("clean_title", W("SELECT id, CASE WHEN title = '' THEN '| Daily Post' ELSE title END AS cleaned FROM (SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g'), ' ') AS title FROM articles)", "articles"))(
+    lambda s, d: vw.articles(s, d).select("id", tx.clean_title(F.concat(tx.collapse(F.col("title")), F.lit(" | Daily Post")), F.lit("daily post")).alias("cleaned"))
 )
-query("story_layout", W("SELECT id, layout FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.story_layout(F.col("image"), F.col("summary")).alias("layout")))
+query("story_layout", W("SELECT id, CASE WHEN summary = '' THEN 'brief' WHEN doc_id % 3 = 0 THEN 'standard' ELSE 'compact' END AS layout FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.story_layout(F.when(_doc() % 3 == 0, "x.jpg").when(_doc() % 3 == 1, ""), F.col("summary")).alias("layout")))
 query("content_state_repair", W("SELECT id, CASE WHEN summary <> '' AND trim(regexp_replace(list_aggregate(paragraphs, 'string_agg', ' '), '\\s+', ' ', 'g'), ' ') = summary THEN 'summary' ELSE 'full' END AS state FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.repaired_content_state(F.lit("full"), F.col("body"), F.col("summary")).alias("state")))
-query("content_state", W("SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'truncated' WHEN doc_id % 3 = 0 THEN 'summary' ELSE 'full' END AS state FROM articles WHERE length(summary) >= 200", "articles"))(lambda s, d: vw.articles(s, d).where("length(summary) >= 200").select("id", bl.content_state(_doc() % 3 > 0, F.lit(False), F.col("body"), F.lit("a summary"), _doc() % 7 == 0).alias("state")))
+query("content_state", W("SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'truncated' WHEN doc_id % 3 = 0 THEN 'summary' ELSE 'full' END AS state FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.content_state(_doc() % 3 > 0, F.lit(False), F.col("body"), F.lit("a summary"), _doc() % 7 == 0).alias("state")))
 query("reading_minutes", W("SELECT id, greatest(1, floor((list_sum(list_transform(paragraphs, lambda p: len(regexp_extract_all(p, '\\S+')) / 225.0::DOUBLE))) + 0.5))::INT AS minutes FROM articles WHERE len(paragraphs) > 0", "articles"))(lambda s, d: vw.articles(s, d).where(F.size("body") > 0).select("id", bl.reading_minutes(F.col("body")).alias("minutes")))
 query("blocks_to_text", W("SELECT id, trim(regexp_replace(coalesce(list_aggregate(paragraphs, 'string_agg', ' '), ''), '\\s+', ' ', 'g'), ' ') AS text FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.blocks_to_text(F.col("body")).alias("text")))
 query("paragraph_texts", W("SELECT id, len(list_filter(paragraphs, lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'), ' ') <> ''))::INT AS n FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", F.size(bl.paragraph_texts(F.col("body"))).alias("n")))
 query("block_text", W("SELECT id, coalesce(paragraphs[1], '') AS first FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", F.coalesce(bl.block_text(F.get("body", F.lit(0))), F.lit("")).alias("first")))
-query("blocks_dedupe", W("SELECT id, (len(paragraphs) + 1)::INT AS n FROM articles WHERE len(paragraphs) = 1", "articles"))(
-    lambda s, d: vw.articles(s, d).where(F.size("body") == 1).select("id", F.size(bl.dedupe(F.concat(F.array(vw.block(kind=F.lit("figure"), src=F.lit("u"))), "body", "body", F.array(vw.block(kind=F.lit("figure"), src=F.lit("u")))))).alias("n"))
+query("blocks_dedupe", W("SELECT id, (1 + len(list_filter(range(1, len(pp) + 1), lambda i: i = 1 OR pp[i] <> pp[i - 1])))::INT AS n FROM (SELECT id, paragraphs || paragraphs AS pp FROM articles)", "articles"))(
+    lambda s, d: vw.articles(s, d).select("id", F.size(bl.dedupe(F.concat(F.array(vw.block(kind=F.lit("figure"), src=F.lit("u"))), "body", "body", F.array(vw.block(kind=F.lit("figure"), src=F.lit("u")))))).alias("n"))
 )
 query("body_leads_with_media", W("SELECT id, doc_id % 2 = 0 AS leads FROM articles", "articles"))(
     lambda s, d: vw.articles(s, d).select("id", bl.leads_with_media(F.when(_doc() % 2 == 0, F.concat(F.array(vw.block(kind=F.lit("figure"), src=F.lit("u"))), "body")).otherwise(F.col("body"))).alias("leads"))
 )
-query("first_figure_src", W("SELECT id, 'u' AS src FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.first_figure_src(F.concat("body", F.array(vw.block(kind=F.lit("figure"), src=F.lit("u")), vw.block(kind=F.lit("figure"), src=F.lit("v"))))).alias("src")))
-query("strip_cover_copy", W("SELECT id, len(paragraphs)::INT AS n FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", F.size(bl.strip_cover_copy(F.concat(F.array(vw.block(kind=F.lit("figure"), src=F.lit("https://x.example/A.jpg?w=3"))), "body"), F.lit("https://x.example/a.jpg"))).alias("n")))
-query("distinct_images", W("SELECT id, 2 AS n FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", F.size(bl.dedupe(F.array(*[vw.block(kind=F.lit("figure"), src=F.concat(F.lit(u), "id")) for u in "abab"]))).alias("n")))
+query("first_figure_src", W("SELECT id, CASE WHEN doc_id % 4 > 0 THEN 'u' || (doc_id % 4) END AS src FROM articles", "articles"))(
+    lambda s, d: vw.articles(s, d).select("id", bl.first_figure_src(F.concat("body", F.when(_doc() % 4 > 0, F.array(vw.block(kind=F.lit("figure"), src=F.concat(F.lit("u"), (_doc() % 4).cast("string"))), vw.block(kind=F.lit("figure"), src=F.lit("v")))).otherwise(F.slice("body", 1, 0)))).alias("src"))
+)
+query("strip_cover_copy", W("SELECT id, (len(paragraphs) + doc_id % 2)::INT AS n FROM articles", "articles"))(
+    lambda s, d: vw.articles(s, d).select("id", F.size(bl.strip_cover_copy(F.concat(F.array(vw.block(kind=F.lit("figure"), src=F.lit("https://x.example/A.jpg?w=3"))), "body"), F.when(_doc() % 2 == 0, "https://x.example/a.jpg").otherwise("https://x.example/b.jpg"))).alias("n"))
+)
+query("distinct_images", W("SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'a,b,c' ELSE 'a,b' END AS images FROM articles", "articles"))(
+    lambda s, d: vw.articles(s, d).select("id", F.array_join(F.transform(bl.dedupe(F.array(*[vw.block(kind=F.lit("figure"), src=u) for u in (F.lit("a"), F.lit("b"), F.lit("a"), F.when(_doc() % 3 == 0, "c").otherwise("b"))])), lambda b: b["src"]), ",").alias("images"))
+)
 query("best_image", "SELECT page_id, CASE WHEN page_id % 2000 >= 1200 THEN 'b' ELSE 'c' END AS url FROM pages")(
     lambda s, d: vw.table(s, d, "pages").select("page_id", bl.best_image(bl.srcset_candidates(F.concat(F.lit("a 300w, b "), (F.col("page_id") % 2000).cast("string"), F.lit("w, c 2x")))).alias("url"))
 )
@@ -392,13 +440,14 @@ query("clamp01", "SELECT event_id, least(1, greatest(0, value / 100))::DOUBLE AS
 query("scroll_progress", W("SELECT user_id, item_id, ts, CASE WHEN scroll_height - client_height <= 8 THEN 0 ELSE least(1, greatest(0, scroll_top / (scroll_height - client_height))) END::DOUBLE AS progress FROM scroll_events", "scroll_events"))(
     lambda s, d: vw.scroll_events(s, d).select("user_id", "item_id", "ts", tx.scroll_progress(F.col("scroll_top"), F.col("scroll_height"), F.col("client_height")).alias("progress"))
 )
-query("read_credit", W("""SELECT user_id, item_id, min(CASE WHEN room >= 240 AND scroll_top >= room - 24 THEN ts WHEN room < 240 AND (nxt IS NULL OR nxt >= ts + INTERVAL 2 SECOND) THEN ts + INTERVAL 2 SECOND END) AS credited_at FROM (
- SELECT *, scroll_height - client_height AS room, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, item_id) AS nxt FROM scroll_events) GROUP BY ALL HAVING min(CASE WHEN room >= 240 AND scroll_top >= room - 24 THEN ts WHEN room < 240 AND (nxt IS NULL OR nxt >= ts + INTERVAL 2 SECOND) THEN ts END) IS NOT NULL""", "scroll_events"))(lambda s, d: sm.read_credit(vw.scroll_events(s, d)))
+_CREDIT = W("""SELECT user_id, item_id, min(CASE WHEN room >= 240 AND scroll_top >= room - 24 THEN ts WHEN room < 240 AND (nxt IS NULL OR nxt >= ts + INTERVAL 2 SECOND) THEN ts + INTERVAL 2 SECOND END) AS credited_at FROM (
+ SELECT *, scroll_height - client_height AS room, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, item_id) AS nxt FROM scroll_events) GROUP BY ALL HAVING min(CASE WHEN room >= 240 AND scroll_top >= room - 24 THEN ts WHEN room < 240 AND (nxt IS NULL OR nxt >= ts + INTERVAL 2 SECOND) THEN ts END) IS NOT NULL""", "scroll_events")
+query("read_credit", _CREDIT)(lambda s, d: sm.read_credit(vw.scroll_events(s, d)))
 query("video_url_parse", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' END AS provider, CASE page_id % 3 WHEN 0 THEN 'abcdef' || page_id WHEN 1 THEN page_id::VARCHAR END AS video_id FROM pages")(
     lambda s, d: vw.table(s, d, "pages").select("page_id", urls.video_of(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.youtube.com/embed/abcdef"), F.col("page_id").cast("string"), F.lit("?x=1"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://player.vimeo.com/video/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))).alias("v")).select("page_id", "v.provider", "v.video_id")
 )
 query("decode_obfuscated_email", "SELECT page_id, 'p' || page_id || '@x.example' AS address FROM pages")(
-    lambda s, d: vw.table(s, d, "pages").select("page_id", hx.decode_email(F.concat(F.lit("2a"), F.array_join(F.transform(F.split(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("@x.example")), ""), lambda c: F.lpad(F.lower(F.hex(F.ascii(c).bitwiseXOR(F.lit(0x2A)))), 2, "0")), ""))).alias("address"))
+    lambda s, d: vw.table(s, d, "pages").select("page_id", urls.decode_email(F.concat(F.lit("2a"), F.array_join(F.transform(F.split(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("@x.example")), ""), lambda c: F.lpad(F.lower(F.hex(F.ascii(c).bitwiseXOR(F.lit(0x2A)))), 2, "0")), ""))).alias("address"))
 )
 
 # ----------------------------------------------------------------- streaming
@@ -407,12 +456,12 @@ query("stream_reading_state", W("SELECT user_id, item_id, read, saved, later, se
 query("stream_changes", W(f"SELECT user_id, item_id, seq FROM reading_changes WHERE updated_at > {NOW} - INTERVAL 10 DAY", "reading_changes"))(sm.changes_query)
 query("rate_windows", W("SELECT client, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS calls, count(*) > 40 AS limited FROM call_log GROUP BY ALL", "call_log"))(sm.rate_windows_query)
 query("stream_pacing", W("SELECT client, seq, (SELECT count(*) FROM call_log b WHERE b.client = a.client AND (b.ms, b.seq) < (a.ms, a.seq) AND a.ms - b.ms < 60000) AS recent FROM call_log a", "call_log"))(sm.pacing_query)
-query("stream_read_credit")(sm.read_credit_query)
+query("stream_read_credit", _CREDIT)(sm.read_credit_query)
 query("stream_ingest")(sm.ingest_query)
 
 # ----------------------------------------------------------------- workloads
 
-query("feed_refresh")(lambda s, d: wl.feed_refresh(vw.feed_documents(s, d), vw.sources(s, d), vw.articles(s, d), _reading(s, d), vw.now()).groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"), F.sum("minutes").alias("minutes")))
+query("feed_refresh")(lambda s, d: wl.feed_refresh(vw.feed_documents(s, d), vw.feed_sources(s, d), vw.feed_articles(s, d), _reading(s, d), vw.now()).groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"), F.sum("minutes").alias("minutes")))
 query("edition", S("SELECT user_id, id, rank::INT AS rank FROM (SELECT s.*, row_number() OVER (PARTITION BY s.user_id ORDER BY minutes_ago, id) AS rank FROM stories s WHERE minutes_ago < 1440 AND NOT EXISTS (SELECT 1 FROM reading r WHERE r.user_id = s.user_id AND r.item_id = s.id AND r.read)) WHERE rank <= 50", "reading"))(
     lambda s, d: wl.edition(vw.articles(s, d), vw.sources(s, d), vw.classifications(s, d), _reading(s, d), vw.now(), "today", 50).select("user_id", "id", "rank")
 )

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed, schemas
@@ -120,7 +120,7 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
         topic(0).alias("primary_topic_id"),
         confidence.alias("confidence"),
         F.when(F.col("doc_id") % 10 == 0, "confirmed").when(F.col("doc_id") % 10 == 1, "rejected").when(confidence >= 0.6, "auto").otherwise("needs_review").alias("status"),
-        F.lit("jev").alias("provider"),
+        F.lit("sample").alias("provider"),
         F.lit(None).cast("string").alias("model"),
         F.concat(F.lit("f"), (F.col("doc_id") % 6).cast("string")).alias("content_fingerprint"),
         minutes_before(now(), F.col("doc_id")).alias("updated_at"),
@@ -130,9 +130,8 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default topics of every reader of a source, less one by reader."""
-    users = sources(spark, sf_dir).select("user_id").distinct()
-    rows = spark.createDataFrame([(i, s, label, d) for i, (s, label, d) in enumerate(fixed.TOPICS)], "i int, slug string, label string, description string")
-    rows = users.join(F.broadcast(rows), F.col("i") != F.col("user_id"))
+    every = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(x).alias(n) for n, x in zip(("slug", "label", "description"), t)]) for i, t in enumerate(fixed.TOPICS)])
+    rows = sources(spark, sf_dir).select("user_id").distinct().select("user_id", F.inline(every)).where(F.col("i") != F.col("user_id"))
     return rows.select("user_id", F.col("slug").alias("id"), "slug", "label", "description", F.lit(True).alias("builtin"), now().alias("updated_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
 
 
@@ -171,8 +170,31 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("~", "source", "doc_id").alias("item_id"), F.when(form == 3, "list").otherwise("map").alias("provider"), body.alias("response_json"), "doc_id")
 
 
+#: Ids whose documents of one source make a feed.
+FEED_SPAN = 800
+
+
+def feed_part(doc_id: Column) -> Column:
+    return F.floor(doc_id / FEED_SPAN).cast("long")
+
+
+def feed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources with one row for each of their feeds, named after it."""
+    parts = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("source").alias("id"), feed_part(F.col("doc_id")).alias("part")).distinct()
+    s = sources(spark, sf_dir).join(parts, "id")
+    part = F.col("part").cast("string")
+    new = {"id": F.concat_ws(".", "id", part), "url": F.concat(F.col("site_url"), F.lit("feed-"), part, F.lit(".xml"))}
+    return s.select(*[new.get(c, F.col(c)).alias(c) for c in sources(spark, sf_dir).columns])
+
+
+def feed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles, each of the source of its feed."""
+    part = feed_part(F.substring_index("id", "~", -1).cast("long")).cast("string")
+    return articles(spark, sf_dir).withColumn("source_id", F.concat_ws(".", "source_id", part))
+
+
 def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One feed per source: RSS, Atom or RDF by its number, with its documents as entries."""
+    """Feeds of each source, one for every ``FEED_SPAN`` ids: RSS, Atom or RDF by the source's number, with its documents as entries."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     d = table(spark, sf_dir, "documents").where("source IS NOT NULL").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
     n = _n()
@@ -183,11 +205,8 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     atom = F.format_string('<entry><title>%s</title><link rel="self" href="/self"/><link rel="alternate" type="text/html" href="/%s"/><id>urn:%s</id><published>2024-01-01T00:00:00Z</published><content type="html">%s</content></entry>', title, F.col("doc_id").cast("string"), F.col("doc_id").cast("string"), html)
     rdf = F.format_string('<item rdf:about="%s"><title>%s</title><link>%s</link><dc:date>2024-01-01</dc:date><description>%s</description></item>', link, title, link, html)
     entry = F.when(n % 3 == 0, rss).when(n % 3 == 1, atom).otherwise(rdf)
-    # only the first entries of a feed are ever considered, so no source is gathered whole
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = d.select("source", "doc_id").withColumn("rank", rank).where(F.col("rank") <= fixed.FEED_ITEMS + 5).join(d.select(F.col("doc_id").alias("key"), "text"), F.col("doc_id") == F.col("key")).drop("key")
-    e = d.select("source", n.alias("n"), F.struct("doc_id", entry.alias("entry")).alias("e"))
-    g = e.groupBy("source", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["entry"]), "").alias("entries"))
+    e = d.select("source", n.alias("n"), feed_part(F.col("doc_id")).alias("part"), F.struct("doc_id", entry.alias("entry")).alias("e"))
+    g = e.groupBy("source", "n", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["entry"]), "").alias("entries"))
     name = F.concat(F.lit("Source "), F.col("n").cast("string"))
     site = F.concat(F.lit("https://"), "source", F.lit(".example/"))
     body = (
@@ -195,7 +214,7 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("n") % 3 == 1, F.format_string('<?xml version="1.0"?><feed xmlns="a"><title>%s</title><subtitle>About it</subtitle><author><name>Desk</name></author><link rel="alternate" href="%s"/>%s</feed>', name, site, F.col("entries")))
         .otherwise(F.format_string('<?xml version="1.0"?><rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel rdf:about="%s"><title>%s</title><link>%s</link></channel>%s</rdf:RDF>', site, name, site, F.col("entries")))
     )
-    return g.select(F.concat(site, F.lit("feed.xml")).alias("feed_url"), F.lit("application/xml").alias("content_type"), body.alias("body"))
+    return g.select(F.concat(site, F.lit("feed-"), F.col("part").cast("string"), F.lit(".xml")).alias("feed_url"), F.lit("application/xml").alias("content_type"), body.alias("body"))
 
 
 def _topic_sql(shift: int) -> str:

@@ -5,17 +5,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import fixed
 from ..functions import text as tx
 from ..operators import state as st
 from ..plans import workloads as wl
 from ..sources import views as vw
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, stored
 
 
 def _shared(spark: SparkSession) -> str:
@@ -49,31 +52,59 @@ class _EventStream:
         return self.stream
 
 
-def reading_state(changes: DataFrame, folder: str) -> str:
-    """Keeps the latest reading state of each (reader, item) in versions of a table under ``folder``.
+#: Every so many batches a state table is written whole, so that reading it stays cheap.
+FULL_EVERY = 64
 
-    A batch is reduced first and merged with the last version by its own times, so
-    late rows lose and a batch that is run twice changes nothing.
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The batches written so far, with their numbers as column ``batch``; none yet before the first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """The state that the batches under ``path`` make: the last whole one and the changes after it."""
+    rows = _written(spark, path)
+    if rows is None:
+        return None
+    whole = rows.where("whole = 1").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]  # of folder names
+    return st.lww_latest(rows.where(F.col("batch") >= whole).drop("whole", "batch"), keys)
+
+
+def reading_state(changes: DataFrame, folder: str) -> DataFrame:
+    """Keeps the latest reading state of each (reader, item) under ``folder`` and returns it.
+
+    A batch is reduced and written by its number, so a batch that is run twice
+    changes nothing, a stream that is stopped goes on where it was, and late rows lose
+    by their own times.  Every ``FULL_EVERY`` batches the whole state is written.
     """
     spark = changes.sparkSession
-    keys = ["user_id", "item_id"]
-    last: list[str] = []
+    keys, path = ["user_id", "item_id"], f"{folder}/state"
 
     def each(batch: DataFrame, number: int) -> None:
         fresh = st.lww_latest(batch, keys)
-        if last:
-            fresh = st.lww_latest(spark.read.parquet(last[-1]).unionByName(fresh), keys)
-        path = f"{folder}/state-{number}"
-        fresh.write.mode("overwrite").parquet(path)
-        last.append(path)
+        whole = number % FULL_EVERY == FULL_EVERY - 1
+        if whole and (before := _current(spark, path, keys)) is not None:
+            fresh = st.lww_latest(before.unionByName(fresh), keys)
+        fresh.write.mode("overwrite").parquet(f"{path}/whole={int(whole)}/batch={number}")
 
     run_available(changes, each, folder)
-    return last[-1]
+    state = _current(spark, path, keys)
+    return changes_of(spark, changes) if state is None else state
+
+
+def changes_of(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """An empty table like a stream's."""
+    return spark.createDataFrame([], stream.schema)
 
 
 def reading_state_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = reading_state(vw.reading_changes(_EventStream(spark, sf_dir), sf_dir), _shared(spark))
-    return spark.read.parquet(path).select("user_id", "item_id", "read", "saved", "later", "seq")
+    state = reading_state(vw.reading_changes(_EventStream(spark, sf_dir), sf_dir), _shared(spark))
+    return state.select("user_id", "item_id", "read", "saved", "later", "seq")
 
 
 def collected(df: DataFrame, folder: str, mode: str = "append") -> str:
@@ -107,21 +138,29 @@ def rate_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trailing(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Each call's number of earlier calls in the minute before it."""
-    recent = list(state.get[0]) if state.exists else []
+    """Each call's number of earlier calls in the minute before it; state holds the calls of the last minute."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    recent = np.array(list(state.get[0]) if state.exists else [], np.int64)
     rows = pd.concat(list(frames)).sort_values(["ms", "seq"])
-    counts = []
-    for ms in rows["ms"]:
-        recent = [x for x in recent if ms - x < fixed.CALL_WINDOW_MS]
-        counts.append(len(recent))
-        recent.append(int(ms))
-    state.update((recent,))
+    ms = np.concatenate([recent, rows["ms"].to_numpy(np.int64)])
+    ms_at = len(recent) + np.arange(len(rows))
+    counts = ms_at - np.searchsorted(ms, ms[ms_at] - fixed.CALL_WINDOW_MS, "right")
+    state.update((ms[ms > ms[-1] - fixed.CALL_WINDOW_MS].tolist(),))
+    # after that no call can have these before it
+    state.setTimeoutTimestamp(max(int(ms[-1]) + fixed.CALL_WINDOW_MS, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"client": key[0], "seq": rows["seq"], "recent": counts})
 
 
+def pacing_stream(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(``client``, ``seq``, ``recent``); calls that are later than ``late`` aren't counted.  A silent client's state goes."""
+    c = calls.select("client", "seq", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
+    return c.groupBy("client").applyInPandasWithState(_trailing, "client string, seq long, recent long", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def pacing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = vw.call_log(_EventStream(spark, sf_dir), sf_dir).select("client", "seq", F.unix_millis("ts").alias("ms"))
-    counted = calls.groupBy("client").applyInPandasWithState(_trailing, "client string, seq long, recent long", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    counted = pacing_stream(vw.call_log(_EventStream(spark, sf_dir), sf_dir))
     return spark.read.parquet(collected(counted, _shared(spark))).select("client", "seq", "recent")
 
 
@@ -141,55 +180,86 @@ def read_credit(events: DataFrame) -> DataFrame:
     return e.withColumn("at", at).groupBy("user_id", "item_id").agg(F.min("at").alias("credited_at")).where("credited_at IS NOT NULL")
 
 
+_DWELL_US = fixed.DWELL_MS * 1000
+
+
 def _credits(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A reader's credits; state holds the stay that may still become one."""
     waiting = state.get if state.exists else None
     if state.hasTimedOut:
         state.remove()
         if waiting:
-            yield pd.DataFrame({"user_id": [key[0]], "item_id": [waiting[0]], "ms": [waiting[1] + fixed.DWELL_MS]})
+            yield pd.DataFrame({"user_id": [key[0]], "item_id": [waiting[0]], "us": [waiting[1] + _DWELL_US]})
         return
-    rows = pd.concat(list(frames)).sort_values(["ms", "item_id"])
+    rows = pd.concat(list(frames)).sort_values(["us", "item_id"])
     items, at = [], []
-    for item, ms, signal in zip(rows["item_id"], rows["ms"], rows["signal"]):
-        if waiting and ms >= waiting[1] + fixed.DWELL_MS:
+    for item, us, signal in zip(rows["item_id"], rows["us"], rows["signal"]):
+        if waiting and us >= waiting[1] + _DWELL_US:
             items.append(waiting[0])
-            at.append(waiting[1] + fixed.DWELL_MS)
-        waiting = (item, int(ms)) if signal == "dwell" else None
+            at.append(waiting[1] + _DWELL_US)
+        waiting = (item, int(us)) if signal == "dwell" else None
         if signal == "now":
             items.append(item)
-            at.append(int(ms))
+            at.append(int(us))
     if waiting:
         state.update(waiting)
-        state.setTimeoutTimestamp(max(waiting[1] + fixed.DWELL_MS, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((waiting[1] + _DWELL_US) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     elif state.exists:
         state.remove()
-    yield pd.DataFrame({"user_id": key[0], "item_id": pd.Series(items, dtype="str"), "ms": pd.Series(at, dtype="int64")})
+    yield pd.DataFrame({"user_id": key[0], "item_id": pd.Series(items, dtype="str"), "us": pd.Series(at, dtype="int64")})
 
 
 def read_credit_stream(events: DataFrame, late: str = "10 seconds") -> DataFrame:
     """``read_credit`` with an event-time timer for the last stay; state is one stay a reader."""
-    e = events.select("user_id", "item_id", "ts", F.unix_millis("ts").alias("ms"), _signal().alias("signal")).withWatermark("ts", late)
-    out = e.groupBy("user_id").applyInPandasWithState(_credits, "user_id long, item_id string, ms long", "item_id string, ms long", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("user_id", "item_id", F.timestamp_millis("ms").alias("credited_at"))
+    e = events.select("user_id", "item_id", "ts", F.unix_micros("ts").alias("us"), _signal().alias("signal")).withWatermark("ts", late)
+    out = e.groupBy("user_id").applyInPandasWithState(_credits, "user_id long, item_id string, us long", "item_id string, us long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("user_id", "item_id", F.timestamp_micros("us").alias("credited_at"))
+
+
+def stays_at_the_end(spark: SparkSession, folder: str) -> DataFrame:
+    """Credits of the stays that a stream's state still waits for, as nothing follows them."""
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint").where("value.groupState IS NOT NULL")
+    at = F.timestamp_micros(F.col("value.groupState.us") + _DWELL_US)
+    return state.select(F.col("key.user_id").alias("user_id"), F.col("value.groupState.item_id").alias("item_id"), at.alias("credited_at"))
 
 
 def read_credit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = collected(read_credit_stream(vw.scroll_events(_EventStream(spark, sf_dir), sf_dir)), _shared(spark))
-    return spark.read.parquet(path).groupBy("user_id", "item_id").agg(F.min("credited_at").alias("credited_at"))
+    folder = _shared(spark)
+    path = collected(read_credit_stream(vw.scroll_events(_EventStream(spark, sf_dir), sf_dir)), folder)
+    credits = spark.read.parquet(path).select("user_id", "item_id", "credited_at").unionByName(stays_at_the_end(spark, folder))
+    return credits.groupBy("user_id", "item_id").agg(F.min("credited_at").alias("credited_at"))
+
+
+def _articles_at(articles: DataFrame, folder: str, number: int = 1 << 30) -> DataFrame:
+    """``articles``, with those of every source that earlier batches than ``number`` refreshed as the last of these left them."""
+    spark = articles.sparkSession
+    touched = _written(spark, f"{folder}/touched")
+    if touched is None:
+        return articles
+    last = touched.where(F.col("batch") < number).groupBy("source_id").agg(F.max("batch").alias("batch"))
+    rows = spark.read.schema(StructType([*articles.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/articles")
+    rows = rows.join(last, ["source_id", "batch"]).select(*articles.columns)
+    return articles.join(last.select("source_id"), "source_id", "left_anti").select(*articles.columns).unionByName(rows)
 
 
-def ingest(documents: DataFrame, sources: DataFrame, articles: DataFrame, reading: DataFrame, at: Column, folder: str) -> str:
-    """Feed documents as a stream, each batch refreshing the article table (versions under ``folder``)."""
+def ingest(documents: DataFrame, sources: DataFrame, articles: DataFrame, reading: DataFrame, at: Column, folder: str) -> DataFrame:
+    """Feed documents as a stream that refreshes the article table; returns the table.
+
+    A batch reads and writes the articles of its own sources only, by its number: it
+    may be run twice, and a stream that is stopped goes on where it was.
+    """
     spark = documents.sparkSession
-    last: list[DataFrame] = [articles]
 
     def each(batch: DataFrame, number: int) -> None:
-        wl.feed_refresh(batch, sources, last[-1], reading, at).write.mode("overwrite").parquet(f"{folder}/articles-{number}")
-        last.append(spark.read.schema(articles.schema).parquet(f"{folder}/articles-{number}"))
+        batch = stored(batch)
+        known = st.live(sources).select(F.col("url").alias("feed_url"), F.col("id").alias("source_id"))
+        touched = stored(known.join(batch.select("feed_url").distinct(), "feed_url", "left_semi").select("source_id").distinct())
+        before = _articles_at(articles, folder, number).join(touched, "source_id", "left_semi").select(*articles.columns)
+        wl.feed_refresh(batch, sources, before, reading, at).write.mode("overwrite").parquet(f"{folder}/articles/batch={number}")
+        touched.write.mode("overwrite").parquet(f"{folder}/touched/batch={number}")
 
     run_available(documents, each, folder)
-    return last[-1]
+    return _articles_at(articles, folder)
 
 
 def ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,5 +268,5 @@ def ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     made.write.parquet(f"{folder}/documents")
     documents = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/documents")
     reading = st.lww_latest(vw.reading_changes(spark, sf_dir), ["user_id", "item_id"])
-    after = ingest(documents, vw.sources(spark, sf_dir), vw.articles(spark, sf_dir), reading, vw.now(), folder)
+    after = ingest(documents, vw.feed_sources(spark, sf_dir), vw.feed_articles(spark, sf_dir), reading, vw.now(), folder)
     return after.groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"), F.sum("minutes").alias("minutes"))
