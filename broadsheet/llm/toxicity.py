@@ -7,16 +7,18 @@ with ``theta_1 < theta_2 < ...``.  The output is each text's expected grade and,
 where ``P(grade >= 1)`` reaches ``CUT``, the decision that it is toxic.
 
 The model is fitted on at most ``MAX_TRAIN`` labelled documents, those with the
-smallest hashed ids; that bound is the only one.  Features that
+smallest hashed ids.  Features that
 fewer than ``MIN_DOCS`` of them have, or that say little about the label, are
-left out, so that a text's length adds no noise.  Where labels only tell toxic
-from not, toxic training texts with more than the median number of telling
-words are grade 2, the others grade 1.
+left out, so that a text's length adds no noise; of the others the model has the
+``MAX_FEATURES`` that say most, which bounds what goes to every task.  Grades come
+from the labels alone: where these only tell toxic from not there is one threshold,
+and the expected grade is the probability of being toxic.
 
 Defined results: a null or empty text has no features and gets the grade that
 the thresholds alone give; with no labels, or of one class only, every text has
 grade 0.  Repeated rows get equal results.  Labels of unknown documents, or
-null, are not used.  An empty table gives an empty result.
+null, are not used; of several labels of a document the worst counts, and of several
+texts of an id the model learns from the first in order.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .hashing import LOWER, buffers, mix64, slices, word_bounds
 
 MAX_TRAIN = 20_000
@@ -61,10 +64,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # a beginning's hash follows from the one that is a byte shorter
     h = np.full(len(starts), _ODD)
     alive = np.arange(len(starts))
-    # only bytes up to 64 tell words apart
-    for n in range(1, min(longest, 64) + 1):
+    for n in range(1, longest + 1):
         h = mix64(h + letters[starts[alive] + (n - 1)].astype(np.uint64) * _ODD)
-        whole = size[alive] == n if n < 64 else size[alive] >= n
+        whole = size[alive] == n
         found.append(h[whole] ^ np.uint64(1))
         docs.append(doc[alive[whole]])
         if n in STEMS:
@@ -145,19 +147,17 @@ def fit(rows: np.ndarray, columns: np.ndarray, n_features: int, grade: np.ndarra
     return w, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
 
 
-def grades_from_labels(strong: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades 0, 1, 2 from a binary label and the number of telling features each text has."""
-    if not toxic.any():
-        return np.zeros(len(toxic), np.int64)
-    return np.where(toxic, 1 + (strong > np.median(strong[toxic])), 0).astype(np.int64)
+def graded(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """(``id``, ``label``): one grade (0, 1, 2, ...) for each labelled document."""
+    grade = F.col(label_col).cast("int").alias("label")
+    return labels.select(F.col(id_col).alias("id"), grade).dropna().groupBy("id").agg(F.max("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_train: int = MAX_TRAIN) -> Model:
     """Fits the model on the labelled documents with the smallest hashed ids, ``max_train`` at most."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["id"])
-    known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(max_train))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = text.join(known, "id").where(F.col("text").isNotNull())
+    known = F.broadcast(graded(labels, id_col, label_col).orderBy(F.xxhash64("id"), "id").limit(max_train))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    sample = text.join(known, "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
                 found = pa.array([h[i:j].tobytes() for i, j in zip(begins[:-1], begins[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), found], names=["id", "label", "found"])
 
-    hashed = sample.select("id", "label", "text").mapInArrow(run, "id long, label int, found binary")
+    hashed = stored(sample.select("id", "label", "text").mapInArrow(run, "id long, label int, found binary"))
     # how many texts of each label have a feature: counted on the executors
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
             label = np.repeat(np.array(batch.column("label").to_pylist(), np.int32), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)), pa.array(label > 0)], names=["feature", "toxic"])
 
-    size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0)).alias("toxic")).first()
+    size = hashed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0)).alias("toxic")).first()
     n, bad = size["n"], size["toxic"]
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([50.0]))
     if not bad or bad == n:
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         return nothing
     kept["feature"] = kept["feature"].to_numpy().view(np.uint64)
     kept = kept.sort_values("feature")
-    keys, strong = kept["feature"].to_numpy(), kept["odds"].to_numpy() > 2
+    keys = kept["feature"].to_numpy()
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,8 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     label = data.column("label").to_numpy()
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     columns = np.concatenate(sets)
-    grade = label.astype(np.int64) if label.max() > 1 else grades_from_labels(np.bincount(rows, strong[columns], minlength=len(sets)), label > 0)
-    weights, theta = fit(rows, columns, len(keys), grade)
+    weights, theta = fit(rows, columns, len(keys), label.astype(np.int64))
     return Model(keys, weights, theta)
 
 

@@ -34,17 +34,48 @@ def toxic_rows(n=600, seed=6):
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = toxic_rows()
     d = spark.createDataFrame([*docs, (9000, "w1 w2 Blarkmo w3 zorg"), (9001, None), (9002, "")], "doc_id long, text string")
-    model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert (np.diff(model.theta) > 0).all() and len(model.theta) == 2
+    labels = [(i, t * (1 + i // 5 % 2)) for i, t in labels] + [(0, 0), (9000, None)]  # grades; of two labels the worse counts
+    schema = "doc_id long, toxic int"
+    graded = toxicity.train(d, spark.createDataFrame(labels, schema))
+    assert (np.diff(graded.theta) > 0).all() and len(graded.theta) == 2
+    binary = [(i, t and min(t, 1)) for i, t in labels]
+    model = toxicity.train(d, spark.createDataFrame(binary, schema))
+    again = toxicity.train(d.repartition(3), spark.createDataFrame(binary[::-1], schema).repartition(2))
+    assert len(model.theta) == 1 and (again.keys == model.keys).all() and np.allclose(again.weights, model.weights)
     got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
-    held = range(len(labels), len(docs))
+    held = range(len(docs) // 2, len(docs))
     assert all(got[i].toxic == (i % 5 == 0) for i in held)
     assert got[9000].toxic and not got[9001].toxic and not got[9002].toxic
-    assert all(0 <= r.expected_severity <= 2 and r.grade in (0, 1, 2) for r in got.values())
+    assert all(0 <= r.expected_severity <= 1 and r.grade in (0, 1) for r in got.values())
+    assert {r.grade for r in toxicity.score(d, graded).collect()} <= {0, 1, 2}
     kept = toxicity.reject_toxic(d, model)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].toxic}
 
 
+def test_ordinal_fit_is_at_the_greatest_likelihood():
+    """Against brute force: no small change of a weight or threshold makes the data likelier."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((150, 4)) < 0.4).astype(float)
+    grade = np.clip((x @ [2, 1, 0, -1] + rng.normal(0, 0.7, 150)).round(), 0, 2).astype(int)
+    rows, columns = np.nonzero(x)
+    w, theta = toxicity.fit(rows, columns, 4, grade, penalty=0.1, rounds=3000)
+
+    def loss(w, theta):
+        total = 0.05 * sum(v * v for v in w)
+        for row, g in zip(x, grade):
+            at_least = [1.0, *(1 / (1 + math.exp(t - row @ w)) for t in theta), 0.0]
+            total -= math.log(at_least[g] - at_least[g + 1])
+        return total
+
+    best = loss(w, theta)
+    for k in range(4):
+        for step in (-0.02, 0.02):
+            assert loss(w + step * (np.arange(4) == k), theta) > best - 1e-6
+    for k in range(2):
+        for step in (-0.02, 0.02):
+            assert loss(w, theta + step * (np.arange(2) == k)) > best - 1e-6
+
+
 def test_ordinal_gradient_finds_ordered_grades():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (400, 3))
