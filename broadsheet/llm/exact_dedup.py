@@ -43,16 +43,17 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns; of rows that repeat id and text one."""
     decided = checkpoint(decisions(docs, id_col, text_col, support))
-    pair = ["__id", "__digest"]
-    keyed = docs.withColumns({"__id": F.col(id_col), "__digest": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
-    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__digest"] == b["__digest"])
-    named = decided.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"), "kept")
+    pair = ["id", "digest"]
+    # the caller's columns travel as one, so that no name clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["digest"] == b["digest"])
+    named = decided.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "kept")
     lost = named.where(~F.col("kept")).select(*pair).distinct()
-    stay = keyed.join(lost, same(keyed, lost), "left_anti")
-    repeated = named.where("kept").groupBy(*pair).count().where("count > 1").select(*pair)
-    if repeated.take(1):
+    stay = rows.join(lost, same(rows, lost), "left_anti")
+    repeated = checkpoint(named.where("kept").groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*pair))
+    if not repeated.isEmpty():
         once = stay.join(repeated, same(stay, repeated), "left_anti")
         stay = once.unionByName(stay.join(repeated, same(stay, repeated), "left_semi").dropDuplicates(pair))
-    return stay.drop(*pair)
+    return stay.select("row.*")

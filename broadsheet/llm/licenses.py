@@ -15,7 +15,8 @@ Everything happens within a row, by built-in functions: no shuffle, and the
 templates, a fixed list, are literals of the plan.
 
 Defined results: a null or empty text, or one that no template comes near, has
-no licence and similarity 0.  Of templates with equal similarity the first by
+no licence and similarity 0.  A template of less than two words, which has no
+bigram, is never found.  Of templates with equal similarity the first by
 name wins.  Repeated rows get equal results.  An empty table gives an empty
 result.
 """
@@ -142,10 +143,14 @@ def _any_template(held: Column, sets: dict[str, list[str]], threshold: float) ->
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: the likeliest ``license``, its ``dice``, and all ``licenses`` found (names, sorted)."""
-    sets = {name: bigrams(templates[name]) for name in sorted(templates)}
+    sets = {name: grams for name in sorted(templates) if (grams := bigrams(templates[name]))}
+    if not sets:
+        none = F.lit(None).cast("string")
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), none.alias("license"), F.lit(0.0).alias("dice"), F.lit("").alias("licenses"))
     lowest = min(map(len, sets.values())) * threshold / (2 - threshold)
     highest = max(map(len, sets.values())) * (2 - threshold) / threshold
-    table = "array(" + ", ".join(f"named_struct('name', '{name}', 'grams', array({', '.join(map(repr, grams))}))" for name, grams in sets.items()) + ")"
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    table = "array(" + ", ".join(f"named_struct('name', {quoted(name)}, 'grams', array({', '.join(map(quoted, grams))}))" for name, grams in sets.items()) + ")"
 
     text = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -153,7 +158,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     segments = F.when(F.instr("text", "\n") == 0, F.array("text")).otherwise(F.array_distinct(F.concat(lines, F.split("text", r"\n ?(?:\n ?)+"), F.array("text"))))
     df = df.withColumn("runs", F.when(F.col("text").rlike(r"\n ?\n"), _runs(F.split("text", r"\n ?(?:\n ?)+"), sets, threshold, lowest, highest)).otherwise(F.expr("array()").cast("array<array<string>>")))
     words = F.transform(segments, lambda s: F.filter(F.split(s, "[ \n]"), lambda w: w != ""))
-    df = df.select("doc_id", F.concat(F.filter(words, lambda w: F.size(w) - 1 >= lowest), "runs").alias("segments"))
+    df = df.select("doc_id", F.concat(F.filter(words, lambda w: F.size(w) - 1 >= max(1, lowest)), "runs").alias("segments"))
     df = df.withColumn("segments", F.expr(f"filter(segments, w -> size(array_distinct(w)) - 1 <= {highest})"))
     grams = "transform(segments, w -> array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))"
     df = df.withColumn("segments", F.expr(grams))

@@ -14,15 +14,19 @@ pair that branches ``MOST_DEPTH`` times (``missed``), so it holds for every pair
 A leaf passes on a spanning forest of the pairs whose sketches come near
 the threshold, not the pairs themselves.  What is connected in all the forests
 is a group, which holds all links of its members.  Groups are then confirmed on
-full sets: their members' shingles are brought together once (in pairs of
-blocks, for a large group), similarity is computed exactly, and a spanning
-forest of the true links is emitted, whose connected components are the result.
+full sets: their members' shingles are brought together once, similarity is
+computed exactly, and a spanning forest of the true links is emitted, whose
+connected components are the result.  In a group of more than ``BLOCK_ROWS`` sets the
+forests' own edges are confirmed first; what these connect needs no more
+comparing, so only the sets outside the largest component so found meet the
+whole group, in pairs of blocks.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and is linked with nothing.  A text of fewer words than a shingle is one
 shingle.  Null ids are left as they are, each a component without an id.
-Repeated rows have equal sets and share a component.  An empty table gives an
-empty result.
+Repeated rows have equal sets and share a component; rows that repeat an id with
+another text are told apart by their sets, and each has the component of its own.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, whole_groups
+from .common import broadcast_if_small, checkpoint, stored, whole_groups
 from .components import components
 from .hashing import LOWER, buffers, hash_words, mix64, shingles, slices
 
@@ -108,6 +112,10 @@ class Forest:
             self.edges.append((i, j))
 
 
+def _digest(shingles: bytes) -> bytes | None:
+    return hashlib.blake2b(shingles, digest_size=16).digest() if shingles else None
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """id, number of shingles, digest of the set, minwise values, and their low bytes as a sketch."""
 
@@ -120,16 +128,16 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 low = [minwise(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id"),
+                        *(batch.column(c) for c in ("id", "k1", "k2")),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array([x[:PATHS].tobytes() if x is not None else None for x in low], pa.binary()),
                         pa.array([x.astype(np.uint8).tobytes() if x is not None else None for x in low], pa.binary()),
                     ],
-                    names=["id", "n", "digest", "low", "sketch"],
+                    names=["id", "k1", "k2", "n", "digest", "low", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, low binary, sketch binary")
+    return docs.mapInArrow(run, "id long, k1 long, k2 long, n long, digest binary, low binary, sketch binary")
 
 
 def _branch(rows: DataFrame, depth: int, trees: int) -> DataFrame:
@@ -274,35 +282,97 @@ def true_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return forest.edges
 
 
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """What tells a document: id and a 128-bit hash of its text (``id``, ``k1``, ``k2``)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
+    found = _classes(_slim(docs, id_col, text_col), words, percent, recall)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def _classes(slim: DataFrame, words: int, percent: int, recall: float) -> DataFrame:
+    """Rows of ``_slim`` with size and digest of their sets, their ``class``, its smallest id as ``component``, and ``kept``."""
     threshold = percent / 100
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = checkpoint(_sets(slim, words))
     known = sets.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    # equal sets count once, under the smallest id
-    same = checkpoint(known.groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = known.join(same.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")), "left_semi")
-    reps = checkpoint(reps.select(F.col("id").alias("rep"), "n", "low", "sketch").dropDuplicates(["rep"]))
+    # equal sets count once, under the smallest id, or a hash where an id has several sets
+    same = checkpoint(known.groupBy("digest").agg(F.min("id").alias("first")))
+    shared = same.groupBy("first").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select(F.col("first").alias("f"))
+    shared = checkpoint(shared)
+    unique = shared.isEmpty()
+    if unique:
+        same = same.withColumn("rep", F.col("first"))
+    else:
+        same = same.join(broadcast_if_small(shared), F.col("first") == F.col("f"), "left")
+        same = checkpoint(same.select("digest", "first", F.when(F.col("f").isNull(), F.col("first")).otherwise(F.xxhash64("digest")).alias("rep")))
+    named = same.withColumnsRenamed({"digest": "d"})
+    reps = known.join(named, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("first")))
+    reps = checkpoint(reps.select("rep", "n", "low", "sketch").dropDuplicates(["rep"]))
 
     leaves = _leaves(reps, trees_for(threshold, recall))
     sketch = reps.select(F.col("rep").alias("r"), "n", "sketch")
     leaves = leaves.join(sketch, F.col("rep") == F.col("r")).select("node", "rep", "n", "sketch")
     near = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_sketches(threshold), "a long, b long")
-    groups = components(near).select(F.col("node").alias("rep"), F.col("component").alias("group"))
-
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    dealt = _blocks(groups.join(sizes, "group"), "group", "rep", BLOCK_ROWS)
-    texts = slim.join(broadcast_if_small(groups.select("rep")), F.col("id") == F.col("rep"), "left_semi")
-    full = _full_sets(texts, words)
-    dealt = dealt.join(full, F.col("rep") == F.col("id")).select("node", "rep", "found")
-    links = dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_confirm(percent), "a long, b long")
+    near = checkpoint(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    groups = checkpoint(components(near).select(F.col("node").alias("rep"), F.col("component").alias("group")))
+
+    wanted = groups.join(same, "rep").select("rep", "digest", "first")
+    texts = slim.join(broadcast_if_small(wanted.select(F.col("first").alias("f"))), F.col("id") == F.col("f"), "left_semi")
+    full = stored(_full_sets(texts, words).join(wanted.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d")).select("rep", "found").dropDuplicates(["rep"]))
+
+    def confirmed(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.join(full, "rep").select("node", "rep", "found")
+        return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_confirm(percent), "a long, b long")
+
+    sizes = checkpoint(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")))
+    small = groups.join(sizes.where(F.col("size") <= BLOCK_ROWS), "group")
+    links = confirmed(small.select(F.col("group").alias("node"), "rep"))
+    large = sizes.where(F.col("size") > BLOCK_ROWS)
+    if not large.isEmpty():
+        large = checkpoint(groups.join(broadcast_if_small(large), "group"))
+        links = checkpoint(links.unionByName(_large_links(large, near, confirmed)))
     found = components(links).withColumnRenamed("node", "rep")
 
-    named = same.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("id", "n", "digest").join(named, "digest", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # components go by their smallest id
+    least = found.withColumn("least", F.col("component"))
+    if not unique:
+        ids = found.join(same.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("least"))
+        least = found.join(ids, "component")
+    own = same.select("digest", "rep", "first").join(least.select("rep", "component", "least"), "rep", "left")
+    own = own.select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("class"), F.coalesce("least", "first").alias("least"))
+    out = sets.select("id", "k1", "k2", "n", "digest").join(own, F.col("digest") == F.col("d"), "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
+    return out.select("id", "k1", "k2", "n", "digest", "class", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _large_links(large: DataFrame, near: DataFrame, confirmed) -> DataFrame:
+    """Links that connect what the links within large groups (``group``, ``rep``, ``size``) connect."""
+    ends = near.join(large.select(F.col("rep").alias("a")), "a", "left_semi").withColumn("node", F.xxhash64("a", "b"))
+    first = checkpoint(confirmed(ends.select("node", F.explode(F.array("a", "b")).alias("rep"))))
+    parts = components(first).withColumnRenamed("node", "rep")
+    parts = checkpoint(large.join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")))
+    counts = parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    left = parts.join(broadcast_if_small(largest), "group").withColumn("outside", F.col("part") != F.col("largest"))
+    left = checkpoint(left.select("group", "rep", "size", "outside"))
+    # every set outside meets every set: nodes are pairs of a block of the former and one of all
+    outside = left.where("outside").groupBy("group").agg(F.count(F.lit(1)).alias("n_out"))
+    left = left.join(broadcast_if_small(outside), "group")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    every, out = F.explode(F.sequence(F.lit(0), blocks("n_out") - 1)), F.explode(F.sequence(F.lit(0), blocks("size") - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+    one = left.select("group", "rep", every.alias("i"), own("size").alias("j"))
+    two = left.where("outside").select("group", "rep", own("n_out").alias("i"), out.alias("j"))
+    dealt = one.unionByName(two).select(F.xxhash64("group", "i", "j").alias("node"), "rep").distinct()
+    return first.unionByName(confirmed(dealt))
 
 
 def _full_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -312,21 +382,35 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
                 data, offs = buffers(batch.column("text"))
                 hashes, begins = hash_words(LOWER[data], offs)
                 found = [shingles(hashes[i:j], words).tobytes() for i, j in zip(begins[:-1], begins[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "found"])
+                digest = [_digest(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(found, pa.binary())], names=["digest", "found"])
 
-    return texts.mapInArrow(run, "id long, found binary")
+    return texts.mapInArrow(run, "digest binary, found binary")
 
 
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
     """The documents that stay, one of each component, with all their columns.
 
-    Of rows that repeat the id that stays one is left, any of those with the smallest text.
+    Null ids, and texts that are null, empty or without words, all stay.  Of a
+    component the row with the smallest id stays, of several texts with that id the
+    one with the smallest hash, and of rows that repeat id and text one.
     """
-    found = near_duplicates(docs, id_col, text_col, words, percent, recall)
-    lost = checkpoint(found.where(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct())
-    stay = docs.join(lost, F.col(id_col).cast("long") == F.col("__lost"), "left_anti")
-    again = stay.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id")
-    if again.isEmpty():
-        return stay
-    once = stay.join(again, F.col(id_col) == F.col("__id"), "left_anti")
-    return once.unionByName(stay.join(again, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col]))
+    key = ["id", "k1", "k2"]
+    classes = _classes(_slim(docs, id_col, text_col), words, percent, recall).where("id IS NOT NULL AND digest IS NOT NULL")
+    classes = checkpoint(classes.select(*key, "class", "kept"))
+    lost, kept = classes.where("NOT kept").select(*key), classes.where("kept")
+    several = checkpoint(kept.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class"))
+    # the caller's columns travel as one, so that no name clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(id_col, text_col))
+    same = lambda other: rows["id"].eqNullSafe(other["id"]) & (rows["k1"] == other["k1"]) & (rows["k2"] == other["k2"])
+    if several.isEmpty():
+        lost = lost.distinct()
+        return rows.join(lost, same(lost), "left_anti").select("row.*")
+    kept = kept.join(broadcast_if_small(several), "class")
+    kept = kept.join(kept.groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("pick")), "class").withColumn("picked", F.struct("k1", "k2") == F.col("pick"))
+    kept = checkpoint(kept.select(*key, "picked"))
+    lost = lost.unionByName(kept.where("NOT picked").select(*key)).distinct()
+    again = kept.where("picked").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    gone = lost.unionByName(again)
+    stay = rows.join(gone, same(gone), "left_anti")
+    return stay.unionByName(rows.join(again, same(again), "left_semi").dropDuplicates(key)).select("row.*")
