@@ -49,6 +49,8 @@ MIN_WORDS = 8
 MIN_CHARS = 16
 #: Bits of each of the two sums by which variants are told apart.
 _MASK = (1 << 44) - 1
+#: Kinds of lines with a larger share of all lines are common ones.
+HEAVY = 1 / 2000
 _LINES, _TIES = 1 << 32, 10**9
 
 
@@ -150,12 +152,12 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, min_words: int, min_chars
     kinds = stored(halved.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(s).alias(s) for s in slots]))
 
     named = F.array(*[F.struct(F.lit(1 << i).alias("slot"), F.col(s).alias("half")) for i, s in enumerate(slots)])
-    each = kinds.where("a0 IS NOT NULL").select("h1", "h2", "first", F.inline(named)).where("half IS NOT NULL")
+    each = kinds.where("a0 IS NOT NULL").select("h1", F.inline(named)).where("half IS NOT NULL")
     shared = each.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    wanted = checkpoint(each.join(shared, "half").groupBy("h1", "h2", "first").agg(F.bit_or("slot").alias("slots")))
-    some = seen.join(broadcast_if_small(wanted.select(F.col("h1").alias("w")).distinct()), F.col("h1") == F.col("w"), "left_semi")
-    text = some.select("h1", "h2", "normal", F.expr(_PLACE).alias("place")).join(wanted.withColumnRenamed("first", "place"), ["h1", "h2", "place"])
-    text = stored(_with_units(text.dropDuplicates(["h1", "h2"]), min_words, min_chars))
+    wanted = checkpoint(each.join(shared, "half").groupBy("h1").agg(F.bit_or("slot").alias("slots")))
+    text = seen.select("h1", "h2", "normal", F.expr(_PLACE).alias("place")).join(broadcast_if_small(wanted), "h1")
+    text = text.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.any_value("normal").alias("normal"), F.any_value("slots").alias("slots"))
+    text = stored(_with_units(text, min_words, min_chars))
 
     variants = stored(_variants(text.repartition("h1", "h2")))
     earliest = variants.groupBy("v1", "v2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("v1", "v2", "first")
@@ -166,9 +168,13 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, min_words: int, min_chars
     alike = checkpoint(alike.select("h1", "h2", "earlier"))
 
     # a repeated line is told by its kind's first place or, if that one is alike to an earlier line, by that
-    kinds = kinds.select("h1", "h2", "first", "n").join(alike, ["h1", "h2"], "left").where("n > 1 OR earlier IS NOT NULL")
-    rows = seen.select("doc_id", "t1", "t2", "line", "h1", "h2", F.expr(_PLACE).alias("place")).join(kinds, ["h1", "h2"])
-    rows = rows.where("place > first OR earlier IS NOT NULL")
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kinds = stored(kinds.select("h1", "h2", "first", "n").join(alike, ["h1", "h2"], "left").where("n > 1 OR earlier IS NOT NULL"))
+    slim = seen.select("doc_id", "t1", "t2", "line", "h1", "h2", F.expr(_PLACE).alias("place"))
+    # very common lines, at most 1 / HEAVY kinds, are looked up without a shuffle
+    common = F.broadcast(kinds.where(F.col("n") > total * HEAVY))
+    rest = slim.join(common.select("h1", "h2"), ["h1", "h2"], "left_anti").join(kinds.where(F.col("n") <= total * HEAVY), ["h1", "h2"])
+    rows = slim.join(common, ["h1", "h2"]).unionByName(rest).where("place > first OR earlier IS NOT NULL")
     near = F.col("earlier").isNotNull() & (F.col("place") == F.col("first"))
     return rows.select("doc_id", "t1", "t2", "line", F.when(near, F.col("earlier")).otherwise(F.col("first")).alias("to"), near.cast("int").alias("edits"))
 
