@@ -4,7 +4,9 @@ A text's features are the distinct words it has and their beginnings of four to
 six characters (for inflected forms), hashed.  The model has one weight per
 feature, shared by all thresholds: ``P(grade >= k) = 1 / (1 + exp(theta_k - x.w))``
 with ``theta_1 < theta_2 < ...``.  The output is each text's expected grade and,
-where ``P(grade >= 1)`` reaches ``CUT``, the decision that it is toxic.
+where ``P(grade >= 1)`` reaches the model's cut, the decision that it is toxic.  The
+cut is the least that at most ``FALSE_SHARE`` of the clean training texts reach, within
+``LEAST_CUT`` and ``MOST_CUT``.
 
 The model is fitted on at most ``MAX_TRAIN`` labelled documents, those with the
 smallest hashed ids.  Features that
@@ -37,7 +39,7 @@ from .hashing import LOWER, buffers, mix64, slices, word_bounds
 MAX_TRAIN = 20_000
 MIN_DOCS = 4
 MAX_FEATURES = 8_192
-CUT = 0.3
+FALSE_SHARE, LEAST_CUT, MOST_CUT = 0.001, 0.02, 0.5
 STEMS = (4, 5, 6)
 #: A feature is kept if its log odds by label lie this far from the rest.
 LEAST_ODDS = 3.0
@@ -88,11 +90,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """``keys`` (sorted) and ``weights`` of the features; ``theta``, one threshold a grade above 0."""
+    """``keys`` (sorted) and ``weights`` of the features; ``theta``, one threshold a grade above 0; ``cut``."""
 
     keys: np.ndarray
     weights: np.ndarray
     theta: np.ndarray
+    cut: float = MOST_CUT
 
     def score(self, h: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """The linear score of each text."""
@@ -206,31 +209,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     columns = np.concatenate(sets)
     weights, theta = fit(rows, columns, len(keys), label.astype(np.int64))
-    return Model(keys, weights, theta)
+    clean = 1 / (1 + np.exp(np.clip(theta[0] - np.bincount(rows, weights[columns], minlength=len(sets))[label == 0], -500, 500)))
+    cut = np.nextafter(np.quantile(clean, 1 - FALSE_SHARE, method="higher"), 1.0) if len(clean) else MOST_CUT
+    return Model(keys, weights, theta, float(np.clip(cut, LEAST_CUT, MOST_CUT)))
 
 
-def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", cut: float = CUT) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", cut: float | None = None) -> DataFrame:
     """One row per document: id, ``p_toxic``, ``expected_severity``, ``grade`` (the likeliest), ``toxic``."""
+    least = model.cut if cut is None else cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 p = model.at_least(model.score(*features(batch.column("text"))))
                 each = -np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1), axis=1)
-                columns = [batch.column("doc_id"), pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= cut)]
+                columns = [batch.column("doc_id"), pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= least)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "p_toxic", "expected_severity", "grade", "toxic"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, p_toxic double, expected_severity double, grade int, toxic boolean")
 
 
-def reject_toxic(docs: DataFrame, model: Model, text_col="text", cut: float = CUT) -> DataFrame:
+def reject_toxic(docs: DataFrame, model: Model, text_col="text", cut: float | None = None) -> DataFrame:
     """The documents that aren't toxic, with all their columns: a map over the rows, no join."""
+    least = model.cut if cut is None else cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
                 p = model.at_least(model.score(*features(batch.column(text_col))))[:, 0]
-                yield batch.filter(pa.array(p < cut))
+                yield batch.filter(pa.array(p < least))
 
     return docs.mapInArrow(run, docs.schema)
