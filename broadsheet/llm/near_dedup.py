@@ -16,9 +16,9 @@ the threshold, not the pairs themselves.  What is connected in all the forests
 is a group, which holds all links of its members.  Groups are then confirmed on
 full sets: their members' shingles are brought together once, similarity is
 computed exactly, and a spanning forest of the true links is emitted, whose
-connected components are the result.  In a group of more than ``BLOCK_ROWS`` sets the
-forests' own edges are confirmed first; what these connect needs no more
-comparing, so only the sets outside the largest component so found meet the
+connected components are the result.  In a group of more than ``BLOCK_ROWS`` sets
+edges of the forests are confirmed first, in rounds in which each part connected so
+far tries one edge that leads out of it; what these connect needs no more comparing, so only the sets outside the largest component so found meet the
 whole group, in pairs of blocks.
 
 Defined results: a null or empty text, or one of white space, has an empty set
@@ -51,6 +51,8 @@ MOST_DEPTH = 2
 RECALL = 0.9999999
 #: Documents of a large group whose full sets meet in one task, at most twice as many.
 BLOCK_ROWS = 384
+#: Rounds in which parts of a large group are joined by single edges; what is left is compared in blocks.
+TREE_ROUNDS = 8
 
 _rng = np.random.default_rng(20240101)
 _A = (_rng.integers(1, 2**31, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
@@ -355,10 +357,24 @@ def _classes(slim: DataFrame, words: int, percent: int, recall: float) -> DataFr
 
 def _large_links(large: DataFrame, near: DataFrame, confirmed) -> DataFrame:
     """Links that connect what the links within large groups (``group``, ``rep``, ``size``) connect."""
-    ends = near.join(large.select(F.col("rep").alias("a")), "a", "left_semi").withColumn("node", F.xxhash64("a", "b"))
-    first = checkpoint(confirmed(ends.select("node", F.explode(F.array("a", "b")).alias("rep"))))
-    parts = components(first).withColumnRenamed("node", "rep")
-    parts = checkpoint(large.join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")))
+    edges = checkpoint(near.join(large.select(F.col("rep").alias("a")), "a", "left_semi"))
+    parts = large.withColumn("part", F.col("rep"))
+    first = None
+    for _ in range(TREE_ROUNDS):
+        # each part tries one edge that leads out of it, so few sets travel
+        of = lambda end, name: parts.select(F.col("rep").alias(end), F.col("part").alias(name))  # noqa: B023, E731
+        out = edges.join(of("a", "pa"), "a").join(of("b", "pb"), "b").where("pa <> pb")
+        ways = out.select(F.explode(F.array("pa", "pb")).alias("part"), "a", "b")
+        tried = ways.groupBy("part").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("e"))
+        tried = checkpoint(tried.select("e.a", "e.b").distinct())
+        if tried.isEmpty():
+            break
+        ends = tried.select(F.xxhash64("a", "b").alias("node"), F.explode(F.array("a", "b")).alias("rep"))
+        true = confirmed(ends)
+        first = checkpoint(true if first is None else first.unionByName(true))
+        edges = checkpoint(edges.join(tried, ["a", "b"], "left_anti"))
+        joined = components(first).withColumnRenamed("node", "rep")
+        parts = checkpoint(large.join(joined, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component"))
     counts = parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     left = parts.join(broadcast_if_small(largest), "group").withColumn("outside", F.col("part") != F.col("largest"))
