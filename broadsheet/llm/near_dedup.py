@@ -17,9 +17,10 @@ is a group, which holds all links of its members.  Groups are then confirmed on
 full sets: their members' shingles are brought together once, similarity is
 computed exactly, and a spanning forest of the true links is emitted, whose
 connected components are the result.  In a group of more than ``BLOCK_ROWS`` sets
-edges of the forests are confirmed first, in rounds in which each part connected so
-far tries one edge that leads out of it; what these connect needs no more comparing, so only the sets outside the largest component so found meet the
-whole group, in pairs of blocks.
+edges of the forests are confirmed first, in ``TRIES`` rounds in which each part connected
+so far tries a few edges that lead out of it; what these connect needs no more comparing,
+so only the sets outside the largest component so found meet the whole group, in pairs of
+blocks.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and is linked with nothing.  A text of fewer words than a shingle is one
@@ -51,8 +52,8 @@ MOST_DEPTH = 2
 RECALL = 0.9999999
 #: Documents of a large group whose full sets meet in one task, at most twice as many.
 BLOCK_ROWS = 384
-#: Rounds in which parts of a large group are joined by single edges; what is left is compared in blocks.
-TREE_ROUNDS = 8
+#: Edges that each part of a large group tries at most, by round; what is left is compared in blocks.
+TRIES = (2, 4, 8)
 
 _rng = np.random.default_rng(20240101)
 _A = (_rng.integers(1, 2**31, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
@@ -360,12 +361,12 @@ def _large_links(large: DataFrame, near: DataFrame, confirmed) -> DataFrame:
     edges = checkpoint(near.join(large.select(F.col("rep").alias("a")), "a", "left_semi"))
     parts = large.withColumn("part", F.col("rep"))
     first = None
-    for _ in range(TREE_ROUNDS):
-        # each part tries one edge that leads out of it, so few sets travel
+    for ways in TRIES:
+        # each part tries few of the edges that lead out of it, so few sets travel
         of = lambda end, name: parts.select(F.col("rep").alias(end), F.col("part").alias(name))  # noqa: B023, E731
         out = edges.join(of("a", "pa"), "a").join(of("b", "pb"), "b").where("pa <> pb")
-        ways = out.select(F.explode(F.array("pa", "pb")).alias("part"), "a", "b")
-        tried = ways.groupBy("part").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("e"))
+        out = out.select(F.explode(F.array("pa", "pb")).alias("part"), F.pmod(F.xxhash64("a", "b"), F.lit(ways)).alias("way"), "a", "b")
+        tried = out.groupBy("part", "way").agg(F.min_by(F.struct("a", "b"), F.xxhash64("b", "a")).alias("e"))
         tried = checkpoint(tried.select("e.a", "e.b").distinct())
         if tried.isEmpty():
             break
