@@ -1,6 +1,7 @@
 """A deterministic sharded writer of WARC archives, and a reader.
 
-Pages are dealt to shards by ranges of their id and sorted within.  A task
+Pages are dealt to shards by ranges of their id, cut by bytes, and sorted within; an id
+with more bytes than a shard is split further by digest.  A task
 writes its shard as ``.warc.gz`` files, one gzip member a record, and begins a
 new file when the compressed size passes a limit.  All headers and digests are
 made anew.  Files are written under names that carry the attempt; the names of
@@ -33,14 +34,15 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint, range_bounds, range_part
 
 MIN_BYTES = 0
 ROLL_BYTES = 64 << 20
-SHARD_ROWS = 4096
+#: A shard has about so many ids, and payloads of at most about so many bytes, unless that makes too many shards.
+SHARD_ROWS, SHARD_BYTES, MOST_SHARDS = 4096, 16 << 20, 65_536
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -164,19 +166,49 @@ def _commit(batches: Iterator[pa.RecordBatch], out_dir: str) -> Iterator[pa.Reco
         yield batch
 
 
-def write_warc(pages: DataFrame, out_dir: str, id_col="page_id", url_col="url", payload_col="html", min_bytes=MIN_BYTES, roll_bytes=ROLL_BYTES, shard_rows=SHARD_ROWS, date=DATE) -> DataFrame:
+def _in_shards(rows: DataFrame, slim: DataFrame, shard_rows: int, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``rows`` with their ``shard``, and the number of shards; ``slim`` has ``page_id`` and ``size``.
+
+    Ranges of about ``shard_rows`` ids are cut where the bytes summed along the ids pass a
+    multiple of ``shard_bytes``.  An id that alone has more bytes goes by the digests of
+    its payloads to shards of its own, after the others.
+    """
+    ranges = range_bounds(slim, "page_id", shard_rows)
+    of_id = checkpoint(slim.groupBy("page_id").agg(F.sum("size").alias("bytes")))
+    total = of_id.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    each = max(shard_bytes, total // (MOST_SHARDS // 2) + 1)
+    run = Window.partitionBy("range").orderBy(F.col("page_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    light = of_id.where(F.col("bytes") <= each).withColumn("range", range_part(F.col("page_id"), ranges))
+    light = light.withColumn("step", F.floor(F.coalesce(F.sum("bytes").over(run), F.lit(0)) / each))
+    firsts = light.groupBy("range", "step").agg(F.min("page_id").alias("id")).where("id IS NOT NULL").select("id").collect()
+    bounds = sorted(r["id"] for r in firsts)[1:]
+    # at most total / each ids
+    heavy = [(r["page_id"], -(-r["bytes"] // each)) for r in of_id.where(F.col("bytes") > each).orderBy("page_id").collect()]
+    own, shards = [], len(bounds) + 1
+    for page_id, parts in heavy:
+        own.append((page_id, shards, parts))
+        shards += parts
+    shard = range_part(F.col("page_id"), bounds)
+    if not own:
+        return rows.withColumn("shard", shard), shards
+    own = F.broadcast(rows.sparkSession.createDataFrame(own, "heavy long, first int, parts int"))
+    rows = rows.join(own, F.col("page_id").eqNullSafe(F.col("heavy")), "left")
+    split = F.col("first") + F.pmod(F.xxhash64("sha1"), F.col("parts")).cast("int")
+    return rows.withColumn("shard", F.coalesce(split, shard)).drop("heavy", "first", "parts"), shards
+
+
+def write_warc(pages: DataFrame, out_dir: str, id_col="page_id", url_col="url", payload_col="html", min_bytes=MIN_BYTES, roll_bytes=ROLL_BYTES, shard_rows=SHARD_ROWS, shard_bytes=SHARD_BYTES, date=DATE) -> DataFrame:
     """Writes the archive to ``out_dir`` (a new folder that all executors share) and returns its manifest."""
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     slim = checkpoint(page.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size")))
     alike = slim.where(F.col("size") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "refers_to")
     revisits = slim.join(alike, "sha1").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
 
-    bounds = range_bounds(slim, "page_id", shard_rows)
-    shard = range_part(F.col("page_id"), bounds).alias("shard")
     none = F.lit(None).cast("string")
-    rows = page.select(shard, "page_id", "url", "payload", F.sha1("payload").alias("sha1"), F.lit(None).cast("long").alias("refers_to"))
-    rows = rows.unionByName(revisits.select(shard, "page_id", none.alias("url"), none.alias("payload"), "sha1", "refers_to"))
-    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", F.col("payload").isNotNull(), "sha1", "url")
+    rows = page.select("page_id", "url", "payload", F.sha1("payload").alias("sha1"), F.lit(None).cast("long").alias("refers_to"))
+    rows = rows.unionByName(revisits.select("page_id", none.alias("url"), none.alias("payload"), "sha1", "refers_to"))
+    rows, shards = _in_shards(rows, slim, shard_rows, shard_bytes)
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", F.col("payload").isNotNull(), "sha1", "url")
     fs.FileSystem.from_uri(out_dir)[0].create_dir(fs.FileSystem.from_uri(out_dir)[1], recursive=True)
     files = checkpoint(rows.mapInArrow(lambda b: _write_shards(b, out_dir, roll_bytes, date), _FILES))
     committed = files.mapInArrow(lambda b: _commit(b, out_dir), _FILES).drop("temporary")

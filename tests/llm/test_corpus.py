@@ -195,6 +195,19 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, out).count() == 0
 
 
+def test_warc_shards_by_bytes_and_splits_heavy_ids(spark):
+    data = [(None, f"u{i}", f"null {i} " + "y" * 300) for i in range(100)] + [(i, f"v{i}", f"page {i} " + "z" * (4000 if i % 10 == 0 else 50)) for i in range(200)]
+    pages = spark.createDataFrame([(i, u, h, "clash", 1) for i, u, h in data], "page_id long, url string, html string, shard string, size int")
+    out, manifest = archive(spark, pages, shard_rows=1000, shard_bytes=8000)
+    got = rows(warc.read_warc(spark, out), "page_id", "payload_bytes", "payload_digest", "record_type")
+    want = [(i, len(h), warc.base32_sha1(h.encode()), "response") for i, _, h in data]
+    assert got == sorted(want, key=lambda x: tuple((v is None, str(v)) for v in x))
+    per_shard = {r.shard: r.n for r in manifest.groupBy("shard").agg({"records": "sum"}).withColumnRenamed("sum(records)", "n").collect()}
+    assert len(per_shard) >= 15 and max(per_shard.values()) < 100
+    _, again = archive(spark, pages.repartition(5), shard_rows=1000, shard_bytes=8000)
+    assert rows(manifest, "name", "bytes", "sha1") == rows(again, "name", "bytes", "sha1")
+
+
 def test_warc_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     out, _ = archive(spark, pages, min_bytes=3)
