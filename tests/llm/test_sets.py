@@ -191,39 +191,6 @@ def test_near_duplicates_in_one_large_group(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_near_duplicates_of_repeated_ids(spark):
-    words = [f"w{i}" for i in range(60)]
-    a, b = " ".join(words), " ".join(f"v{i}" for i in range(60))
-    a2, b2 = a.replace("w59", "x"), b.replace("v0 ", "y ")
-    data = [(1, a), (1, b), (2, a2), (3, b2), (4, "something else"), (4, "another text"), (4, "another text"), (None, a), (5, a)]
-    for parts in (1, 3):
-        df = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
-        got = sorted((r.doc_id or 0, r.component_id or 0) for r in near_dedup.near_duplicates(df).collect())
-        assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 1)]
-        kept = sorted(((r.doc_id or 0, r.text) for r in near_dedup.deduplicate(df).collect()))
-        assert kept == sorted([(0, a), (1, a), (1, b), (4, "something else"), (4, "another text")])
-    # two texts of one id that are linked: one stays, the same at any partitioning
-    df = spark.createDataFrame([(7, a), (7, a2), (8, a)], "doc_id long, text string")
-    assert len({tuple(r) for n in (1, 2, 3) for r in near_dedup.deduplicate(df.repartition(n)).collect()}) == 1
-
-
-def test_near_duplicates_in_one_large_group(spark, monkeypatch):
-    """A group of many blocks: a large component, smaller ones and sets that only sketches brought near."""
-    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 40)
-    random.seed(13)
-    template = [f"t{i}" for i in range(70)]
-    data = []
-    for k in range(300):
-        text = list(template)
-        for at in random.sample(range(70), random.choice([0, 1, 1, 2, 3, 4])):
-            text[at] = f"x{random.randrange(4000)}"
-        data.append((k, " ".join(text)))
-    want = {i: c for i, (_, c) in brute_components(data, 5, 80).items()}
-    assert 1 < len(set(want.values())) < 290
-    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == want
-
-
 def test_near_duplicates_edge_cases(spark):
     got = near_dedup.near_duplicates(table(spark), words=3, percent=85)
     ids = rows(got, "doc_id", "n_shingles", "component_id", "kept")
