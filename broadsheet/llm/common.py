@@ -49,6 +49,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Removes the files of a table that ``stored`` wrote and nothing reads any more."""
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/table-" not in name:
+            raise ValueError(f"not a stored table: {name}")
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it has few rows, else as it is, for a shuffled join.
 
