@@ -12,8 +12,8 @@ partition (t_i = -1 passes a partition over).  Every q chooses its own threshold
 dynamic programming over the partitions for the least of probes and estimated
 candidates; estimates come from counts over all fingerprints of what pieces of at most
 ``PIECE`` bits hold, taken as independent.  q then probes a partition's values within
-t_i of its own, in one join with all fingerprints' values, and candidates are verified
-inside the join.  Whatever the estimates, the result is exact: they only decide costs.
+t_i of its own, in one join with the values of all smaller fingerprints, and candidates
+are verified inside the join.  Whatever the estimates, the result is exact: they only decide costs.
 
 A value that more than ``HOT`` fingerprints share is hot (families on one template) and
 not probed, as its candidates grow with the square of the family.  Fingerprints that
@@ -52,8 +52,8 @@ WORDS, BITS = 3, 3
 SEED = 42
 #: Bits of a piece whose values are counted, for estimates.
 PIECE = 11
-#: Fingerprints that may share a value of a partition and be compared in pairs.
-HOT = 128
+#: Fingerprints that may share a value of a partition and be compared with a probe: as many as a fingerprint has points.
+HOT = 2081
 _HASHES = 1 << 16
 
 
@@ -288,7 +288,7 @@ def near_fingerprints(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataF
     cool = lambda df: df.join(broadcast_if_small(crowded), "key", "left_anti") if some else df
     a, b = cool(probes).alias("a"), cool(index).alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits
-    links = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    links = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if not some:
         return components(links).select(F.col("node").alias("fp"), "component")
 
