@@ -1,26 +1,26 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its word shingles.  Equal sets count once.  A set is
-embedded as minwise values.  In each of several independent trees a node
-chooses one of the coordinates (the root one of its tree's own, another node at
-random from its path) and its documents branch by their minwise value there; a
-pair of similarity s stays together with probability s at each branching.  Nodes of at most ``NODE_ROWS``
-documents are leaves, whose pairs are compared exhaustively on sketches of the
-minwise values; larger ones branch on, down to ``MOST_DEPTH``, below which they
-are cut into blocks and every pair of blocks is a leaf.  Nodes of one document
-go.  The number of trees follows from the target recall at the threshold for a
-pair that branches ``MOST_DEPTH`` times (``missed``), so it holds for every pair.
+embedded as minwise values.  In each of several independent trees documents branch
+by their minwise values, at a coordinate of the tree's own for each depth; a pair of
+similarity s stays together with probability s at each branching.  Nodes of at most
+``NODE_ROWS`` documents are leaves, whose pairs are compared exhaustively on sketches
+of the minwise values; larger ones branch on, down to ``MOST_DEPTH``.  Nodes of one
+document go.  The number of trees follows from the target recall at the threshold for
+a pair that branches ``MOST_DEPTH`` times in all of them (``missed``), so it holds for
+every pair; where coordinates don't suffice for that, it is an error.
 
 A leaf passes on a spanning forest of the pairs whose sketches come near
-the threshold, not the pairs themselves.  What is connected in all the forests
-is a group, which holds all links of its members.  Groups are then confirmed on
-full sets: their members' shingles are brought together once, similarity is
+the threshold, not the pairs themselves.  A node that is still large at the last depth
+holds a family of near copies, as its documents agree in all coordinates so far; it
+passes on a star of all its documents, without comparing them.  What is connected in
+forests and stars is a group, which holds all links of its members.  Groups are then
+confirmed on full sets: their members' shingles are brought together once, similarity is
 computed exactly, and a spanning forest of the true links is emitted, whose
-connected components are the result.  In a group of more than ``BLOCK_ROWS`` sets
-edges of the forests are confirmed first, in ``TRIES`` rounds in which each part connected
-so far tries a few edges that lead out of it; what these connect needs no more comparing,
-so only the sets outside the largest component so found meet the whole group, in pairs of
-blocks.
+connected components are the result.  A group too large for one task (``BLOCK_ROWS`` sets
+or ``BLOCK_SHINGLES`` of theirs) is dealt to blocks, each with the same ``PIVOTS`` of its sets.
+Families hang together by their pivots, so few sets stay outside the largest component so
+found; those are a query set that is compared with the whole group, block by block.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and is linked with nothing.  A text of fewer words than a shingle is one
@@ -38,22 +38,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint, stored, whole_groups
 from .components import components
 from .hashing import LOWER, buffers, hash_words, mix64, shingles, slices
 
-#: Minwise values of a set: whole ones to branch by, and low bytes to compare.
-PATHS, T = 64, 128
-NODE_ROWS = 4096
-MOST_DEPTH = 2
+#: Minwise values of a set, to branch by and, by their low bytes, to compare.
+T = 128
+NODE_ROWS = 1024
+MOST_DEPTH = 3
 RECALL = 0.9999999
-#: Documents of a large group whose full sets meet in one task, at most twice as many.
-BLOCK_ROWS = 384
-#: Edges that each part of a large group tries at most, by round; what is left is compared in blocks.
-TRIES = (2, 4, 8)
+#: Sets of a group that meet in one task, and shingles of theirs, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
+#: Sets of a larger group that meet all its blocks.
+PIVOTS = 24
 
 _rng = np.random.default_rng(20240101)
 _A = (_rng.integers(1, 2**31, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
@@ -74,20 +74,17 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def missed(share: float, trees: int) -> float:
-    """Probability that a pair of this similarity meets in no leaf.
-
-    Roots have coordinates of their own; the others are shared by all trees, so
-    the mean goes over the number of them in which the pair agrees.
-    """
-    rest = PATHS - trees
-    agree = [math.comb(rest, k) * share**k * (1 - share) ** (rest - k) for k in range(rest + 1)]
-    return sum(p * (1 - share * (k / rest) ** (MOST_DEPTH - 1)) ** trees for k, p in enumerate(agree))
+    """Probability that a pair of this similarity, branching ``MOST_DEPTH`` times, meets in no leaf; no two branchings share a coordinate."""
+    return (1 - share**MOST_DEPTH) ** trees
 
 
 def trees_for(threshold: float, recall: float = RECALL) -> int:
-    """The least number of trees that reaches the recall, else that which comes nearest."""
-    most = range(1, PATHS - 7)
-    return next((n for n in most if missed(threshold, n) <= 1 - recall), min(most, key=lambda n: missed(threshold, n)))
+    """The least number of trees that reaches the recall."""
+    most = T // MOST_DEPTH
+    found = next((n for n in range(1, most + 1) if missed(threshold, n) <= 1 - recall), None)
+    if found is None:
+        raise ValueError(f"a recall of {recall} at similarity {threshold} needs more than {most} trees; ask for {1 - missed(threshold, most):.4g} at most")
+    return found
 
 
 def least_likeness(threshold: float) -> float:
@@ -120,7 +117,7 @@ def _digest(shingles: bytes) -> bytes | None:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, number of shingles, digest of the set, minwise values, and their low bytes as a sketch."""
+    """id, number of shingles, digest of the set, and minwise values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -134,39 +131,38 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                         *(batch.column(c) for c in ("id", "k1", "k2")),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([x[:PATHS].tobytes() if x is not None else None for x in low], pa.binary()),
-                        pa.array([x.astype(np.uint8).tobytes() if x is not None else None for x in low], pa.binary()),
+                        pa.array([x.tobytes() if x is not None else None for x in low], pa.binary()),
                     ],
-                    names=["id", "k1", "k2", "n", "digest", "low", "sketch"],
+                    names=["id", "k1", "k2", "n", "digest", "low"],
                 )
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, n long, digest binary, low binary, sketch binary")
+    return docs.mapInArrow(run, "id long, k1 long, k2 long, n long, digest binary, low binary")
 
 
 def _branch(rows: DataFrame, depth: int, trees: int) -> DataFrame:
-    """(``node``, ``rep``): the children of the nodes in ``rows``; at depth 0 each document in each tree."""
+    """(``tree``, ``node``, ``rep``): the children of the nodes in ``rows``; at depth 0 each document in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint32).reshape(-1, PATHS)
+            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint32).reshape(-1, T)
             rep = batch.column("rep").to_numpy()
             if depth:
-                node = batch.column("node").to_numpy().view(np.uint64)[:, None]
-                choice = (mix64(node + np.uint64(2 * depth + 1)) % np.uint64(PATHS - trees)).astype(np.int64) + trees
+                tree, node = batch.column("tree").to_numpy()[:, None], batch.column("node").to_numpy().view(np.uint64)[:, None]
             else:
-                node = np.broadcast_to(mix64(np.arange(1, trees + 1, dtype=np.uint64)), (len(rep), trees))
-                choice = np.broadcast_to(np.arange(trees), node.shape)
-            value = np.take_along_axis(low, choice, axis=1).astype(np.uint64)
+                tree = np.broadcast_to(np.arange(trees), (len(rep), trees))
+                node = mix64(tree.astype(np.uint64) + np.uint64(1))
+            value = np.take_along_axis(low, tree * MOST_DEPTH + depth, axis=1).astype(np.uint64)
             child = mix64(mix64(node * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth)) + value)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64).ravel()), pa.array(np.repeat(rep, child.shape[1]))], names=["node", "rep"])
+            fields = [tree.astype(np.int32).ravel(), child.view(np.int64).ravel(), np.repeat(rep, child.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in fields], names=["tree", "node", "rep"])
 
-    return rows.mapInArrow(run, "node long, rep long")
+    return rows.mapInArrow(run, "tree int, node long, rep long")
 
 
-def _leaves(reps: DataFrame, trees: int) -> DataFrame:
-    """(``node``, ``rep``) of all leaves with two documents or more."""
+def _leaves(reps: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None]:
+    """(``node``, ``rep``) of all leaves with two documents or more, and of the nodes that are large to the last, if any."""
     rows = reps.select("rep", "low")
     done = []
     for depth in range(MOST_DEPTH):
@@ -176,27 +172,24 @@ def _leaves(reps: DataFrame, trees: int) -> DataFrame:
         done.append(rows.where(F.col("size") <= NODE_ROWS).select("node", "rep"))
         large = rows.where(F.col("size") > NODE_ROWS)
         if large.isEmpty():
+            large = None
             break
-        rows = reps.select("rep", "low").join(broadcast_if_small(large.select("node", "rep")), "rep").select("node", "rep", "low")
-    else:
-        done.append(_blocks(large, "node", "rep", NODE_ROWS // 2))
+        rows = reps.select("rep", "low").join(broadcast_if_small(large.select("tree", "node", "rep")), "rep").select("tree", "node", "rep", "low")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out, large
 
 
-def _blocks(rows: DataFrame, group: str, member: str, block_rows: int) -> DataFrame:
-    """Rows (``group``, ``member``, ``size``) dealt so that every two members of a group meet in one node.
+def _sketches(reps: DataFrame) -> DataFrame:
+    """(``r``, ``n``, ``sketch``): the low bytes of the minwise values."""
 
-    The group is cut into blocks by hash; a node is a pair of blocks.  A group of
-    one block keeps its number.
-    """
-    blocks = F.ceil(F.col("size") / block_rows).cast("int")
-    own = F.pmod(F.xxhash64(member), blocks).cast("int")
-    rows = rows.select(group, member, blocks.alias("blocks"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64(F.col(group), F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(F.when(F.col("blocks") == 1, F.col(group)).otherwise(pair).alias("node"), member)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint32).reshape(-1, T).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array([x.tobytes() for x in low], pa.binary())], names=["r", "n", "sketch"])
+
+    return reps.select("rep", "n", "low").mapInArrow(run, "r long, n long, sketch binary")
 
 
 def _compare_sketches(threshold: float):
@@ -236,34 +229,37 @@ def _compare_sketches(threshold: float):
 
 
 def _confirm(percent: int):
-    """Of batches sorted by node: forests of the pairs that are links by their full sets."""
+    """Of batches sorted by node: forests of the pairs that are links by their full sets; rows that are not ``asked`` aren't compared with one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "node"):
             node, rep = t.column("node").to_numpy(), t.column("rep").to_numpy()
+            asked = t.column("asked").to_numpy(zero_copy_only=False)
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("found")]
             first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             edges: list[tuple[int, int]] = []
             for i, j in zip(first.tolist(), [*first[1:].tolist(), len(node)]):
-                edges += [(rep[i + p], rep[i + q]) for p, q in true_forest(sets[i:j], percent)]
+                edges += [(rep[i + p], rep[i + q]) for p, q in true_forest(sets[i:j], percent, asked[i:j])]
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def true_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def true_forest(sets: list[np.ndarray], percent: int, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect what the links of ``sets`` connect; links have 100 |a & b| >= percent |a | b|.
 
-    Sets are taken by size; each is counted against all before it by way of an
-    inverted index, restricted to those of a size that allows a link.
+    Each set is counted against all before it by way of an inverted index.  Sets that
+    are not ``asked`` come first and are in the index only, so links between two of
+    them aren't looked for.
     """
     forest = Forest(len(sets))
     n = np.array([len(s) for s in sets])
     if len(sets) == 2:
         common = len(np.intersect1d(*sets, assume_unique=True))
         return [(0, 1)] if 100 * common >= percent * (int(n.sum()) - common) and n.min() else []
-    order = np.argsort(n, kind="stable")
+    asked = np.ones(len(sets), bool) if asked is None else asked
+    order = np.lexsort((n, asked))
     values, inverse = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     owner = np.repeat(np.arange(len(order)), n[order])
     by_value = np.argsort(inverse, kind="stable")  # within a value by owner
@@ -271,7 +267,7 @@ def true_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     begins = np.searchsorted(inverse[by_value], np.arange(len(values) + 1))
     at = np.concatenate([[0], np.cumsum(n[order])])
     size = n[order]
-    for i in range(1, len(order)):
+    for i in range(max(1, int((~asked).sum())), len(order)):
         mine = inverse[at[i] : at[i + 1]]
         lo, hi = begins[mine], begins[mine + 1]
         length = hi - lo
@@ -279,9 +275,8 @@ def true_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             continue
         flat = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
         common = np.bincount(posting[flat], minlength=len(order))[:i]
-        for j in np.flatnonzero(100 * common >= percent * (size[:i] + size[i] - common)).tolist():
-            if common[j]:
-                forest.join(int(order[j]), int(order[i]))
+        for j in np.flatnonzero((common > 0) & (100 * common >= percent * (size[:i] + size[i] - common))).tolist():
+            forest.join(int(order[j]), int(order[i]))
     return forest.edges
 
 
@@ -309,39 +304,41 @@ def _classes(slim: DataFrame, words: int, percent: int, recall: float) -> DataFr
     # equal sets count once, under the smallest id, or a hash where an id has several sets
     same = checkpoint(known.groupBy("digest").agg(F.min("id").alias("first")))
     shared = same.groupBy("first").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select(F.col("first").alias("f"))
-    shared = checkpoint(shared)
     unique = shared.isEmpty()
     if unique:
         same = same.withColumn("rep", F.col("first"))
     else:
-        same = same.join(broadcast_if_small(shared), F.col("first") == F.col("f"), "left")
+        same = same.join(broadcast_if_small(checkpoint(shared)), F.col("first") == F.col("f"), "left")
         same = checkpoint(same.select("digest", "first", F.when(F.col("f").isNull(), F.col("first")).otherwise(F.xxhash64("digest")).alias("rep")))
     named = same.withColumnsRenamed({"digest": "d"})
     reps = known.join(named, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("first")))
-    reps = checkpoint(reps.select("rep", "n", "low", "sketch").dropDuplicates(["rep"]))
+    reps = checkpoint(reps.select("rep", "n", "low").dropDuplicates(["rep"]))
 
-    leaves = _leaves(reps, trees_for(threshold, recall))
-    sketch = reps.select(F.col("rep").alias("r"), "n", "sketch")
-    leaves = leaves.join(sketch, F.col("rep") == F.col("r")).select("node", "rep", "n", "sketch")
+    leaves, dense = _leaves(reps, trees_for(threshold, recall))
+    leaves = leaves.join(_sketches(reps), F.col("rep") == F.col("r")).select("node", "rep", "n", "sketch")
     near = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_sketches(threshold), "a long, b long")
-    near = checkpoint(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if dense is not None:
+        centre = dense.groupBy("node").agg(F.min("rep").alias("a"))
+        near = near.unionByName(dense.join(centre, "node").where("a <> rep").select("a", F.col("rep").alias("b")))
     groups = checkpoint(components(near).select(F.col("node").alias("rep"), F.col("component").alias("group")))
 
-    wanted = groups.join(same, "rep").select("rep", "digest", "first")
+    wanted = checkpoint(groups.join(same, "rep").select("rep", "group", "digest", "first"))
     texts = slim.join(broadcast_if_small(wanted.select(F.col("first").alias("f"))), F.col("id") == F.col("f"), "left_semi")
-    full = stored(_full_sets(texts, words).join(wanted.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d")).select("rep", "found").dropDuplicates(["rep"]))
+    full = _full_sets(texts, words).join(wanted.select(F.col("digest").alias("d"), "rep", "group"), F.col("digest") == F.col("d"))
+    full = stored(full.select("rep", "group", "found").dropDuplicates(["rep"]))
 
     def confirmed(dealt: DataFrame) -> DataFrame:
-        dealt = dealt.join(full, "rep").select("node", "rep", "found")
+        dealt = dealt.join(full.select("rep", "found"), "rep").select("node", "rep", "asked", "found")
         return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_confirm(percent), "a long, b long")
 
-    sizes = checkpoint(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")))
-    small = groups.join(sizes.where(F.col("size") <= BLOCK_ROWS), "group")
-    links = confirmed(small.select(F.col("group").alias("node"), "rep"))
-    large = sizes.where(F.col("size") > BLOCK_ROWS)
+    weights = F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(F.octet_length("found") / 8) / BLOCK_SHINGLES)
+    blocks = checkpoint(full.groupBy("group").agg(F.ceil(weights).cast("int").alias("blocks")))
+    small = full.select("rep", "group").join(blocks.where("blocks = 1"), "group")
+    links = confirmed(small.select(F.col("group").alias("node"), "rep", F.lit(True).alias("asked")))
+    large = blocks.where("blocks > 1")
     if not large.isEmpty():
-        large = checkpoint(groups.join(broadcast_if_small(large), "group"))
-        links = checkpoint(links.unionByName(_large_links(large, near, confirmed)))
+        large = checkpoint(full.select("rep", "group").join(broadcast_if_small(large), "group"))
+        links = checkpoint(links.unionByName(_large_links(large, confirmed)))
     found = components(links).withColumnRenamed("node", "rep")
 
     # components go by their smallest id
@@ -356,40 +353,30 @@ def _classes(slim: DataFrame, words: int, percent: int, recall: float) -> DataFr
     return out.select("id", "k1", "k2", "n", "digest", "class", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _large_links(large: DataFrame, near: DataFrame, confirmed) -> DataFrame:
-    """Links that connect what the links within large groups (``group``, ``rep``, ``size``) connect."""
-    edges = checkpoint(near.join(large.select(F.col("rep").alias("a")), "a", "left_semi"))
-    parts = large.withColumn("part", F.col("rep"))
-    first = None
-    for ways in TRIES:
-        # each part tries few of the edges that lead out of it, so few sets travel
-        of = lambda end, name: parts.select(F.col("rep").alias(end), F.col("part").alias(name))  # noqa: B023, E731
-        out = edges.join(of("a", "pa"), "a").join(of("b", "pb"), "b").where("pa <> pb")
-        out = out.select(F.explode(F.array("pa", "pb")).alias("part"), F.pmod(F.xxhash64("a", "b"), F.lit(ways)).alias("way"), "a", "b")
-        tried = out.groupBy("part", "way").agg(F.min_by(F.struct("a", "b"), F.xxhash64("b", "a")).alias("e"))
-        tried = checkpoint(tried.select("e.a", "e.b").distinct())
-        if tried.isEmpty():
-            break
-        ends = tried.select(F.xxhash64("a", "b").alias("node"), F.explode(F.array("a", "b")).alias("rep"))
-        true = confirmed(ends)
-        first = checkpoint(true if first is None else first.unionByName(true))
-        edges = checkpoint(edges.join(tried, ["a", "b"], "left_anti"))
-        joined = components(first).withColumnRenamed("node", "rep")
-        parts = checkpoint(large.join(joined, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component"))
+def _large_links(large: DataFrame, confirmed) -> DataFrame:
+    """Links that connect what the links within large groups (``group``, ``rep``, ``blocks``) connect."""
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    # blocks of the group, all with its pivots: the sets whose hashes are least
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("rep"), "rep"))
+    pivots = large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+    rows = large.select("group", "rep", own("blocks").alias("i")).unionByName(pivots.select("group", "rep", every.alias("i"))).distinct()
+    first = checkpoint(confirmed(rows.select(F.xxhash64("group", "i").alias("node"), "rep", F.lit(True).alias("asked"))))
+    joined = components(first).withColumnRenamed("node", "rep")
+    parts = checkpoint(large.join(joined, "rep", "left").select("group", "rep", "blocks", F.coalesce("component", "rep").alias("part")))
     counts = parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    left = parts.join(broadcast_if_small(largest), "group").withColumn("outside", F.col("part") != F.col("largest"))
-    left = checkpoint(left.select("group", "rep", "size", "outside"))
-    # every set outside meets every set: nodes are pairs of a block of the former and one of all
-    outside = left.where("outside").groupBy("group").agg(F.count(F.lit(1)).alias("n_out"))
-    left = left.join(broadcast_if_small(outside), "group")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
-    every, out = F.explode(F.sequence(F.lit(0), blocks("n_out") - 1)), F.explode(F.sequence(F.lit(0), blocks("size") - 1))
-    own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-    one = left.select("group", "rep", every.alias("i"), own("size").alias("j"))
-    two = left.where("outside").select("group", "rep", own("n_out").alias("i"), out.alias("j"))
-    dealt = one.unionByName(two).select(F.xxhash64("group", "i", "j").alias("node"), "rep").distinct()
-    return first.unionByName(confirmed(dealt))
+    largest = counts.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    largest = largest.where("most < all").withColumn("out", F.expr(f"cast(ceil((all - most) / {BLOCK_ROWS}) AS int)"))
+    left = checkpoint(parts.join(largest, "group").select("group", "rep", "blocks", "out", (F.col("part") != F.col("largest")).alias("asked")))
+    # every set outside is asked for in every block of the group
+    asked = left.where("asked").select("group", "rep", "asked", own("out").alias("o"), every.alias("i"))
+    them = left.where("NOT asked").select("group", "rep", "asked", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("o"), own("blocks").alias("i"))
+    # and two blocks of them meet, too
+    one, two = F.least("o", "i"), F.greatest("o", "i")
+    among = left.where("asked").select("group", "rep", "asked", own("out").alias("o"), F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("i"))
+    among = among.select(F.xxhash64("group", F.lit(-1), one, two).alias("node"), "rep", "asked").where(one != two)
+    dealt = asked.unionByName(them).select(F.xxhash64("group", "o", "i").alias("node"), "rep", "asked")
+    return first.unionByName(confirmed(dealt.unionByName(among)))
 
 
 def _full_sets(texts: DataFrame, words: int) -> DataFrame:

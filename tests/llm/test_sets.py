@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from broadsheet.llm import exact_dedup, line_dedup, near_dedup
 from broadsheet.llm.components import components
@@ -60,9 +61,11 @@ def test_components(spark):
     for a, b in links:
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {n: root(n) for n in up if any(n in link and link[0] != link[1] for link in links)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    for few in (100_000, 0):  # joined by one task, and by rounds of stars
+        got = {r.node: r.component for r in components(df, few=few).collect()}
+        assert got == {n: root(n) for n in up if any(n in link and link[0] != link[1] for link in links)}
+        assert components(df.limit(0), few=few).count() == 0
 
 
 def brute_components(data, words, percent):
@@ -142,20 +145,42 @@ def test_near_duplicates_of_a_family_that_stays_together(spark, monkeypatch):
 
 
 def test_trees_reach_the_recall_at_the_greatest_depth():
-    """Pairs at the threshold, by trees drawn as ``_branch`` draws them: misses are as rare as stated."""
+    """Pairs at the threshold, by coordinates as ``_branch`` takes them: misses are as rare as stated."""
+    assert near_dedup.MOST_DEPTH >= 3
     for share in (0.8, 0.85):
         trees, depth = near_dedup.trees_for(share), near_dedup.MOST_DEPTH
         rng = np.random.default_rng(5)
         pairs = 200_000
-        agree = rng.random((pairs, near_dedup.PATHS)) < share
-        met = np.zeros(pairs, bool)
-        for t in range(trees):
-            path = agree[:, t].copy()
-            for _ in range(1, depth):
-                path &= agree[np.arange(pairs), rng.integers(trees, near_dedup.PATHS, pairs)]
-            met |= path
-        assert (~met).sum() <= 2, f"{(~met).sum()} of {pairs} missed"
+        agree = rng.random((pairs, near_dedup.T)) < share
+        paths = agree[:, : trees * depth].reshape(pairs, trees, depth).all(axis=2)
+        assert (~paths.any(axis=1)).sum() <= 2
         assert near_dedup.missed(share, trees) <= 1e-7
+        few = trees // 4
+        assert abs((~paths[:, :few].any(axis=1)).mean() - near_dedup.missed(share, few)) < 0.003
+    with pytest.raises(ValueError, match="recall"):
+        near_dedup.trees_for(0.5)
+    assert near_dedup.missed(0.5, near_dedup.trees_for(0.5, 0.9)) <= 0.1
+
+
+def test_nodes_branch_to_the_last_depth(spark, monkeypatch):
+    """Texts half alike make large nodes at the first depths and small ones at the last."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 60)
+    depths = []
+    branch = near_dedup._branch
+    monkeypatch.setattr(near_dedup, "_branch", lambda rows, depth, trees: depths.append(depth) or branch(rows, depth, trees))
+    random.seed(4)
+    data = []
+    for k in range(300):
+        text = [f"t{i}" for i in range(60)]
+        for i in random.sample(range(0, 60, 5), 5):
+            text[i] = f"x{k}y{i}"
+        other = list(text)
+        other[random.choice([7, 33])] = "z"
+        data += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    want = {i: c for i, (_, c) in brute_components(data, 3, 85).items()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), words=3, percent=85).collect()}
+    assert got == want
+    assert depths == [0, 1, 2]
 
 
 def test_near_duplicates_of_repeated_ids(spark):
@@ -191,6 +216,26 @@ def test_near_duplicates_in_one_large_group(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_a_large_family_takes_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 200)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 200)
+    random.seed(6)
+    base = [f"t{i}" for i in range(120)]
+    data = []
+    for k in range(2400):
+        text = [f"w{random.randrange(9000)}" for _ in range(40)] if k % 3 else list(base)
+        if not k % 3:
+            for at in random.sample(range(120), random.choice([0, 1, 2, 3, 6])):
+                text[at] = f"x{random.randrange(99)}"
+        data.append((k, " ".join(text)))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("family", "one large family")
+    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), words=3, percent=85).collect()
+    jobs = len(tracker.getJobIdsForGroup("family"))
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute_components(data, 3, 85).items()}
+    assert jobs < 100
+
+
 def test_near_duplicates_edge_cases(spark):
     got = near_dedup.near_duplicates(table(spark), words=3, percent=85)
     ids = rows(got, "doc_id", "n_shingles", "component_id", "kept")
