@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,9 +51,26 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken"):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+#: White space so long that the pattern's search for its end must not be left to a stack.
+_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
+
+
 def encode(text: str) -> list[int]:
-    """The ids of a text, as the vocabulary's own tokenizer has them."""
-    return tokenizer().encode(text, allowed_special="all")
+    """The ids of a text, as the vocabulary's own tokenizer has them.
+
+    By the vocabulary's pattern white space before a word is one piece without its
+    last character, and at the end, or before a special token, one piece.  So long white space is
+    cut out as that piece, and what stands before and after it can't tell the difference.
+    """
+    bpe, ids, at = tokenizer(), [], 0
+    for m in _LONG_SPACE.finditer(text):
+        start, end = m.span()
+        if end < len(text) and not any(text.startswith(s, end) for s in SPECIAL):
+            end -= 1
+        ids += bpe.encode(text[at:start], allowed_special="all")
+        ids += bpe._encode_single_piece(text[start:end])
+        at = end
+    return ids + bpe.encode(text[at:], allowed_special="all")
 
 
 def choose_level(count: np.ndarray, size: int, window: int) -> int:

@@ -6,6 +6,7 @@ import uuid
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from broadsheet.llm import fingerprints as fp
 from broadsheet.llm import licenses, mixing, packing, warc
@@ -71,9 +72,25 @@ def test_tokenizers_agree():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = [r[1] or "" for r in ROWS] + ["<|endoftext|> it's  \n\n x\t 　 123４５ ﬁ 👩‍👩‍👧 \x00", "'LL don't  ", "   "]
-    assert [packing.tokenizer().encode_ordinary(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [packing.encode(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_white_space_is_encoded_as_the_tokenizer_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    random.seed(9)
+    white = " \t\n\r\x0b\x0c\x85\xa0\u2003\u3000"
+    texts = ["word " + " " * 1_000_000 + "end", "\n" * 1_200_000, "a" + "".join(random.choices(white, k=1_100_000)) + "b"]
+    parts = [" ", "  ", "ab", "'s", "9", "!?", "<|endoftext|>", "é", "\x1c" * 5000, *(c * 4097 for c in white), " " * 4095]
+    texts += ["".join(random.choices(parts, k=random.randrange(1, 12))) for _ in range(60)]
+    for x in texts:
+        assert packing.encode(x) == t.encode(x, add_special_tokens=False).ids
+    df = spark.createDataFrame([(0, texts[0]), (1, " " * 10_000_000)], "doc_id long, text string")
+    total = {r.doc_id: r.n for r in packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert total == {0: len(t.encode(texts[0], add_special_tokens=False).ids) + 1, 1: len(packing.encode(" " * 10_000_000)) + 1}
 
 
 def test_special_tokens_are_encoded_as_the_tokenizer_does(spark):
