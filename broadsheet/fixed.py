@@ -40,6 +40,10 @@ ENTITIES = {
     "Prime": "″",
 }
 
+# References that feeds use as if XML defined them, and the elements of a feed that hold text.
+XML_REFERENCES = {"nbsp": " ", "cent": "¢", "pound": "£", "yen": "¥", "euro": "€", "copy": "©", "reg": "®", "inr": "₹"}
+FEED_TEXTS = ["title", "description", "summary", "content", "content:encoded", "subtitle", "tagline"]
+
 # The feed media types, the folders, and the topics every reader starts with.
 FEED_TYPES = ["application/rss+xml", "application/atom+xml", "application/feed+json", "application/xml", "text/xml", "application/rdf+xml"]
 FOLDERS = ["news", "technology", "science", "culture", "business", "design", "ideas"]
@@ -72,6 +76,8 @@ TODAY_MINUTES = 1_440
 WORDS_PER_MINUTE, CJK_PER_MINUTE = 225, 400
 IMAGE_WIDTH = 1_200
 OPENING_LEAST = 60
+
+# What a decision model is told.
 TOPIC_INSTRUCTIONS = (
     "Choose the single topic that best fits this article. Judge only from the title and summary. If the text does not "
     "clearly support a topic, choose the closest one but answer with low confidence."

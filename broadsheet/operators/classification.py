@@ -127,19 +127,27 @@ def call_pacing(calls: DataFrame) -> DataFrame:
     Calls are put in buckets of the window's length, and each also in the next
     bucket as history, so a busy client's calls spread over many tasks.
     """
-    span = fixed.CALL_WINDOW_MS
     c = calls.select("client", "seq", F.unix_millis("ts").alias("ms"))
-    c = c.withColumn("slot", F.floor(F.col("ms") / span)).withColumn("own", F.lit(True))
+    c = c.withColumn("slot", F.floor(F.col("ms") / fixed.CALL_WINDOW_MS)).withColumn("own", F.lit(True))
     c = c.unionByName(c.withColumn("slot", F.col("slot") + 1).withColumn("own", F.lit(False)))
+    return paced(c).select("client", "seq", F.timestamp_millis("ms").alias("ts"), "recent", "delay_ms")
+
+
+def paced(c: DataFrame) -> DataFrame:
+    """The ``own`` calls of each slot (``client``, ``slot``, ``ms``, ``seq``) with what came before: ``recent`` and ``delay_ms``.
+
+    A slot is as long as the rate's window and holds the calls of the slot before, too.
+    """
+    span = fixed.CALL_WINDOW_MS
     minute = Window.partitionBy("client", "slot").orderBy("ms").rangeBetween(-(span - 1), 0)
     # of the calls of one millisecond those with a larger seq aren't earlier
     tied = F.row_number().over(Window.partitionBy("client", "slot", "ms").orderBy(F.desc("seq")))
     before = F.lag("ms").over(Window.partitionBy("client", "slot").orderBy("ms", "seq"))
-    c = c.select("client", "seq", "ms", "own", (F.count(F.lit(1)).over(minute) - tied).alias("recent"), F.min("ms").over(minute).alias("oldest"), before.alias("before"))
+    c = c.select("client", "slot", "seq", "ms", "own", (F.count(F.lit(1)).over(minute) - tied).alias("recent"), F.min("ms").over(minute).alias("oldest"), before.alias("before"))
     gap = F.greatest(F.lit(0), F.lit(fixed.CALL_GAP_MS) - (F.col("ms") - F.col("before")))
     full = F.when(F.col("recent") >= fixed.CALLS_PER_MINUTE, F.col("oldest") + span - F.col("ms"))
     delay = F.greatest(F.coalesce(gap, F.lit(0)), F.coalesce(full, F.lit(0))).cast("long")
-    return c.where("own").select("client", "seq", F.timestamp_millis("ms").alias("ts"), F.col("recent").cast("long").alias("recent"), delay.alias("delay_ms"))
+    return c.where("own").select("client", "slot", "seq", "ms", F.col("recent").cast("long").alias("recent"), delay.alias("delay_ms"))
 
 
 def topics_restore(topics: DataFrame, defaults: list[tuple[str, str, str]] = fixed.TOPICS) -> DataFrame:
@@ -149,16 +157,38 @@ def topics_restore(topics: DataFrame, defaults: list[tuple[str, str, str]] = fix
     return want.join(topics.where("deleted_at IS NULL").select("user_id", "slug"), ["user_id", "slug"], "left_anti")
 
 
+def _free_slug(base: Column, taken: Column) -> Column:
+    """``base``, or with the least number from 2 up that makes it one of none in ``taken`` (a map by slug)."""
+    numbered = lambda n: F.concat_ws("-", base, n.cast("string"))
+    # of size(taken) + 1 numbers one is free
+    tries = F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda n: numbered(n))
+    free = F.get(F.filter(tries, lambda s: ~F.map_contains_key(taken, s)), F.lit(0))
+    return F.when(F.map_contains_key(taken, base), free).otherwise(base)
+
+
 def topic_add(topics: DataFrame, labels: DataFrame, at: Column) -> DataFrame:
-    """New topic rows for ``labels`` (``user_id``, ``seq``, ``label``), with slugs told apart by a number."""
-    new = labels.withColumn("base", tx.slug(F.col("label")))
-    turn = F.row_number().over(Window.partitionBy("user_id", "base").orderBy("seq"))
-    old = topics.select("user_id", F.regexp_replace("slug", "-[0-9]+$", "").alias("base"), "slug")
-    old = old.select("user_id", F.explode(F.array_distinct(F.array("base", "slug"))).alias("base"))
-    had = old.groupBy("user_id", "base").agg(F.count(F.lit(1)).alias("had"))
-    new = new.withColumn("turn", turn).join(had, ["user_id", "base"], "left")
-    nth = F.col("turn") + F.coalesce("had", F.lit(0))
-    return new.select("user_id", F.when(nth == 1, F.col("base")).otherwise(F.concat_ws("-", "base", nth.cast("string"))).alias("slug"), "label", at.alias("updated_at"))
+    """New topic rows for ``labels`` (``user_id``, ``seq``, ``label``), in their order, with slugs that no other topic has.
+
+    The slugs that a reader has are folded over the new labels: each takes its own slug, or
+    with the least free number, and is taken for those after it.  Slugs of removed topics stay
+    taken, as classifications name them.  A reader's topics are few (a prompt lists 24 at
+    most), so they meet in one row.
+    """
+    had = topics.select("user_id", "slug").groupBy("user_id").agg(F.map_from_entries(F.transform(F.collect_set("slug"), lambda s: F.struct(s.alias("k"), F.lit(True).alias("v")))).alias("taken"))
+    new = labels.select("user_id", F.struct("seq", "label", tx.slug(F.col("label")).alias("base")).alias("x")).groupBy("user_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    new = new.join(had, "user_id", "left").withColumn("taken", F.coalesce("taken", F.create_map().cast("map<string,boolean>")))
+    start = F.struct(F.col("taken").alias("taken"), F.array().cast("array<struct<seq:bigint,label:string,slug:string>>").alias("made"))
+
+    def add(acc: Column, x: Column) -> Column:
+        def put(slug: Column) -> Column:
+            one = F.map_from_arrays(F.array(slug), F.array(F.lit(True)))
+            made = F.struct(x["seq"].cast("long").alias("seq"), x["label"].alias("label"), slug.alias("slug"))
+            return F.struct(F.map_concat(acc["taken"], one).alias("taken"), F.concat(acc["made"], F.array(made)).alias("made"))
+
+        return tx.let(_free_slug(x["base"], acc["taken"]), put)
+
+    rows = new.select("user_id", F.inline(F.aggregate("xs", start, add)["made"]))
+    return rows.select("user_id", F.col("slug").alias("id"), "slug", "label", "seq", at.alias("updated_at"))
 
 
 def topic_edit(topics: DataFrame, edits: DataFrame, at: Column) -> DataFrame:

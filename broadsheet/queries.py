@@ -240,6 +240,12 @@ SELECT feed_url, url AS link, (rn - 1)::INT AS pos, lower(to_base(CASE WHEN h >=
     lambda s, d: fd.items(fd.parse(vw.feed_documents(s, d))).select("feed_url", "link", "pos", "id", "author", "published_at", "image", "has_cover")
 )
 query("item_valid", _FEEDS + "SELECT feed_url, n_items::BIGINT AS n FROM feeds")(lambda s, d: fd.items(fd.parse(vw.feed_documents(s, d))).groupBy("feed_url").agg(F.count(F.lit(1)).alias("n")))
+_LOOSE = _FEEDS + """, crcs AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(feed_url, ''), lambda c: unicode(c)::BIGINT), lambda h, b: list_reduce([xor(h, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0 AS cut FROM feeds)
+"""
+query("feed_loose", _LOOSE + r"""SELECT e.feed_url, (rn - 1)::INT AS pos, url AS link, trim(regexp_replace(left(split_part(coalesce(text, ''), chr(10), 1), 60) || ' x & y — bold 1 < 2', '[ \t]+', ' ', 'g'), ' ') || chr(10) || 'end' AS title FROM entries e JOIN crcs c ON c.feed_url = e.feed_url WHERE NOT cut""")(
+    lambda s, d: fd.items(fd.parse(vw.loose_feed_documents(s, d))).select("feed_url", "pos", "link", "title")
+)
+query("feed_errors", _LOOSE + "SELECT feed_url, 'not valid XML' AS error FROM crcs WHERE cut")(lambda s, d: fd.errors(fd.parse(vw.loose_feed_documents(s, d))))
 query("feed_preview", _FEEDS + "SELECT feed_url, url AS link, rn::INT AS rank, n_items::BIGINT AS n_items FROM entries WHERE rn <= 5")(lambda s, d: fd.preview(fd.items(fd.parse(vw.feed_documents(s, d)))).select("feed_url", "link", "rank", "n_items"))
 _PITCH = "This is the letter that comes every week, to all of our readers. "
 query("shared_opening", W(f"""SELECT source_id, CASE WHEN n >= 3 AND length(trim(cut, ' ')) >= 60 THEN cut ELSE '' END AS opening FROM (
@@ -340,6 +346,20 @@ query("topic_edit", W("SELECT user_id, id, CASE WHEN slug = 'ai' THEN 'Machines'
     lambda s, d: cl.topic_edit(vw.topics(s, d), vw.topics(s, d).select("user_id", "id", F.when(F.col("slug") == "ai", "Machines").otherwise(" ").alias("label"), F.lit("").alias("description"), F.lit(False).alias("clear")), vw.now()).select("user_id", "id", "label")
 )
 query("topic_slug", W(r"SELECT a.id, CASE WHEN s = '' THEN 'topic' ELSE s END AS slug FROM (SELECT id, left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS s FROM articles) a", "articles"))(lambda s, d: vw.articles(s, d).select("id", tx.slug(F.col("title")).alias("slug")))
+_LABELS = r"""SELECT *, CASE WHEN s = '' THEN 'topic' ELSE s END AS base, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS turn FROM (SELECT *, left(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS s FROM (
+ SELECT doc_id // 20 AS user_id, doc_id AS seq, CASE doc_id % 5 WHEN 0 THEN 'AI' WHEN 1 THEN 'AI 2' WHEN 2 THEN 'A.I!' WHEN 3 THEN 'Books ' || (doc_id % 3) ELSE left(coalesce(text, ''), 3) END AS label FROM documents))"""
+query("topic_add", f"""WITH RECURSIVE labels AS ({_LABELS}), walk AS (
+ SELECT DISTINCT user_id, 0::BIGINT AS turn, {_T} AS taken, '' AS slug FROM labels UNION ALL
+ SELECT user_id, turn, list_append(taken, slug), slug FROM (SELECT w.user_id, l.turn, w.taken, CASE WHEN list_contains(w.taken, l.base) THEN l.base || '-' || list_filter(range(2, len(w.taken) + 3), lambda n: NOT list_contains(w.taken, l.base || '-' || n))[1] ELSE l.base END AS slug
+  FROM walk w JOIN labels l ON l.user_id = w.user_id AND l.turn = w.turn + 1))
+SELECT l.user_id, l.seq, l.label, w.slug FROM walk w JOIN labels l ON l.user_id = w.user_id AND l.turn = w.turn""")(lambda s, d: cl.topic_add(_stored_topics(s, d), vw.added_labels(s, d), vw.now()).select("user_id", "seq", "label", "slug"))
+
+
+def _stored_topics(spark, d) -> DataFrame:
+    """The default topics of every reader who adds some."""
+    return vw.added_labels(spark, d).select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(t[0]) for t in fixed.TOPICS])).alias("slug"))
+
+
 query("call_pacing", W("""SELECT client, seq, recent, greatest(0, CASE WHEN prev IS NULL THEN 0 ELSE 2500 - (ms - prev) END, CASE WHEN recent >= 12 THEN oldest + 60000 - ms ELSE 0 END)::BIGINT AS delay_ms FROM (
  SELECT client, seq, ms, lag(ms) OVER w AS prev, (SELECT count(*) FROM call_log b WHERE b.client = a.client AND (b.ms, b.seq) < (a.ms, a.seq) AND a.ms - b.ms < 60000) AS recent,
  (SELECT min(b.ms) FROM call_log b WHERE b.client = a.client AND (b.ms, b.seq) < (a.ms, a.seq) AND a.ms - b.ms < 60000) AS oldest FROM call_log a WINDOW w AS (PARTITION BY client ORDER BY ms, seq))""", "call_log"))(
@@ -455,7 +475,7 @@ query("decode_obfuscated_email", "SELECT page_id, 'p' || page_id || '@x.example'
 query("stream_reading_state", W("SELECT user_id, item_id, read, saved, later, seq FROM reading", "reading"))(sm.reading_state_query)
 query("stream_changes", W(f"SELECT user_id, item_id, seq FROM reading_changes WHERE updated_at > {NOW} - INTERVAL 10 DAY", "reading_changes"))(sm.changes_query)
 query("rate_windows", W("SELECT client, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS calls, count(*) > 40 AS limited FROM call_log GROUP BY ALL", "call_log"))(sm.rate_windows_query)
-query("stream_pacing", W("SELECT client, seq, (SELECT count(*) FROM call_log b WHERE b.client = a.client AND (b.ms, b.seq) < (a.ms, a.seq) AND a.ms - b.ms < 60000) AS recent FROM call_log a", "call_log"))(sm.pacing_query)
+query("stream_pacing", ORACLES["call_pacing"])(sm.pacing_query)
 query("stream_read_credit", _CREDIT)(sm.read_credit_query)
 query("stream_ingest")(sm.ingest_query)
 

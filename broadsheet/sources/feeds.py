@@ -14,6 +14,7 @@ from ..functions import blocks as bl
 from ..functions import html as hx
 from ..functions import text as tx
 from ..functions import urls
+from . import xml
 
 _NODE = "ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING, _type: STRING, _url: STRING, name: STRING>>"
 _TEXTS = ["title", "guid", "id", "description", "summary", "content", "`content:encoded`", "`dc:creator`", "`itunes:author`", "author", "`atom:author`", "pubDate", "published", "updated", "`dc:date`", "date"]
@@ -22,12 +23,14 @@ _ITEM = "ARRAY<STRUCT<" + ", ".join(f"{n}: {_NODE}" for n in [*_TEXTS, *_MEDIA])
 _HEAD = ", ".join(f"{n} {_NODE}" for n in ["title", "link", "description", "subtitle", "tagline", "`dc:creator`", "`itunes:author`", "author", "`atom:author`"])
 _HEAD_IN = ", ".join(f"{n}: {_NODE}" for n in ["title", "link", "description", "subtitle", "tagline", "`dc:creator`", "`itunes:author`", "author", "`atom:author`"])
 
+#: Where ``from_xml`` puts what it can't read.
+_CORRUPT = "_corrupt_record"
 SCHEMAS = {
-    "atom": f"{_HEAD}, entry {_ITEM}",
-    "rdf": f"channel STRUCT<{_HEAD_IN}>, item {_ITEM}",
-    "rss": f"channel STRUCT<{_HEAD_IN}, item: {_ITEM}>",
+    "atom": f"{_HEAD}, entry {_ITEM}, {_CORRUPT} STRING",
+    "rdf": f"channel STRUCT<{_HEAD_IN}>, item {_ITEM}, {_CORRUPT} STRING",
+    "rss": f"channel STRUCT<{_HEAD_IN}, item: {_ITEM}>, {_CORRUPT} STRING",
 }
-_OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}
+_OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
 
 
 def first_text(node: Column) -> Column:
@@ -77,14 +80,20 @@ def feed_kind(body: Column) -> Column:
 
 
 def parse(documents: DataFrame) -> DataFrame:
-    """One row per feed: ``feed_url``, ``kind``, ``title``, ``site_url``, ``description``, ``channel_author``, raw ``items`` (40 at most) or an ``error``."""
+    """One row per feed: ``feed_url``, ``kind``, ``title``, ``site_url``, ``description``, ``channel_author``, raw ``items`` (40 at most) or an ``error``.
+
+    Documents needn't be strict XML (``xml.readable``).  Markup inside a text element stays
+    with its text.
+    """
     # parsing costs far more than its bytes tell, so documents are spread whatever their size
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     documents = documents.repartition(parts, "feed_url")
     d = documents.withColumn("error", F.when(F.octet_length("body") > fixed.MAX_BYTES, "too large").when(~urls.looks_like_feed(F.col("body"), F.col("content_type")), "not a feed"))
     d = d.withColumn("kind", F.when(F.col("error").isNull(), feed_kind(F.col("body"))))
+    d = _once(d.select("feed_url", "error", "kind", F.when(F.col("kind").isNotNull(), xml.readable(F.col("body"))).alias("body")))
     parsed = {k: F.when(F.col("kind") == k, F.from_xml("body", s, _OPTIONS)) for k, s in SCHEMAS.items()}
     d = _once(d.select("feed_url", "error", "kind", *[c.alias(k) for k, c in parsed.items()]))
+    broken = F.coalesce(*[F.col(f"{k}.{_CORRUPT}") for k in SCHEMAS]).isNotNull()
     head = lambda n: F.when(F.col("kind") == "atom", F.col(f"atom.{n}")).when(F.col("kind") == "rdf", F.col(f"rdf.channel.{n}")).otherwise(F.col(f"rss.channel.{n}"))
     items = F.when(F.col("kind") == "atom", F.col("atom.entry")).when(F.col("kind") == "rdf", F.col("rdf.item")).otherwise(F.col("rss.channel.item"))
     site = F.coalesce(best_link(head("link"), F.col("feed_url")), "feed_url")
@@ -92,10 +101,15 @@ def parse(documents: DataFrame) -> DataFrame:
     author = _or(first_text(head("`dc:creator`")), first_text(head("`itunes:author`")), _first(head("author"), "name"), first_text(head("author")), _first(head("`atom:author`"), "name"))
     about = tx.html_to_text(_or(first_text(head("description")), first_text(head("subtitle")), first_text(head("tagline"))))
     items = F.slice(F.coalesce(items, F.array().cast(d.schema["atom"].dataType["entry"].dataType)), 1, fixed.FEED_ITEMS)
-    error = F.coalesce("error", F.when(F.col("kind").isNull(), "no feed found"), F.when(F.size(items) == 0, "no readable entries"))
+    error = F.coalesce("error", F.when(F.col("kind").isNull(), "no feed found"), F.when((F.size(items) == 0) & broken, "not valid XML"), F.when(F.size(items) == 0, "no readable entries"))
     return d.select("feed_url", error.alias("error"), "kind", F.left(title, F.lit(120)).alias("title"), site.alias("site_url"), about.alias("description"), author.alias("channel_author"), items.alias("items"))
 
 
+def errors(parsed: DataFrame) -> DataFrame:
+    """(``feed_url``, ``error``): the documents that gave no feed, each with its reason."""
+    return parsed.where("error IS NOT NULL").select("feed_url", "error")
+
+
 def items(parsed: DataFrame) -> DataFrame:
     """The item table of the feeds that ``parse`` read, with bodies as blocks and shared openings stripped."""
     p = _once(parsed.where("error IS NULL").select("feed_url", "site_url", "channel_author", "items"))

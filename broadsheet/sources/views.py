@@ -217,6 +217,21 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.concat(site, F.lit("feed-"), F.col("part").cast("string"), F.lit(".xml")).alias("feed_url"), F.lit("application/xml").alias("content_type"), body.alias("body"))
 
 
+def loose_feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feeds as published ones often are: references of HTML, bare ampersands and tags in titles, open ``br``; each seventh broken off."""
+    ending = F.lit(" &nbsp;x & y &mdash; <b>bold</b> 1 < 2<br>end</title>")
+    body = F.regexp_replace("body", "</title>", ending)
+    cut = F.pmod(F.crc32(F.encode("feed_url", "utf-8")), F.lit(7)) == 0
+    return feed_documents(spark, sf_dir).withColumn("body", F.when(cut, F.concat(F.get(F.split(body, "<(?:item|entry)[ >]", 2), F.lit(0)), F.lit("<item <entry"))).otherwise(body))
+
+
+def added_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of new topics: twenty documents' for each reader, many of them alike or like stored topics."""
+    k = F.col("doc_id") % 5
+    label = F.when(k == 0, "AI").when(k == 1, "AI 2").when(k == 2, "A.I!").when(k == 3, F.concat(F.lit("Books "), (F.col("doc_id") % 3).cast("string"))).otherwise(F.left(F.coalesce("text", F.lit("")), F.lit(3)))
+    return table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).cast("long").alias("user_id"), F.col("doc_id").alias("seq"), label.alias("label"))
+
+
 def _topic_sql(shift: int) -> str:
     return "[" + ", ".join(f"'{t[0]}'" for t in fixed.TOPICS) + f"][1 + (doc_id + {shift}) % 12]"
 

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import fixed
 from ..functions import text as tx
+from ..operators import classification as cl
 from ..operators import state as st
 from ..plans import workloads as wl
 from ..sources import views as vw
@@ -137,97 +135,102 @@ def rate_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("client", "window_start").agg(F.max_by(F.struct("calls", "limited"), "batch").alias("x")).select("client", "window_start", "x.*")
 
 
-def _trailing(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Each call's number of earlier calls in the minute before it; state holds the calls of the last minute."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    recent = np.array(list(state.get[0]) if state.exists else [], np.int64)
-    rows = pd.concat(list(frames)).sort_values(["ms", "seq"])
-    ms = np.concatenate([recent, rows["ms"].to_numpy(np.int64)])
-    ms_at = len(recent) + np.arange(len(rows))
-    counts = ms_at - np.searchsorted(ms, ms[ms_at] - fixed.CALL_WINDOW_MS, "right")
-    state.update((ms[ms > ms[-1] - fixed.CALL_WINDOW_MS].tolist(),))
-    # after that no call can have these before it
-    state.setTimeoutTimestamp(max(int(ms[-1]) + fixed.CALL_WINDOW_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"client": key[0], "seq": rows["seq"], "recent": counts})
+def call_windows(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each client's calls by minute (``client``, ``slot``, ``calls``), with the calls of the minute before.
+
+    The windows overlap by half, so a call is kept as its minute's own and as the next one's
+    history, and a busy client spreads over its minutes.  They are a buffer in event time:
+    in whatever order calls arrive, a window holds them all until the watermark has passed it, then
+    it goes from the state.  Calls later than ``late`` aren't counted.
+    """
+    span = fixed.CALL_WINDOW_MS // 1000
+    w = F.window("ts", f"{2 * span} seconds", f"{span} seconds")
+    c = calls.select("client", "seq", "ts").withWatermark("ts", late)
+    grouped = c.groupBy("client", w.alias("w")).agg(F.collect_list(F.struct(F.unix_millis("ts").alias("ms"), "seq")).alias("calls"))
+    return grouped.select("client", F.floor(F.unix_millis("w.start") / fixed.CALL_WINDOW_MS + 1).alias("slot"), "calls")
+
+
+def paced_windows(windows: DataFrame) -> DataFrame:
+    """(``client``, ``seq``, ``recent``, ``delay_ms``) of the own calls in some windows (not as a stream)."""
+    rows = windows.select("client", "slot", F.inline("calls"))
+    return cl.paced(rows.withColumn("own", F.col("ms") >= F.col("slot") * fixed.CALL_WINDOW_MS)).select("client", "seq", "recent", "delay_ms")
 
 
-def pacing_stream(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """(``client``, ``seq``, ``recent``); calls that are later than ``late`` aren't counted.  A silent client's state goes."""
-    c = calls.select("client", "seq", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
-    return c.groupBy("client").applyInPandasWithState(_trailing, "client string, seq long, recent long", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+def pacing(calls: DataFrame, folder: str, late: str = "10 minutes") -> DataFrame:
+    """``call_pacing`` of a stream of calls; a call's last row counts, so it is right at any time for what has arrived.
+
+    A window is worked out anew whenever calls are added to it, and its rows are written by the
+    number of the batch, so a stream that is stopped goes on where it was.
+    """
+    path = f"{folder}/rows"
+    run_available(call_windows(calls, late), lambda batch, n: paced_windows(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"), folder, "update")
+    rows = _written(calls.sparkSession, path)
+    if rows is None:
+        return calls.sparkSession.createDataFrame([], "client string, seq long, recent long, delay_ms long")
+    return rows.groupBy("client", "seq").agg(F.max_by(F.struct("recent", "delay_ms"), "batch").alias("x")).select("client", "seq", "x.*")
 
 
 def pacing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = pacing_stream(vw.call_log(_EventStream(spark, sf_dir), sf_dir))
-    return spark.read.parquet(collected(counted, _shared(spark))).select("client", "seq", "recent")
+    return pacing(vw.call_log(_EventStream(spark, sf_dir), sf_dir), _shared(spark))
 
 
 def _signal() -> Column:
     return tx.read_signal(F.col("scroll_top"), F.col("scroll_height"), F.col("client_height"))
 
 
+def _credited_at(following: Column) -> Column:
+    """When an event (``ts``, ``signal``) earns credit, given the time of the reader's next one; else null."""
+    dwell = F.col("ts") + F.make_dt_interval(secs=F.lit(fixed.DWELL_MS / 1000))
+    return F.when(F.col("signal") == "now", F.col("ts")).when((F.col("signal") == "dwell") & (following.isNull() | (following >= dwell)), dwell)
+
+
 def read_credit(events: DataFrame) -> DataFrame:
     """(``user_id``, ``item_id``, ``credited_at``): a story counts as read once its end is reached, or a short one was stayed with.
 
     The next event of a reader, of any story, ends a stay.
     """
     following = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "item_id"))
-    e = events.select("user_id", "item_id", "ts", _signal().alias("signal"), following.alias("next"))
-    dwell = F.col("ts") + F.make_dt_interval(secs=F.lit(fixed.DWELL_MS / 1000))
-    at = F.when(F.col("signal") == "now", F.col("ts")).when((F.col("signal") == "dwell") & (F.col("next").isNull() | (F.col("next") >= dwell)), dwell)
-    return e.withColumn("at", at).groupBy("user_id", "item_id").agg(F.min("at").alias("credited_at")).where("credited_at IS NOT NULL")
-
-
-_DWELL_US = fixed.DWELL_MS * 1000
-
-
-def _credits(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A reader's credits; state holds the stay that may still become one."""
-    waiting = state.get if state.exists else None
-    if state.hasTimedOut:
-        state.remove()
-        if waiting:
-            yield pd.DataFrame({"user_id": [key[0]], "item_id": [waiting[0]], "us": [waiting[1] + _DWELL_US]})
-        return
-    rows = pd.concat(list(frames)).sort_values(["us", "item_id"])
-    items, at = [], []
-    for item, us, signal in zip(rows["item_id"], rows["us"], rows["signal"]):
-        if waiting and us >= waiting[1] + _DWELL_US:
-            items.append(waiting[0])
-            at.append(waiting[1] + _DWELL_US)
-        waiting = (item, int(us)) if signal == "dwell" else None
-        if signal == "now":
-            items.append(item)
-            at.append(int(us))
-    if waiting:
-        state.update(waiting)
-        state.setTimeoutTimestamp(max((waiting[1] + _DWELL_US) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame({"user_id": key[0], "item_id": pd.Series(items, dtype="str"), "us": pd.Series(at, dtype="int64")})
-
-
-def read_credit_stream(events: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """``read_credit`` with an event-time timer for the last stay; state is one stay a reader."""
-    e = events.select("user_id", "item_id", "ts", F.unix_micros("ts").alias("us"), _signal().alias("signal")).withWatermark("ts", late)
-    out = e.groupBy("user_id").applyInPandasWithState(_credits, "user_id long, item_id string, us long", "item_id string, us long", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("user_id", "item_id", F.timestamp_micros("us").alias("credited_at"))
-
-
-def stays_at_the_end(spark: SparkSession, folder: str) -> DataFrame:
-    """Credits of the stays that a stream's state still waits for, as nothing follows them."""
-    state = spark.read.format("statestore").load(f"{folder}/checkpoint").where("value.groupState IS NOT NULL")
-    at = F.timestamp_micros(F.col("value.groupState.us") + _DWELL_US)
-    return state.select(F.col("key.user_id").alias("user_id"), F.col("value.groupState.item_id").alias("item_id"), at.alias("credited_at"))
+    e = events.select("user_id", "item_id", "ts", _signal().alias("signal"))
+    return e.withColumn("at", _credited_at(following)).groupBy("user_id", "item_id").agg(F.min("at").alias("credited_at")).where("credited_at IS NOT NULL")
+
+
+#: A reader's events are looked at by stretches of so many seconds, each with the first seconds of the next, in which a stay may end.
+_STRETCH, _EDGE = 60, 5
+
+
+def scroll_windows(events: DataFrame, late: str = "1 minute") -> DataFrame:
+    """Each reader's events by minute (``user_id``, ``start``, ``events``), with the first seconds after it; a buffer in event time as ``call_windows``."""
+    w = F.window("ts", f"{_STRETCH + _EDGE} seconds", f"{_STRETCH} seconds")
+    e = events.select("user_id", "item_id", "ts", _signal().alias("signal")).withWatermark("ts", late)
+    grouped = e.groupBy("user_id", w.alias("w")).agg(F.collect_list(F.struct("ts", "item_id", "signal")).alias("events"))
+    return grouped.select("user_id", F.col("w.start").alias("start"), "events")
+
+
+def credited_windows(windows: DataFrame) -> DataFrame:
+    """(``user_id``, ``start``, ``item_id``, ``credited_at``): each story of some windows, with null where it is not (or no longer) credited."""
+    e = windows.select("user_id", "start", F.inline("events"))
+    following = F.lead("ts").over(Window.partitionBy("user_id", "start").orderBy("ts", "item_id"))
+    e = e.withColumn("at", _credited_at(following)).where(F.col("ts") < F.col("start") + F.make_dt_interval(secs=F.lit(float(_STRETCH))))
+    return e.groupBy("user_id", "start", "item_id").agg(F.min("at").alias("credited_at"))
+
+
+def credits(events: DataFrame, folder: str, late: str = "1 minute") -> DataFrame:
+    """``read_credit`` of a stream of scroll events, right at any time for what has arrived.
+
+    A late event may end a stay that was credited: the window's stories are then written again,
+    and the last batch counts.
+    """
+    path = f"{folder}/rows"
+    run_available(scroll_windows(events, late), lambda batch, n: credited_windows(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"), folder, "update")
+    rows = _written(events.sparkSession, path)
+    if rows is None:
+        return events.sparkSession.createDataFrame([], "user_id long, item_id string, credited_at timestamp")
+    last = rows.groupBy("user_id", "start", "item_id").agg(F.max_by("credited_at", "batch").alias("credited_at"))
+    return last.groupBy("user_id", "item_id").agg(F.min("credited_at").alias("credited_at")).where("credited_at IS NOT NULL")
 
 
 def read_credit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _shared(spark)
-    path = collected(read_credit_stream(vw.scroll_events(_EventStream(spark, sf_dir), sf_dir)), folder)
-    credits = spark.read.parquet(path).select("user_id", "item_id", "credited_at").unionByName(stays_at_the_end(spark, folder))
-    return credits.groupBy("user_id", "item_id").agg(F.min("credited_at").alias("credited_at"))
+    return credits(vw.scroll_events(_EventStream(spark, sf_dir), sf_dir), _shared(spark))
 
 
 def _articles_at(articles: DataFrame, folder: str, number: int = 1 << 30) -> DataFrame:

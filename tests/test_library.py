@@ -20,7 +20,7 @@ from broadsheet.streaming import streams as sm
 
 SF = "/root/testdata/sf0.001"
 #: Compared with SQL here; the driver compares them all.
-TWINS = ["edition_counts", "stories", "unread_stories", "view_filter", "topic_counts", "up_next", "lww_latest", "changeset_merge", "store_upsert", "cache_replace", "article_refresh_due", "decision_parse", "classification_resolve", "call_pacing", "read_credit", "fnv36", "fingerprint", "html_to_text", "ago_label", "parse_date", "feed_parse", "rate_windows", "stream_reading_state", "stream_pacing", "edition", "stream_read_credit", "feed_items", "feed_discover", "feed_sniff", "shared_opening", "decode_entities", "html_to_summary", "resolve_url", "blocks_dedupe", "sources_order", "changes_since"]
+TWINS = ["edition_counts", "stories", "unread_stories", "view_filter", "topic_counts", "up_next", "lww_latest", "changeset_merge", "store_upsert", "cache_replace", "article_refresh_due", "decision_parse", "classification_resolve", "call_pacing", "read_credit", "fnv36", "fingerprint", "html_to_text", "ago_label", "parse_date", "feed_parse", "rate_windows", "stream_reading_state", "stream_pacing", "edition", "stream_read_credit", "feed_items", "feed_discover", "feed_sniff", "shared_opening", "decode_entities", "html_to_summary", "resolve_url", "blocks_dedupe", "sources_order", "changes_since", "topic_add", "feed_loose", "feed_errors"]
 
 
 def value(spark, column):
@@ -263,16 +263,89 @@ def test_ingest_goes_on_after_a_stop(spark, tmp_path):
     assert again.count() == got.count()
 
 
-def test_pacing_stream_over_batches_and_its_state(spark, tmp_path):
+def shuffled_batches(df, tmp_path, run, parts=5):
+    """What ``run`` makes of a stream that gets the rows in ``parts`` batches, in no order of time."""
+    (tmp_path / "in").mkdir()
+    stream = folder_stream(df.sparkSession, tmp_path / "in", df.schema)
+    df = df.withColumn("part", F.pmod(F.xxhash64(F.lit(3), *df.columns), F.lit(parts))).cache()
+    for i in range(parts):
+        df.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        out = run(stream, f"file://{tmp_path}/out")
+    return out
+
+
+def test_pacing_of_calls_in_any_order(spark, tmp_path):
     calls = vw.call_log(spark, SF)
+    got = shuffled_batches(calls, tmp_path, lambda stream, folder: sm.pacing(stream, folder, "400 days")).collect()
+    want = cl.call_pacing(calls).select("client", "seq", "recent", "delay_ms").collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == len(want)
+    assert max(r.recent for r in got) > 1
+
+
+def test_pacing_counts_a_late_call(spark, tmp_path):
+    """A call of the same minute that arrives a batch later counts, and state goes once time has passed."""
+    at = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, 0, 0) + __import__("datetime").timedelta(seconds=s)
+    batches = [[("c", 1, 100)], [("c", 2, 50), ("c", 3, 120)], [("d", 4, 90_000)], [("d", 5, 90_001)]]
     (tmp_path / "in").mkdir()
-    stream = folder_stream(spark, tmp_path / "in", calls.schema)
-    cut = calls.selectExpr("percentile(unix_millis(ts), 0.5)").first()[0]
-    calls = calls.where((F.unix_millis("ts") <= cut) | (F.col("client") != calls.agg(F.min("client")).first()[0])).cache()  # one falls silent
-    for part in (calls.where(F.unix_millis("ts") <= cut), calls.where(F.unix_millis("ts") > cut)):
-        part.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-        path = sm.collected(sm.pacing_stream(stream, "1 second"), f"file://{tmp_path}/out")
-    got = {(r.client, r.seq): r.recent for r in spark.read.parquet(path).collect()}
-    assert got == {(r.client, r.seq): r.recent for r in cl.call_pacing(calls).collect()}
-    state = spark.read.format("statestore").load(f"file://{tmp_path}/out/checkpoint")
-    assert state.count() < calls.select("client").distinct().count()
+    stream = folder_stream(spark, tmp_path / "in", vw.call_log(spark, SF).schema)
+    for rows in batches:
+        spark.createDataFrame([(c, at(s), q) for c, q, s in rows], "client string, ts timestamp, seq long").write.mode("append").parquet(f"file://{tmp_path}/in")
+        got = {r.seq: r.recent for r in sm.pacing(stream, f"file://{tmp_path}/out").collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 0, 5: 1}
+    left = spark.read.format("statestore").load(f"file://{tmp_path}/out/checkpoint").select("key.client").distinct().collect()
+    assert [r.client for r in left] == ["d"]
+
+
+def test_credit_of_events_in_any_order(spark, tmp_path):
+    events = vw.scroll_events(spark, SF)
+    got = shuffled_batches(events, tmp_path, lambda stream, folder: sm.credits(stream, folder, "400 days"))
+    assert {tuple(r) for r in got.select("user_id", "item_id", "credited_at").collect()} == {tuple(r) for r in sm.read_credit(events).collect()}
+
+
+def test_a_late_event_ends_a_stay_and_earns_its_own(spark, tmp_path):
+    at = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, 1, 0) + __import__("datetime").timedelta(seconds=s)
+    short = lambda user, item, s: (user, item, at(s), 0.0, 900.0, 800.0)
+    schema = "user_id long, item_id string, ts timestamp, scroll_top double, scroll_height double, client_height double"
+    batches = [[short(1, "a", 10), short(2, "x", 58.5)], [short(1, "b", 5), short(1, "c", 11)], [short(2, "y", 61)]]
+    (tmp_path / "in").mkdir()
+    rows = [spark.createDataFrame(b, schema) for b in batches]
+    stream = folder_stream(spark, tmp_path / "in", rows[0].schema)
+    seen = []
+    for part in rows:
+        part.write.mode("append").parquet(f"file://{tmp_path}/in")
+        seen.append({(r.user_id, r.item_id) for r in sm.credits(stream, f"file://{tmp_path}/out").collect()})
+    assert seen[0] == {(1, "a"), (2, "x")}
+    assert seen[1] == {(1, "b"), (1, "c"), (2, "x")}  # a lasted a second
+    assert seen[2] == {(1, "b"), (1, "c"), (2, "x"), (2, "y")}  # 58.5 to 61, over a minute's end
+
+
+def test_feeds_that_are_not_strict(spark):
+    heads = {
+        "refs": "Caf&eacute; &mdash; a&nbsp;b &pound;5 &nope; &amp;lt; &#8217; &#0; Q&A & <b>bold</b> x",
+        "inline": "x <b>y</b> z",
+        "sign": "1 < 2 & 3",
+        "cdata": "<![CDATA[a & b &mdash; <i>c</i> 1 < 2]]>",
+        "strict": "plain &amp; simple",
+        "void": "one<br>two <img src=a.png alt=x>three",
+        "control": "bell\x07 here",
+    }
+    rss = lambda title: f"<?xml version='1.0'?><!DOCTYPE rss [<!ENTITY x 'y'>]><rss version='2.0'><channel><title>T & T</title><item><title>{title}</title><guid>g</guid><description>d &nbsp; e<br>f</description><link>/1?a=1&b=2</link></item></channel></rss>"
+    docs = [(f"https://s.example/{k}", "text/xml", rss(t)) for k, t in heads.items()] + [("https://s.example/broken", "text/xml", "<rss><channel><title>a</title><item <</rss>"), ("https://s.example/none", "text/xml", "<rss><channel><title>a</title></channel></rss>")]
+    parsed = fd.parse(spark.createDataFrame(docs, "feed_url string, content_type string, body string"))
+    found = fd.items(parsed).collect()
+    got = {r.feed_url.rpartition("/")[2]: r.title for r in found}
+    assert got == {"refs": "Café — a b £5 &nope; < ’ \x00 Q&A & bold x", "inline": "x y z", "sign": "1 < 2 & 3", "cdata": got["cdata"], "strict": "plain & simple", "void": "one\ntwo three", "control": "bell here"}
+    assert got["cdata"].startswith("a & b — c")
+    assert {r.link for r in found} == {"https://s.example/1?a=1&b=2"} and {r.summary for r in found} == {"d e f"}
+    assert {r.title for r in parsed.where("error IS NULL").collect()} == {"T & T"}
+    assert {tuple(r) for r in fd.errors(parsed).collect()} == {("https://s.example/broken", "not valid XML"), ("https://s.example/none", "no readable entries")}
+
+
+def test_every_new_topic_has_a_slug_of_its_own(spark):
+    at = F.lit("2024-01-01").cast("timestamp")
+    topics = spark.createDataFrame([(1, "ai"), (1, "news-2"), (2, "ai-2")], "user_id long, slug string")
+    labels = [(1, 1, "AI 2"), (1, 2, "AI"), (1, 3, "ai"), (1, 4, "News"), (1, 5, "news"), (2, 1, "AI"), (2, 2, "AI"), (3, 1, "???"), (3, 2, "!"), (3, 3, "topic 2"), (3, 4, "x" * 60)]
+    added = cl.topic_add(topics, spark.createDataFrame(labels, "user_id long, seq long, label string"), at).collect()
+    got = {(r.user_id, r.seq): r.slug for r in added}
+    assert got == {(1, 1): "ai-2", (1, 2): "ai-3", (1, 3): "ai-4", (1, 4): "news", (1, 5): "news-3", (2, 1): "ai", (2, 2): "ai-3", (3, 1): "topic", (3, 2): "topic-2", (3, 3): "topic-2-2", (3, 4): "x" * 40}
+    assert all(r.id == r.slug for r in added)
