@@ -7,6 +7,7 @@ tells that it changed nothing.  A third of all nodes may hang on one: its links
 pre-aggregated for the minimum, and the joins are left to AQE's skew handling.
 Few links (at most ``few``, counted first) are joined by one task instead, as rounds
 of joins over so little would be nothing but overhead; the result is the same.
+Links are written before they are thinned, so no task runs two Python workers.
 """
 
 from __future__ import annotations
@@ -63,11 +64,11 @@ def _thinned(links: DataFrame, whole: bool) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, few: int = 100_000) -> DataFrame:
     """(``node``, ``component``): each linked node with the smallest node it can reach; nodes are longs."""
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    pairs = checkpoint(_thinned(pairs, whole=False))
+    pairs = checkpoint(pairs)
     if pairs.count() <= few:
         pairs = checkpoint(_thinned(pairs.coalesce(1), whole=True))
     else:
-        pairs = _by_stars(pairs, most_rounds)
+        pairs = _by_stars(_thinned(pairs, whole=False), most_rounds)
     nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
