@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import blocks, urls
 from ..functions.text import blank_to_null, clean_title, strip
-from ..sources.shared import stored
+from ..sources.shared import broadcast_if_small, stored
 
 
 def _age_ms(ts: Column, as_of: Column) -> Column:
@@ -84,17 +84,46 @@ _NOT_REBUILT = {"video_page", "content_fetched_at", "etag", "last_modified", "ex
 def feed_changed(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """(``source_id``, ``changed``) for the sources in ``fresh`` (rows of ``reconcile``).
 
-    Rows are compared by digests, so bodies don't travel; ``fetched_at`` doesn't count.
+    Bodies are compared by digests, so they don't travel; ``fetched_at`` doesn't count.
     """
+    fresh = stored(slim(fresh))  # read for its sources and for its rows
+    cached = slim(cached).join(fresh.select("source_id").distinct(), "source_id", "left_semi")
+    return _changed(cached, fresh)
+
+
+def _changed(cached: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``feed_changed`` of slim rows, those of the sources in ``fresh``."""
     names = [c for c in cached.columns if c not in ("id", "source_id", "fetched_at")]
-    digest = lambda cols: F.xxhash64(*[F.to_json(F.struct(F.col(c).alias("v"))) for c in cols])
-    rest, some = [c for c in names if c in _NOT_REBUILT], [c for c in names if c not in _NOT_REBUILT]
-    both = lambda t, p: t.select("source_id", "id", digest(rest).alias(f"{p}_rest"), digest(some).alias(f"{p}_some"), *(["rebuilt"] if p == "b" else []))
-    b = stored(both(fresh, "b"))  # read for its sources and for its digests
-    a = both(cached, "a").join(b.select("source_id").distinct(), "source_id", "left_semi")
+    a, b = (t.select("source_id", "id", F.struct(*names, *more).alias(n)) for t, n, more in ((cached, "a", []), (fresh, "b", ["rebuilt"])))
+    same = F.lit(True)
+    for c in names:
+        equal = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        same = same & (equal | F.col("b.rebuilt") if c in _NOT_REBUILT else equal)
     j = a.join(b, ["source_id", "id"], "full_outer")
-    differs = F.col("a_some").isNull() | F.col("b_some").isNull() | (F.col("a_some") != F.col("b_some")) | (~F.col("rebuilt") & (F.col("a_rest") != F.col("b_rest")))
-    return j.groupBy("source_id").agg(F.bool_or(differs).alias("changed"))
+    return j.groupBy("source_id").agg(F.bool_or(F.col("a").isNull() | F.col("b").isNull() | ~same).alias("changed"))
+
+
+def slim(rows: DataFrame) -> DataFrame:
+    """Rows with a digest in place of their bodies; nulls and empty fields count as different."""
+    return rows.withColumn("body", F.when(F.col("body").isNotNull(), F.xxhash64(F.to_json(F.struct("body")))))
+
+
+def refresh_changes(items: DataFrame, cached: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """What a refresh changes: the article rows of the sources that changed, and (``source_id``, ``changed``) of all in ``items``.
+
+    ``items`` should be cheap to read again.  Rows are reconciled and compared without bodies, which are
+    fetched at the end, by the ids of changed sources alone: an unchanged feed moves no body.
+    """
+    narrow = stored(reconcile(slim(items), slim(cached), at))
+    known = slim(cached).join(narrow.select("source_id").distinct(), "source_id", "left_semi")
+    verdicts = stored(_changed(known, narrow))
+    rows = stored(narrow.join(verdicts.where("changed").select("source_id"), "source_id", "left_semi"))
+    ids = broadcast_if_small(rows.select("source_id", F.col("id").alias("of")))
+    new = items.select("source_id", F.concat_ws("~", "source_id", "id").alias("of"), "body").join(ids, ["source_id", "of"], "left_semi")
+    old = cached.select("source_id", F.col("id").alias("of"), "body").join(ids, ["source_id", "of"], "left_semi")
+    bodies = new.withColumn("own", F.lit(True)).unionByName(old.withColumn("own", F.lit(False))).withColumnRenamed("source_id", "sid")
+    with_body = rows.drop("body").join(bodies, (F.col("source_id") == F.col("sid")) & (F.col("id") == F.col("of")) & (F.col("rebuilt") == F.col("own")))
+    return with_body.select(*cached.columns), verdicts
 
 
 def source_edit(sources: DataFrame, edits: DataFrame, at: Column) -> DataFrame:
@@ -177,4 +206,4 @@ def folder_suggest(sources: DataFrame, answers: DataFrame) -> DataFrame:
     return s.select(*[folder.alias(c) if c == "folder" else F.col(c) for c in sources.columns])
 
 
-__all__ = ["apply_extraction", "article_refresh_due", "clean_title", "feed_changed", "folder_suggest", "reconcile", "source_edit", "source_refresh_log", "sources_stale"]
+__all__ = ["apply_extraction", "article_refresh_due", "clean_title", "feed_changed", "folder_suggest", "reconcile", "refresh_changes", "source_edit", "source_refresh_log", "sources_stale"]

@@ -35,22 +35,24 @@ def subscribe(items: DataFrame, articles: DataFrame, at: Column) -> DataFrame:
     return rf.reconcile(st.item_cap(items, fixed.SOURCE_ITEMS).drop("pos"), articles.limit(0), at).drop("rebuilt")
 
 
-def feed_refresh(documents: DataFrame, sources: DataFrame, articles: DataFrame, reading: DataFrame, at: Column, stale_only: bool = False) -> DataFrame:
-    """The article table after the feeds in ``documents`` were read.
-
-    Only sources of which something changed are written anew; what was parsed is
-    written once and read by the joins that compare and replace.
-    """
+def feed_changes(documents: DataFrame, sources: DataFrame, articles: DataFrame, at: Column, stale_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What the feeds in ``documents`` change: article rows of changed sources, and (``source_id``, ``changed``) of all that were read."""
     due = (rf.sources_stale(sources, at) if stale_only else st.live(sources)).select(F.col("url").alias("feed_url"), F.col("id").alias("source_id")).distinct()
     parsed = fd.parse(documents.join(due, "feed_url", "left_semi"))
     items = fd.items(parsed).join(due, "feed_url").drop("feed_url")
-    items = st.item_cap(items, fixed.SOURCE_ITEMS).drop("pos", "identity")
-    cached = articles.join(due, "source_id", "left_semi")
-    fresh = stored(rf.reconcile(items, cached, at))  # parsed once: three joins read it
-    changed = rf.feed_changed(cached, fresh).where("changed").select("source_id")
-    keep = reading.where("saved OR later").select(F.col("item_id").alias("id"))
-    incoming = fresh.drop("rebuilt").join(changed, "source_id", "left_semi")
-    return st.cache_replace(articles, incoming, changed, keep)
+    items = stored(st.item_cap(items, fixed.SOURCE_ITEMS).drop("pos", "identity"))  # parsed once
+    return rf.refresh_changes(items, articles.join(due, "source_id", "left_semi"), at)
+
+
+def feed_refresh(documents: DataFrame, sources: DataFrame, articles: DataFrame, reading: DataFrame, at: Column, stale_only: bool = False) -> DataFrame:
+    """The article table after the feeds in ``documents`` were read; rows of unchanged sources are passed on as they are."""
+    incoming, verdicts = feed_changes(documents, sources, articles, at, stale_only)
+    return st.cache_replace(articles, incoming, verdicts.where("changed").select("source_id"), kept_items(reading))
+
+
+def kept_items(reading: DataFrame) -> DataFrame:
+    """Articles (``id``) that stay although their feed has lost them."""
+    return reading.where("saved OR later").select(F.col("item_id").alias("id"))
 
 
 def edition(articles: DataFrame, sources: DataFrame, classifications: DataFrame, reading: DataFrame, as_of: Column, view: str = "all", most: int = 50, query: str | None = None, topic: str | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ from .operators import stories as so
 from .plans import workloads as wl
 from .sources import feeds as fd
 from .sources import views as vw
+from .sources.article_store import ArticleStore
 from .streaming import streams as sm
 
 QUERIES: dict = {}
@@ -75,7 +76,7 @@ UNION ALL SELECT u.user_id, 'folder', f.name, count(r.id) FILTER (NOT r.is_read)
 query("store_load", W("SELECT 'sources' AS store, count(*) AS n FROM sources WHERE deleted_at IS NULL UNION ALL SELECT 'classifications', count(*) FROM classifications WHERE deleted_at IS NULL UNION ALL SELECT 'articles', count(*) FROM articles UNION ALL SELECT 'reading', count(*) FROM reading UNION ALL SELECT 'topics', count(*) FROM topics", "sources", "articles", "classifications", "reading", "topics"))(
     lambda s, d: wl.store_counts({"sources": vw.sources(s, d), "classifications": vw.classifications(s, d), "articles": vw.articles(s, d).drop("body"), "reading": _reading(s, d), "topics": vw.topics(s, d)})
 )
-query("articles_of_source", W("SELECT id, title FROM articles WHERE source_id = 'src3'", "articles"))(lambda s, d: vw.articles(s, d).where("source_id = 'src3'").select("id", "title"))
+query("articles_of_source", W("SELECT id, title FROM articles WHERE source_id = 'src3'", "articles"))(lambda s, d: ArticleStore.create(vw.articles(s, d).drop("body")).of_source("src3").select("id", "title"))
 query("story_shape", W(f"SELECT a.id, {_MIN} AS minutes_ago, strftime(a.published_at, '%-d %B %Y') AS published_label, CASE WHEN content_state = 'summary' THEN 'summary' WHEN summary <> '' AND trim(regexp_replace(list_aggregate(paragraphs, 'string_agg', ' '), '\\s+', ' ', 'g'), ' ') = summary THEN 'summary' ELSE 'full' END AS content_state FROM articles a", "articles"))(
     lambda s, d: so.shape_stories(vw.articles(s, d), vw.now()).select("id", "minutes_ago", "published_label", "content_state")
 )
@@ -155,14 +156,16 @@ def _doc(c: str = "id"):
     return F.substring_index(c, "~", -1).cast("long")
 
 
-query("cache_replace", W("SELECT id FROM articles WHERE source_id NOT IN ('src1', 'src2', 'src3') OR doc_id % 2 = 0 OR doc_id % 7 = 3", "articles"))(
-    lambda s, d: st.cache_replace(
-        vw.articles(s, d).drop("body"),
-        vw.articles(s, d).drop("body").where(F.col("source_id").isin("src1", "src2", "src3") & (_doc() % 2 == 0)),
-        vw.sources(s, d).where(F.col("id").isin("src1", "src2", "src3")).select(F.col("id").alias("source_id")),
-        vw.articles(s, d).where(_doc() % 7 == 3).select("id"),
-    ).select("id")
-)
+def _replaced(spark, d) -> DataFrame:
+    """The stored articles after three sources were refreshed in place."""
+    articles = vw.articles(spark, d).drop("body")
+    refreshed = F.col("source_id").isin("src1", "src2", "src3")
+    store = ArticleStore.create(articles)
+    store.replace(articles.where(refreshed & (_doc() % 2 == 0)), articles.where(refreshed).select("source_id").distinct(), articles.where(_doc() % 7 == 3).select("id"))
+    return store.rows()
+
+
+query("cache_replace", W("SELECT id FROM articles WHERE source_id NOT IN ('src1', 'src2', 'src3') OR doc_id % 2 = 0 OR doc_id % 7 = 3", "articles"))(lambda s, d: _replaced(s, d).select("id"))
 query("source_remove", W("SELECT id FROM articles WHERE source_id NOT IN (SELECT id FROM sources WHERE user_id = 1)", "articles", "sources"))(
     lambda s, d: st.remove_source(vw.sources(s, d), vw.articles(s, d), vw.sources(s, d).where("user_id = 1").select("user_id", "id"), vw.now())[1].select("id")
 )
@@ -190,7 +193,24 @@ def _cached(spark, d) -> DataFrame:
 
 
 query("feed_reconcile", W("", "articles").rstrip() + ",\n" + _RECON)(lambda s, d: rf.reconcile(_incoming(s, d), _cached(s, d), vw.now()).select("id", "summary", "extraction_state", "rebuilt"))
-query("feed_changed")(lambda s, d: rf.feed_changed(_cached(s, d), rf.reconcile(_incoming(s, d), _cached(s, d), vw.now())))
+
+
+def _again(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Items of a second refresh, and the articles that the first one left: of each three sources one has other titles, one has lost items, one is as it was."""
+    n = F.substring("source_id", 4, 9).cast("int") % 3
+    first = vw.articles(spark, d).withColumn("id", _doc().cast("string")).select("source_id", "id", "title", "link", "author", "published_at", "summary", "body", "image", "has_cover", "image_caption", "content_state", "minutes", "layout")
+    cached = rf.reconcile(first, vw.articles(spark, d), vw.minutes_before(vw.now(), F.lit(60))).drop("rebuilt")
+    k = F.col("id").cast("long")
+    second = first.where((n != 1) | (k % 50 != 7)).withColumn("title", F.when((n == 0) & (k % 40 == 2), F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    return second, cached
+
+
+#: An article whose page was read keeps its title, so a new title there changes nothing.
+_CHANGED = "SELECT source_id, bool_or(substr(source_id, 4)::INT % 3 = 0 AND doc_id % 40 = 2 AND doc_id % 3 <> 0 OR substr(source_id, 4)::INT % 3 = 1 AND doc_id % 50 = 7) AS changed FROM articles GROUP BY source_id"
+query("feed_changed", W(_CHANGED, "articles"))(lambda s, d: rf.refresh_changes(*_again(s, d), vw.now())[1])
+query("feed_changes", W(f"changed AS ({_CHANGED}) SELECT a.id, CASE WHEN substr(source_id, 4)::INT % 3 = 0 AND doc_id % 40 = 2 AND doc_id % 3 <> 0 THEN title || '!' ELSE title END AS title, len(paragraphs)::INT AS blocks FROM articles a JOIN changed c USING (source_id) WHERE changed AND (substr(source_id, 4)::INT % 3 <> 1 OR doc_id % 50 <> 7)", "articles").replace(")\nchanged AS", "),\nchanged AS"))(
+    lambda s, d: rf.refresh_changes(*_again(s, d), vw.now())[0].select("id", "title", F.size("body").alias("blocks"))
+)
 query("source_edit", W("SELECT id, CASE WHEN user_id = 1 THEN 'Renamed' ELSE title END AS title, CASE WHEN user_id = 2 THEN NULL ELSE folder END AS folder, CASE WHEN user_id = 3 THEN 'other.example' ELSE host END AS host FROM sources", "sources"))(
     lambda s, d: rf.source_edit(
         vw.sources(s, d),

@@ -16,7 +16,7 @@ from ..operators import classification as cl
 from ..operators import state as st
 from ..plans import workloads as wl
 from ..sources import views as vw
-from ..sources.shared import shared_dir, stored
+from ..sources.shared import remove, shared_dir, stored
 
 
 def _shared(spark: SparkSession) -> str:
@@ -233,13 +233,17 @@ def read_credit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credits(vw.scroll_events(_EventStream(spark, sf_dir), sf_dir), _shared(spark))
 
 
+#: Every so many batches the articles written so far become one delta, and those before it go.
+COMPACT_EVERY = 32
+
+
 def _articles_at(articles: DataFrame, folder: str, number: int = 1 << 30) -> DataFrame:
-    """``articles``, with those of every source that earlier batches than ``number`` refreshed as the last of these left them."""
+    """``articles`` with the sources that earlier batches than ``number`` changed as the last commit of each has them."""
     spark = articles.sparkSession
-    touched = _written(spark, f"{folder}/touched")
-    if touched is None:
+    commits = _written(spark, f"{folder}/commits")
+    if commits is None:
         return articles
-    last = touched.where(F.col("batch") < number).groupBy("source_id").agg(F.max("batch").alias("batch"))
+    last = commits.where(F.col("batch") < number).groupBy("source_id").agg(F.max("batch").alias("batch"))
     rows = spark.read.schema(StructType([*articles.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/articles")
     rows = rows.join(last, ["source_id", "batch"]).select(*articles.columns)
     return articles.join(last.select("source_id"), "source_id", "left_anti").select(*articles.columns).unionByName(rows)
@@ -248,18 +252,35 @@ def _articles_at(articles: DataFrame, folder: str, number: int = 1 << 30) -> Dat
 def ingest(documents: DataFrame, sources: DataFrame, articles: DataFrame, reading: DataFrame, at: Column, folder: str) -> DataFrame:
     """Feed documents as a stream that refreshes the article table; returns the table.
 
-    A batch reads and writes the articles of its own sources only, by its number: it
-    may be run twice, and a stream that is stopped goes on where it was.
+    A batch writes the articles of the sources that it changes, as a delta by its number, and then
+    a commit that names these sources; where nothing changed it writes neither.  A delta counts
+    once its commit is there, so a batch may be run twice, and a stream that is stopped goes on
+    where it was.  Every ``COMPACT_EVERY`` batches deltas are merged.
     """
     spark = documents.sparkSession
+    delta, commit = (lambda n: f"{folder}/articles/batch={n}"), (lambda n: f"{folder}/commits/batch={n}")
 
     def each(batch: DataFrame, number: int) -> None:
-        batch = stored(batch)
-        known = st.live(sources).select(F.col("url").alias("feed_url"), F.col("id").alias("source_id"))
-        touched = stored(known.join(batch.select("feed_url").distinct(), "feed_url", "left_semi").select("source_id").distinct())
-        before = _articles_at(articles, folder, number).join(touched, "source_id", "left_semi").select(*articles.columns)
-        wl.feed_refresh(batch, sources, before, reading, at).write.mode("overwrite").parquet(f"{folder}/articles/batch={number}")
-        touched.write.mode("overwrite").parquet(f"{folder}/touched/batch={number}")
+        before = _articles_at(articles, folder, number)
+        incoming, verdicts = wl.feed_changes(stored(batch), sources, before, at)
+        changed = verdicts.where("changed").select("source_id")
+        if changed.isEmpty():
+            return
+        mine = before.join(changed, "source_id", "left_semi").select(*articles.columns)
+        st.cache_replace(mine, incoming, changed, wl.kept_items(reading)).write.mode("overwrite").parquet(delta(number))
+        changed.write.mode("overwrite").parquet(commit(number))
+        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+            compact(number)
+
+    def compact(number: int) -> None:
+        """The sources of all commits so far under this one's number.  Their deltas stay until the next time, for who reads them now."""
+        named = stored(spark.read.parquet(f"{folder}/commits").select("batch", "source_id"))
+        every = named.select("source_id").distinct()
+        merged = stored(_articles_at(articles, folder, number + 1).join(every, "source_id", "left_semi").select(*articles.columns))
+        merged.write.mode("overwrite").parquet(delta(number))
+        stored(every).write.mode("overwrite").parquet(commit(number))
+        old = [r["batch"] for r in named.select("batch").distinct().collect() if r["batch"] < number - COMPACT_EVERY]
+        remove(spark, *[f(n) for n in old for f in (commit, delta)])
 
     run_available(documents, each, folder)
     return _articles_at(articles, folder)

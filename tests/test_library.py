@@ -13,14 +13,17 @@ from broadsheet.functions import text as tx
 from broadsheet.functions import urls
 from broadsheet.operators import classification as cl
 from broadsheet.operators import pages as pg
+from broadsheet.operators import refresh as rf
 from broadsheet.operators import state as st
 from broadsheet.sources import feeds as fd
 from broadsheet.sources import views as vw
+from broadsheet.sources.article_store import ArticleStore
+from broadsheet.sources.shared import stored
 from broadsheet.streaming import streams as sm
 
 SF = "/root/testdata/sf0.001"
 #: Compared with SQL here; the driver compares them all.
-TWINS = ["edition_counts", "stories", "unread_stories", "view_filter", "topic_counts", "up_next", "lww_latest", "changeset_merge", "store_upsert", "cache_replace", "article_refresh_due", "decision_parse", "classification_resolve", "call_pacing", "read_credit", "fnv36", "fingerprint", "html_to_text", "ago_label", "parse_date", "feed_parse", "rate_windows", "stream_reading_state", "stream_pacing", "edition", "stream_read_credit", "feed_items", "feed_discover", "feed_sniff", "shared_opening", "decode_entities", "html_to_summary", "resolve_url", "blocks_dedupe", "sources_order", "changes_since", "topic_add", "feed_loose", "feed_errors"]
+TWINS = ["edition_counts", "stories", "unread_stories", "view_filter", "topic_counts", "up_next", "lww_latest", "changeset_merge", "store_upsert", "cache_replace", "article_refresh_due", "decision_parse", "classification_resolve", "call_pacing", "read_credit", "fnv36", "fingerprint", "html_to_text", "ago_label", "parse_date", "feed_parse", "rate_windows", "stream_reading_state", "stream_pacing", "edition", "stream_read_credit", "feed_items", "feed_discover", "feed_sniff", "shared_opening", "decode_entities", "html_to_summary", "resolve_url", "blocks_dedupe", "sources_order", "changes_since", "topic_add", "feed_loose", "feed_errors", "feed_changed", "feed_changes", "articles_of_source"]
 
 
 def value(spark, column):
@@ -349,3 +352,98 @@ def test_every_new_topic_has_a_slug_of_its_own(spark):
     got = {(r.user_id, r.seq): r.slug for r in added}
     assert got == {(1, 1): "ai-2", (1, 2): "ai-3", (1, 3): "ai-4", (1, 4): "news", (1, 5): "news-3", (2, 1): "ai", (2, 2): "ai-3", (3, 1): "topic", (3, 2): "topic-2", (3, 3): "topic-2-2", (3, 4): "x" * 40}
     assert all(r.id == r.slug for r in added)
+
+
+# --------------------------------------------------------- the article store
+
+
+def files_of(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_store_prunes_and_overwrites_only_what_it_must(spark, tmp_path):
+    articles = vw.articles(spark, SF)
+    store = ArticleStore.create(articles, path=f"file://{tmp_path}/store")
+    plan = store.of_source("src3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan
+    assert store.of_source("src3").count() == articles.where("source_id = 'src3'").count()
+    before, sources = files_of(tmp_path), articles.where("source_id IN ('src1', 'src3')").select("source_id")
+    incoming, keep = articles.where("source_id = 'src1'").limit(3), articles.where("source_id = 'src3'").limit(2).select("id")
+    want = {r.id for r in st.cache_replace(articles, incoming, sources, keep).collect()}
+    shards = store.replace(incoming, sources, keep)
+    assert {r.id for r in store.rows().collect()} == want
+    after = files_of(tmp_path)
+    outside = {f: t for f, t in before.items() if not any(f"/shard={s}/" in f for s in shards)}
+    assert outside and all(after.get(f) == t for f, t in outside.items())
+    # a shard that loses all its rows
+    alone = articles.where("source_id <> 'src3'")
+    assert store.replace(articles.limit(0), articles.select("source_id").distinct(), alone.select("id")) and store.of_source("src3").count() == 0
+
+
+def test_reconcile_takes_stored_articles_without_an_exchange(spark):
+    articles = vw.articles(spark, SF)
+    items = articles.withColumn("id", F.substring_index("id", "~", -1)).select("source_id", "id", "title", "link", "author", "published_at", "summary", "body", "image", "has_cover", "image_caption", "content_state", "minutes", "layout")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rf.reconcile(items, ArticleStore.create(articles).rows(), vw.now())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(sid" in plan
+
+
+def shuffled_bytes(spark, job):
+    total = lambda: sum(e.totalShuffleWrite() for e in iter_java(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = total()
+    job()
+    __import__("time").sleep(1)
+    return total() - before
+
+
+def iter_java(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_an_unchanged_feed_moves_no_body(spark):
+    moved = []
+    for times in (1, 60):
+        articles = stored(vw.articles(spark, SF).withColumn("body", F.flatten(F.array_repeat("body", times))))
+        items = stored(articles.withColumn("id", F.substring_index("id", "~", -1)).select("source_id", "id", "title", "link", "author", "published_at", "summary", "body", "image", "has_cover", "image_caption", "content_state", "minutes", "layout"))
+        cached = stored(rf.reconcile(items, articles, vw.minutes_before(vw.now(), F.lit(5))).drop("rebuilt"))
+        out = []
+        moved.append(shuffled_bytes(spark, lambda: out.extend(t.collect() for t in rf.refresh_changes(items, cached, vw.now()))))  # noqa: B023
+        assert out[0] == [] and {r.changed for r in out[1]} == {False}
+    assert moved[1] < 1.2 * moved[0]
+
+
+def test_bodies_come_from_the_side_that_counts(spark):
+    articles = vw.articles(spark, SF)
+    items = articles.withColumn("id", F.substring_index("id", "~", -1)).withColumn("body", F.slice("body", 1, 1)).withColumn("summary", F.concat(F.lit("x"), "summary"))
+    rows, verdicts = rf.refresh_changes(items.select("source_id", "id", "title", "link", "author", "published_at", "summary", "body", "image", "has_cover", "image_caption", "content_state", "minutes", "layout"), articles, vw.now())
+    want = rf.reconcile(items.select("source_id", "id", "title", "link", "author", "published_at", "summary", "body", "image", "has_cover", "image_caption", "content_state", "minutes", "layout"), articles, vw.now()).drop("rebuilt")
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))
+    assert {r.changed for r in verdicts.collect()} == {True}
+
+
+def test_an_unchanged_document_writes_no_articles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sm, "COMPACT_EVERY", 2)
+    docs, sources, articles = vw.feed_documents(spark, SF), vw.feed_sources(spark, SF), vw.feed_articles(spark, SF)
+    docs = docs.where("feed_url RLIKE 'src[0-3][.]'").cache()
+    reading = vw.reading_changes(spark, SF).limit(0)  # nothing is kept that the feed has lost
+    (tmp_path / "in").mkdir()
+    stream = folder_stream(spark, tmp_path / "in", docs.schema)
+    run = lambda: sm.ingest(stream, sources, articles, reading, vw.now(), f"file://{tmp_path}/out")
+    docs.write.mode("append").parquet(f"file://{tmp_path}/in")
+    first = {(r.source_id, r.id, r.title) for r in run().collect()}
+    written = files_of(tmp_path / "out" / "articles")
+    docs.write.mode("append").parquet(f"file://{tmp_path}/in")  # the same again
+    assert {(r.source_id, r.id, r.title) for r in run().collect()} == first
+    assert files_of(tmp_path / "out" / "articles") == written
+    # one feed changes, then another, and deltas are merged meanwhile
+    for k, name in enumerate(("src0", "src1", "src2", "src0")):
+        docs.where(F.col("feed_url").contains(name + ".")).withColumn("body", F.replace("body", F.lit("</title>"), F.lit(f" v{k}</title>"))).write.mode("append").parquet(f"file://{tmp_path}/in")
+        now = run()
+    titles = {r.source_id.partition(".")[0]: r.title for r in now.where("title RLIKE ' v[0-9]$'").collect()}
+    assert {n: t[-2:] for n, t in titles.items()} == {"src0": "v3", "src1": "v1", "src2": "v2"}
+    assert len({r.id for r in now.collect()}) == now.count()
+    batches = sorted(int(p.name.partition("=")[2]) for p in (tmp_path / "out" / "articles").iterdir())
+    assert 0 not in batches and 5 in batches
