@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -41,6 +41,12 @@ def sources_stale(sources: DataFrame, as_of: Column, attempts: DataFrame | None
     return stale.where(F.col("attempted_at").isNull() | (_age_ms(F.col("attempted_at"), as_of) >= limit)).drop("attempted_at")
 
 
+def sweep(stale: DataFrame) -> DataFrame:
+    """The order in which each reader's stale sources are read: those fetched longest ago first (``rank``)."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("fetched_at").asc_nulls_first(), "id"))
+    return stale.withColumn("rank", rank)
+
+
 def reconcile(items: DataFrame, cached: DataFrame, at: Column) -> DataFrame:
     """Article rows for the incoming ``items`` (with ``source_id``) of refreshed sources.
 
@@ -206,4 +212,4 @@ def folder_suggest(sources: DataFrame, answers: DataFrame) -> DataFrame:
     return s.select(*[folder.alias(c) if c == "folder" else F.col(c) for c in sources.columns])
 
 
-__all__ = ["apply_extraction", "article_refresh_due", "clean_title", "feed_changed", "folder_suggest", "reconcile", "refresh_changes", "source_edit", "source_refresh_log", "sources_stale"]
+__all__ = ["apply_extraction", "article_refresh_due", "clean_title", "feed_changed", "folder_suggest", "reconcile", "refresh_changes", "source_edit", "source_refresh_log", "sources_stale", "sweep"]

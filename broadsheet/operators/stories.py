@@ -143,10 +143,38 @@ def column_stats(stories: DataFrame, approximate: bool = False) -> DataFrame:
     return stories.groupBy("user_id").agg(F.count(F.lit(1)).alias("stories"), F.sum("minutes").alias("minutes"), distinct("feed_id").alias("sources"))
 
 
-def stream_order(stories: DataFrame) -> DataFrame:
-    """Each reader's column in order: newest first, by id where equally old."""
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("minutes_ago", "id"))
-    return stories.withColumn("rank", rank)
+def column_sketches(stories: DataFrame) -> DataFrame:
+    """Each reader's column by day (``user_id``, ``day``): stories, minutes and a sketch of their sources, to be stored and merged."""
+    day = F.floor(F.col("minutes_ago") / fixed.TODAY_MINUTES).cast("int")
+    return stories.groupBy("user_id", day.alias("day")).agg(F.count(F.lit(1)).alias("stories"), F.sum("minutes").alias("minutes"), F.hll_sketch_agg("feed_id").alias("sketch"))
+
+
+def merged_stats(sketches: DataFrame) -> DataFrame:
+    """``column_stats`` of the days in ``sketches``, whichever they are: sketches are merged, stories aren't read again."""
+    g = sketches.groupBy("user_id").agg(F.sum("stories").alias("stories"), F.sum("minutes").alias("minutes"), F.hll_union_agg("sketch").alias("sketch"))
+    return g.select("user_id", "stories", "minutes", F.hll_sketch_estimate("sketch").alias("sources"))
+
+
+#: Minutes of a segment of a reader's column.
+SEGMENT = 1_440
+
+
+def _segmented(stories: DataFrame, span: int) -> DataFrame:
+    return stories.withColumn("segment", F.floor(F.col("minutes_ago") / span))
+
+
+def stream_order(stories: DataFrame, span: int = SEGMENT) -> DataFrame:
+    """Each reader's column in order: newest first, by id where equally old.
+
+    Columns are ranked in segments of ``span`` minutes, and a second pass over the sizes of
+    segments adds what stands before each, so no task holds all of a reader's stories.
+    """
+    s = _segmented(stories, span)
+    sizes = s.groupBy("user_id", "segment").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("user_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("user_id", "segment").orderBy("minutes_ago", "id"))
+    s = s.withColumn("rank", rank).join(sizes.select("user_id", "segment", before.alias("before")), ["user_id", "segment"])
+    return s.withColumn("rank", (F.col("rank") + F.col("before")).cast("int")).select(*stories.columns, "rank")
 
 
 def sources_order(sources: DataFrame) -> DataFrame:
@@ -162,15 +190,45 @@ def sweep_order(stories: DataFrame, opened: DataFrame) -> DataFrame:
     return s.withColumn("rank", rank).drop("open_id")
 
 
-def up_next(stories: DataFrame, reading: DataFrame) -> DataFrame:
-    """For every story of the whole column its neighbours among the unread ones."""
+def up_next(stories: DataFrame, reading: DataFrame, span: int = SEGMENT) -> DataFrame:
+    """For every story of the whole column its neighbours among the unread ones.
+
+    Neighbours are looked for in segments of ``span`` minutes; where a segment has none, the
+    first or last unread story of the next one that has any is carried across, in a pass over
+    segments.  No task holds all of a reader's stories.
+    """
     r = reading.where("read").select("user_id", F.col("item_id").alias("id"), F.lit(True).alias("gone"))
-    s = stories.join(r, ["user_id", "id"], "left")
-    seen = F.when(F.col("gone").isNull(), F.col("id"))
-    w = Window.partitionBy("user_id").orderBy("minutes_ago", "id")
-    after = F.first(seen, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return s.select("user_id", "id", after.alias("next_id"), before.alias("previous_id"))
+    s = _segmented(stories.select("user_id", "id", "minutes_ago"), span).join(r, ["user_id", "id"], "left")
+    s = s.select("user_id", "segment", "id", "minutes_ago", F.when(F.col("gone").isNull(), F.col("id")).alias("seen"))
+    place = F.when(F.col("seen").isNotNull(), F.struct("minutes_ago", "id"))
+    edges = s.groupBy("user_id", "segment").agg(F.min(place)["id"].alias("first"), F.max(place)["id"].alias("last"))
+    by_segment = Window.partitionBy("user_id").orderBy("segment")
+    later = F.first("first", True).over(by_segment.rowsBetween(1, Window.unboundedFollowing))
+    earlier = F.last("last", True).over(by_segment.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select("user_id", "segment", later.alias("later"), earlier.alias("earlier"))
+    w = Window.partitionBy("user_id", "segment").orderBy("minutes_ago", "id")
+    after = F.first("seen", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last("seen", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("after", after).withColumn("before", before).join(edges, ["user_id", "segment"])
+    return s.select("user_id", "id", F.coalesce("after", "later").alias("next_id"), F.coalesce("before", "earlier").alias("previous_id"))
+
+
+def count_deltas(old: DataFrame, new: DataFrame, stories: DataFrame) -> DataFrame:
+    """(``user_id``, ``scope``, ``name``, ``n``): what ``edition_counts`` gains or loses where reading rows ``old`` become ``new``.
+
+    ``old`` needs the rows of the keys in ``new`` only; a key without one had no flag set.
+    """
+    keys, flags = ["user_id", "id"], ["read", "saved", "later"]
+    a, b = (t.select("user_id", F.col("item_id").alias("id"), F.struct(*flags).alias(n)) for t, n in ((old, "a"), (new, "b")))
+    s = stories.select(*keys, "feed_id", "folder", "minutes_ago").join(b.join(a, keys, "left"), keys)
+    on = lambda side, flag: F.coalesce(F.col(f"{side}.{flag}"), F.lit(False)).cast("long")
+    fresh = on("a", "read") - on("b", "read")
+    row = lambda scope, name, n: F.struct(F.lit(scope).alias("scope"), name.alias("name"), n.alias("n"))
+    none = F.lit(None).cast("string")
+    today = F.when(F.col("minutes_ago") < fixed.TODAY_MINUTES, fresh).otherwise(F.lit(0))
+    rows = F.array(row("all", none, fresh), row("today", none, today), row("saved", none, on("b", "saved") - on("a", "saved")), row("later", none, on("b", "later") - on("a", "later")), row("feed", F.col("feed_id"), fresh), row("folder", F.col("folder"), fresh))
+    d = s.select("user_id", F.inline(rows)).where("n <> 0 AND (scope <> 'folder' OR name IS NOT NULL)")
+    return d.groupBy("user_id", "scope", "name").agg(F.sum("n").alias("n"))
 
 
 def folders_in_use(feeds: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Every query reads the driver's tables through ``sources.views``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ from .operators import pages as pg
 from .operators import refresh as rf
 from .operators import state as st
 from .operators import stories as so
+from .operators.search_index import TrigramIndex
 from .plans import workloads as wl
 from .sources import feeds as fd
 from .sources import views as vw
 from .sources.article_store import ArticleStore
+from .sources.shared import shared_dir
 from .streaming import streams as sm
 
 QUERIES: dict = {}
@@ -101,10 +105,23 @@ query("story_search", S("SELECT user_id, id FROM stories WHERE contains(lower(ti
 query("palette_search", S("SELECT user_id, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY minutes_ago, id) AS rank FROM stories WHERE contains(lower(title), 'author 3') OR contains(lower(dek), 'author 3') OR contains(lower(feed_name), 'author 3') OR contains(lower(byline), 'author 3')) WHERE rank <= 24"))(
     lambda s, d: so.palette_search(_stories(s, d), "Author 3").select("user_id", "id", "rank")
 )
+def _searched(spark, d, text: str, byline: bool) -> DataFrame:
+    """A search by an index that got the articles in two batches."""
+    index = TrigramIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    articles = vw.articles(spark, d).select("id", "title", "summary", "author")
+    for i in (0, 1):
+        index.add(articles.where(F.pmod(F.xxhash64("id"), F.lit(2)) == i), i)
+    return index.search(_stories(spark, d), text, byline)
+
+
+query("story_search_indexed", ORACLES["story_search"])(lambda s, d: _searched(s, d, " The AN ", False).select("user_id", "id"))
+query("palette_search_indexed", ORACLES["palette_search"])(lambda s, d: so.newest(_searched(s, d, "Author 3", True), 24).select("user_id", "id", "rank"))
+query("palette_recent", S("SELECT user_id, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY minutes_ago, id) AS rank FROM stories) WHERE rank <= 7"))(lambda s, d: so.palette_search(_stories(s, d), "  ").select("user_id", "id", "rank"))
 query("topic_filter", S("SELECT s.user_id, s.id FROM stories s JOIN classifications c ON c.user_id = s.user_id AND c.item_id = s.id AND c.deleted_at IS NULL WHERE list_contains(c.topic_ids, 'ai')", "classifications"))(lambda s, d: so.topic_filter(so.classified(_stories(s, d), vw.classifications(s, d)), "ai").select("user_id", "id"))
 query("topic_counts", S("SELECT user_id, topic_id, count(*) AS n FROM (SELECT s.user_id, unnest(c.topic_ids) AS topic_id FROM stories s JOIN classifications c ON c.user_id = s.user_id AND c.item_id = s.id AND c.deleted_at IS NULL) GROUP BY ALL", "classifications"))(lambda s, d: so.topic_counts(so.classified(_stories(s, d), vw.classifications(s, d))))
 query("today_totals", S("SELECT user_id, count(*) AS stories, sum(minutes)::BIGINT AS minutes FROM stories WHERE minutes_ago < 1440 GROUP BY user_id"))(lambda s, d: so.today_totals(_stories(s, d)))
 query("column_stats", S("SELECT user_id, count(*) AS stories, sum(minutes)::BIGINT AS minutes, count(DISTINCT feed_id) AS sources FROM stories GROUP BY user_id"))(lambda s, d: so.column_stats(_stories(s, d)))
+query("column_stats_merged", S("SELECT user_id, count(*) AS stories, sum(minutes)::BIGINT AS minutes, count(DISTINCT feed_id) AS sources FROM stories WHERE minutes_ago < 30240 GROUP BY user_id"))(lambda s, d: so.merged_stats(so.column_sketches(_stories(s, d)).where("day < 21")))
 query("original_url", S("SELECT user_id, id, coalesce(link, site_url) AS original_url FROM stories"))(lambda s, d: so.original_url(_stories(s, d)).select("user_id", "id", "original_url"))
 query("stream_order", S("SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY minutes_ago, id)::INT AS rank FROM stories"))(lambda s, d: so.stream_order(_stories(s, d)).select("user_id", "id", "rank"))
 query("sources_order", W("SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY added_at DESC, id)::INT AS rank FROM sources WHERE deleted_at IS NULL", "sources"))(lambda s, d: so.sources_order(vw.sources(s, d)).select("user_id", "id", "rank"))
@@ -174,6 +191,18 @@ query("item_cap", W("SELECT source_id, id FROM (SELECT *, row_number() OVER (PAR
 # ---------------------------------------------------------------- refreshing
 
 query("sources_stale", W(f"SELECT user_id, id FROM sources WHERE deleted_at IS NULL AND fetched_at <= {NOW} - INTERVAL 30 MINUTE", "sources"))(lambda s, d: rf.sources_stale(vw.sources(s, d), vw.now()).select("user_id", "id"))
+query("sources_stale_order", W(f"SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY fetched_at, id)::INT AS rank FROM (SELECT * FROM sources WHERE deleted_at IS NULL AND fetched_at <= {NOW} - INTERVAL 30 MINUTE AND (substr(id, 4)::INT % 4 > 1 OR {NOW} - to_minutes(substr(id, 4)::INT * 3) <= {NOW} - INTERVAL 30 MINUTE))", "sources"))(
+    lambda s, d: rf.sweep(rf.sources_stale(vw.sources(s, d), vw.now(), _attempts(s, d))).select("user_id", "id", "rank")
+)
+query("sources_forced", W("SELECT user_id, id FROM sources WHERE deleted_at IS NULL", "sources"))(lambda s, d: rf.sources_stale(vw.sources(s, d), vw.now(), _attempts(s, d), forced=True).select("user_id", "id"))
+
+
+def _attempts(spark, d) -> DataFrame:
+    """Attempts at half of the sources, some of them less than half an hour ago."""
+    n = F.substring("id", 4, 9).cast("int")
+    return vw.sources(spark, d).where(n % 4 <= 1).select("user_id", "id", vw.minutes_before(vw.now(), n * 3).alias("attempted_at"))
+
+
 query("article_refresh_due", W(f"""SELECT id, CASE WHEN link IS NULL THEN false WHEN extractor_version <> 12 THEN true WHEN extraction_state = 'failed' AND {NOW} - coalesce(content_checked_at, TIMESTAMP '1970-01-01') < INTERVAL 12 HOUR THEN false
  WHEN content_fetched_at IS NOT NULL THEN {NOW} - content_checked_at >= INTERVAL 6 HOUR ELSE true END AS due FROM articles""", "articles"))(lambda s, d: vw.articles(s, d).select("id", rf.article_refresh_due(vw.now()).alias("due")))
 _RECON = f"""inc AS (SELECT *, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'New ' || summary END AS new_summary FROM articles WHERE doc_id % 6 <> 5)
@@ -494,6 +523,7 @@ query("decode_obfuscated_email", "SELECT page_id, 'p' || page_id || '@x.example'
 
 query("stream_reading_state", W("SELECT user_id, item_id, read, saved, later, seq FROM reading", "reading"))(sm.reading_state_query)
 query("stream_changes", W(f"SELECT user_id, item_id, seq FROM reading_changes WHERE updated_at > {NOW} - INTERVAL 10 DAY", "reading_changes"))(sm.changes_query)
+query("stream_edition_counts", ORACLES["edition_counts"])(sm.edition_counts_query)
 query("rate_windows", W("SELECT client, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS calls, count(*) > 40 AS limited FROM call_log GROUP BY ALL", "call_log"))(sm.rate_windows_query)
 query("stream_pacing", ORACLES["call_pacing"])(sm.pacing_query)
 query("stream_read_credit", _CREDIT)(sm.read_credit_query)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -14,8 +13,10 @@ from .. import fixed
 from ..functions import text as tx
 from ..operators import classification as cl
 from ..operators import state as st
+from ..operators import stories as so
 from ..plans import workloads as wl
 from ..sources import views as vw
+from ..sources.changelog import ChangeLog, written
 from ..sources.shared import remove, shared_dir, stored
 
 
@@ -54,21 +55,12 @@ class _EventStream:
 FULL_EVERY = 64
 
 
-def _written(spark: SparkSession, path: str) -> DataFrame | None:
-    """The batches written so far, with their numbers as column ``batch``; none yet before the first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def _current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
-    """The state that the batches under ``path`` make: the last whole one and the changes after it."""
-    rows = _written(spark, path)
+def _current(spark: SparkSession, path: str, keys: list[str], number: int = 1 << 30) -> DataFrame | None:
+    """The state that the batches under ``path`` before ``number`` make: the last whole one and the changes after it."""
+    rows = written(spark, path)
     if rows is None:
         return None
+    rows = rows.where(F.col("batch") < number)
     whole = rows.where("whole = 1").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]  # of folder names
     return st.lww_latest(rows.where(F.col("batch") >= whole).drop("whole", "batch"), keys)
 
@@ -112,12 +104,54 @@ def collected(df: DataFrame, folder: str, mode: str = "append") -> str:
     return path
 
 
+def changes(stream: DataFrame, folder: str) -> ChangeLog:
+    """A stream of changes as a changelog clustered by time; run again, it goes on where it was."""
+    log = ChangeLog(stream.sparkSession, folder)
+    run_available(stream, log.append, folder)
+    return log
+
+
 def changes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The changelog after a watermark, as a stream."""
-    changes = vw.reading_changes(_EventStream(spark, sf_dir), sf_dir)
-    after = changes.where(F.col("updated_at") > vw.minutes_before(vw.now(), F.lit(14_400)))
-    path = collected(after.select("user_id", "item_id", "seq", "updated_at"), _shared(spark))
-    return spark.read.parquet(path).select("user_id", "item_id", "seq")
+    """The changelog after a watermark, from a stream of changes."""
+    log = changes(vw.reading_changes(_EventStream(spark, sf_dir), sf_dir).select("user_id", "item_id", "seq", "updated_at"), _shared(spark))
+    return log.since(vw.minutes_before(vw.now(), F.lit(14_400))).select("user_id", "item_id", "seq")
+
+
+def edition_counts(stream: DataFrame, stories: DataFrame, folder: str) -> DataFrame:
+    """``edition_counts`` kept up by a stream of reading changes: counts of unread stories, and what each batch adds or takes away.
+
+    A batch is reduced to the rows that win over the state before it; these and their deltas are
+    written by its number, so it may be run twice, late rows lose by their own times, and a
+    stream that is stopped goes on where it was.  The stories are those of one edition.
+    """
+    spark, keys = stream.sparkSession, ["user_id", "item_id"]
+    state, deltas, base = f"{folder}/state", f"{folder}/deltas", f"{folder}/base"
+    if written(spark, base) is None:
+        nothing = spark.createDataFrame([], "user_id long, item_id string, read boolean, saved boolean, later boolean")
+        so.edition_counts(stories, nothing).write.mode("overwrite").parquet(base)
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = stored(st.lww_latest(batch, keys))
+        before = _current(spark, state, keys, number)
+        old = fresh.limit(0) if before is None else stored(before.join(fresh.select(*keys), keys, "left_semi").select(*fresh.columns))
+        new = stored(st.lww_latest(old.unionByName(fresh), keys))
+        so.count_deltas(old, new, stories).write.mode("overwrite").parquet(f"{deltas}/batch={number}")
+        whole = number % FULL_EVERY == FULL_EVERY - 1 and before is not None
+        kept = st.lww_latest(before.select(*new.columns).unionByName(new), keys) if whole else new
+        kept.write.mode("overwrite").parquet(f"{state}/whole={int(whole)}/batch={number}")
+
+    run_available(stream, each, folder)
+    counts = spark.read.parquet(base)
+    made = written(spark, deltas)
+    if made is not None:
+        counts = counts.unionByName(made.drop("batch"))
+    return counts.groupBy("user_id", "scope", "name").agg(F.sum("n").alias("n"))
+
+
+def edition_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stories = so.readers_stories(so.shape_stories(vw.articles(spark, sf_dir), vw.now(), False), so.shape_feeds(vw.sources(spark, sf_dir)))
+    stream = vw.reading_changes(_EventStream(spark, sf_dir), sf_dir)
+    return edition_counts(stream, stories, _shared(spark))
 
 
 def rate_windows(calls: DataFrame, limit: int = fixed.FETCH_LIMIT, late: str = "10 minutes") -> DataFrame:
@@ -164,7 +198,7 @@ def pacing(calls: DataFrame, folder: str, late: str = "10 minutes") -> DataFrame
     """
     path = f"{folder}/rows"
     run_available(call_windows(calls, late), lambda batch, n: paced_windows(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"), folder, "update")
-    rows = _written(calls.sparkSession, path)
+    rows = written(calls.sparkSession, path)
     if rows is None:
         return calls.sparkSession.createDataFrame([], "client string, seq long, recent long, delay_ms long")
     return rows.groupBy("client", "seq").agg(F.max_by(F.struct("recent", "delay_ms"), "batch").alias("x")).select("client", "seq", "x.*")
@@ -222,7 +256,7 @@ def credits(events: DataFrame, folder: str, late: str = "1 minute") -> DataFrame
     """
     path = f"{folder}/rows"
     run_available(scroll_windows(events, late), lambda batch, n: credited_windows(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"), folder, "update")
-    rows = _written(events.sparkSession, path)
+    rows = written(events.sparkSession, path)
     if rows is None:
         return events.sparkSession.createDataFrame([], "user_id long, item_id string, credited_at timestamp")
     last = rows.groupBy("user_id", "start", "item_id").agg(F.max_by("credited_at", "batch").alias("credited_at"))
@@ -240,7 +274,7 @@ COMPACT_EVERY = 32
 def _articles_at(articles: DataFrame, folder: str, number: int = 1 << 30) -> DataFrame:
     """``articles`` with the sources that earlier batches than ``number`` changed as the last commit of each has them."""
     spark = articles.sparkSession
-    commits = _written(spark, f"{folder}/commits")
+    commits = written(spark, f"{folder}/commits")
     if commits is None:
         return articles
     last = commits.where(F.col("batch") < number).groupBy("source_id").agg(F.max("batch").alias("batch"))
