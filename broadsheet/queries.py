@@ -139,6 +139,18 @@ query("feed_union", W("SELECT user_id, id AS feed_id FROM sources WHERE deleted_
 # ---------------------------------------------------------- state and sync
 
 query("lww_latest", W("SELECT * FROM reading", "reading"))(_reading)
+
+
+def _removals(spark, d) -> DataFrame:
+    """A changelog of items with days for times, so that many are equally old, and some that are deletions."""
+    c = vw.reading_changes(spark, d)
+    day = F.date_trunc("DAY", "updated_at")
+    return c.select("item_id", day.alias("updated_at"), F.when(F.col("saved"), day).alias("deleted_at"), "seq")
+
+
+query("lww_deletions", W("SELECT item_id, seq, deleted FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY day DESC, deleted DESC, seq) AS rn FROM (SELECT item_id, seq, date_trunc('day', updated_at) AS day, saved AS deleted FROM reading_changes)) WHERE rn = 1", "reading_changes"))(
+    lambda s, d: st.lww_latest(_removals(s, d), ["item_id"], "deletion").select("item_id", "seq", F.col("deleted_at").isNotNull().alias("deleted"))
+)
 query("reading_flags", W("SELECT user_id, item_id, 'read' AS flag FROM reading WHERE read UNION ALL SELECT user_id, item_id, 'saved' FROM reading WHERE saved UNION ALL SELECT user_id, item_id, 'later' FROM reading WHERE later", "reading"))(lambda s, d: st.reading_flags(_reading(s, d)))
 
 
@@ -263,7 +275,36 @@ def _with_pos(articles: DataFrame) -> DataFrame:
     return articles.withColumn("pos", _doc()).withColumn("id", _doc().cast("string"))
 
 
-query("extraction_apply")(lambda s, d: wl.page_update(vw.articles(s, d), vw.table(s, d, "pages").withColumn("url", F.format_string("https://src%s.example/%s", (F.col("page_id") % 20).cast("string"), F.col("page_id").cast("string"))), vw.now()).groupBy("extraction_state", "content_state").agg(F.count(F.lit(1)).alias("n"), F.sum("minutes").alias("minutes")))
+query("page_update")(lambda s, d: wl.page_update(vw.articles(s, d), vw.table(s, d, "pages").withColumn("url", F.format_string("https://src%s.example/%s", (F.col("page_id") % 20).cast("string"), F.col("page_id").cast("string"))), vw.now()).groupBy("extraction_state", "content_state").agg(F.count(F.lit(1)).alias("n"), F.sum("minutes").alias("minutes")))
+
+
+def _outcomes(spark, d) -> DataFrame:
+    """What became of the pages of the articles with links: read, unchanged, failed, or never asked for."""
+    k = _doc()
+    a = vw.articles(spark, d).where(F.col("link").isNotNull() & (k % 4 < 3))
+    return a.select(
+        "link",
+        F.when(k % 4 == 0, "ok").when(k % 4 == 1, "not_modified").otherwise("failed").alias("outcome"),
+        F.when(k % 8 == 0, F.concat(F.lit("Page of "), "title")).otherwise("").alias("title"),
+        F.when(k % 16 == 0, "Someone").alias("author"),
+        F.slice("body", 1, 1).alias("body"),
+        (k % 12 == 0).alias("truncated"),
+        F.when(k % 20 == 0, "https://x.example/p.jpg").alias("image"),
+        F.when(k % 20 == 0, True).alias("has_cover"),
+        F.lit(None).cast("boolean").alias("video_page"),
+        F.when(k % 24 == 0, "e1").alias("etag"),
+        F.lit(None).cast("string").alias("last_modified"),
+    )
+
+
+query("extraction_apply", W(f"""asked AS (SELECT *, CASE WHEN link IS NULL THEN 3 ELSE doc_id % 4 END AS k, content_fetched_at IS NOT NULL OR extraction_state = 'success' AS original FROM articles)
+ SELECT id, CASE WHEN k = 0 AND doc_id % 8 = 0 THEN 'Page of ' || title ELSE title END AS title, CASE WHEN k = 0 AND doc_id % 16 = 0 THEN 'Someone' ELSE author END AS author,
+ (CASE WHEN k = 0 THEN least(1, len(paragraphs)) ELSE len(paragraphs) END)::INT AS blocks, CASE WHEN k = 0 AND doc_id % 20 = 0 THEN 'https://x.example/p.jpg' END AS image, CASE WHEN k = 0 AND doc_id % 24 = 0 THEN 'e1' END AS etag,
+ CASE WHEN k = 0 THEN greatest(1, floor(len(regexp_extract_all(coalesce(paragraphs[1], ''), '\\S+')) / 225.0::DOUBLE + 0.5))::INT ELSE minutes END AS minutes, CASE WHEN k = 0 THEN CASE WHEN doc_id % 12 = 0 THEN 'truncated' ELSE 'full' END ELSE content_state END AS content_state,
+ CASE WHEN k = 0 THEN 'success' WHEN k = 2 AND NOT original THEN 'failed' ELSE extraction_state END AS extraction_state, CASE WHEN k = 0 THEN {NOW} ELSE content_fetched_at END AS content_fetched_at, CASE WHEN k < 3 THEN {NOW} ELSE content_checked_at END AS content_checked_at,
+ CASE WHEN k IN (0, 2) THEN 12 ELSE extractor_version END AS extractor_version FROM asked""", "articles").replace(")\nasked AS", "),\nasked AS"))(
+    lambda s, d: rf.apply_extraction(vw.articles(s, d), _outcomes(s, d), vw.now()).select("id", "title", "author", F.size("body").alias("blocks"), "image", "etag", "minutes", "content_state", "extraction_state", "content_fetched_at", "content_checked_at", "extractor_version")
+)
 query("folder_suggest", W("SELECT id, coalesce(folder, CASE WHEN substr(id, 4)::INT % 5 >= 2 THEN 'ideas' END) AS folder FROM sources", "sources"))(
     lambda s, d: rf.folder_suggest(vw.sources(s, d), vw.sources(s, d).select("user_id", "id", F.lit("ideas").alias("slug"), (0.4 + F.substring("id", 4, 9).cast("int") % 5 * 0.1).alias("confidence"))).select("id", "folder")
 )
@@ -346,14 +387,21 @@ query("paragraph_diff_counts")(lambda s, d: pg.paragraph_diff_counts(pg.paragrap
 def _known():
     return F.array(*[F.lit(t[0]) for t in fixed.TOPICS[:11]])
 
-query("classification_due", S("SELECT s.user_id, s.id FROM stories s LEFT JOIN classifications c ON c.user_id = s.user_id AND c.item_id = s.id WHERE NOT coalesce(c.deleted_at IS NULL AND c.status IN ('confirmed', 'rejected'), false)", "classifications"))(
-    lambda s, d: cl.due(_user_articles(s, d), vw.classifications(s, d)).select("user_id", "id")
+query("classification_due", S("SELECT s.user_id, s.id FROM stories s LEFT JOIN classifications c ON c.user_id = s.user_id AND c.item_id = s.id WHERE NOT coalesce(c.deleted_at IS NULL AND (c.status IN ('confirmed', 'rejected') OR c.doc_id % 3 = 0), false)", "classifications"))(
+    lambda s, d: cl.due(_user_articles(s, d), _fingerprinted(s, d)).select("user_id", "id")
 )
-query("classification_backlog", S("SELECT s.user_id, count(*) AS pending FROM stories s LEFT JOIN classifications c ON c.user_id = s.user_id AND c.item_id = s.id WHERE NOT coalesce(c.deleted_at IS NULL AND c.status IN ('confirmed', 'rejected'), false) GROUP BY s.user_id", "classifications"))(
-    lambda s, d: cl.due(_user_articles(s, d), vw.classifications(s, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("pending"))
+query("classification_backlog", S("SELECT s.user_id, count(*) AS pending FROM stories s LEFT JOIN classifications c ON c.user_id = s.user_id AND c.item_id = s.id WHERE NOT coalesce(c.deleted_at IS NULL AND (c.status IN ('confirmed', 'rejected') OR c.doc_id % 3 = 0), false) GROUP BY s.user_id", "classifications"))(
+    lambda s, d: cl.due(_user_articles(s, d), _fingerprinted(s, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("pending"))
 )
 
 
+def _fingerprinted(spark, d) -> DataFrame:
+    """The classifications, a third of them of their articles as they are now."""
+    a = vw.articles(spark, d).select(F.col("id").alias("item_id"), tx.fingerprint(F.col("title"), F.col("summary")).alias("now"))
+    c = vw.classifications(spark, d).join(a, "item_id")
+    return c.withColumn("content_fingerprint", F.when(_doc("item_id") % 3 == 0, F.col("now")).otherwise(F.col("content_fingerprint"))).drop("now")
+
+
 def _user_articles(spark, d) -> DataFrame:
     a = vw.articles(spark, d).select("id", "source_id", "title", "summary")
     return a.join(so.shape_feeds(vw.sources(spark, d)).select("user_id", F.col("feed_id").alias("source_id")), "source_id").select("user_id", "id", "title", "summary")
@@ -420,7 +468,12 @@ def _offered():
     return F.array(*[F.struct(F.lit(slug).alias("slug"), F.lit(label).alias("label"), F.lit(text).alias("description")) for slug, label, text in fixed.TOPICS])
 
 
-query("decision_request")(lambda s, d: vw.articles(s, d).select("id", F.sha2(cl.request(F.col("title"), cl.classify_input(F.col("summary"), F.col("body")), _offered()), 256).alias("request_sha256")))
+_CRITERIA = ",".join(f'"{slug}":"{label} — {text}"' for slug, label, text in fixed.TOPICS)
+_GIVEN = ",".join(f'{{"slug":"{slug}","label":"{label}"}}' for slug, label, _ in fixed.TOPICS)
+query("decision_request", W(f"""SELECT id, sha256('{{"state":{{"title":' || to_json(title)::VARCHAR || ',"summary":' || to_json(left(CASE WHEN summary <> '' THEN summary ELSE trim(regexp_replace(coalesce(list_aggregate(paragraphs, 'string_agg', ' '), ''), '\\s+', ' ', 'g'), ' ') END, 600))::VARCHAR
+ || ',"topics":[{_GIVEN}]}},"questions":{{"topic":{{"type":"choice","instructions":"{fixed.TOPIC_INSTRUCTIONS}","criteria":{{{_CRITERIA}}}}}}}}}') AS request_sha256 FROM articles""", "articles"))(
+    lambda s, d: vw.articles(s, d).select("id", F.sha2(cl.request(F.col("title"), cl.classify_input(F.col("summary"), F.col("body")), _offered()), 256).alias("request_sha256"))
+)
 query("classify_input", W("SELECT id, left(CASE WHEN summary <> '' THEN summary ELSE trim(regexp_replace(coalesce(list_aggregate(paragraphs, 'string_agg', ' '), ''), '\\s+', ' ', 'g'), ' ') END, 600) AS input FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", cl.classify_input(F.col("summary"), F.col("body")).alias("input")))
 query("decision_input_valid", W("SELECT id, CASE WHEN trim(regexp_replace(title, '\\s+', ' ', 'g'), ' ') = '' THEN 'title missing' END AS error FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", cl.input_error(F.col("title"), F.col("summary"), _offered()).alias("error")))
 
@@ -467,7 +520,17 @@ query("url_safe_http", "SELECT page_id, page_id % 2 = 0 AS safe FROM pages")(lam
 query("url_public_target", "SELECT page_id, page_id % 4 = 0 OR page_id % 4 = 1 AND page_id % 256 <> 10 AND page_id % 256 NOT IN (0, 127) OR page_id % 4 = 2 AND page_id % 64 < 16 AND false AS public FROM pages")(
     lambda s, d: vw.table(s, d, "pages").select("page_id", urls.is_public_target(F.when(F.col("page_id") % 4 == 0, F.col("url")).when(F.col("page_id") % 4 == 1, F.concat(F.lit("http://"), (F.col("page_id") % 256).cast("string"), F.lit(".1.2.3/"))).when(F.col("page_id") % 4 == 2, F.lit("http://192.168.1.1/")).otherwise(F.lit("http://[fe80::1]/"))).alias("public"))
 )
-query("image_junk", "SELECT page_id, page_id % 3 = 0 OR page_id % 300 + 10 <= 200 AS junk FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.is_junk_image_url(F.when(F.col("page_id") % 3 == 0, "https://x.example/logo.png").otherwise(F.concat(F.lit("https://x.example/fit/"), (F.col("page_id") % 300 + 10).cast("string"), F.lit("x400/a.jpg")))).alias("junk")))
+
+
+def _hrefs():
+    return F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+
+
+_HREFS_SQL = """regexp_extract_all(html, 'href="([^"]*)"', 1)"""
+query("image_junk", f"""SELECT page_id, u, regexp_matches(u, '{fixed.JUNK_IMAGE_URL}') OR coalesce(try_cast(nullif(regexp_extract(u, '{fixed.IMAGE_BOX}', 1), '') AS INT) <= 200 OR try_cast(nullif(regexp_extract(u, '{fixed.IMAGE_BOX}', 2), '') AS INT) BETWEEN 1 AND 120, false) AS junk
+ FROM (SELECT DISTINCT page_id, 'https://img.example/' || h || '/' || (length(html) % 400) || 'x' || (length(html) % 300) || '/a.jpg' AS u FROM (SELECT page_id, html, unnest({_HREFS_SQL}) AS h FROM pages))""")(
+    lambda s, d: vw.table(s, d, "pages").select("page_id", "html", F.explode(_hrefs()).alias("h")).select("page_id", F.concat(F.lit("https://img.example/"), "h", F.lit("/"), (F.length("html") % 400).cast("string"), F.lit("x"), (F.length("html") % 300).cast("string"), F.lit("/a.jpg")).alias("u")).distinct().select("page_id", "u", urls.is_junk_image_url(F.col("u")).alias("junk"))
+)
 query("image_identity", "SELECT page_id, lower(regexp_replace(split_part(url, '?', 1), '[/#]+$', '')) AS identity FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.image_identity(F.concat(F.lit("https://proxy.example/r?u="), "url")).alias("identity")))
 query("distinct_links", r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a\b[^>]*href="([^"]*)"', 1)))::INT AS n FROM pages""")(lambda s, d: vw.table(s, d, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a\b[^>]*href="([^"]*)"'), F.lit(1)))).alias("n")))
 query("clean_title", W("SELECT id, CASE WHEN title = '' THEN '| Daily Post' ELSE title END AS cleaned FROM (SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g'), ' ') AS title FROM articles)", "articles"))(
@@ -475,8 +538,10 @@ query("clean_title", W("SELECT id, CASE WHEN title = '' THEN '| Daily Post' ELSE
 )
 query("story_layout", W("SELECT id, CASE WHEN summary = '' THEN 'brief' WHEN doc_id % 3 = 0 THEN 'standard' ELSE 'compact' END AS layout FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.story_layout(F.when(_doc() % 3 == 0, "x.jpg").when(_doc() % 3 == 1, ""), F.col("summary")).alias("layout")))
 query("content_state_repair", W("SELECT id, CASE WHEN summary <> '' AND trim(regexp_replace(list_aggregate(paragraphs, 'string_agg', ' '), '\\s+', ' ', 'g'), ' ') = summary THEN 'summary' ELSE 'full' END AS state FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.repaired_content_state(F.lit("full"), F.col("body"), F.col("summary")).alias("state")))
-query("content_state", W("SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'truncated' WHEN doc_id % 3 = 0 THEN 'summary' ELSE 'full' END AS state FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.content_state(_doc() % 3 > 0, F.lit(False), F.col("body"), F.lit("a summary"), _doc() % 7 == 0).alias("state")))
-query("reading_minutes", W("SELECT id, greatest(1, floor((list_sum(list_transform(paragraphs, lambda p: len(regexp_extract_all(p, '\\S+')) / 225.0::DOUBLE))) + 0.5))::INT AS minutes FROM articles WHERE len(paragraphs) > 0", "articles"))(lambda s, d: vw.articles(s, d).where(F.size("body") > 0).select("id", bl.reading_minutes(F.col("body")).alias("minutes")))
+query("content_state", W(f"SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'truncated' WHEN doc_id % 3 = 0 OR doc_id % 5 = 1 OR summary <> '' AND trim(regexp_replace(list_aggregate(paragraphs, 'string_agg', ' '), '\\s+', ' ', 'g'), ' ') = summary THEN 'summary' ELSE 'full' END AS state FROM articles", "articles"))(
+    lambda s, d: vw.articles(s, d).select("id", bl.content_state(_doc() % 3 > 0, tx.read_more_cue(F.concat("summary", F.when(_doc() % 5 == 1, "<p>Continue reading</p>").otherwise("<p>The end of it</p>"))), F.col("body"), F.col("summary"), _doc() % 7 == 0).alias("state"))
+)
+query("reading_minutes", W("SELECT id, greatest(1, floor(coalesce(list_sum(list_transform(paragraphs, lambda p: len(regexp_extract_all(p, '\\S+')) / 225.0::DOUBLE)), 0) + 0.5))::INT AS minutes FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.reading_minutes(F.col("body")).alias("minutes")))
 query("blocks_to_text", W("SELECT id, trim(regexp_replace(coalesce(list_aggregate(paragraphs, 'string_agg', ' '), ''), '\\s+', ' ', 'g'), ' ') AS text FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", bl.blocks_to_text(F.col("body")).alias("text")))
 query("paragraph_texts", W("SELECT id, len(list_filter(paragraphs, lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'), ' ') <> ''))::INT AS n FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", F.size(bl.paragraph_texts(F.col("body"))).alias("n")))
 query("block_text", W("SELECT id, coalesce(paragraphs[1], '') AS first FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", F.coalesce(bl.block_text(F.get("body", F.lit(0))), F.lit("")).alias("first")))
@@ -492,11 +557,12 @@ query("first_figure_src", W("SELECT id, CASE WHEN doc_id % 4 > 0 THEN 'u' || (do
 query("strip_cover_copy", W("SELECT id, (len(paragraphs) + doc_id % 2)::INT AS n FROM articles", "articles"))(
     lambda s, d: vw.articles(s, d).select("id", F.size(bl.strip_cover_copy(F.concat(F.array(vw.block(kind=F.lit("figure"), src=F.lit("https://x.example/A.jpg?w=3"))), "body"), F.when(_doc() % 2 == 0, "https://x.example/a.jpg").otherwise("https://x.example/b.jpg"))).alias("n"))
 )
-query("distinct_images", W("SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'a,b,c' ELSE 'a,b' END AS images FROM articles", "articles"))(
-    lambda s, d: vw.articles(s, d).select("id", F.array_join(F.transform(bl.dedupe(F.array(*[vw.block(kind=F.lit("figure"), src=u) for u in (F.lit("a"), F.lit("b"), F.lit("a"), F.when(_doc() % 3 == 0, "c").otherwise("b"))])), lambda b: b["src"]), ",").alias("images"))
+query("distinct_images", f"SELECT page_id, array_to_string(list_filter(h, lambda x, i: list_position(h, x) = i), ',') AS images FROM (SELECT page_id, {_HREFS_SQL} || list_reverse({_HREFS_SQL}) AS h FROM pages)")(
+    lambda s, d: vw.table(s, d, "pages").select("page_id", F.array_join(F.transform(bl.dedupe(F.transform(F.concat(_hrefs(), F.reverse(_hrefs())), lambda h: vw.block(kind=F.lit("figure"), src=h))), lambda b: b["src"]), ",").alias("images"))
 )
-query("best_image", "SELECT page_id, CASE WHEN page_id % 2000 >= 1200 THEN 'b' ELSE 'c' END AS url FROM pages")(
-    lambda s, d: vw.table(s, d, "pages").select("page_id", bl.best_image(bl.srcset_candidates(F.concat(F.lit("a 300w, b "), (F.col("page_id") % 2000).cast("string"), F.lit("w, c 2x")))).alias("url"))
+_SIZED = f"(SELECT page_id, i, h, length(h) * 150 AS w FROM (SELECT page_id, unnest(range(len({_HREFS_SQL}))) AS i, replace(unnest({_HREFS_SQL}), ',', '') AS h FROM pages) WHERE h <> '')"
+query("best_image", f"SELECT p.page_id, coalesce(arg_min(h, (w, i)) FILTER (w >= 1200), arg_min(h, (-w, i))) AS url FROM pages p LEFT JOIN {_SIZED} c ON c.page_id = p.page_id GROUP BY p.page_id")(
+    lambda s, d: vw.table(s, d, "pages").select("page_id", bl.best_image(bl.srcset_candidates(F.array_join(F.transform(F.transform(_hrefs(), lambda h: F.replace(h, F.lit(","), F.lit(""))), lambda h: F.when(h != "", F.concat(h, F.lit(" "), (F.length(h) * 150).cast("string"), F.lit("w"))).otherwise("")), ", "))).alias("url"))
 )
 query("ago_label", S("""SELECT user_id, id, CASE WHEN minutes_ago < 60 THEN greatest(1, minutes_ago)::BIGINT || ' min ago' WHEN minutes_ago < 1440 THEN h || CASE WHEN h = 1 THEN ' hr ago' ELSE ' hrs ago' END WHEN d = 1 THEN 'yesterday' WHEN d < 7 THEN d || ' days ago'
  WHEN d < 365 THEN w || CASE WHEN w = 1 THEN ' week ago' ELSE ' weeks ago' END ELSE (d // 365) || CASE WHEN d // 365 = 1 THEN ' year ago' ELSE ' years ago' END END AS label FROM (
@@ -512,13 +578,14 @@ query("scroll_progress", W("SELECT user_id, item_id, ts, CASE WHEN scroll_height
 _CREDIT = W("""SELECT user_id, item_id, min(CASE WHEN room >= 240 AND scroll_top >= room - 24 THEN ts WHEN room < 240 AND (nxt IS NULL OR nxt >= ts + INTERVAL 2 SECOND) THEN ts + INTERVAL 2 SECOND END) AS credited_at FROM (
  SELECT *, scroll_height - client_height AS room, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, item_id) AS nxt FROM scroll_events) GROUP BY ALL HAVING min(CASE WHEN room >= 240 AND scroll_top >= room - 24 THEN ts WHEN room < 240 AND (nxt IS NULL OR nxt >= ts + INTERVAL 2 SECOND) THEN ts END) IS NOT NULL""", "scroll_events")
 query("read_credit", _CREDIT)(lambda s, d: sm.read_credit(vw.scroll_events(s, d)))
-query("video_url_parse", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' END AS provider, CASE page_id % 3 WHEN 0 THEN 'abcdef' || page_id WHEN 1 THEN page_id::VARCHAR END AS video_id FROM pages")(
-    lambda s, d: vw.table(s, d, "pages").select("page_id", urls.video_of(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.youtube.com/embed/abcdef"), F.col("page_id").cast("string"), F.lit("?x=1"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://player.vimeo.com/video/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))).alias("v")).select("page_id", "v.provider", "v.video_id")
+query("video_url_parse", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' END AS provider, CASE page_id % 3 WHEN 0 THEN left(md5(html), 11) WHEN 1 THEN length(html)::VARCHAR END AS video_id FROM pages")(
+    lambda s, d: vw.table(s, d, "pages").select("page_id", urls.video_of(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.youtube.com/embed/"), F.left(F.md5("html"), F.lit(11)), F.lit("?x=1"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://player.vimeo.com/video/"), F.length("html").cast("string"))).otherwise(F.col("url"))).alias("v")).select("page_id", "v.provider", "v.video_id")
 )
-query("decode_obfuscated_email", "SELECT page_id, 'p' || page_id || '@x.example' AS address FROM pages")(
-    lambda s, d: vw.table(s, d, "pages").select("page_id", urls.decode_email(F.concat(F.lit("2a"), F.array_join(F.transform(F.split(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("@x.example")), ""), lambda c: F.lpad(F.lower(F.hex(F.ascii(c).bitwiseXOR(F.lit(0x2A)))), 2, "0")), ""))).alias("address"))
+query("decode_obfuscated_email", "SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) || '@x.example' AS address FROM pages")(
+    lambda s, d: vw.table(s, d, "pages").select("page_id", F.concat(F.try_parse_url("url", F.lit("HOST")), F.lit("@x.example")).alias("a")).select("page_id", urls.decode_email(F.concat(F.lit("2a"), F.array_join(F.transform(F.split("a", ""), lambda c: F.lpad(F.lower(F.hex(F.ascii(c).bitwiseXOR(F.lit(0x2A)))), 2, "0")), ""))).alias("address"))
 )
 
+
 # ----------------------------------------------------------------- streaming
 
 query("stream_reading_state", W("SELECT user_id, item_id, read, saved, later, seq FROM reading", "reading"))(sm.reading_state_query)
