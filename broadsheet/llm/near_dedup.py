@@ -11,9 +11,10 @@ a pair that branches ``MOST_DEPTH`` times in all of them (``missed``), so it hol
 every pair; where coordinates don't suffice for that, it is an error.
 
 A leaf passes on a spanning forest of the pairs whose sketches come near
-the threshold, not the pairs themselves.  A node that is still large at the last depth
-holds a family of near copies, as its documents agree in all coordinates so far; it
-passes on a star of all its documents, without comparing them.  What is connected in
+the threshold, not the pairs themselves.  A large node that keeps over half of its
+parent's documents, or is still large at the last depth, holds a family of near copies, which
+further branching would not take apart; it passes on a star of all its documents, without
+comparing them.  What is connected in
 forests and stars is a group, which holds all links of its members.  Groups are then
 confirmed on full sets: their members' shingles are brought together once, similarity is
 computed exactly, and a spanning forest of the true links is emitted, whose
@@ -140,7 +141,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _branch(rows: DataFrame, depth: int, trees: int) -> DataFrame:
-    """(``tree``, ``node``, ``rep``): the children of the nodes in ``rows``; at depth 0 each document in each tree."""
+    """(``tree``, ``node``, ``was``, ``rep``): the children of the nodes in ``rows``, with their parents' sizes; at depth 0 each document in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,21 +151,23 @@ def _branch(rows: DataFrame, depth: int, trees: int) -> DataFrame:
             rep = batch.column("rep").to_numpy()
             if depth:
                 tree, node = batch.column("tree").to_numpy()[:, None], batch.column("node").to_numpy().view(np.uint64)[:, None]
+                was = batch.column("size").to_numpy()
             else:
                 tree = np.broadcast_to(np.arange(trees), (len(rep), trees))
                 node = mix64(tree.astype(np.uint64) + np.uint64(1))
+                was = np.zeros(tree.size, np.int64)
             value = np.take_along_axis(low, tree * MOST_DEPTH + depth, axis=1).astype(np.uint64)
             child = mix64(mix64(node * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth)) + value)
-            fields = [tree.astype(np.int32).ravel(), child.view(np.int64).ravel(), np.repeat(rep, child.shape[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in fields], names=["tree", "node", "rep"])
+            fields = [tree.astype(np.int32).ravel(), child.view(np.int64).ravel(), was, np.repeat(rep, child.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in fields], names=["tree", "node", "was", "rep"])
 
-    return rows.mapInArrow(run, "tree int, node long, rep long")
+    return rows.mapInArrow(run, "tree int, node long, was long, rep long")
 
 
-def _leaves(reps: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None]:
-    """(``node``, ``rep``) of all leaves with two documents or more, and of the nodes that are large to the last, if any."""
+def _leaves(reps: DataFrame, trees: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(``node``, ``rep``) of all leaves with two documents or more, and of the nodes that are families, if any."""
     rows = reps.select("rep", "low")
-    done = []
+    done, families = [], []
     for depth in range(MOST_DEPTH):
         rows = _branch(rows, depth, trees)
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -172,13 +175,16 @@ def _leaves(reps: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None]:
         done.append(rows.where(F.col("size") <= NODE_ROWS).select("node", "rep"))
         large = rows.where(F.col("size") > NODE_ROWS)
         if large.isEmpty():
-            large = None
             break
-        rows = reps.select("rep", "low").join(broadcast_if_small(large.select("tree", "node", "rep")), "rep").select("tree", "node", "rep", "low")
+        family = (F.lit(depth) == MOST_DEPTH - 1) | ((F.col("was") > 0) & (2 * F.col("size") > F.col("was")))
+        if depth:
+            families.append(large.where(family).select("node", "rep"))
+        rest = large.where(~family).select("tree", "node", "size", "rep")
+        rows = reps.select("rep", "low").join(broadcast_if_small(rest), "rep").select("tree", "node", "size", "rep", "low")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out, large
+    return out, families
 
 
 def _sketches(reps: DataFrame) -> DataFrame:
@@ -314,12 +320,12 @@ def _classes(slim: DataFrame, words: int, percent: int, recall: float) -> DataFr
     reps = known.join(named, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("first")))
     reps = checkpoint(reps.select("rep", "n", "low").dropDuplicates(["rep"]))
 
-    leaves, dense = _leaves(reps, trees_for(threshold, recall))
+    leaves, families = _leaves(reps, trees_for(threshold, recall))
     leaves = leaves.join(_sketches(reps), F.col("rep") == F.col("r")).select("node", "rep", "n", "sketch")
     near = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_sketches(threshold), "a long, b long")
-    if dense is not None:
-        centre = dense.groupBy("node").agg(F.min("rep").alias("a"))
-        near = near.unionByName(dense.join(centre, "node").where("a <> rep").select("a", F.col("rep").alias("b")))
+    for family in families:
+        centre = family.groupBy("node").agg(F.min("rep").alias("a"))
+        near = near.unionByName(family.join(centre, "node").where("a <> rep").select("a", F.col("rep").alias("b")))
     groups = checkpoint(components(near).select(F.col("node").alias("rep"), F.col("component").alias("group")))
 
     wanted = checkpoint(groups.join(same, "rep").select("rep", "group", "digest", "first"))
