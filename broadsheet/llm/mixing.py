@@ -32,27 +32,47 @@ def _key(doc_id: Column, text: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("-")), F.md5(F.coalesce(text, F.lit("")))))
 
 
+def _running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """Adds the sums of ``values`` over all rows before each one in an order that has no ties.
+
+    Rows are sorted by ranges; the sums of the ranges, a row each, give what stands before a
+    range, and a window within it the rest.  No task holds more than a range.
+    """
+    # written, so that rows stay in the ranges that they were counted in
+    rows = checkpoint(df.withColumns(values).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    totals = rows.groupBy("__range").agg(*[F.sum(v).alias(v) for v in values]).orderBy("__range").collect()  # a row a partition
+    before, so_far = [], {v: 0 for v in values}
+    for t in totals:
+        before.append((t["__range"], *[float(so_far[v]) for v in values]))
+        so_far = {v: so_far[v] + t[v] for v in values}
+    names = ", ".join(f"__{v} double" for v in values)
+    starts = df.sparkSession.createDataFrame(before, f"__r int, {names}")
+    run = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(starts), F.col("__range") == F.col("__r"))
+    rows = rows.withColumns({v: F.col(f"__{v}") + F.coalesce(F.sum(v).over(run), F.lit(0)) for v in values})
+    return rows.drop("__range", "__r", *[f"__{v}" for v in values])
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Water-filling over one row per source (``source``, ``source_size``): adds ``target``.
 
     Sources by code point, null last, weigh ``weights`` in turn.  A source is
     full when the common level ``budget / weight`` passes its cap over its
-    weight, so the full ones are a prefix in the order of that ratio.
+    weight, so the full ones are a prefix in the order of that ratio.  Both orders are
+    sums over ranges, so there may be as many sources as there are hosts.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    up = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    w = sizes.withColumn("turn", ((F.row_number().over(order) - 1) % len(weights)).cast("int"))
-    w = w.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("turn") + 1))
+    by_source = F.col("source").asc_nulls_last()
+    w = _running(sizes, [by_source], place=F.lit(1.0))
+    w = w.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.col("place").cast("long"), F.lit(len(weights))).cast("int") + 1))
     w = w.withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    w = w.withColumn("all_words", F.sum("source_size").over(everything) * F.lit(float(share)))
-    w = w.withColumn("caps", F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    w = w.withColumn("rest", F.sum("weight").over(everything) - F.sum("weight").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    w = w.withColumn("full", F.col("caps") + F.col("ratio") * F.col("rest") <= F.col("all_words"))
-    left = F.col("all_words") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(everything), F.lit(0.0))
-    open_weight = F.sum(F.when(~F.col("full"), F.col("weight"))).over(everything)
-    w = w.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(left / open_weight * F.col("weight")))
-    return w.select("source", "source_size", "target")
+    w = checkpoint(_running(w.drop("place"), [F.col("ratio"), by_source], caps=F.col("cap"), weighed=F.col("weight")))
+    whole = w.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    all_words = float(whole["words"] or 0) * float(share)
+    rest = F.lit(float(whole["weight"] or 0)) - F.col("weighed") - F.col("weight")
+    w = w.withColumn("full", F.col("caps") + F.col("cap") + F.col("ratio") * rest <= F.lit(all_words))
+    left = w.agg(F.sum(F.when(F.col("full"), F.col("cap"))).alias("caps"), F.sum(F.when(~F.col("full"), F.col("weight"))).alias("weight")).first()
+    level = (all_words - float(left["caps"] or 0)) / left["weight"] if left["weight"] else 0.0
+    return w.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _number(key: Column) -> Column:
