@@ -79,7 +79,7 @@ def range_bounds(ids: DataFrame, column: str, part_rows: int, most: int = 65_536
     id_ = F.col(column)
     sample = ids.where(id_.isNotNull() & (F.pmod(F.xxhash64(id_), F.lit(every)) == 0)).select(id_.alias("id")).distinct()
     rank = F.percent_rank().over(Window.orderBy("id"))  # of at most some 32 rows a part
-    firsts = sample.select("id", F.floor(rank * parts).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
+    firsts = sample.select("id", F.least(F.floor(rank * parts), F.lit(parts - 1)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
     return sorted(r["id"] for r in firsts.collect())[1:]
 
 

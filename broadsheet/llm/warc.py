@@ -40,9 +40,11 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, checkpoint, range_bounds, range_part
 
 MIN_BYTES = 0
-ROLL_BYTES = 64 << 20
-#: A shard has about so many ids, and payloads of at most about so many bytes, unless that makes too many shards.
-SHARD_ROWS, SHARD_BYTES, MOST_SHARDS = 4096, 16 << 20, 65_536
+#: Compressed bytes at which a file is full.
+ROLL_BYTES = 8 << 20
+#: A shard has about so many ids, and payloads of at most about so many bytes, unless that makes too many shards:
+#: several files' worth, which one task writes as a stream.
+SHARD_ROWS, SHARD_BYTES, MOST_SHARDS = 16_384, 128 << 20, 65_536
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 

@@ -260,3 +260,52 @@ def test_licenses_of_several_paragraphs_inside_documents(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert [got[i].license for i in range(len(data))] == [*names, None]
     assert all(got[i].dice > 0.99 for i in range(len(names)))
+
+
+def test_warc_files_roll_and_hold_a_payload_above_their_size(spark):
+    random.seed(10)
+    noise = lambda n: "".join(random.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    data = [(i, f"https://e.example/{i}", noise(200_000 if i == 7 else 3_000)) for i in range(60)]
+    out, manifest = archive(spark, spark.createDataFrame(data, "page_id long, url string, html string"), roll_bytes=20_000, shard_rows=1000)
+    files = manifest.collect()
+    assert len(files) > 4 and len({f.shard for f in files}) == 1
+    assert sorted(f.number for f in files) == list(range(len(files)))
+    assert all(20_000 <= f.bytes for f in files[:-1] if f.number < len(files) - 1)
+    assert max(f.bytes for f in files) > 100_000
+    assert sum(f.records for f in files) == 60
+    got = rows(warc.read_warc(spark, out), "page_id", "payload_bytes", "payload_digest", "record_type")
+    assert {tuple(x) for x in got} == {(i, len(h), warc.base32_sha1(h.encode()), "response") for i, _, h in data}
+
+
+def test_a_repeated_commit_finds_its_files_renamed(tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "_a.1").write_bytes(b"x")
+    batch = pa.RecordBatch.from_pydict({"temporary": ["_a.1", "_b.2"], "name": ["a", "b"]})
+    (tmp_path / "b").write_bytes(b"y")  # an attempt that was lost after this rename
+    for _ in range(2):
+        assert [x.num_rows for x in warc._commit(iter([batch]), f"file://{tmp_path}")] == [2]
+        assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"a": b"x", "b": b"y"}
+
+
+def test_targets_of_many_sources_in_ranges(spark):
+    """Water-filling against a plain one, over several ranges of sources."""
+    random.seed(12)
+    sizes = [(f"h{i:04}", random.choice([0, 1, 5, 40, 3000, 100_000])) for i in range(500)] + [(None, 77)]
+    df = spark.createDataFrame(sizes, "source string, source_size long").repartition(5)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    weight = {s: mixing.WEIGHTS[k % 3] for k, (s, _) in enumerate(sizes)}
+    left, open_ = mixing.SHARE * sum(n for _, n in sizes), dict(sizes)
+    want = {}
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s, n in open_.items() if level * weight[s] >= 2 * n]
+        if not full:
+            break
+        for s in full:
+            want[s] = 2.0 * open_.pop(s)
+            left -= want[s]
+    want |= {s: level * weight[s] for s in open_}
+    assert got.keys() == want.keys() and len(want) == 501
+    assert all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+    assert mixing.targets(df.limit(0)).count() == 0
