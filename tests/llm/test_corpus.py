@@ -309,3 +309,37 @@ def test_targets_of_many_sources_in_ranges(spark):
     assert got.keys() == want.keys() and len(want) == 501
     assert all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
     assert mixing.targets(df.limit(0)).count() == 0
+
+
+def test_likeness_is_that_of_the_shingle_sets(spark):
+    """Sketches hold small sets whole, so likeness is exact there; large ones are near it."""
+    import re
+
+    random.seed(21)
+    vocabulary = [f"w{i}" for i in range(300)]
+    data, last = [], ["a"]
+    for i in range(120):
+        n = random.choice([0, 1, 3, 5, 30, 90, 130]) if i % 10 else 2500
+        last = last[: n // 2] + [random.choice(vocabulary) for _ in range(n - min(len(last), n // 2))]
+        data.append((i, " ".join(last).upper() if i % 2 else " ".join(last)))
+
+    def plain(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    def alike(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    got = {r.doc_id: r for r in fp.compare_with_next(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    counts = {r.doc_id: r.n_shingles for r in fp.fingerprint(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    order = sorted(data, reverse=True)
+    exact = 0
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1]):
+        mine, edited, after = plain(text), plain(fp.edited_text(text, following)), plain(following)
+        assert len(fp.decode(got[i].fingerprint)) == min(len(mine), fp.K)
+        assert (abs(counts[i] - len(mine)) < 0.3 * len(mine)) if len(mine) >= fp.K else counts[i] == len(mine)
+        for name, other in (("near_edited", edited), ("near_next", after)):
+            small = len(mine | other) <= fp.K
+            exact += small
+            assert abs(got[i][name] - alike(mine, other)) <= (1e-12 if small else 0.2)
+    assert exact > 100

@@ -251,3 +251,70 @@ def test_pipeline_against_brute_force(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     encode = packing.tokenizer().encode_ordinary
     assert sum(r.length for r in packed) == sum(len(encode(r.text or "")) + 1 for r in before)
+
+
+def plain_features(text):
+    """Words of letters, and beginnings of four to six bytes of longer words."""
+    import re
+
+    found = set()
+    for w in re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower()):
+        found.add((w, True))
+        found |= {(w[:n], False) for n in (4, 5, 6) if n < len(w)}
+    return found
+
+
+def test_features_and_scores_equal_plain_ones(spark):
+    import pyarrow as pa
+
+    docs, labels = toxic_rows()
+    docs = docs + [(9100, None), (9101, ""), (9102, "Überfluß, ÜBERFLUSS! wordy-word x1y2z3 漢字漢字"), (9103, "word " * 3000)]
+    texts = [t for _, t in docs]
+    h, begins = toxicity.features(pa.array(texts, pa.string()))
+    name: dict = {}
+    for k, t in enumerate(texts):
+        mine = h[begins[k] : begins[k + 1]].tolist()
+        want = plain_features(t)
+        assert len(mine) == len(set(mine)) == len(want)
+    for w, whole in set().union(*map(plain_features, texts)):
+        one, _ = toxicity.features(pa.array([w.decode("utf-8", "surrogateescape")] if w.isascii() else [None], pa.string()))
+        if w.isascii() and whole:
+            name[w] = next(x for x in one.tolist() if x in set(h.tolist()))
+    assert len(set(name.values())) == len(name)  # no two words are taken for one
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    grades = [(i, min(2, g * (1 + i % 2))) for i, g in labels]
+    model = toxicity.train(d, spark.createDataFrame(grades, "doc_id long, toxic int"))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    assert len(model.theta) == 2 and len(weight) > 0
+    for k, (i, _) in enumerate(docs):
+        linear = sum(weight.get(x, 0.0) for x in h[begins[k] : begins[k + 1]].tolist())
+        p = [1 / (1 + math.exp(theta - linear)) for theta in model.theta]
+        assert abs(got[i].p_toxic - p[0]) < 1e-9 and abs(got[i].expected_severity - sum(p)) < 1e-9
+        each = [1 - p[0], p[0] - p[1], p[1]]
+        assert got[i].grade == max(range(3), key=each.__getitem__)
+        assert got[i].toxic == (p[0] >= model.cut)
+
+
+def test_stages_stand_every_case(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables, in each stage by itself."""
+    sf = "/root/testdata/sf0.001"
+    cases = table(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, cases, sf)
+        got = out.collect()
+        if name != "packing":
+            assert out.columns == cases.columns, name
+        assert stage(spark, empty(spark), sf).count() == 0, name
+        ids = [r.doc_id for r in got]
+        if name == "toxicity":
+            assert len(got) == len(ROWS)
+        elif name == "exact_dedup":
+            assert sorted(i for i in ids if i is not None) == [2, 4, 5, 6, 7, 8, 9, 13] and ids.count(None) == 1
+        elif name == "near_dedup":
+            assert {1, 3, 4, 5, 6, 8, 9, 11, None} == set(ids) and len(ids) == 9
+        elif name == "mixing":
+            assert set(ids) <= {r[0] for r in ROWS} and None in ids
+        else:
+            tokens = {i: sum(r.length for r in got if r.doc_id == i) for i in (3, 4, 6)}
+            assert tokens[3] == tokens[4] == 1 and tokens[6] > 30_000
