@@ -327,4 +327,4 @@ def ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/documents")
     reading = st.lww_latest(vw.reading_changes(spark, sf_dir), ["user_id", "item_id"])
     after = ingest(documents, vw.feed_sources(spark, sf_dir), vw.feed_articles(spark, sf_dir), reading, vw.now(), folder)
-    return after.groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"), F.sum("minutes").alias("minutes"))
+    return after.groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"))

@@ -182,6 +182,27 @@ def test_paragraph_diff(spark):
     assert got == [("same", "shared"), ("onlyA", "only a"), ("onlyB", "only b")]
 
 
+def test_paragraph_diff_against_a_plain_one(spark):
+    from broadsheet import schemas
+
+    r = __import__("random").Random(5)
+    texts = ["", " ", "one", "two  words", "two words", "three", None, "vier"]
+    pages = {f"u{i}": [[r.choice(texts) for _ in range(r.randrange(9))] for _ in "ab"] for i in range(40)}
+    side = lambda k: spark.createDataFrame([(u, [{"kind": "p", "text": t} for t in p[k]]) for u, p in pages.items()], f"url string, body {schemas.BODY}")
+    diff = pg.paragraph_diff(side(0), side(1))
+    clean = lambda lines: [" ".join(t.split()) for t in lines if t and t.strip()]
+    want, counts = [], {}
+    for u, (a, b) in pages.items():
+        a, b = clean(a), clean(b)
+        mine = [(u, 0, "same" if t in b else "onlyA", t) for t in a] + [(u, 1, "onlyB", t) for t in b if t not in a]
+        want += mine
+        if mine:
+            counts[u] = tuple(sum(k == kind for _, _, k, _ in mine) for kind in ("same", "onlyA", "onlyB"))
+    got = [tuple(x) for x in diff.orderBy("url", "side", "pos").select("url", "side", "kind", "text").collect()]
+    assert got == sorted(want, key=lambda x: (x[0], x[1]))
+    assert {x.url: (x.same, x.only_a, x.only_b) for x in pg.paragraph_diff_counts(diff).collect()} == counts
+
+
 def test_stream_credit_is_its_batch_twin(spark):
     batch = {tuple(r) for r in sm.read_credit(vw.scroll_events(spark, SF)).select("user_id", "item_id", "credited_at").collect()}
     stream = {tuple(r) for r in sm.read_credit_query(spark, SF).select("user_id", "item_id", "credited_at").collect()}
