@@ -23,6 +23,9 @@ depths 0 and 1, at most 257 x 255 nodes, are the only part that goes to every ta
 
 Beside it stands a unigram model of whole words (the base), gathered likewise.
 
+Code lengths of bytes are exchanged with 16 significant bits, so a text's score has a
+relative error of at most 2 ** -17.
+
 Defined results: a null text counts as empty, which is the end alone.  A null id
 is in the training part.  Repeated rows count, and are scored, each.  With no
 training texts all counts are 0.  An empty table gives an empty result.
