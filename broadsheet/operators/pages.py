@@ -52,6 +52,18 @@ def extract(pages: DataFrame, hint: Column | None = None) -> DataFrame:
     )
 
 
+def html_pages(pages: DataFrame) -> DataFrame:
+    """The pages (``url``, ``html``) that are HTML, by their type where it is known, else by their root element."""
+    if "content_type" in pages.columns:
+        return pages.where(F.col("content_type").ilike("%html%"))
+    return pages.where(F.col("html").ilike("%<html%"))
+
+
+def distinct_links(html: Column) -> Column:
+    """The addresses that a page's anchors link to, each once, in the order of their first occurrence."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit(r'<a\b[^>]*href="([^"]*)"'), F.lit(1)))
+
+
 def extraction_stats(extracted: DataFrame) -> DataFrame:
     return extracted.select("url", "text_length", bl.count_kinds(F.col("body"), "figure", "video").alias("media"), F.size("body").alias("blocks"), "truncated")
 

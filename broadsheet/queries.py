@@ -329,7 +329,7 @@ query("feed_items", _FEEDS + """, named AS (SELECT *, CASE kind WHEN 1 THEN 'urn
 SELECT feed_url, url AS link, (rn - 1)::INT AS pos, lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS id, CASE kind WHEN 0 THEN 'A ' || (doc_id % 7) WHEN 1 THEN 'Desk' END AS author, TIMESTAMP '2024-01-01' AS published_at, NULL::VARCHAR AS image, false AS has_cover FROM hashed""")(
     lambda s, d: fd.items(fd.parse(vw.feed_documents(s, d))).select("feed_url", "link", "pos", "id", "author", "published_at", "image", "has_cover")
 )
-query("item_valid", _FEEDS + "SELECT feed_url, n_items::BIGINT AS n FROM feeds")(lambda s, d: fd.items(fd.parse(vw.feed_documents(s, d))).groupBy("feed_url").agg(F.count(F.lit(1)).alias("n")))
+query("item_valid", _FEEDS + "SELECT feed_url, count(*) AS n FROM entries WHERE doc_id % 5 <> 0 GROUP BY feed_url")(lambda s, d: fd.items(fd.parse(vw.feed_documents(s, d, 5))).groupBy("feed_url").agg(F.count(F.lit(1)).alias("n")))
 _LOOSE = _FEEDS + """, crcs AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(feed_url, ''), lambda c: unicode(c)::BIGINT), lambda h, b: list_reduce([xor(h, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0 AS cut FROM feeds)
 """
 query("feed_loose", _LOOSE + r"""SELECT e.feed_url, (rn - 1)::INT AS pos, url AS link, trim(regexp_replace(left(split_part(coalesce(text, ''), chr(10), 1), 60) || ' x & y — bold 1 < 2', '[ \t]+', ' ', 'g'), ' ') || chr(10) || 'end' AS title FROM entries e JOIN crcs c ON c.feed_url = e.feed_url WHERE NOT cut""")(
@@ -362,7 +362,7 @@ query("size_cap", "SELECT page_id, strlen(html) <= 20000 AS fits FROM pages")(la
 
 # --------------------------------------------------------------------- pages
 
-query("page_read", "SELECT url, strlen(html) AS bytes FROM pages WHERE html ILIKE '%<html%'")(lambda s, d: vw.table(s, d, "pages").where(F.col("html").ilike("%<html%")).select("url", F.octet_length("html").cast("long").alias("bytes")))
+query("page_read", "SELECT url, strlen(html) AS bytes FROM pages WHERE html ILIKE '%<html%'")(lambda s, d: pg.html_pages(vw.table(s, d, "pages")).select("url", F.octet_length("html").cast("long").alias("bytes")))
 query("page_extract")(lambda s, d: pg.extract(vw.table(s, d, "pages")).select("url", "error", "title", "truncated", "text_length", F.size("body").alias("blocks")))
 query("extraction_stats")(lambda s, d: pg.extraction_stats(pg.extract(vw.table(s, d, "pages"))))
 query("html_blocks")(lambda s, d: vw.table(s, d, "pages").select("page_id", hx.html_blocks(F.col("html"), F.col("url"), fixed.ARTICLE_BUDGET).alias("b")).select("page_id", F.size("b.blocks").alias("blocks"), "b.truncated", bl.blocks_to_text(F.col("b.blocks")).alias("text")))
@@ -475,7 +475,20 @@ query("decision_request", W(f"""SELECT id, sha256('{{"state":{{"title":' || to_j
     lambda s, d: vw.articles(s, d).select("id", F.sha2(cl.request(F.col("title"), cl.classify_input(F.col("summary"), F.col("body")), _offered()), 256).alias("request_sha256"))
 )
 query("classify_input", W("SELECT id, left(CASE WHEN summary <> '' THEN summary ELSE trim(regexp_replace(coalesce(list_aggregate(paragraphs, 'string_agg', ' '), ''), '\\s+', ' ', 'g'), ' ') END, 600) AS input FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", cl.classify_input(F.col("summary"), F.col("body")).alias("input")))
-query("decision_input_valid", W("SELECT id, CASE WHEN trim(regexp_replace(title, '\\s+', ' ', 'g'), ' ') = '' THEN 'title missing' END AS error FROM articles", "articles"))(lambda s, d: vw.articles(s, d).select("id", cl.input_error(F.col("title"), F.col("summary"), _offered()).alias("error")))
+
+
+def _asked():
+    """Titles, summaries and topics of questions, each with a fault in some of them."""
+    k = _doc() % 11
+    title = F.when(k == 1, F.repeat("title", 301)).when(k == 2, F.lit(" \t")).otherwise(F.concat(F.lit("T "), "title"))
+    summary = F.when(k == 3, F.repeat(F.lit("ab "), 700)).otherwise(F.col("summary"))
+    topic = lambda slug, label: F.struct(F.lit(slug).alias("slug"), F.lit(label).alias("label"), F.lit("").alias("description"))
+    many = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("slug"), F.lit("L").alias("label"), F.lit("").alias("description")))
+    topics = F.when(k == 4, many).when(k == 5, F.slice(_offered(), 1, 0)).when(k == 6, F.concat(_offered(), F.array(topic("ai", "Again")))).when(k == 7, F.array(topic("a", " "))).when(k == 8, F.array(topic("a", "x" * 81))).otherwise(_offered())
+    return title, summary, topics
+
+
+query("decision_input_valid", W("SELECT id, CASE k WHEN 1 THEN CASE WHEN title = '' THEN 'title missing' WHEN length(title) > 0 THEN 'title too long' END WHEN 2 THEN 'title missing' WHEN 3 THEN 'summary too long' WHEN 4 THEN 'number of topics' WHEN 5 THEN 'number of topics' WHEN 6 THEN 'topics repeated' WHEN 7 THEN 'label' WHEN 8 THEN 'label' END AS error FROM (SELECT *, doc_id % 11 AS k FROM articles)", "articles"))(lambda s, d: vw.articles(s, d).select("id", cl.input_error(*_asked()).alias("error")))
 
 # ------------------------------------------------------------------- scalars
 
@@ -517,11 +530,20 @@ query("resolve_url", r"""SELECT page_id, raw, CASE WHEN regexp_matches(raw, '^ht
 query("feed_url_normalize", "SELECT page_id, url AS normal FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.normalize_feed_url(F.concat(F.lit("  "), "url", F.lit("\n"))).alias("normal")))
 query("host_of", "SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/:]+)', 1), '^www\\.', '') AS host FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.host_of(F.col("url")).alias("host")))
 query("url_safe_http", "SELECT page_id, page_id % 2 = 0 AS safe FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.is_safe_http(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("javascript:"), "url"))).alias("safe")))
-query("url_public_target", "SELECT page_id, page_id % 4 = 0 OR page_id % 4 = 1 AND page_id % 256 <> 10 AND page_id % 256 NOT IN (0, 127) OR page_id % 4 = 2 AND page_id % 64 < 16 AND false AS public FROM pages")(
-    lambda s, d: vw.table(s, d, "pages").select("page_id", urls.is_public_target(F.when(F.col("page_id") % 4 == 0, F.col("url")).when(F.col("page_id") % 4 == 1, F.concat(F.lit("http://"), (F.col("page_id") % 256).cast("string"), F.lit(".1.2.3/"))).when(F.col("page_id") % 4 == 2, F.lit("http://192.168.1.1/")).otherwise(F.lit("http://[fe80::1]/"))).alias("public"))
+query("url_public_target", """SELECT page_id, CASE WHEN page_id % 4 < 2 THEN page_id % 2 = 0 WHEN page_id % 4 = 3 THEN page_id % 8 = 3 ELSE NOT (a IN (0, 10, 127) OR a = 169 AND b = 254 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 OR a = 100 AND b BETWEEN 64 AND 127) END AS public
+ FROM (SELECT page_id, [0, 10, 127, 169, 172, 192, 100, 8][1 + length(html) % 8] AS a, length(html) % 256 AS b FROM pages)""")(
+    lambda s, d: vw.table(s, d, "pages").select("page_id", urls.is_public_target(_target()).alias("public"))
 )
 
 
+def _target():
+    """Each page's own address, or with another scheme, or an IPv4 one made from its length, or an IPv6 one."""
+    k, n = F.col("page_id") % 4, F.length("html")
+    octets = F.concat(F.get(F.array(*[F.lit(str(x)) for x in (0, 10, 127, 169, 172, 192, 100, 8)]), n % 8), F.lit("."), F.when(n % 256 >= 0, (n % 256).cast("string")), F.lit(".1.2"))
+    v6 = F.when(F.col("page_id") % 8 == 3, "http://[2001:db8::1]/").otherwise("http://[fe80::1]/")
+    return F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("ftp"), F.substring_index("url", "http", -1))).when(k == 2, F.concat(F.lit("http://"), octets, F.lit("/x"))).otherwise(v6)
+
+
 def _hrefs():
     return F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
 
@@ -532,7 +554,7 @@ query("image_junk", f"""SELECT page_id, u, regexp_matches(u, '{fixed.JUNK_IMAGE_
     lambda s, d: vw.table(s, d, "pages").select("page_id", "html", F.explode(_hrefs()).alias("h")).select("page_id", F.concat(F.lit("https://img.example/"), "h", F.lit("/"), (F.length("html") % 400).cast("string"), F.lit("x"), (F.length("html") % 300).cast("string"), F.lit("/a.jpg")).alias("u")).distinct().select("page_id", "u", urls.is_junk_image_url(F.col("u")).alias("junk"))
 )
 query("image_identity", "SELECT page_id, lower(regexp_replace(split_part(url, '?', 1), '[/#]+$', '')) AS identity FROM pages")(lambda s, d: vw.table(s, d, "pages").select("page_id", urls.image_identity(F.concat(F.lit("https://proxy.example/r?u="), "url")).alias("identity")))
-query("distinct_links", r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a\b[^>]*href="([^"]*)"', 1)))::INT AS n FROM pages""")(lambda s, d: vw.table(s, d, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a\b[^>]*href="([^"]*)"'), F.lit(1)))).alias("n")))
+query("distinct_links", r"""SELECT page_id, array_to_string(list_filter(h, lambda x, i: list_position(h, x) = i), ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, '<a\b[^>]*href="([^"]*)"', 1) AS h FROM pages)""")(lambda s, d: vw.table(s, d, "pages").select("page_id", F.array_join(pg.distinct_links(F.col("html")), " ").alias("links")))
 query("clean_title", W("SELECT id, CASE WHEN title = '' THEN '| Daily Post' ELSE title END AS cleaned FROM (SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g'), ' ') AS title FROM articles)", "articles"))(
     lambda s, d: vw.articles(s, d).select("id", tx.clean_title(F.concat(tx.collapse(F.col("title")), F.lit(" | Daily Post")), F.lit("daily post")).alias("cleaned"))
 )
@@ -591,6 +613,7 @@ query("decode_obfuscated_email", "SELECT page_id, regexp_extract(url, '^https?:/
 query("stream_reading_state", W("SELECT user_id, item_id, read, saved, later, seq FROM reading", "reading"))(sm.reading_state_query)
 query("stream_changes", W(f"SELECT user_id, item_id, seq FROM reading_changes WHERE updated_at > {NOW} - INTERVAL 10 DAY", "reading_changes"))(sm.changes_query)
 query("stream_edition_counts", ORACLES["edition_counts"])(sm.edition_counts_query)
+query("rate_windows_classify", W("SELECT client, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS calls, count(*) > 60 AS limited FROM call_log GROUP BY ALL", "call_log"))(lambda s, d: sm.rate_windows_query(s, d, fixed.CLASSIFY_LIMIT))
 query("rate_windows", W("SELECT client, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS calls, count(*) > 40 AS limited FROM call_log GROUP BY ALL", "call_log"))(sm.rate_windows_query)
 query("stream_pacing", ORACLES["call_pacing"])(sm.pacing_query)
 query("stream_read_credit", _CREDIT)(sm.read_credit_query)

@@ -193,13 +193,19 @@ def feed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).withColumn("source_id", F.concat_ws(".", "source_id", part))
 
 
-def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds of each source, one for every ``FEED_SPAN`` ids: RSS, Atom or RDF by the source's number, with its documents as entries."""
+def feed_documents(spark: SparkSession, sf_dir: str, blank: int = 0) -> DataFrame:
+    """Feeds of each source, one for every ``FEED_SPAN`` ids: RSS, Atom or RDF by the source's number, with its documents as entries.
+
+    With ``blank``, each so many documents give an entry with neither title nor text.
+    """
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     d = table(spark, sf_dir, "documents").where("source IS NOT NULL").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
     n = _n()
     title = esc(F.left(F.substring_index("text", "\n", 1), F.lit(60)))
     html = esc(F.concat(F.lit("<p>"), F.replace(esc("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>")))
+    if blank:
+        bare = F.col("doc_id") % blank == 0
+        title, html = (F.when(bare, "").otherwise(c) for c in (title, html))
     link = F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"))
     rss = F.format_string("<item><title>%s</title><link>%s</link><guid>%s</guid><dc:creator>A %s</dc:creator><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate><content:encoded>%s</content:encoded></item>", title, link, F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string"), html)
     atom = F.format_string('<entry><title>%s</title><link rel="self" href="/self"/><link rel="alternate" type="text/html" href="/%s"/><id>urn:%s</id><published>2024-01-01T00:00:00Z</published><content type="html">%s</content></entry>', title, F.col("doc_id").cast("string"), F.col("doc_id").cast("string"), html)

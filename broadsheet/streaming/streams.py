@@ -161,9 +161,9 @@ def rate_windows(calls: DataFrame, limit: int = fixed.FETCH_LIMIT, late: str = "
     return n.select("client", F.col("w.start").alias("window_start"), "calls", (F.col("calls") > limit).alias("limited"))
 
 
-def rate_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rate_windows_query(spark: SparkSession, sf_dir: str, limit: int = fixed.FETCH_LIMIT) -> DataFrame:
     calls = vw.call_log(_EventStream(spark, sf_dir), sf_dir)
-    path = collected(rate_windows(calls), _shared(spark), "update")
+    path = collected(rate_windows(calls, limit), _shared(spark), "update")
     rows = spark.read.parquet(path)
     # a window's last update counts
     return rows.groupBy("client", "window_start").agg(F.max_by(F.struct("calls", "limited"), "batch").alias("x")).select("client", "window_start", "x.*")
