@@ -141,7 +141,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _branch(rows: DataFrame, depth: int, trees: int) -> DataFrame:
-    """(``tree``, ``node``, ``was``, ``rep``): the children of the nodes in ``rows``, with their parents' sizes; at depth 0 each document in each tree."""
+    """(``tree``, ``node``, ``was``, ``rep``): the children of the nodes ``at`` which ``rows`` are, with their parents' sizes; at depth 0 each document in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +150,11 @@ def _branch(rows: DataFrame, depth: int, trees: int) -> DataFrame:
             low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint32).reshape(-1, T)
             rep = batch.column("rep").to_numpy()
             if depth:
-                tree, node = batch.column("tree").to_numpy()[:, None], batch.column("node").to_numpy().view(np.uint64)[:, None]
-                was = batch.column("size").to_numpy()
+                at = batch.column("at")
+                many = np.diff(at.offsets.to_numpy())
+                low, rep = np.repeat(low, many, axis=0), np.repeat(rep, many)
+                tree, node, was = (at.flatten().field(c).to_numpy() for c in ("tree", "node", "size"))
+                tree, node = tree[:, None], node.view(np.uint64)[:, None]
             else:
                 tree = np.broadcast_to(np.arange(trees), (len(rep), trees))
                 node = mix64(tree.astype(np.uint64) + np.uint64(1))
@@ -179,8 +182,9 @@ def _leaves(reps: DataFrame, trees: int) -> tuple[DataFrame, list[DataFrame]]:
         family = (F.lit(depth) == MOST_DEPTH - 1) | ((F.col("was") > 0) & (2 * F.col("size") > F.col("was")))
         if depth:
             families.append(large.where(family).select("node", "rep"))
-        rest = large.where(~family).select("tree", "node", "size", "rep")
-        rows = reps.select("rep", "low").join(broadcast_if_small(rest), "rep").select("tree", "node", "size", "rep", "low")
+        # a document's nodes, one a tree at most, travel together
+        rest = large.where(~family).groupBy("rep").agg(F.collect_list(F.struct("tree", "node", "size")).alias("at"))
+        rows = reps.select("rep", "low").join(rest, "rep").select("rep", "at", "low")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
