@@ -212,17 +212,25 @@ def preview(items: DataFrame) -> DataFrame:
 
 
 def discover(pages: DataFrame) -> DataFrame:
-    """(``url``, ``rank``, ``href``, ``title``) of the first three feeds that each page links to."""
+    """(``url``, ``rank``, ``href``, ``title``) of the first three feeds that each page links to; rows of one address are pages of their own."""
     attr = lambda tag, name: F.coalesce(*[tx.blank_to_null(F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*{form}", 1)) for form in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")])
-    tags = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)(<link\b[^>]*>)"), F.lit(1))).alias("pos", "tag"))
-    kind, rel = F.lower(attr(F.col("tag"), "type")), F.lower(attr(F.col("tag"), "rel"))
-    known = F.lit(False)
-    for t in fixed.FEED_TYPES:
-        known = known | kind.contains(t)
-    tags = tags.where(F.coalesce(known, F.lit(False)) & (rel.isNull() | rel.contains("alternate") | rel.contains("feed")))
-    tags = tags.select("url", "pos", urls.resolve_common(attr(F.col("tag"), "href"), F.col("url")).alias("href"), F.coalesce(attr(F.col("tag"), "title"), F.lit("")).alias("title")).where("href IS NOT NULL")
-    once = tags.groupBy("url", "href").agg(F.min_by("title", "pos").alias("title"), F.min("pos").alias("pos"))
-    from pyspark.sql import Window
+    links = F.transform(
+        F.regexp_extract_all("html", F.lit(r"(?i)(<link\b[^>]*>)"), F.lit(1)),
+        lambda tag: F.struct(
+            F.lower(attr(tag, "type")).alias("type"),
+            F.lower(attr(tag, "rel")).alias("rel"),
+            urls.resolve_common(attr(tag, "href"), F.col("url")).alias("href"),
+            F.coalesce(attr(tag, "title"), F.lit("")).alias("title"),
+        ),
+    )
+
+    def is_feed(x: Column) -> Column:
+        known = F.lit(False)
+        for t in fixed.FEED_TYPES:
+            known = known | x["type"].contains(t)
+        return F.coalesce(known, F.lit(False)) & (x["rel"].isNull() | x["rel"].contains("alternate") | x["rel"].contains("feed")) & x["href"].isNotNull()
 
-    rank = F.row_number().over(Window.partitionBy("url").orderBy("pos"))
-    return once.withColumn("rank", rank).where("rank <= 3").select("url", "rank", "href", "title")
+    found = lambda x: F.struct(x["href"].alias("href"), x["title"].alias("title"))
+    add = lambda seen, x: F.when((F.size(seen) >= 3) | F.exists(seen, lambda y: y["href"] == x["href"]), seen).otherwise(F.array_append(seen, found(x)))
+    first = F.aggregate(F.filter(links, is_feed), F.array().cast("array<struct<href: string, title: string>>"), add)
+    return pages.select("url", F.posexplode(first).alias("pos", "x")).select("url", (F.col("pos") + 1).alias("rank"), "x.href", "x.title")

@@ -559,3 +559,10 @@ def test_counts_kept_by_deltas(spark, tmp_path, monkeypatch):
         got = sm.edition_counts(stream, stories, f"file://{tmp_path}/out").collect()
         state = st.lww_latest(changes.where(F.col("seq") % 3 <= i), ["user_id", "item_id"])
         assert {tuple(r) for r in got} == {tuple(r) for r in so.edition_counts(stories, state).collect()}
+
+
+def test_pages_of_one_address_link_to_feeds_of_their_own(spark):
+    link = lambda href, title: f'<link rel="alternate" type="application/rss+xml" href="{href}" title="{title}">'
+    rows = [("https://a.example/x", link("/1", "A") + link("/2", "B") + link("/1", "C")), ("https://a.example/x", link("/1", "D") + link("/3", "") + link("/4", "") + link("/5", "")), ("https://a.example/y", None)]
+    got = fd.discover(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted((r["rank"], r["href"][-1], r["title"]) for r in got) == [(1, "1", "A"), (1, "1", "D"), (2, "2", "B"), (2, "3", ""), (3, "4", "")]
