@@ -566,3 +566,9 @@ def test_pages_of_one_address_link_to_feeds_of_their_own(spark):
     rows = [("https://a.example/x", link("/1", "A") + link("/2", "B") + link("/1", "C")), ("https://a.example/x", link("/1", "D") + link("/3", "") + link("/4", "") + link("/5", "")), ("https://a.example/y", None)]
     got = fd.discover(spark.createDataFrame(rows, "url string, html string")).collect()
     assert sorted((r["rank"], r["href"][-1], r["title"]) for r in got) == [(1, "1", "A"), (1, "1", "D"), (2, "2", "B"), (2, "3", ""), (3, "4", "")]
+
+
+def test_a_monogram_has_two_letters(spark):
+    names = ["ßa eb", "eb ßa", "ßß", "ﬁx", "ᾳx", "émile zola", "x", ""]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(tx.monogram(F.col("n"))).collect()]
+    assert got == ["ẞE", "Eẞ", "ẞẞ", "ﬁX", "ᾼX", "ÉZ", "X", "··"]
