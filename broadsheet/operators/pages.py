@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -71,16 +71,17 @@ def extraction_stats(extracted: DataFrame) -> DataFrame:
 def paragraph_diff(a: DataFrame, b: DataFrame, key: str = "url") -> DataFrame:
     """Lines of two extractions (``key``, ``body``): a's in order as same or onlyA, then those that only b has.
 
-    Lines are matched within their page by text; each side is aggregated to
-    distinct texts first, so a repeated line makes no product.
+    Lines are matched within their page by text, side by side, so a repeated line
+    makes no product.
     """
-    lines = lambda t: t.select(key, F.posexplode(bl.paragraph_texts(F.col("body"))).alias("pos", "text"))
-    la, lb = lines(a), lines(b)
-    known = lambda t: t.select(key, "text").distinct().withColumn("there", F.lit(True))
-    kind = F.when(F.col("there"), "same").otherwise("onlyA")
-    first = la.join(known(lb), [key, "text"], "left").select(key, F.lit(0).alias("side"), "pos", kind.alias("kind"), "text")
-    second = lb.join(known(la), [key, "text"], "left_anti").select(key, F.lit(1).alias("side"), "pos", F.lit("onlyB").alias("kind"), "text")
-    return first.unionByName(second)
+    lines = lambda t, side: t.select(key, F.lit(side).alias("side"), F.posexplode(bl.paragraph_texts(F.col("body"))).alias("pos", "text"))
+    # both are read once: the lines of a page with one text meet in a window
+    both = Window.partitionBy(key, "text")
+    rows = lines(a, 0).unionByName(lines(b, 1))
+    named = F.col(key).isNotNull()
+    rows = rows.withColumn("in_a", named & (F.min("side").over(both) == 0)).withColumn("in_b", named & (F.max("side").over(both) == 1))
+    kind = F.when(F.col("side") == 1, "onlyB").when(F.col("in_b"), "same").otherwise("onlyA")
+    return rows.where((F.col("side") == 0) | ~F.col("in_a")).select(key, "side", "pos", kind.alias("kind"), "text")
 
 
 def paragraph_diff_counts(diff: DataFrame, key: str = "url") -> DataFrame:

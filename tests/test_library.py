@@ -572,3 +572,23 @@ def test_a_monogram_has_two_letters(spark):
     names = ["ßa eb", "eb ßa", "ßß", "ﬁx", "ᾳx", "émile zola", "x", ""]
     got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(tx.monogram(F.col("n"))).collect()]
     assert got == ["ẞE", "Eẞ", "ẞẞ", "ﬁX", "ᾼX", "ÉZ", "X", "··"]
+
+
+def test_long_paragraphs_without_a_stop_take_no_square_time():
+    import re
+    import time
+
+    r = __import__("random").Random(3)
+    for _ in range(2000):
+        t = "".join(r.choice(" .!?\"'ab\n") for _ in range(r.randrange(30)))
+        assert hx._sentences(t) == re.findall(r"[^.!?]+[.!?]+[\"'”’)]?\s*", t)
+    began = time.perf_counter()
+    blocks, _ = hx.blocks_of(f"<p>One. {'word ' * 40_000}</p>", None)
+    assert blocks[0]["text"] == "One." and time.perf_counter() - began < 20
+
+
+def test_paragraph_diff_reads_each_side_once(spark, tmp_path):
+    pages = spark.createDataFrame([("u", "<p>shared</p><p>own</p>")], "url string, html string")
+    body = lambda: pages.select("url", hx.html_blocks(F.col("html"), F.col("url"))["blocks"].alias("body"))
+    plan = pg.paragraph_diff(body(), body())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
