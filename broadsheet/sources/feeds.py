@@ -6,7 +6,7 @@ executors, a document a row; no document is held by the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -137,15 +137,19 @@ def items(parsed: DataFrame) -> DataFrame:
         F.coalesce(*dates).alias("published_at"),
         (rich != "").alias("rich"),
         _or(rich, plain).alias("html"),
-        tx.html_to_summary(_or(plain, rich)).alias("dek"),
+        _or(plain, rich).alias("teaser"),
         declared.alias("declared"),
         tx.blank_to_null(caption).alias("image_caption"),
         _or(g("guid"), g("id"), F.coalesce(tx.strip(x("`_rdf:about`")), F.lit(""))).alias("publisher_id"),
     )
     p = _once(p).where("title <> '' OR html <> ''")
-    p = p.withColumn("b", hx.html_blocks(F.col("html"), F.col("site_url"))).withColumn("plain", tx.html_to_text(F.col("html")))
+    # markup is read once for all that is made of its text
+    p = _once(p.withColumn("plain", tx.html_to_text(F.col("html"))))
+    teaser = F.when(F.col("teaser") == F.col("html"), F.col("plain")).otherwise(tx.html_to_text(F.col("teaser")))
+    p = _once(p.withColumn("dek", tx.text_to_summary(teaser)).drop("teaser"))
+    p = p.withColumn("b", hx.html_blocks(F.col("html"), F.col("site_url")))
     body = F.col("b.blocks")
-    state = bl.content_state(F.col("rich"), tx.read_more_cue(F.col("html")), body, F.col("dek"), F.col("b.truncated"))
+    state = bl.content_state(F.col("rich"), tx.ends_like_teaser(F.col("plain")), body, F.col("dek"), F.col("b.truncated"))
     cover = F.col("declared").isNotNull() & ~bl.leads_with_media(body)
     when = F.coalesce(F.unix_millis("published_at").cast("string"), F.lit(""))
     titled = F.when(F.col("title") != "", F.trim(F.concat_ws(" ", "title", when))).otherwise("")
@@ -178,7 +182,9 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def opening_of(lowest: Column, highest: Column, n: Column) -> Column:
     """What all texts between the lowest and the highest begin with, back to a sentence end; empty if short."""
-    return tx.let(common_prefix(lowest, highest), lambda prefix: _opening(prefix, n))
+    # most differ within the least length
+    begins = lambda c: F.left(c, F.lit(fixed.OPENING_LEAST))
+    return F.when((n >= 3) & (begins(lowest) == begins(highest)), tx.let(common_prefix(lowest, highest), lambda prefix: _opening(prefix, n))).otherwise("")
 
 
 def _opening(prefix: Column, n: Column) -> Column:
@@ -195,16 +201,16 @@ def shared_openings(items: DataFrame, group: str = "feed_url") -> DataFrame:
 
 
 def strip_shared_opening(items: DataFrame, group: str = "feed_url") -> DataFrame:
-    j = items.join(shared_openings(items, group), group, "left")
-    opening = F.coalesce("opening", F.lit(""))
-    rest = tx.strip(F.substring("summary", F.length(opening) + 1, F.length("summary")))
-    return j.withColumn("summary", F.when((opening != "") & F.col("summary").startswith(opening), rest).otherwise(F.col("summary"))).drop("opening")
+    """``items`` whose summaries lack their group's opening.  They are read once, and a group (a feed has few items) meets in one task."""
+    w, given = Window.partitionBy(group), F.when(F.col("summary") != "", F.col("summary"))
+    j = items.withColumns({"low": F.min(given).over(w), "high": F.max(given).over(w), "n": F.count(given).over(w)})
+    j = j.withColumn("opening", opening_of(F.col("low"), F.col("high"), F.col("n"))).drop("low", "high", "n")
+    rest = tx.strip(F.substring("summary", F.length("opening") + 1, F.length("summary")))
+    return j.withColumn("summary", F.when((F.col("opening") != "") & F.col("summary").startswith(F.col("opening")), rest).otherwise(F.col("summary"))).drop("opening")
 
 
 def preview(items: DataFrame) -> DataFrame:
     """Each feed's first items, without bodies, and how many it has."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("feed_url")
     s = items.select("feed_url", "pos", "id", "title", "link")
     s = s.withColumn("n_items", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy("pos")))

@@ -592,3 +592,24 @@ def test_paragraph_diff_reads_each_side_once(spark, tmp_path):
     body = lambda: pages.select("url", hx.html_blocks(F.col("html"), F.col("url"))["blocks"].alias("body"))
     plan = pg.paragraph_diff(body(), body())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2
+
+
+def test_white_space_of_any_kind_in_columns(spark):
+    import re
+
+    from broadsheet import fixed
+
+    r = __import__("random").Random(2)
+    texts = ["".join(r.choice("ab \t\n\x0b  　﻿") for _ in range(r.randrange(12))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    got = [tuple(x) for x in rows.select(tx.collapse(F.col("t")), tx.strip(F.col("t"))).collect()]
+    ws = fixed.WS
+    assert got == [(re.sub(f"{ws}+", " ", t).strip(" "), re.sub(rf"\A{ws}+|{ws}+\Z", "", t)) for t in texts]
+
+
+def test_items_are_read_once(spark):
+    parsed = fd.parse(vw.feed_documents(spark, SF))
+    plan = fd.items(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    assert "regexp_extract_all" not in spark.range(1).select(tx.minutes_for(F.lit("a b"))).where("true")._jdf.queryExecution().toString()
+    assert value(spark, tx.minutes_for(F.lit(" one  two 汉字x "))) == pytest.approx(2 / 400 + 3 / 225)
