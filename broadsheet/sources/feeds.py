@@ -143,10 +143,10 @@ def items(parsed: DataFrame) -> DataFrame:
         _or(g("guid"), g("id"), F.coalesce(tx.strip(x("`_rdf:about`")), F.lit(""))).alias("publisher_id"),
     )
     p = _once(p).where("title <> '' OR html <> ''")
-    # markup is read once for all that is made of its text
-    p = _once(p.withColumn("plain", tx.html_to_text(F.col("html"))))
+    # markup is read once for all that is made of its text, and not where nothing of it is asked for
+    p = p.withColumn("plain", tx.html_to_text(F.col("html")))
     teaser = F.when(F.col("teaser") == F.col("html"), F.col("plain")).otherwise(tx.html_to_text(F.col("teaser")))
-    p = _once(p.withColumn("dek", tx.text_to_summary(teaser)).drop("teaser"))
+    p = p.withColumn("dek", tx.text_to_summary(teaser)).drop("teaser")
     p = p.withColumn("b", hx.html_blocks(F.col("html"), F.col("site_url")))
     body = F.col("b.blocks")
     state = bl.content_state(F.col("rich"), tx.ends_like_teaser(F.col("plain")), body, F.col("dek"), F.col("b.truncated"))
