@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..sources.changelog import written
 from ..sources.shared import broadcast_if_small, stored
 from . import stories as so
@@ -23,6 +24,10 @@ RAREST = 4
 
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of a text, none across its lines."""
+    return let(text, _trigrams)
+
+
+def _trigrams(text: Column) -> Column:
     at = F.sequence(F.lit(1), F.length(text) - 2)
     grams = F.transform(at, lambda i: F.substring(text, i, F.lit(3)))
     return F.when(F.length(text) > 2, F.filter(F.array_distinct(grams), lambda g: ~g.contains("\n"))).otherwise(F.array().cast("array<string>"))

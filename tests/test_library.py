@@ -613,3 +613,11 @@ def test_items_are_read_once(spark):
     assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
     assert "regexp_extract_all" not in spark.range(1).select(tx.minutes_for(F.lit("a b"))).where("true")._jdf.queryExecution().toString()
     assert value(spark, tx.minutes_for(F.lit(" one  two 汉字x "))) == pytest.approx(2 / 400 + 3 / 225)
+
+
+def test_trigrams_take_their_text_once(spark):
+    from broadsheet.operators.search_index import trigrams
+
+    df = spark.createDataFrame([("Abcd",), ("ab\ncde",), ("ab",), ("",)], "t string").select(trigrams(F.lower("t")).alias("g"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r.g for r in df.collect()] == [["abc", "bcd"], ["cde"], [], []]
