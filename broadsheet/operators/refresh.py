@@ -114,19 +114,23 @@ def slim(rows: DataFrame) -> DataFrame:
     return rows.withColumn("body", F.when(F.col("body").isNotNull(), F.xxhash64(F.to_json(F.struct("body")))))
 
 
-def refresh_changes(items: DataFrame, cached: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+def refresh_changes(items: DataFrame, cached: DataFrame, at: Column, narrow: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What a refresh changes: the article rows of the sources that changed, and (``source_id``, ``changed``) of all in ``items``.
 
-    ``items`` should be cheap to read again.  Rows are reconciled and compared without bodies, which are
-    fetched at the end, by the ids of changed sources alone: an unchanged feed moves no body.
+    ``items`` should be cheap to read again; ``narrow`` are their ``slim`` rows, where these are there already.
+    Rows are reconciled and compared without bodies, which are fetched at the end, by the ids of changed
+    sources alone and from the side that counts: an unchanged feed moves no body.
     """
-    narrow = stored(reconcile(slim(items), slim(cached), at))
-    known = slim(cached).join(narrow.select("source_id").distinct(), "source_id", "left_semi")
-    verdicts = stored(_changed(known, narrow))
-    rows = stored(narrow.join(verdicts.where("changed").select("source_id"), "source_id", "left_semi"))
-    ids = broadcast_if_small(rows.select("source_id", F.col("id").alias("of")))
-    new = items.select("source_id", F.concat_ws("~", "source_id", "id").alias("of"), "body").join(ids, ["source_id", "of"], "left_semi")
-    old = cached.select("source_id", F.col("id").alias("of"), "body").join(ids, ["source_id", "of"], "left_semi")
+    narrow = stored(slim(items)) if narrow is None else narrow
+    mine = broadcast_if_small(stored(narrow.select("source_id").distinct()))
+    known = stored(slim(cached.join(mine, "source_id", "left_semi")))
+    fresh = stored(reconcile(narrow, known, at))
+    verdicts = stored(_changed(known, fresh))
+    changed = broadcast_if_small(stored(verdicts.where("changed").select("source_id")))
+    rows = stored(fresh.join(changed, "source_id", "left_semi"))
+    ids = lambda own: broadcast_if_small(rows.where(F.col("rebuilt") == own).select("source_id", F.col("id").alias("of")))
+    new = items.select("source_id", F.concat_ws("~", "source_id", "id").alias("of"), "body").join(ids(True), ["source_id", "of"], "left_semi")
+    old = cached.select("source_id", F.col("id").alias("of"), "body").join(ids(False), ["source_id", "of"], "left_semi")
     bodies = new.withColumn("own", F.lit(True)).unionByName(old.withColumn("own", F.lit(False))).withColumnRenamed("source_id", "sid")
     with_body = rows.drop("body").join(bodies, (F.col("source_id") == F.col("sid")) & (F.col("id") == F.col("of")) & (F.col("rebuilt") == F.col("own")))
     return with_body.select(*cached.columns), verdicts

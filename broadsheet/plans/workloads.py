@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -13,7 +13,7 @@ from ..operators import refresh as rf
 from ..operators import state as st
 from ..operators import stories as so
 from ..sources import feeds as fd
-from ..sources.shared import stored
+from ..sources.shared import broadcast_if_small, stored
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -38,10 +38,17 @@ def subscribe(items: DataFrame, articles: DataFrame, at: Column) -> DataFrame:
 def feed_changes(documents: DataFrame, sources: DataFrame, articles: DataFrame, at: Column, stale_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """What the feeds in ``documents`` change: article rows of changed sources, and (``source_id``, ``changed``) of all that were read."""
     due = (rf.sources_stale(sources, at) if stale_only else st.live(sources)).select(F.col("url").alias("feed_url"), F.col("id").alias("source_id")).distinct()
-    parsed = fd.parse(documents.join(due, "feed_url", "left_semi"))
-    items = fd.items(parsed).join(due, "feed_url").drop("feed_url")
-    items = stored(st.item_cap(items, fixed.SOURCE_ITEMS).drop("pos", "identity"))  # parsed once
-    return rf.refresh_changes(items, articles.join(due, "source_id", "left_semi"), at)
+    due = broadcast_if_small(stored(due))
+    read = fd.items(fd.parse(documents.join(due, "feed_url", "left_semi")), fixed.SOURCE_ITEMS)
+    items = stored(read.drop("identity"), "zstd").join(due, "feed_url")  # parsed once
+    # sources of several feeds have more than their items yet; bodies stay where they are
+    rank = F.row_number().over(Window.partitionBy("source_id").orderBy("pos"))
+    ranked = stored(rf.slim(items).withColumn("rank", rank))
+    beyond = ranked.groupBy("source_id", "feed_url", "pos").agg(F.min("rank").alias("rank")).where(F.col("rank") > fixed.SOURCE_ITEMS)
+    beyond = broadcast_if_small(stored(beyond.drop("rank")))
+    capped = lambda t: t.drop("feed_url", "pos", "rank")
+    kept = items.join(beyond, ["source_id", "feed_url", "pos"], "left_anti")
+    return rf.refresh_changes(capped(kept), articles, at, capped(ranked.where(F.col("rank") <= fixed.SOURCE_ITEMS)))
 
 
 def feed_refresh(documents: DataFrame, sources: DataFrame, articles: DataFrame, reading: DataFrame, at: Column, stale_only: bool = False) -> DataFrame:

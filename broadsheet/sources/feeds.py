@@ -14,6 +14,7 @@ from ..functions import blocks as bl
 from ..functions import html as hx
 from ..functions import text as tx
 from ..functions import urls
+from ..operators import state as st
 from . import xml
 
 _NODE = "ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING, _type: STRING, _url: STRING, name: STRING>>"
@@ -69,8 +70,12 @@ def _or(*texts: Column) -> Column:
 
 
 def _once(df: DataFrame) -> DataFrame:
-    """``df`` behind a generator, so that its columns are computed once and not again wherever they are named."""
-    return df.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")
+    """``df`` behind a generator, so that its columns are computed once and not again wherever they are named.
+
+    ``feed_url`` passes by it, so that rows dealt out by it need not be dealt again.
+    """
+    rest = [c for c in df.columns if c != "feed_url"]
+    return df.select("feed_url", F.explode(F.array(F.struct(*rest))).alias("r")).select("feed_url", "r.*")
 
 
 def feed_kind(body: Column) -> Column:
@@ -110,8 +115,8 @@ def errors(parsed: DataFrame) -> DataFrame:
     return parsed.where("error IS NOT NULL").select("feed_url", "error")
 
 
-def items(parsed: DataFrame) -> DataFrame:
-    """The item table of the feeds that ``parse`` read, with bodies as blocks and shared openings stripped."""
+def items(parsed: DataFrame, most: int | None = None) -> DataFrame:
+    """The item table of the feeds that ``parse`` read, with bodies as blocks and shared openings stripped; with ``most``, each feed's first ones."""
     p = _once(parsed.where("error IS NULL").select("feed_url", "site_url", "channel_author", "items"))
     p = p.select("feed_url", "site_url", "channel_author", F.posexplode("items").alias("pos", "x"))
     p = p.withColumn("given", F.struct(*[first_text(F.col(f"x.{n}")).alias(n.strip("`")) for n in _TEXTS]))
@@ -147,6 +152,9 @@ def items(parsed: DataFrame) -> DataFrame:
     p = p.withColumn("plain", tx.html_to_text(F.col("html")))
     teaser = F.when(F.col("teaser") == F.col("html"), F.col("plain")).otherwise(tx.html_to_text(F.col("teaser")))
     p = p.withColumn("dek", tx.text_to_summary(teaser)).drop("teaser")
+    p = strip_shared_opening(p.withColumn("summary", _or(F.col("dek"), F.left("plain", F.lit(220)))))
+    if most is not None:  # after the openings, which all items share
+        p = st.item_cap(p, most, "feed_url")
     p = p.withColumn("b", hx.html_blocks(F.col("html"), F.col("site_url")))
     body = F.col("b.blocks")
     state = bl.content_state(F.col("rich"), tx.ends_like_teaser(F.col("plain")), body, F.col("dek"), F.col("b.truncated"))
@@ -164,14 +172,13 @@ def items(parsed: DataFrame) -> DataFrame:
         "link",
         tx.blank_to_null(F.col("author")).alias("author"),
         "published_at",
-        _or(F.col("dek"), F.left("plain", F.lit(220))).alias("summary"),
+        "summary",
         F.when(cover, bl.strip_cover_copy(body, F.col("declared"))).otherwise(body).alias("body"),
         image.alias("image"),
         cover.alias("has_cover"),
         "image_caption",
         state.alias("content_state"),
     )
-    p = strip_shared_opening(p)
     return p.withColumn("minutes", bl.reading_minutes(F.col("body"))).withColumn("layout", bl.story_layout(F.col("image"), F.col("summary")))
 
 

@@ -17,7 +17,7 @@ from ..operators import stories as so
 from ..plans import workloads as wl
 from ..sources import views as vw
 from ..sources.changelog import ChangeLog, written
-from ..sources.shared import remove, shared_dir, stored
+from ..sources.shared import broadcast_if_small, passing, remove, shared_dir, shuffles_dropped, stored
 
 
 def _shared(spark: SparkSession) -> str:
@@ -277,9 +277,9 @@ def _articles_at(articles: DataFrame, folder: str, number: int = 1 << 30) -> Dat
     commits = written(spark, f"{folder}/commits")
     if commits is None:
         return articles
-    last = commits.where(F.col("batch") < number).groupBy("source_id").agg(F.max("batch").alias("batch"))
+    last = broadcast_if_small(commits.where(F.col("batch") < number).groupBy("source_id").agg(F.max("batch").alias("batch")))
     rows = spark.read.schema(StructType([*articles.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/articles")
-    rows = rows.join(last, ["source_id", "batch"]).select(*articles.columns)
+    rows = rows.where(F.col("batch") < number).join(last, ["source_id", "batch"]).select(*articles.columns)
     return articles.join(last.select("source_id"), "source_id", "left_anti").select(*articles.columns).unionByName(rows)
 
 
@@ -290,40 +290,50 @@ def ingest(documents: DataFrame, sources: DataFrame, articles: DataFrame, readin
     a commit that names these sources; where nothing changed it writes neither.  A delta counts
     once its commit is there, so a batch may be run twice, and a stream that is stopped goes on
     where it was.  Every ``COMPACT_EVERY`` batches deltas are merged.
+
+    What a batch stores for itself goes when it ends.  Bodies are moved only of items that are
+    written: articles that their feed has lost are told by their ids, and fetched if they are kept.
     """
     spark = documents.sparkSession
     delta, commit = (lambda n: f"{folder}/articles/batch={n}"), (lambda n: f"{folder}/commits/batch={n}")
 
     def each(batch: DataFrame, number: int) -> None:
-        before = _articles_at(articles, folder, number)
-        incoming, verdicts = wl.feed_changes(stored(batch), sources, before, at)
-        changed = verdicts.where("changed").select("source_id")
-        if changed.isEmpty():
-            return
-        mine = before.join(changed, "source_id", "left_semi").select(*articles.columns)
-        st.cache_replace(mine, incoming, changed, wl.kept_items(reading)).write.mode("overwrite").parquet(delta(number))
-        changed.write.mode("overwrite").parquet(commit(number))
-        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
-            compact(number)
+        with passing(spark):
+            before = _articles_at(articles, folder, number)
+            incoming, verdicts = wl.feed_changes(batch, sources, before, at)
+            changed = verdicts.where("changed").select("source_id")
+            if changed.isEmpty():
+                return
+            incoming.select(*articles.columns).write.mode("overwrite").parquet(delta(number), compression="zstd")
+            fresh = spark.read.schema(articles.schema).parquet(delta(number)).select("id")
+            had = before.select("source_id", "id").join(broadcast_if_small(changed), "source_id", "left_semi")
+            lost = broadcast_if_small(stored(had.join(fresh, "id", "left_anti").join(keep, "id", "left_semi")))
+            before.join(lost, ["source_id", "id"], "left_semi").select(*articles.columns).write.mode("append").parquet(delta(number), compression="zstd")
+            changed.write.mode("overwrite").parquet(commit(number))
+            if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+                compact(number)
 
     def compact(number: int) -> None:
         """The sources of all commits so far under this one's number.  Their deltas stay until the next time, for who reads them now."""
         named = stored(spark.read.parquet(f"{folder}/commits").select("batch", "source_id"))
-        every = named.select("source_id").distinct()
-        merged = stored(_articles_at(articles, folder, number + 1).join(every, "source_id", "left_semi").select(*articles.columns))
-        merged.write.mode("overwrite").parquet(delta(number))
-        stored(every).write.mode("overwrite").parquet(commit(number))
+        every = stored(named.select("source_id").distinct())
+        merged = stored(_articles_at(articles, folder, number + 1).join(broadcast_if_small(every), "source_id", "left_semi").select(*articles.columns), "zstd")
+        merged.write.mode("overwrite").parquet(delta(number), compression="zstd")
+        every.write.mode("overwrite").parquet(commit(number))
         old = [r["batch"] for r in named.select("batch").distinct().collect() if r["batch"] < number - COMPACT_EVERY]
         remove(spark, *[f(n) for n in old for f in (commit, delta)])
 
-    run_available(documents, each, folder)
+    with passing(spark), shuffles_dropped(spark):
+        sources, keep = stored(sources), stored(wl.kept_items(reading).distinct())  # for all batches
+        run_available(documents, each, folder)
     return _articles_at(articles, folder)
 
 
 def ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _shared(spark)
     made = vw.feed_documents(spark, sf_dir)
-    made.write.parquet(f"{folder}/documents")
+    with shuffles_dropped(spark):
+        made.write.parquet(f"{folder}/documents", compression="zstd")
     documents = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/documents")
     reading = st.lww_latest(vw.reading_changes(spark, sf_dir), ["user_id", "item_id"])
     after = ingest(documents, vw.feed_sources(spark, sf_dir), vw.feed_articles(spark, sf_dir), reading, vw.now(), folder)

@@ -1,6 +1,7 @@
 """Golden values, properties and SQL twins of the feed and article library."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -21,7 +22,7 @@ from broadsheet.sources import feeds as fd
 from broadsheet.sources import views as vw
 from broadsheet.sources.article_store import ArticleStore
 from broadsheet.sources.changelog import ChangeLog
-from broadsheet.sources.shared import stored
+from broadsheet.sources.shared import shared_dir, stored
 from broadsheet.streaming import streams as sm
 
 SF = "/root/testdata/sf0.001"
@@ -473,6 +474,28 @@ def test_an_unchanged_document_writes_no_articles(spark, tmp_path, monkeypatch):
     assert 0 not in batches and 3 in batches
 
 
+def test_ingest_leaves_no_passing_tables(spark, tmp_path):
+    docs, sources, articles = vw.feed_documents(spark, SF).where("feed_url RLIKE 'src[0-3][.]'"), vw.feed_sources(spark, SF), vw.feed_articles(spark, SF)
+    docs.write.parquet(f"file://{tmp_path}/in")
+    top = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(top.iterdir())
+    got = sm.ingest(folder_stream(spark, tmp_path / "in", docs.schema), sources, articles, vw.reading_changes(spark, SF), vw.now(), f"file://{tmp_path}/out")
+    assert set(top.iterdir()) == before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert got.where("body IS NOT NULL").count() == got.count() > 0
+
+
+def test_a_source_of_two_feeds_has_the_first_items_of_both(spark):
+    entry = "<item><title>{0}{1}</title><guid>{0}{1}</guid><description>&lt;p&gt;Text {0}{1}&lt;/p&gt;</description></item>"
+    feed = lambda x: f"<rss><channel><title>T</title>{''.join(entry.format(x, i) for i in range(15))}</channel></rss>"
+    docs = spark.createDataFrame([(f"https://{x}.example/feed", "text/xml", feed(x)) for x in "ab"], "feed_url string, content_type string, body string")
+    sources = spark.createDataFrame([(i, "s", f"https://{x}.example/feed", None) for i, x in enumerate("ab")], "user_id long, id string, url string, deleted_at timestamp")
+    rows, verdicts = sm.wl.feed_changes(docs, sources, vw.feed_articles(spark, SF).limit(0), vw.now())
+    got = {r.title: r.body[0].text for r in rows.collect()}
+    assert rows.count() == 20 and got == {f"{x}{i}": f"Text {x}{i}" for x in "ab" for i in range(10)}
+    assert [tuple(r) for r in verdicts.collect()] == [("s", True)]
+
+
 # ---------------------------------------- changes, search, order and counts
 
 
